@@ -50,6 +50,12 @@ FROM (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')
 """
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.bpe import bpe_round_trip
+
+    return bpe_round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.sharding import shuffle_to_shards, text_size
 
@@ -74,6 +80,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_warc": op2_warc,
+    "op3_bpe": op3_bpe,
     "op5_sharding": op5_sharding,
     "op6_token_output": op6_token_output,
     "op7_mixing": op7_mixing,
