@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
 import zlib
@@ -10,11 +12,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batches, new_path, ship
+from tessera.llm.bpe import byte_names
+from tessera.llm.common import PIECE, SPACES, batches, mix, new_path, pieces, powers, ship
 
 #: Ids of a block, about; a document is never cut, so a longer one has a block of its own.
 BLOCK_IDS = 1 << 18
@@ -62,6 +64,9 @@ def write_block(documents: list[np.ndarray], bits: int) -> bytes:
     return HEAD.pack(MAGIC, bits, len(documents), len(ids)) + offsets.tobytes() + pack(ids, bits)
 
 
+_BYTE_NAMES = byte_names()
+
+
 class Block:
     """Random access to the documents of a block."""
 
@@ -79,81 +84,121 @@ class Block:
         return self.ids(int(self.offsets[i]), int(self.offsets[i + 1] - self.offsets[i]))
 
 
-#: What the tokenizer's white space, letter and digit classes surely agree on with Python's: ASCII and Latin letters.
-_PLAIN = re.compile("[^\t\n\r -~¡-¬®-ɏ]")
-_PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Texts that are split here: ASCII, Latin letters, no apostrophe (which may begin a contraction).
+_OTHER = re.compile("[^\t\n\r -&(-~À-ÖØ-öø-įı-ɏ]")
+#: Classes of bytes: white space, letters (all of the Latin ones beyond ASCII too), digits, the rest.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[SPACES] = 0
+_CLASS[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = 1
+_CLASS[ord("0") : ord("9") + 1] = 2
+_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 #: Words whose ids a worker keeps between batches.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 
 
 @cache
 def _tokenizer(path: str):
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
+def _split(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and 64-bit hashes of the words in lower-cased bytes: runs of letters, single digits, runs of the rest."""
+    kind = _CLASS[data]
+    edge = np.empty(len(data), bool)
+    edge[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=edge[1:])
+    edge |= kind == 2
+    edge[breaks[breaks < len(data)]] = True
+    starts = np.flatnonzero(edge)
+    lengths = np.diff(np.append(starts, len(data)))
+    place = np.arange(len(data)) - np.repeat(starts, lengths)
+    hashes = mix(np.add.reduceat(_HASH[data] * powers(int(place.max()) + 1)[place], starts) + lengths.astype(np.uint64))
+    words = kind[starts] > 0
+    return starts[words], lengths[words], hashes[words]
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, with the ids of words kept.
 
-    For a tokenizer that splits normalised text to words before any merge, a word's ids don't depend on its place.
-    So the library encodes each new word once, and texts of plain Latin script are split here. Texts with other
-    characters or with a special token's string go to the library as they are.
+    A tokenizer that splits normalised text to words before any merge gives a word the same ids at every place. So the
+    library's model encodes each new word once, and texts of plain Latin script are only split here; words are told apart by
+    64-bit hashes. All other texts go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
-        import json
-
         self.tokenizer = _tokenizer(path)
         spec = json.loads(self.tokenizer.to_str())
         self.special = [t["content"] for t in spec["added_tokens"]]
         steps = [s["type"] for s in (spec["normalizer"] or {}).get("normalizers", [])]
-        self.splits = steps == ["NFC", "Replace", "Lowercase"] and spec["pre_tokenizer"].get("pretokenizers", [{}])[0].get("behavior") == "Removed"
-        self.words: dict[str, int] = {}
+        pre = spec["pre_tokenizer"].get("pretokenizers", [{}])
+        self.splits = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in pre] == ["Split", "ByteLevel"] and pre[0]["behavior"] == "Removed" and spec["post_processor"] is None
         self.clear()
 
     def clear(self) -> None:
-        self.words.clear()
-        self.flat, self.lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-
-    def learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            place = np.array(e.word_ids, np.int64)
-            lengths = np.bincount(place, minlength=len(some))
-            if len(lengths) != len(some):
-                raise ValueError("the tokenizer splits words further")
-            self.words.update(zip(some, range(len(self.words), len(self.words) + len(some)), strict=True))
-            self.flat.append(np.array(e.ids, np.uint32))
-            self.lengths.append(lengths)
+        self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        tokenize, ids, lengths = self.tokenizer.model.tokenize, [], []
+        for w in words:
+            found = [t.id for t in tokenize(w.decode() if w.isascii() else "".join([_BYTE_NAMES[b] for b in w]))]
+            ids += found
+            lengths.append(len(found))
+        n = np.array(lengths, np.int64)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(n) - n])
+        self.lengths, self.flat = np.concatenate([self.lengths, n]), np.concatenate([self.flat, np.array(ids, np.uint32)])
+        both, place = np.concatenate([self.hashes, hashes]), np.concatenate([self.place, len(self.place) + np.arange(len(hashes))])
+        order = np.argsort(both)
+        self.hashes, self.place = both[order], place[order]
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool)
+        return self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] == hashes
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [self.splits and not _PLAIN.search(t) and not any(s in t for s in self.special) for t in texts]
-        split = [_PRETOKENS.findall(t.lower()) for t, p in zip(texts, plain, strict=True) if p]
-        distinct: set[str] = set().union(*split) if split else set()
-        new = [w for w in distinct if w not in self.words]
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = list(distinct)
-        self.learn(new)
-        self.flat, self.lengths = [np.concatenate(self.flat)], [np.concatenate(self.lengths)]
-        flat, lengths = self.flat[0], self.lengths[0]
-        starts = np.cumsum(lengths) - lengths
+        plain = [self.splits and not _OTHER.search(t) and not any(s in t for s in self.special) for t in texts]
         rest = iter(self.tokenizer.encode_batch([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False)) if not all(plain) else iter(())
-        out, words = [], iter(split)
-        get = self.words.__getitem__
-        for p in plain:
-            if not p:
-                out.append(np.array(next(rest).ids, np.uint32))
-                continue
-            w = np.fromiter(map(get, one := next(words)), np.int64, len(one))
-            n = lengths[w]
-            ends = np.cumsum(n)
-            out.append(flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[w] - ends + n, n)])
+        done = iter(self._plain([t.lower().encode() for t, p in zip(texts, plain, strict=True) if p]))
+        return [next(done) if p else np.array(next(rest).ids, np.uint32) for p in plain]
+
+    def _plain(self, texts: list[bytes]) -> list[np.ndarray]:
+        offsets = np.zeros(len(texts) + 1, np.int64)
+        offsets[1:] = np.cumsum([len(t) for t in texts])
+        raw = b"".join(texts)
+        data, hashes, counts = np.frombuffer(raw, np.uint8), [], np.zeros(len(texts), np.int64)
+        starts, lengths = [], []
+        for i, j in pieces(offsets, PIECE // 2):
+            at, end = int(offsets[i]), int(offsets[j])
+            while at < end:  # once, but for a very long text, which is cut at white space
+                stop = min(end, at + 4 * PIECE)
+                gaps = np.flatnonzero(_CLASS[data[at:stop]] == 0) if stop < end else ()
+                stop = at + int(gaps[-1]) + 1 if len(gaps) else end
+                breaks = offsets[i:j][offsets[i:j] >= at]
+                s, n, h = _split(data[at:stop], breaks - at)
+                counts[i:j] += np.bincount(np.searchsorted(offsets[i:j], s + at, "right") - 1, minlength=j - i)
+                starts.append(s + at), lengths.append(n), hashes.append(h)
+                at = stop
+        if not hashes:
+            return [np.zeros(0, np.uint32)] * len(texts)
+        words, first, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        starts, lengths = np.concatenate(starts), np.concatenate(lengths)
+        new = np.flatnonzero(~self.known(words))
+        if len(self.hashes) + len(new) > CACHE_WORDS:
+            self.clear()
+            new = np.arange(len(words))
+        self.learn(words[new], [raw[a : a + n] for a, n in zip(starts[first[new]].tolist(), lengths[first[new]].tolist(), strict=True)])
+        index = self.place[np.searchsorted(self.hashes, words)][place]
+        out, at = [], 0
+        for n in counts.tolist():
+            w = index[at : at + n]
+            size = self.lengths[w]
+            ends = np.cumsum(size)
+            out.append(self.flat[np.arange(ends[-1] if n else 0) + np.repeat(self.starts[w] - ends + size, size)])
+            at += n
         return out
 
 
