@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MASK64 = (1 << 64) - 1
+from tessera.shipping import ship
+
+__all__ = ["batches", "col", "fresh", "mix", "new_path", "pieces", "powers", "put", "shared_dir", "ship", "text_bytes", "unit", "word_hashes", "written"]
+
 #: Bytes of text that the numpy passes work on at a time.
 PIECE = 1 << 20
 
@@ -41,25 +39,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, in case their path has no copy."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp()
-    target = os.path.join(folder, "tessera_llm.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in [root / "__init__.py", *sorted((root / "llm").glob("*.py"))]:
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(target)
-    shutil.rmtree(folder, ignore_errors=True) if sc.master.startswith("yarn") else None
-    _shipped.add(sc.applicationId)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` does not have, one for each of ``names``."""
     have = {c.lower() for c in df.columns}

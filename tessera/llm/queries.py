@@ -77,6 +77,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.minhash import mark_near_duplicates
+
+    return mark_near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_warc": op2_warc,
@@ -84,5 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_token_output": op6_token_output,
     "op7_mixing": op7_mixing,
+    "op8_minhash": op8_minhash,
 }
 ORACLES = {"op1_exact_dedup": OP1, "op2_warc": OP2}
