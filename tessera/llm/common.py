@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.shipping import ship
 
-__all__ = ["batches", "col", "fresh", "mix", "new_path", "pieces", "powers", "put", "shared_dir", "ship", "text_bytes", "unit", "word_hashes", "written"]
+__all__ = ["batches", "col", "fresh", "mix", "new_path", "pieces", "powers", "put", "shared_dir", "ship", "text_bytes", "unit", "word_hashes", "word_pieces", "written"]
 
 #: Bytes of text that the numpy passes work on at a time.
 PIECE = 1 << 20
@@ -134,12 +134,10 @@ def _words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix(np.add.reduceat(values, starts - first)), starts
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (runs of other than ASCII white space, A-Z as a-z) and how many each row has. Long rows are cut at white space, so memory stays bounded."""
-    hashes, counts = [], np.zeros(len(offsets) - 1, np.int64)
+def word_pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """All words (runs of other than ASCII white space, A-Z as a-z) in pieces of bounded size: bytes, 64-bit hashes, starts in those bytes, row numbers. Long rows are cut at white space."""
     for i, j in pieces(offsets):
         at, end = int(offsets[i]), int(offsets[j])
-        breaks = offsets[i:j] - at
         while at < end:
             stop = min(end, at + 4 * PIECE)
             if stop < end:
@@ -149,15 +147,19 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
                 else:  # one word longer than that: up to its end
                     gap = np.flatnonzero(IS_SPACE[data[stop:end]])
                     stop = stop + int(gap[0]) + 1 if len(gap) else end
-            h, starts = _words(data[at:stop], breaks[(breaks >= 0)])
-            hashes.append(h)
-            if j - i == 1:
-                counts[i] += len(h)
-            else:
-                counts[i:j] += np.bincount(np.searchsorted(offsets[i:j] - at, starts, "right") - 1, minlength=j - i)
-            breaks = breaks - (stop - at)
+            breaks = offsets[i:j] - at
+            hashes, starts = _words(data[at:stop], breaks[breaks >= 0])
+            yield data[at:stop], hashes, starts, i + np.searchsorted(breaks, starts, "right") - 1
             at = stop
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), counts
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words and how many each row has."""
+    hashes, counts = [np.zeros(0, np.uint64)], np.zeros(len(offsets) - 1, np.int64)
+    for _, h, _, rows in word_pieces(data, offsets):
+        hashes.append(h)
+        counts += np.bincount(rows, minlength=len(counts))
+    return np.concatenate(hashes), counts
 
 
 def batches(it: Iterator[pa.RecordBatch], text: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:

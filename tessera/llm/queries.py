@@ -83,6 +83,12 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "kept")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_warc": op2_warc,
@@ -91,5 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_output": op6_token_output,
     "op7_mixing": op7_mixing,
     "op8_minhash": op8_minhash,
+    "op10_quality": op10_quality,
 }
 ORACLES = {"op1_exact_dedup": OP1, "op2_warc": OP2}
