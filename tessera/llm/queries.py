@@ -83,6 +83,12 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "kept")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pii import find_pii
+
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality import quality_scores
 
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_output": op6_token_output,
     "op7_mixing": op7_mixing,
     "op8_minhash": op8_minhash,
+    "op9_pii": op9_pii,
     "op10_quality": op10_quality,
 }
 ORACLES = {"op1_exact_dedup": OP1, "op2_warc": OP2}
