@@ -56,6 +56,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.embedding_dedup import embedding_duplicates
+
+    return embedding_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.sharding import shuffle_to_shards, text_size
 
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_warc": op2_warc,
     "op3_bpe": op3_bpe,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_sharding": op5_sharding,
     "op6_token_output": op6_token_output,
     "op7_mixing": op7_mixing,
