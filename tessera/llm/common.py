@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.shipping import ship
 
-__all__ = ["batches", "col", "fresh", "mix", "new_path", "pieces", "powers", "put", "shared_dir", "ship", "text_bytes", "unit", "word_hashes", "word_pieces", "written"]
+__all__ = ["batches", "col", "fresh", "mix", "new_path", "pieces", "powers", "put", "shared_dir", "ship", "small", "text_bytes", "unit", "word_hashes", "word_pieces", "written"]
 
 #: Bytes of text that the numpy passes work on at a time.
 PIECE = 1 << 20
@@ -39,6 +39,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table of one or two longs that is sent to every task; 16 bytes each there.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, with the hint to broadcast it if it is counted to have so many rows at most; else it is joined by a shuffle."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` does not have, one for each of ``names``."""
     have = {c.lower() for c in df.columns}

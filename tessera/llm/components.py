@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import small, written
 
 #: Rounds after which a graph that still has links is an error; each takes away at least a third of the nodes on average.
 ROUNDS = 60
@@ -19,27 +19,20 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     so a node with very many links is no hot task. Every round is written, so lost executors cost a round at most.
     Links of an id with itself or with null are left out.
     """
-    links = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-links")
-    every = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+    links = links.where("a <> b").select("a", "b")
     labels = None
     for r in range(ROUNDS):
-        if not links.take(1):
-            break
         both = links.union(links.select("b", "a"))
         rank = lambda c: F.struct(F.xxhash64(F.lit(r), F.col(c)).alias("h"), F.col(c).alias("id"))
         near = both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("best"))
-        near = near.select("node", F.least(F.col("best"), rank("node"))["id"].alias("to"))
-        near = written(near, f"{name}-joined")
+        near = small(written(near.select("node", F.least(F.col("best"), rank("node"))["id"].alias("to")), f"{name}-joined"))
         joined = links.join(near.toDF("a", "ta"), "a").join(near.toDF("b", "tb"), "b")
-        links = written(joined.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where("a <> b").distinct(), f"{name}-links")
-        if labels is None:
-            labels = near.toDF("id", "label")
-        else:
-            moved = labels.join(near.toDF("label", "to"), "label", "left")
-            labels = written(moved.select("id", F.coalesce("to", "label").alias("label")), f"{name}-labels")
+        links = written(joined.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")), f"{name}-links")
+        labels = near.toDF("id", "label") if labels is None else labels.join(near.toDF("label", "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+        if not links.take(1):
+            break
     else:
         raise RuntimeError("the components did not settle")
-    if labels is None:
-        return every.select("id", F.col("id").alias("component"))
+    labels = written(labels, f"{name}-labels")
     least = labels.groupBy("label").agg(F.min("id").alias("component"))
-    return written(labels.join(least, "label").select("id", "component"), f"{name}-components")
+    return labels.join(least, "label").select("id", "component")
