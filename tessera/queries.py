@@ -1,10 +1,529 @@
-"""The library's own queries and their SQL."""
+"""The library's queries over the driver's tables, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from tessera.functions import amounts, arrays, text, urls
+from tessera.operators import chunks, layout, library, pages, profiles, quality, search, sectioning, stateful, tables
+from tessera.shipping import ship
+from tessera.sources import html
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.from_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def _line_sections(documents: DataFrame) -> DataFrame:
+    """Every line of a document as a section, with its first 40 characters as title."""
+    split = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+    return split.select("doc_id", "idx", F.substring("text", 1, 40).alias("title"), "text").withColumn("sid", text.section_id(F.col("title"), F.col("text")))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents of sections: a turn each, which is also a page."""
+    return _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("idx"), F.col("role").alias("title"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sid", text.section_id(F.col("title"), F.col("text")))
+
+
+_TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_SNIPPET = """CASE WHEN strpos(lower(hay), '{q}') = 0 THEN regexp_replace(substr(hay, 1, 180), '^\\s+|\\s+$', '', 'g')
+ ELSE CASE WHEN strpos(lower(hay), '{q}') - 1 > 90 THEN '...' ELSE '' END
+ || regexp_replace(substr(hay, greatest(0, strpos(lower(hay), '{q}') - 91) + 1, least(length(hay), strpos(lower(hay), '{q}') - 1 + {n} + 90) - greatest(0, strpos(lower(hay), '{q}') - 91)), '^\\s+|\\s+$', '', 'g')
+ || CASE WHEN strpos(lower(hay), '{q}') - 1 + {n} + 90 < length(hay) THEN '...' ELSE '' END END"""
+
+
+def _snippet_sql(query: str) -> str:
+    return _SNIPPET.format(q=query, n=len(query))
+
+
+_LIBRARY_SQL = """
+lib AS (SELECT d.doc_id, 'DOC-' || lpad(CAST(d.doc_id AS VARCHAR), CAST(greatest(6, length(CAST(d.doc_id AS VARCHAR))) AS INTEGER), '0') AS id, source || '-' || d.doc_id || '.txt' AS filename, substr(text, 1, 200) AS digest, lang, source,
+ CASE d.doc_id % 4 WHEN 0 THEN 'Contract' WHEN 1 THEN 'Bid' WHEN 2 THEN 'Knowledge' ELSE 'General' END AS content_type,
+ CAST(quality AS VARCHAR) AS quality, CAST(toxic AS VARCHAR) AS toxic, text FROM documents d LEFT JOIN labels l USING (doc_id))
+"""
+
+
+@_query(f"""
+WITH {_LIBRARY_SQL},
+scored AS (SELECT *, (CASE WHEN contains(lower(filename), 'e') THEN 2.0 ELSE 0 END) + (CASE WHEN contains(lower(digest), 'e') THEN 1.0 ELSE 0 END)
+ + 1.5 * ((contains(lower(lang), 'e'))::INT + (contains(lower(source), 'e'))::INT)
+ + contains(lower(coalesce(quality, 'None')), 'e')::INT + contains(lower(coalesce(toxic, 'None')), 'e')::INT AS score FROM lib)
+SELECT doc_id, filename, content_type, CAST(score AS DOUBLE) AS score, count(*) OVER () AS total FROM scored WHERE score > 0 QUALIFY row_number() OVER (ORDER BY score DESC, doc_id) <= 50""")
+def library_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted keyword search of the whole library: the best 50 and how many there are."""
+    return search.search_library(_library(spark, sf_dir), "e", 50).select("doc_id", "filename", "content_type", F.col("score").cast("double").alias("score"), "total")
+
+
+@_query(f"""
+WITH {_LIBRARY_SQL}
+SELECT doc_id, id, content_type, lang || ',' || source AS tags, quality FROM lib WHERE content_type = 'Contract' AND (lang IN ('en', 'de') OR source IN ('en', 'de')) AND quality = '1'""")
+def library_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a content type, with any of some tags and a metadata value."""
+    out = library.filter_documents(_library(spark, sf_dir), content_type="contract", tags="en, de", metadata={"quality": "1"})
+    return out.select("doc_id", "id", "content_type", F.array_join("tags", ",").alias("tags"), F.col("metadata")["quality"].alias("quality"))
+
+
+@_query(f"WITH {_LIBRARY_SQL} SELECT doc_id FROM lib WHERE quality IS NULL AND lang = 'fr'")
+def library_filter_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metadata filter for a missing value."""
+    return library.filter_documents(_library(spark, sf_dir), tags="fr", metadata={"quality": "None"}).select("doc_id")
+
+
+@_query(f"""
+WITH secs AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx, unnest(string_split(text, chr(10))) AS body FROM documents),
+hits AS (SELECT doc_id, -1 AS idx, 1.0 AS score, text AS hay0 FROM documents WHERE contains(lower(text), 'and the')
+ UNION ALL SELECT doc_id, idx, 2.0 * contains(lower(substr(body, 1, 40)), 'and the')::INT + 1.5 * contains(lower(body), 'and the')::INT, CASE WHEN contains(lower(body), 'and the') THEN body ELSE substr(body, 1, 40) END FROM secs WHERE contains(lower(body), 'and the')),
+trimmed AS (SELECT *, {_TRIM.format("hay0")} AS hay FROM hits)
+SELECT doc_id, idx, CAST(score AS DOUBLE) AS score, {_snippet_sql("and the")} AS snippet, count(*) OVER () AS total FROM trimmed QUALIFY row_number() OVER (ORDER BY score DESC, doc_id, idx) <= 100""")
+def search_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits in whole documents and in their lines, the best 100 with snippets."""
+    documents = _table(spark, sf_dir, "documents")
+    return search.search_text(documents.select("doc_id", "text"), _line_sections(documents), "and the", limit=100).select("doc_id", F.col("idx").cast("bigint").alias("idx"), "score", "snippet", "total")
+
+
+@_query(f"""
+WITH hits AS (SELECT turn AS idx, role, coalesce(text, '') AS text, 2.0 * contains(lower(role), 'us')::INT + 1.5 * contains(lower(coalesce(text, '')), 'us')::INT AS score FROM conversations WHERE conv_id = 3),
+trimmed AS (SELECT *, {_TRIM.format("CASE WHEN contains(lower(text), 'us') THEN text ELSE role END")} AS hay FROM hits WHERE score > 0)
+SELECT idx, role AS title, CAST(score AS DOUBLE) AS score, {_snippet_sql("us")} AS snippet, count(*) OVER () AS total FROM trimmed""")
+def search_one_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of one conversation that have a query in role or text."""
+    return search.search_sections(_turns(spark, sf_dir), 3, "us", limit=200).select(F.col("idx").cast("bigint").alias("idx"), "title", "score", "snippet", "total")
+
+
+@_query(f"SELECT doc_id, {_snippet_sql('that')} AS snippet FROM (SELECT doc_id, {_TRIM.format('text')} AS hay FROM documents)")
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surroundings of a query's first place in every document."""
+    return _table(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text"), "that").alias("snippet"))
+
+
+_WANTED = "SELECT conv_id AS doc_id, t AS idx, conv_id * 100 + t AS position FROM (SELECT DISTINCT conv_id FROM conversations), (SELECT unnest([0, 1, 2, 40, 1]) AS t)"
+
+
+def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
+    return ids.select("doc_id", F.explode(F.array(*map(F.lit, (0, 1, 2, 40, 1)))).alias("idx")).withColumn("position", F.col("doc_id") * 100 + F.col("idx"))
+
+
+@_query(f"WITH w AS ({_WANTED}) SELECT doc_id, idx, min(position) AS position, max(role) AS title FROM w JOIN (SELECT conv_id AS doc_id, turn AS idx, role FROM conversations) USING (doc_id, idx) GROUP BY 1, 2")
+def batch_lookup_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.batch_lookup(_turns(spark, sf_dir), _wanted(spark, sf_dir), ["doc_id", "idx"]).select("doc_id", F.col("idx").cast("bigint").alias("idx"), "position", "title")
+
+
+@_query(f"WITH w AS ({_WANTED}) SELECT doc_id, CAST(idx AS BIGINT) AS idx, min(position) AS position FROM w ANTI JOIN (SELECT conv_id AS doc_id, turn AS idx FROM conversations) USING (doc_id, idx) GROUP BY 1, 2")
+def batch_lookup_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.batch_missing(_turns(spark, sf_dir), _wanted(spark, sf_dir), ["doc_id", "idx"]).select("doc_id", F.col("idx").cast("bigint").alias("idx"), "position")
+
+
+@_query("SELECT doc_id, 'sha256:' || sha256(text) AS content_hash, CASE WHEN text = '' THEN doc_id ELSE max(doc_id) OVER (PARTITION BY text) END AS latest, CASE WHEN text = '' THEN 1 ELSE count(*) OVER (PARTITION BY text) END AS copies FROM documents")
+def content_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.content_groups(_table(spark, sf_dir, "documents"))
+
+
+@_query(r"""SELECT doc_id, 's_' || substr(sha1(lower(source) || chr(10) || substr(lower(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')), 1, 400)), 1, 10) AS web_sid,
+ substr(sha1(source || substr(text, 1, 200)), 1, 12) AS sid, 'sha256:' || sha256(text) AS text_hash FROM documents""")
+def section_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents")
+    return d.select("doc_id", text.web_section_id(F.col("source"), F.col("text")).alias("web_sid"), text.section_id(F.col("source"), F.col("text")).alias("sid"), text.text_hash(F.col("text")).alias("text_hash"))
+
+
+@_query("""SELECT doc_id, CAST(floor(n / (2.5 * r + 4.0 * (1 - r))) AS BIGINT) AS tokens, CASE WHEN c >= 20 OR c > a THEN 'zh' ELSE 'en' END AS locale FROM (
+ SELECT doc_id, length(text) AS n, length(regexp_replace(text, '[^\\x{4E00}-\\x{9FFF}]', '', 'g')) / greatest(length(text), 1) AS r,
+ length(regexp_replace(substr(text, 1, 20000), '[^\\x{4E00}-\\x{9FFF}]', '', 'g')) AS c, length(regexp_replace(substr(text, 1, 20000), '[^A-Za-z]', '', 'g')) AS a FROM documents)""".replace("\\\\", "\\"))
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"), text.detect_locale(F.col("text")).alias("locale"))
+
+
+@_query(r"""WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n|\r', chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t, substr(text, 1, 300) AS cut, text FROM documents)
+SELECT doc_id, md5(t) AS normalized, CASE WHEN length(text) <= 300 THEN text ELSE regexp_replace(CASE WHEN strpos(reverse(cut), ' ') > 0 AND 300 - strpos(reverse(cut), ' ') > 180 THEN substr(cut, 1, 300 - strpos(reverse(cut), ' ')) ELSE cut END, '\s+$', '') || '…' END AS short FROM n""")
+def text_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.md5(text.normalize(F.col("text"))).alias("normalized"), text.smart_truncate(F.col("text"), 300).alias("short"))
+
+
+@_query("""WITH s AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx, unnest(string_split(text, chr(10))) AS body FROM documents),
+old AS (SELECT doc_id, idx, body FROM s WHERE (doc_id + idx) % 7 <> 0), new AS (SELECT doc_id, idx, CASE WHEN (doc_id + idx) % 5 = 0 THEN upper(body) ELSE body END AS body FROM s WHERE (doc_id + idx) % 11 <> 0)
+SELECT doc_id, CAST(idx AS VARCHAR) AS sid, CASE WHEN o.body IS NULL THEN 'added' WHEN n.body IS NULL THEN 'removed' ELSE 'changed' END AS change FROM old o FULL JOIN new n USING (doc_id, idx) WHERE o.body IS DISTINCT FROM n.body""")
+def sections_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changed between two versions of every document's lines."""
+    s = _line_sections(_table(spark, sf_dir, "documents")).select("doc_id", F.col("idx").cast("string").alias("sid"), (F.col("doc_id") + F.col("idx")).alias("k"), F.col("text").alias("t"))
+    new = s.where(F.col("k") % 11 != 0).withColumn("t", F.when(F.col("k") % 5 == 0, F.upper("t")).otherwise(F.col("t")))
+    return pages.sections_diff(s.where(F.col("k") % 7 != 0), new, "doc_id")
+
+
+@_query("SELECT source, string_agg(tag, ',' ORDER BY tag) AS tags FROM (SELECT DISTINCT source, unnest([lang, 'q' || coalesce(CAST(quality AS VARCHAR), '?')]) AS tag FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY source")
+def tag_union_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
+    tagged = d.select("source", F.array("lang", F.concat(F.lit("q"), F.coalesce(F.col("quality").cast("string"), F.lit("?")))).alias("tags"))
+    return library.merge_tags(tagged, "source").select("source", F.array_join("tags", ",").alias("tags"))
+
+
+@_query("SELECT doc_id, 'lang=' || lang || ',quality=' || coalesce(CAST(quality AS VARCHAR), 'null') || ',source=first' AS metadata FROM documents LEFT JOIN labels USING (doc_id)")
+def metadata_first_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of two captures in which what was there first stays."""
+    d = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
+    old = F.create_map(F.lit("source"), F.lit("first"), F.lit("lang"), F.col("lang"))
+    new = F.create_map(F.lit("source"), F.col("source"), F.lit("quality"), F.col("quality").cast("string"))
+    entries = F.array_sort(F.map_entries(arrays.first_touch(old, new)))
+    return d.select("doc_id", F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))), ",").alias("metadata"))
+
+
+@_query(r"""SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
+ regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS query, regexp_extract(url, '#(.*)$', 1) AS fragment,
+ CAST(NULL AS VARCHAR) AS violation FROM pages""")
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return _table(spark, sf_dir, "pages").select("page_id", urls.scheme(u).alias("scheme"), urls.host(u).alias("host"), urls.path(u).alias("path"), urls.query(u).alias("query"), urls.fragment(u).alias("fragment"), urls.violation(u).alias("violation"))
+
+
+@_query("""WITH t AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'http://' || (c_custkey % 256) || '.' || (c_custkey * 7 % 256) || '.1.2/x' WHEN 1 THEN 'http://' || (c_custkey * 2654435 % 4294967296) || '/' WHEN 2 THEN 'ftp://h.example/' WHEN 3 THEN 'http://a.localhost/p' WHEN 4 THEN 'https://user@h' || c_custkey || '.example:8080/' ELSE 'http://' END AS url,
+ CASE c_custkey % 6 WHEN 0 THEN ((c_custkey % 256) * 256 + c_custkey * 7 % 256) * 65536 + 258 WHEN 1 THEN c_custkey * 2654435 % 4294967296 END AS ip FROM customer)
+SELECT c_custkey, url, CASE WHEN c_custkey % 6 = 2 THEN 'scheme' WHEN c_custkey % 6 = 5 THEN 'no host' WHEN c_custkey % 6 = 3 THEN 'blocked name'
+ WHEN ip // 16777216 IN (0, 10, 127) OR ip // 16777216 >= 224 OR ip // 65536 IN (43518, 49320) OR ip // 1048576 = 2753 OR ip // 4194304 = 401 OR ip // 131072 = 25353 OR ip // 256 IN (12582912, 12582914, 12989284, 13303665) THEN 'private address' END AS violation FROM t""".replace("c_custkey * 2654435", "CAST(c_custkey AS BIGINT) * 2654435"))
+def url_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of made-up URLs of all spellings must not be fetched."""
+    k = F.col("c_custkey")
+    url = (
+        F.when(k % 6 == 0, F.concat(F.lit("http://"), (k % 256).cast("string"), F.lit("."), (k * 7 % 256).cast("string"), F.lit(".1.2/x")))
+        .when(k % 6 == 1, F.concat(F.lit("http://"), (k * 2654435 % 4294967296).cast("string"), F.lit("/")))
+        .when(k % 6 == 2, "ftp://h.example/").when(k % 6 == 3, "http://a.localhost/p")
+        .when(k % 6 == 4, F.concat(F.lit("https://user@h"), k.cast("string"), F.lit(".example:8080/"))).otherwise("http://")
+    )
+    return _table(spark, sf_dir, "customer").select("c_custkey", url.alias("url")).withColumn("violation", urls.violation(F.col("url")))
+
+
+_FOLD_SQL = """
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT user_id, event_id, t, n, t AS last, true AS opens FROM e WHERE n = 1
+ UNION ALL SELECT e.user_id, e.event_id, e.t, e.n, CASE WHEN e.t - f.last {op} {us} THEN e.t ELSE f.last END, e.t - f.last {op} {us} FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+"""
+
+
+@_query(_FOLD_SQL.format(op=">", us=43_200_000_000) + "SELECT user_id, event_id, NOT opens AS hit, CASE WHEN NOT opens THEN (t - last) / 1e6 END AS age_seconds FROM f")
+def url_cache_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of each user's requests a cache of 12 hours answers."""
+    return stateful.cache_hits(_table(spark, sf_dir, "events"), 43_200)
+
+
+@_query(_FOLD_SQL.format(op=">=", us=21_600_000_000) + "SELECT user_id, event_id, opens AS accepted FROM f")
+def throttle_min_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stateful.throttle(_table(spark, sf_dir, "events"), 21_600)
+
+
+@_query("""WITH m AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w > 28800000000 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM m) SELECT user_id, CAST(session AS BIGINT) AS session, min(ts) AS started, max(ts) AS ended, count(*) AS events FROM s GROUP BY user_id, session""")
+def session_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stateful.idle_sessions(_table(spark, sf_dir, "events"), 28_800)
+
+
+@_query("""WITH r AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'), c AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click')
+SELECT r.event_id, max_by(c.event_id, struct_pack(t := c.ts, i := -c.event_id)) AS hit, (epoch_us(r.ts) - epoch_us(max(c.ts))) / 1e6 AS age_seconds
+FROM r LEFT JOIN c ON r.user_id = c.user_id AND c.ts <= r.ts AND epoch_us(r.ts) - epoch_us(c.ts) <= 86400000000 GROUP BY r.event_id, r.ts""")
+def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each view the latest click of the user within a day."""
+    e = _table(spark, sf_dir, "events")
+    views = e.where("event_type = 'view'").select("event_id", "user_id", "ts")
+    clicks = e.where("event_type = 'click'").select(F.col("event_id").alias("id"), "user_id", F.col("ts").alias("created_at"))
+    return library.cache_lookup(views, clicks, ["user_id"], 86_400).select("event_id", "hit", "age_seconds")
+
+
+@_query("SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS nth FROM events")
+def nth_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stateful.nth_occurrence(_table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("event_id", F.col("nth").cast("bigint").alias("nth"))
+
+
+def _order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each order as a Markdown table."""
+    lines = _table(spark, sf_dir, "lineitem")
+    return tables.render(lines, ["l_orderkey"], ["l_linenumber", "l_partkey"], {"line": F.col("l_linenumber"), "quantity": F.col("l_quantity").cast("int"), "price": F.format_string("$%.2f", "l_extendedprice"), "flag": F.col("l_returnflag")})
+
+
+@_query("""WITH c AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), m AS (SELECT l_orderkey, unnest(['line', 'quantity', 'price']) AS "column", unnest([l_linenumber::DOUBLE, trunc(l_quantity), round(l_extendedprice, 2)]) AS v FROM lineitem)
+SELECT l_orderkey, "column", min(v) AS min, max(v) AS max, floor(round(avg(v) * 100, 4) + 0.5) / 100 AS avg, count(*) AS count FROM m JOIN c USING (l_orderkey) WHERE n + 1 > 3 AND n > (n + 1) * 0.5 GROUP BY ALL""")
+def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers by column of every order's Markdown table, read back from its text."""
+    return tables.column_stats(tables.markdown_cells(_order_tables(spark, sf_dir), ["l_orderkey"]), ["l_orderkey"])
+
+
+@_query("SELECT l_orderkey, count(*) + 1 AS row_count, 4 AS column_count, 1 AS header_rows FROM lineitem GROUP BY 1")
+def table_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _order_tables(spark, sf_dir).select("l_orderkey", tables.dimensions(F.col("markdown")).alias("d"))
+    return made.select("l_orderkey", F.col("d.row_count").cast("bigint").alias("row_count"), F.col("d.column_count").alias("column_count"), F.col("d.header_rows").alias("header_rows"))
+
+
+@_query("""SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS idx, CAST(2 + n AS BIGINT) AS n_lines FROM (SELECT o_custkey, o_orderkey, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)""")
+def markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables found in documents made of a customer's orders, with prose and a code block between them."""
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    made = _order_tables(spark, sf_dir).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    part = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit("\n```\n| a | b |\n|---|---|\n| 1 | 2 |\n```\n"), F.col("markdown"), F.lit("\n"))
+    documents = made.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", part.alias("p")))), lambda x: x["p"]), "\n").alias("text"))
+    found = tables.markdown_tables(documents)
+    return found.select("doc_id", F.col("idx").cast("bigint").alias("idx"), (F.col("last_line") - F.col("first_line") + 1).cast("bigint").alias("n_lines"))
+
+
+@_query("""WITH s AS (SELECT conv_id AS doc_id, turn AS idx, CAST(turn AS INT) + 1 AS page_start, CAST(turn AS INT) + 2 AS page_end FROM conversations),
+t AS (SELECT conv_id AS doc_id, 'table-' || lpad(CAST(turn + 1 AS VARCHAR), CAST(greatest(2, length(CAST(turn + 1 AS VARCHAR))) AS INTEGER), '0') AS table_id, CAST(turn AS INT) * 2 AS page_start, CAST(turn AS INT) * 2 + 1 AS page_end FROM conversations WHERE role = 'assistant'),
+g AS (SELECT doc_id, count(*) AS n, count(DISTINCT (page_start, page_end)) AS spans FROM s GROUP BY 1)
+SELECT s.doc_id, s.idx, coalesce(string_agg(table_id, ',' ORDER BY table_id), '') AS table_refs FROM s JOIN g USING (doc_id) LEFT JOIN t ON t.doc_id = s.doc_id AND NOT (spans = 1 AND n > 1) AND t.page_start <= s.page_end AND t.page_end >= s.page_start GROUP BY 1, 2""")
+def section_table_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections with the tables on their pages: a range join within each document."""
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), F.col("turn").cast("int").alias("k"), "role")
+    secs = turns.select("doc_id", "idx", (F.col("k") + 1).alias("page_start"), (F.col("k") + 2).alias("page_end"))
+    tabs = turns.where("role = 'assistant'").select("doc_id", F.format_string("table-%02d", F.col("idx") + 1).alias("table_id"), (F.col("k") * 2).alias("page_start"), (F.col("k") * 2 + 1).alias("page_end"))
+    return tables.sections_with_tables(secs, tabs).select("doc_id", "idx", F.array_join("table_refs", ",").alias("table_refs"))
+
+
+@_query("""WITH t AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS idx, o_orderkey % 5 + 2 AS cols, o_orderkey % 3 AS header, (o_orderkey % 4) * 10.0 AS x0 FROM orders),
+n AS (SELECT *, lead(cols) OVER w AS ncols, lead(header) OVER w AS nheader, lead(x0) OVER w AS nx0, lead(idx) OVER w AS nidx FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY idx))
+SELECT doc_id, idx, CASE WHEN cols = ncols AND header = nheader AND abs(x0 - nx0) <= greatest(24.0, 0.15 * 400) THEN 'table-' || lpad(CAST(nidx AS VARCHAR), CAST(greatest(2, length(CAST(nidx AS VARCHAR))) AS INTEGER), '0') END AS continued_to FROM n""")
+def table_continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of a customer's tables, one a page, go on on the next page."""
+    k = F.col("o_orderkey")
+    x0 = (k % 4) * 10.0
+    box = F.struct(x0.alias("x0"), F.lit(100.0).alias("y0"), (x0 + 400).alias("x1"), F.lit(300.0).alias("y1"))
+    header = F.transform(F.sequence(F.lit(1), F.lit(2)), lambda i: F.concat(F.lit("h"), i.cast("string"), F.lit("-"), (k % 3).cast("string")))
+    numbered = _table(spark, sf_dir, "orders").withColumn("idx", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    t = numbered.select(F.col("o_custkey").alias("doc_id"), F.format_string("table-%02d", "idx").alias("table_id"), "idx", F.col("idx").alias("page_start"), F.col("idx").alias("page_end"), (k % 5 + 2).alias("column_count"), box.alias("bbox"), F.lit(1000.0).alias("page_height"), header.alias("header"))
+    return tables.continuation(t).select("doc_id", F.col("idx").cast("bigint").alias("idx"), "continued_to")
+
+
+_SIGNALS = "SELECT conv_id AS doc_id, CAST(turn AS INT) + 1 AS page_num, length(coalesce(text, '')) AS text_len, CAST(turn % 3 AS INT) AS image_count, length(coalesce(text, '')) < 60 AS scan_like, coalesce(text, '') = '' AS blank_like FROM conversations"
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.coalesce(F.col("text"), F.lit(""))
+    return _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn").cast("int") + 1).alias("page_num"), F.length(t).alias("text_len"), (F.col("turn") % 3).cast("int").alias("image_count"), (F.length(t) < 60).alias("scan_like"), (t == "").alias("blank_like"))
+
+
+@_query(f"""WITH s AS ({_SIGNALS}), a AS (SELECT doc_id, count(*) AS pages, avg(scan_like::INT) AS scan_ratio, avg((text_len < 80)::INT) AS mixed_ratio, coalesce(string_agg(CASE WHEN text_len < 80 THEN page_num END, ',' ORDER BY page_num), '') AS sparse_pages FROM s GROUP BY 1)
+SELECT doc_id, pages, scan_ratio, mixed_ratio, sparse_pages, CASE WHEN scan_ratio >= 0.6 THEN 'scan_only' WHEN mixed_ratio >= 0.3 THEN 'mixed' ELSE 'text' END AS quality FROM a""")
+def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(_signals(spark, sf_dir)).select("doc_id", "pages", "scan_ratio", "mixed_ratio", F.array_join("sparse_pages", ",").alias("sparse_pages"), "quality")
+
+
+@_query(f"""WITH s AS ({_SIGNALS}), a AS (SELECT doc_id, avg(scan_like::INT) >= 0.6 OR avg((text_len < 80)::INT) >= 0.3 AS weak, coalesce(string_agg(CASE WHEN (scan_like OR text_len < 80) AND NOT blank_like THEN page_num END, ',' ORDER BY page_num), '') AS problem, count(CASE WHEN (scan_like OR text_len < 80) AND NOT blank_like THEN 1 END) AS n FROM s GROUP BY 1)
+SELECT doc_id, CASE WHEN weak THEN problem ELSE '' END AS local_ocr_pages, '' AS llm_ocr_pages, CAST(CASE WHEN weak THEN n * 1.8 ELSE 0 END AS DOUBLE) AS parse_seconds FROM a""")
+def ocr_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = quality.parse_seconds(quality.plan_ocr(quality.assess(_signals(spark, sf_dir)), "accurate"))
+    return planned.select("doc_id", F.array_join("local_ocr_pages", ",").alias("local_ocr_pages"), F.array_join("llm_ocr_pages", ",").alias("llm_ocr_pages"), F.col("parse_seconds").cast("double").alias("parse_seconds"))
+
+
+def _bannered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as pages with a banner above the text of some and the page's number below it."""
+    k = F.col("turn").cast("int") + 1
+    banner = F.when(F.col("turn") % 4 != 3, F.lit("Tessera  Report\n")).otherwise("")
+    return _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), k.alias("page_num"), F.concat(banner, F.coalesce("text", F.lit("")), F.lit("\n- end -\n"), k.cast("string")).alias("text"))
+
+
+@_query("""WITH p AS (SELECT conv_id AS doc_id, count(*) AS pages, count(CASE WHEN turn % 4 <> 3 THEN 1 END) AS b FROM conversations GROUP BY 1)
+SELECT doc_id, 'foot' AS edge, '-end-' AS line_key, pages AS on_pages FROM p WHERE pages >= 4 UNION ALL SELECT doc_id, 'foot', 'page', pages FROM p WHERE pages >= 4
+UNION ALL SELECT doc_id, 'top', 'TesseraReport', b FROM p WHERE pages >= 4 AND b >= greatest(2, ceil(pages * 0.5))""")
+def header_footer_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that run along the edges of most pages of a document."""
+    found = quality.running_lines(_bannered(spark, sf_dir)).where("line_key in ('-end-', '\u0001page', 'TesseraReport')")
+    return found.select("doc_id", "edge", F.replace("line_key", F.lit("\u0001"), F.lit("")).alias("line_key"), "on_pages")
+
+
+@_query()
+def header_footer_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.strip_running_lines(_bannered(spark, sf_dir)).select("doc_id", "page_num", "text")
+
+
+@_query(r"""SELECT page_id, 'h1' AS tag, count(*) AS n FROM pages WHERE regexp_matches(html, '<h1>') GROUP BY 1 UNION ALL
+SELECT page_id, 'title', CAST(length(html) - length(replace(html, '<title>', 'title>')) AS BIGINT) FROM pages UNION ALL
+SELECT page_id, 'li', CAST(length(html) - length(replace(html, '<li>', 'li>')) AS BIGINT) FROM pages WHERE contains(html, '<li>')""")
+def page_element_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.elements(_table(spark, sf_dir, "pages")).where("tag in ('h1', 'title', 'li')")
+    return found.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _page_sections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    elements = html.elements(_table(spark, sf_dir, "pages"))
+    return elements, pages.sections(pages.blocks(elements))
+
+
+@_query()
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.blocks(html.elements(_table(spark, sf_dir, "pages")))
+
+
+@_query()
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_sections(spark, sf_dir)[1]
+
+
+@_query()
+def page_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    elements, parts = _page_sections(spark, sf_dir)
+    return pages.digest(pages.titles(elements), parts).join(pages.content_hash(pages.titles(elements), parts), "page_id")
+
+
+@_query(r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS name FROM pages)
+SELECT page_id, 'link' AS role, trim(name) AS name, count(*) AS n FROM l GROUP BY ALL""")
+def page_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.actions(html.elements(_table(spark, sf_dir, "pages")))
+    return found.groupBy("page_id", "role", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query()
+def page_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.article(html.elements(_table(spark, sf_dir, "pages")))
+
+
+@_query("SELECT event_id, CAST(round(value_rank, 6) AS DOUBLE) AS score, row_number() OVER (ORDER BY round(value_rank, 6) DESC, event_id) AS place FROM (SELECT event_id, 0.8 + CASE event_type WHEN 'click' THEN 0.02 WHEN 'view' THEN 0.015 WHEN 'signup' THEN 0.03 ELSE 0 END + 0.03 + 0.02 AS value_rank FROM events) QUALIFY place <= 100")
+def rank_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as actions by rank, the best 100; ties by id."""
+    role = F.when(F.col("event_type") == "click", "button").when(F.col("event_type") == "view", "link").when(F.col("event_type") == "signup", "textbox").otherwise("other")
+    e = _table(spark, sf_dir, "events").select("event_id", F.round(pages.action_rank(role, F.col("event_type"), F.lit("dom"), F.lit(0.8), F.lit(False)), 6).alias("score"))
+    top = e.orderBy(F.col("score").desc(), "event_id").limit(100)
+    return top.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(F.col("score").desc(), "event_id")).cast("bigint"))
+
+
+_TOKENS = "CAST(floor(length({0}) / 4.0) AS BIGINT)"
+
+
+@_query(f"""WITH RECURSIVE s AS (SELECT conv_id AS doc_id, turn AS idx, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, {_TOKENS.format("coalesce(text, '')")} + {_TOKENS.format("role")} + 20 AS t FROM conversations),
+f AS (SELECT doc_id, idx, n, t, 1 AS batch, t AS used FROM s WHERE n = 1 UNION ALL
+ SELECT s.doc_id, s.idx, s.n, s.t, CASE WHEN f.used + s.t > 300 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.used + s.t > 300 THEN s.t ELSE f.used + s.t END FROM f JOIN s ON s.doc_id = f.doc_id AND s.n = f.n + 1)
+SELECT doc_id, idx, batch, t AS tokens FROM f""")
+def llm_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns in batches of 300 tokens."""
+    return chunks.batches(_turns(spark, sf_dir), 300).select("doc_id", F.col("idx").cast("bigint").alias("idx"), "batch", "tokens")
+
+
+@_query(f"""WITH RECURSIVE s AS (SELECT conv_id AS doc_id, turn AS idx, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, {_TOKENS.format("coalesce(text, '')")} AS t FROM conversations),
+f AS (SELECT doc_id, n, t, 1 AS c, t AS used FROM s WHERE n = 1 UNION ALL
+ SELECT s.doc_id, s.n, s.t, CASE WHEN f.used + s.t <= 100000 AND (f.used < 120 OR s.t < 120) THEN f.c ELSE f.c + 1 END, CASE WHEN f.used + s.t <= 100000 AND (f.used < 120 OR s.t < 120) THEN f.used + s.t ELSE s.t END FROM f JOIN s ON s.doc_id = f.doc_id AND s.n = f.n + 1)
+SELECT doc_id, c AS idx, count(*) AS n_sections FROM f GROUP BY ALL""")
+def chunk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in chunks, short turns joined."""
+    made = chunks.chunk(_turns(spark, sf_dir).withColumns({"page_start": F.col("idx"), "page_end": F.col("idx")}), 100_000, threshold=120)
+    return made.select("doc_id", "idx", F.size("sids").cast("bigint").alias("n_sections"))
+
+
+@_query()
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in chunks of 400 tokens with 20 shared, lines as paragraphs."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("idx"), F.col("source").alias("title"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")).withColumns({"sid": text.section_id(F.col("title"), F.col("text")), "page_start": F.lit(1), "page_end": F.lit(1)})
+    return chunks.chunk(d, 400, overlap=20).drop("sids")
+
+
+@_query("""SELECT source, count(*) AS docs, CAST(sum(strlen(text)) AS BIGINT) AS bytes, bool_or(lang = 'en') AS has_english, round(sum((quality = 1)::INT) / nullif(count(quality), 0), 4) AS good_share, round(count(quality) / nullif(count(*), 0), 4) AS labelled_share FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
+def corpus_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length("text")).alias("bytes"), F.bool_or(F.col("lang") == "en").alias("has_english"), F.sum((F.col("quality") == 1).cast("int")).alias("_good"), F.count("quality").alias("_labelled"))
+    return d.select("source", "docs", "bytes", "has_english", quality.ratio(F.col("_good"), F.col("_labelled")).alias("good_share"), quality.ratio(F.col("_labelled"), F.col("docs")).alias("labelled_share"))
+
+
+@_query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS pos FROM t), h AS (SELECT a.doc_id, a.pos FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.x = 'of' AND b.x = 'the')
+SELECT doc_id, count(*) AS hits, CAST(min(pos) AS BIGINT) AS first_start FROM h GROUP BY 1""")
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a phrase, by the places of its words."""
+    found = search.phrase_search(search.postings(_table(spark, sf_dir, "documents")), "of the")
+    return found.select("doc_id", "hits", F.col("first_start").cast("bigint").alias("first_start"))
+
+
+@_query(r"""WITH p AS (SELECT doc_id, text, regexp_extract(text, '\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b', 1) AS ip, regexp_extract(text, '([A-Za-z0-9.]+@[A-Za-z0-9.]+)', 1) AS mail FROM documents)
+SELECT doc_id, 'host' AS field, ip AS value, 1 AS page FROM p WHERE ip <> '' UNION ALL SELECT doc_id, 'contact', mail, 1 FROM p WHERE mail <> '' AND contains(text, 'example')""")
+def profile_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of documents by rules."""
+    rules = [profiles.FieldRule("host", r"\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b"), profiles.FieldRule("contact", r"([A-Za-z0-9.]+@[A-Za-z0-9.]+)", aliases=("example",))]
+    return profiles.extract_fields(_table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_num"), "text"), rules)
+
+
+@_query("""WITH a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p, CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'signup' THEN 'rejected' WHEN 'error' THEN 'rate_limited' ELSE 'unavailable' END AS status FROM events),
+f AS (SELECT user_id, min(CASE WHEN status IN ('ok', 'rejected') THEN p END) AS stop, max(p) AS last FROM a GROUP BY 1)
+SELECT f.user_id, coalesce(a.status, 'unavailable') AS outcome, CASE WHEN a.status = 'ok' THEN a.event_id END AS answer, coalesce(stop, last) AS tried FROM f LEFT JOIN a ON a.user_id = f.user_id AND a.p = f.stop""")
+def failover_first_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as attempts at providers: the first final one decides."""
+    status = F.when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "signup", "rejected").when(F.col("event_type") == "error", "rate_limited").otherwise("unavailable")
+    e = _table(spark, sf_dir, "events").select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("bigint").alias("priority"), status.alias("status"), F.col("event_id").alias("result"))
+    return stateful.first_answer(e, "user_id")
+
+
+@_query("""WITH u AS (SELECT doc_id, source, 1 AS version FROM documents UNION ALL SELECT doc_id, 'new-' || source, 2 FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id + 1000000, source, 1 FROM documents WHERE doc_id % 10 = 0)
+SELECT doc_id AS id, arg_max(source, version) AS source, CAST(max(version) AS INT) AS version FROM u WHERE doc_id % 7 <> 0 GROUP BY 1""")
+def upsert_and_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    old, again = d.withColumn("version", F.lit(1)), d.where("id % 3 = 0").select("id", F.concat(F.lit("new-"), "source").alias("source"), F.lit(2).alias("version"))
+    added = d.where("id % 10 = 0").select((F.col("id") + 1_000_000).alias("id"), "source", F.lit(1).alias("version"))
+    merged = library.upsert(old, again.unionByName(added))
+    return library.delete(merged, merged.where("id % 7 = 0"))
+
+
+@_query("SELECT doc_id, 'DOC-' || lpad(CAST(n AS VARCHAR), CAST(greatest(3, length(CAST(n AS VARCHAR))) AS INTEGER), '0') AS id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) + 41 AS n FROM documents)")
+def allocate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered ids for all documents, beyond those that a library has."""
+    taken = spark.createDataFrame([("DOC-007",), ("DOC-041",), ("other-99",)], "id string")
+    return library.numbered_ids(_table(spark, sf_dir, "documents").select("doc_id"), taken, ["doc_id"]).select("doc_id", "id")
+
+
+@_query("SELECT doc_id, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS id FROM (SELECT doc_id, replace(source, '.', '-') || '-report' AS base, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)")
+def allocate_filename_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("_report.pdf")).alias("filename"))
+    return library.filename_ids(d, spark.createDataFrame([], "id string"), order="doc_id").select("doc_id", "id")
+
+
+@_query("""SELECT o_orderkey, string_agg(p, ',' ORDER BY p) AS pages FROM (SELECT DISTINCT o_orderkey, unnest(list_concat(generate_series(a, a + 2), [b])) AS p FROM (SELECT o_orderkey, CAST(o_orderkey % 9 + 1 AS INT) AS a, CAST(o_orderkey % 20 + 1 AS INT) AS b FROM orders)) WHERE p <= 15 GROUP BY 1""")
+def page_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of page ranges as sets of pages."""
+    a, b = F.col("o_orderkey") % 9 + 1, F.col("o_orderkey") % 20 + 1
+    spec = F.concat(a.cast("string"), F.lit("-"), (a + 2).cast("string"), F.lit(", "), b.cast("string"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(text.page_set(spec, F.lit(15)), ",").alias("pages"))
+
+
+@_query()
+def amounts_in_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return _table(spark, sf_dir, "orders").select("o_orderkey", F.format_string("¥%.2f", "o_totalprice").alias("amount")).withColumn("words", amounts.uppercase_rmb(F.col("amount")))
+
+
+@_query("""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n, unnest(string_split(text, chr(10))) AS body FROM documents), s AS (SELECT doc_id, n, n // 3 AS g FROM l WHERE trim(body) <> '')
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) AS idx, 'Part ' || (g + 1) AS title, 2 AS level FROM (SELECT DISTINCT doc_id, g FROM s)""")
+def split_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a heading put before every three lines, split at those headings again."""
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).where("trim(line) <> ''").withColumn("g", F.floor(F.col("n") / 3))
+    parts = lines.groupBy("doc_id", "g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("t"))
+    headed = parts.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "t"))), lambda x: F.concat(F.lit("## Part "), (x["g"] + 1).cast("string"), F.lit("\n"), x["t"])), "\n").alias("text"))
+    found = sectioning.sections(headed.select("doc_id", F.lit(1).alias("page_num"), "text"))
+    return found.select("doc_id", F.col("idx").cast("bigint").alias("idx"), "title", "level")
+
+
+@_query()
+def layout_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines laid out as blocks on pages, found again as tables."""
+    li = _table(spark, sf_dir, "lineitem")
+    cell = lambda col, x, value: F.struct(F.lit(col).alias("c"), F.lit(float(x)).alias("x0"), value.cast("string").alias("text"))
+    cells = li.select("l_orderkey", "l_linenumber", F.explode(F.array(cell(1, 100, F.col("l_partkey")), cell(2, 250, F.col("l_quantity")), cell(3, 400, F.col("l_extendedprice")))).alias("x"))
+    y = F.col("l_linenumber") * 30.0
+    blocks = cells.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.concat_ws("-", "l_linenumber", "x.c").alias("block_id"), "x.text", "x.x0", y.alias("y0"), (F.col("x.x0") + 90).alias("x1"), (y + 20).alias("y1"), F.lit(0.9).alias("confidence"))
+    return layout.layout_markdown(layout.layout_tables(blocks))
+
+
+@_query()
+def suppress_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as scored boxes of an image each: of overlapping ones the best stays."""
+    li = _table(spark, sf_dir, "lineitem")
+    x = (F.col("l_partkey") % 50).cast("double")
+    return layout.suppress_boxes(li.select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("box_id"), x.alias("x1"), F.lit(0.0).alias("y1"), (x + 30).alias("x2"), F.lit(20.0).alias("y2"), F.col("l_discount").alias("score")))
