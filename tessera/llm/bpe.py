@@ -20,8 +20,8 @@ from tessera.llm.common import batches, col, put, ship
 
 #: Words of up to so many bytes go through the rank array; longer ones through a heap, whose cost is not quadratic.
 SHORT = 32
-#: Words whose ids a worker keeps between batches.
-CACHE_WORDS = 250_000
+#: Words whose ids a worker keeps between batches, and bytes of text that it splits at a time.
+CACHE_WORDS, BATCH_BYTES = 200_000, 2 << 20
 NO_RANK = np.int32(2**31 - 1)
 #: Unicode white space, as the tokenizer's expressions mean it.
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -266,7 +266,7 @@ def bpe_round_trip(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     """Encode every whole text, decode its ids again, and return key, n_tokens and the SHA-256 of both.
 
     ids_sha256 is of the decimal ids joined by commas, decoded_sha256 of the decoded text in UTF-8. Texts and ids stay
-    within a task; batches hold 8 MB of text at most, or one longer text. Null texts are empty texts: no tokens, and the digest of nothing. The key
+    within a task; batches hold 2 MB of text at most, or one longer text. Null texts are empty texts: no tokens, and the digest of nothing. The key
     may be null and may repeat. An empty table gives an empty result.
     """
     ship(df.sparkSession)
@@ -275,7 +275,7 @@ def bpe_round_trip(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     def trip(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(tokenizer)
         decimal = vocab.decimal
-        for batch in batches(it, "text"):
+        for batch in batches(it, "text", BATCH_BYTES):
             n, a, b = [], [], []
             for ids in vocab.encode(batch.column("text").fill_null("").to_pylist()):
                 n.append(len(ids))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.shipping import ship
 
-__all__ = ["batches", "col", "fresh", "mix", "new_path", "pieces", "powers", "put", "shared_dir", "ship", "small", "text_bytes", "unit", "word_hashes", "word_pieces", "written"]
+__all__ = ["batches", "col", "mix", "new_path", "opened", "pieces", "powers", "put", "sealed", "shared_dir", "ship", "small", "text_bytes", "unit", "word_hashes", "word_pieces", "written"]
 
 #: Bytes of text that the numpy passes work on at a time.
 PIECE = 1 << 20
@@ -48,23 +48,24 @@ def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.count() <= rows else table
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Column names that ``df`` does not have, one for each of ``names``."""
-    have = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name.lower() in have:
-            name = f"_{name}"
-        have.add(name.lower())
-        out.append(name)
-    return out
-
-
 def col(name: str) -> Column:
     """The column of just this name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def sealed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with names that clash with none of an operator's own, and the new name of each column. ``opened`` takes the names back."""
+    names = {c: f"in_{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def opened(df: DataFrame, names: dict[str, str], columns: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of a sealed table by their first names, and these ones last; those of the same names give way."""
+    columns = columns or {}
+    over = {c.lower() for c in columns}
+    return df.select(*(F.col(n).alias(c) for c, n in names.items() if c.lower() not in over), *(v.alias(k) for k, v in columns.items()))
+
+
 def put(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """``df`` with these columns last; columns of the same names give way."""
     over = {c.lower() for c in columns}
@@ -171,7 +172,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(hashes), counts
 
 
-def batches(it: Iterator[pa.RecordBatch], text: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches(it: Iterator[pa.RecordBatch], text: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``size`` bytes of text at most."""
     for batch in it:
         if batch.num_rows:

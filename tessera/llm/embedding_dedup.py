@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col, put, ship, written
+from tessera.llm.common import opened, sealed, ship, written
 from tessera.llm.components import components
 from tessera.llm.hnsw import Graph
 
@@ -90,7 +90,8 @@ def embedding_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embe
             vectors = unit_vectors(batch.column("v"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(vectors, pa.binary()), pa.array([len(v) // 8 if v else 0 for v in vectors], pa.int32())], ["id", "v", "dim"])
 
-    named = df.select(col(key).cast("long").alias("id"), col(vector).alias("v")).where("id is not null and v is not null")
+    df, names = sealed(df)
+    named = df.select(F.col(names[key]).cast("long").alias("id"), F.col(names[vector]).alias("v")).where("id is not null and v is not null")
     units = written(named.mapInArrow(unit, "id long, v binary, dim int").where("v is not null"), "embed-units")
     sizes = {r["dim"]: r["n"] for r in units.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length of vector
     rows = {d: max(1, min(SHARD_ROWS, SHARD_BYTES // (12 * d))) for d in sizes}
@@ -123,11 +124,8 @@ def embedding_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embe
     found = written(found, "embed-found")
     counts = found.groupBy("id").agg(F.sum("n").alias("n_links"))
     classes = components(found.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")), "embed")
-    known = counts.join(classes, "id", "full").select(F.col("id").alias("e_id"), F.coalesce("n_links", F.lit(0)).alias("e_links"), F.coalesce("component", "id").alias("e_component"))
-    joined = df.join(known, col(key).cast("long") == F.col("e_id"), "left")
-    component = F.coalesce(F.col("e_component"), col(key).cast("long"))
-    return put(joined, {
-        "n_links": F.coalesce(F.col("e_links"), F.lit(0)).cast("long"),
-        "component_id": component,
-        "kept": F.coalesce(col(key).cast("long") == component, F.lit(True)),
-    }).drop("e_id", "e_links", "e_component")
+    known = counts.join(classes, "id", "full").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    own = F.col(names[key]).cast("long")
+    joined = df.join(known, own == F.col("id"), "left")
+    component = F.coalesce(F.col("component"), own)
+    return opened(joined, names, {"n_links": F.coalesce(F.col("n_links"), F.lit(0)).cast("long"), "component_id": component, "kept": F.coalesce(own == component, F.lit(True))})

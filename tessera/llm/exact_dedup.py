@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col, fresh, put
+from tessera.llm.common import opened, sealed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Parts that the copies of one text are first combined in.
 SALTS = 16
+#: Order of a null key: before all others.
+NO_KEY = -(1 << 63)
 
 
 def normalised(text: Column) -> Column:
@@ -31,32 +33,25 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", salts: i
     winning key are told apart by a hash of all their columns; rows alike in every column are all marked as kept, and
     ``distinct_texts`` leaves one of them. An empty table gives an empty result.
     """
-    norm, digest, salt, order, tie = fresh(df, "t_norm", "t_digest", "t_salt", "t_order", "t_tie")
-    rows = put(df, {order: F.coalesce(col(key).cast("long"), F.lit(-(1 << 63))), tie: F.xxhash64(*(col(c) for c in df.columns if dict(df.dtypes)[c].split("<")[0] != "map")), norm: normalised(col(text))})
-    rows = put(rows, {digest: F.unhex(F.sha2(col(norm), 256))})
-    parts = (
-        rows.groupBy(digest, norm, F.pmod(F.xxhash64(col(order), col(tie)), F.lit(salts)).alias(salt))
-        .agg(F.max(order).alias("w_order"), F.max_by(tie, order).alias("w_tie"), F.count(F.lit(1)).alias("w_size"))
-    )
-    groups = parts.groupBy(digest, norm).agg(F.max("w_order").alias("w_order"), F.max_by("w_tie", "w_order").alias("w_tie"), F.sum("w_size").alias("w_size"))
-    winners = groups.select(col(digest).alias("w_digest"), F.xxhash64(norm).alias("w_hash"), F.octet_length(norm).alias("w_length"), "w_order", "w_tie", "w_size")
-    second, length = fresh(rows, "t_hash", "t_length")
-    slim = put(rows, {second: F.xxhash64(norm), length: F.octet_length(norm)}).drop(norm)
-    joined = slim.join(winners, (col(digest) == F.col("w_digest")) & (col(second) == F.col("w_hash")) & (col(length) == F.col("w_length")))
-    return put(joined.drop("w_digest", "w_hash", "w_length", second, length), {
-        "keep_id": F.when(F.col("w_order") > -(1 << 63), F.col("w_order")),
+    df, names = sealed(df)
+    hashable = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = df.select("*", F.coalesce(F.col(names[key]).cast("long"), F.lit(NO_KEY)).alias("order"), F.xxhash64(*hashable).alias("tie"), normalised(F.col(names[text])).alias("norm"))
+    rows = rows.withColumn("digest", F.unhex(F.sha2("norm", 256)))
+    parts = rows.groupBy("digest", "norm", F.pmod(F.xxhash64("order", "tie"), F.lit(salts)).alias("salt")).agg(F.max("order").alias("w_order"), F.max_by("tie", "order").alias("w_tie"), F.count(F.lit(1)).alias("w_size"))
+    groups = parts.groupBy("digest", "norm").agg(F.max("w_order").alias("w_order"), F.max_by("w_tie", "w_order").alias("w_tie"), F.sum("w_size").alias("w_size"))
+    place = (F.col("digest"), F.xxhash64("norm").alias("hash"), F.octet_length("norm").alias("length"))
+    joined = rows.select(*names.values(), "order", "tie", *place).join(groups.select(*place, "w_order", "w_tie", "w_size"), ["digest", "hash", "length"])
+    return opened(joined, names, {
+        "keep_id": F.when(F.col("w_order") > NO_KEY, F.col("w_order")),
         "group_size": F.col("w_size"),
-        "kept": (col(order) == F.col("w_order")) & (col(tie) == F.col("w_tie")),
-        "text_sha256": F.lower(F.hex(col(digest))),
-    }).drop(order, tie, digest, "w_order", "w_tie", "w_size")
+        "kept": (F.col("order") == F.col("w_order")) & (F.col("tie") == F.col("w_tie")),
+        "text_sha256": F.lower(F.hex("digest")),
+    })
 
 
 def distinct_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns of ``df`` of the one row that stays of each group of equal texts (see ``exact_dedup``). Of rows alike in every column one is left."""
-    keep, size = "kept", "group_size"
-    marked = exact_dedup(df, key, text).where(keep)
-    lost = [c for c in df.columns if c.lower() in {"keep_id", "group_size", "kept", "text_sha256"}]
-    if lost:
-        raise ValueError(f"rename these columns first: {lost}")
-    alone, several = marked.where(F.col(size) == 1), marked.where(F.col(size) > 1)
-    return alone.select(*map(col, df.columns)).unionByName(several.select(*map(col, df.columns)).dropDuplicates())
+    bare, names = sealed(df)
+    marked = exact_dedup(bare, names[key], names[text]).where("kept")
+    alone, several = marked.where("group_size = 1").select(*names.values()), marked.where("group_size > 1").select(*names.values())
+    return opened(alone.unionByName(several.dropDuplicates()), names)

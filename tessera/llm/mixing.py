@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col, fresh, put, unit, written
+from tessera.llm.common import opened, sealed, small, unit, written
 
 #: Cells that each source's documents are dealt to; the fractional repetition is a run of cells.
 CELLS = 4096
@@ -72,20 +72,19 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     has size 0; a null source is a source. Rows of one key and size share a cell. Sources without words have target 0 and no
     repeats. An empty table gives an empty result.
     """
-    size, cell, name = fresh(df, "t_size", "t_cell", "t_source")
-    rows = put(df, {size: words(col(text)), name: col(source)})
-    rows = put(rows, {cell: F.floor(unit(col(key), col(size), seed=seed) * CELLS).cast("int")})
-    cells = rows.groupBy(col(name).alias("source"), col(cell).alias("cell")).agg(F.sum(size).alias("cell_size"))
+    df, names = sealed(df)
+    rows = df.select("*", words(F.col(names[text])).alias("size"), F.col(names[source]).alias("name"))
+    rows = rows.withColumn("cell", F.floor(unit(F.col(names[key]), F.col("size"), seed=seed) * CELLS).cast("int"))
+    cells = rows.groupBy(F.col("name").alias("source"), "cell").agg(F.sum("size").alias("cell_size"))
     plan = written(source_plan(written(cells, "mix-cells"), weight, epochs, total), "mix-plan")
-    plan = plan.toDF("p_source", "p_size", "p_target", "p_whole", "p_last")
-    if plan.count() <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
-    joined = rows.join(plan, col(name).eqNullSafe(F.col("p_source")))
-    repeats = (F.col("p_whole") + (col(cell) <= F.col("p_last")).cast("long")).cast("long")
-    out = put(joined, {"size": col(size), "source_size": F.col("p_size"), "target": F.col("p_target"), "repeats": repeats, "taken": col(size) * repeats})
-    return out.drop(size, cell, name, "p_source", "p_size", "p_target", "p_whole", "p_last")
+    plan = small(plan.withColumnRenamed("source", "plan_name"), BROADCAST_SOURCES)
+    joined = rows.join(plan, F.col("name").eqNullSafe(F.col("plan_name")))
+    repeats = (F.col("whole") + (F.col("cell") <= F.col("last_cell")).cast("long")).cast("long")
+    return opened(joined, names, {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "repeats": repeats, "taken": F.col("size") * repeats})
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: each row of ``mix_sources`` as often as it is taken; at most ``epochs`` rows from one."""
-    return mixed.where("repeats > 0").withColumn("t_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select(*map(col, columns))
+    bare, names = sealed(mixed)
+    copies = bare.where(F.col(names["repeats"]) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(names["repeats"]))))
+    return opened(copies, {c: names[c] for c in columns})

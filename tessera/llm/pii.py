@@ -208,7 +208,7 @@ def find_pii(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """Personal data of every whole text: key, n_email, n_ip, n_card, n_phone (base spans of each kind), base_sha256, spans.
 
     base_sha256 is of the base spans' list, spans the list of base and added ones; places are code points, the end exclusive. Each
-    text is searched where it lies: no shuffle, batches of 8 MB or one longer text, time linear in the text. Null and empty texts have no spans.
+    text is searched where it lies: no shuffle, batches of 4 MB or one longer text, time linear in the text. Null and empty texts have no spans.
     Keys may be null and may repeat. An empty table gives an empty result.
     """
     ship(df.sparkSession)

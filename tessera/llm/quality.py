@@ -6,12 +6,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import IS_SPACE, batches, col, mix, put, ship, text_bytes, word_pieces
+from tessera.llm.common import IS_SPACE, batches, col, mix, pieces, put, ship, text_bytes, word_pieces
 
 #: Dimensions of a vector; slots that words are hashed to; labelled rows that the fit reads at most, and the longest text among them.
 DIMENSIONS, SLOTS, FIT_ROWS, FIT_CHARS = 32, 1 << 14, 6_000, 200_000
@@ -174,11 +173,13 @@ def score_quality(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    def scored(series: pd.Series) -> pd.Series:
-        column = pa.array(series, pa.large_string(), from_pandas=True)
-        return pd.Series(shared.value.scores(column))
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        _, offsets = text_bytes(texts)
+        parts = [shared.value.scores(texts.slice(i, j - i)) for i, j in pieces(offsets, 2 << 20)]
+        return pa.array(np.concatenate([np.zeros(0), *parts]))
 
-    out = put(df, {"score": F.pandas_udf(scored, "double")(col(text))})
+    out = put(df, {"score": scored(col(text))})
     return put(out, {"predicted": (F.col("score") >= THRESHOLD).cast("int")})
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, new_path, put, ship, unit
+from tessera.llm.common import new_path, opened, sealed, ship, unit
 
 #: Groups of input partitions that the matrix has a row for, at most; it is all the driver holds.
 MATRIX_ROWS = 4096
@@ -59,15 +59,15 @@ def shuffle_to_shards(df: DataFrame, shards: int = 40, seed: int = 29) -> DataFr
     """
     spark = df.sparkSession
     ship(spark)
-    (at,) = fresh(df, "t_at")
+    df, names = sealed(df)
     path = new_path(spark, "shard-rows")
-    numbered = put(df, {at: F.monotonically_increasing_id()})
+    numbered = df.withColumn("at", F.monotonically_increasing_id())
     numbered.write.parquet(path)
     rows = spark.read.schema(numbered.schema).parquet(path)
-    counts = sorted((r[0], r[1]) for r in rows.groupBy(F.shiftright(at, 33)).count().collect())  # a row for each task that wrote, whatever the rows
+    counts = sorted((r[0], r[1]) for r in rows.groupBy(F.shiftright("at", 33)).count().collect())  # a row for each task that wrote, whatever the rows
     n = sum(c for _, c in counts)
     if not n:
-        return put(rows, {"shard": F.lit(0), "slot": F.lit(0).cast("long")}).drop(at)
+        return opened(rows, names, {"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     ids, sizes = np.array([p for p, _ in counts]), np.array([c for _, c in counts], np.int64)
     group = np.arange(len(ids)) // -(-len(ids) // MATRIX_ROWS)
     starts = np.cumsum(sizes) - sizes
@@ -91,16 +91,15 @@ def shuffle_to_shards(df: DataFrame, shards: int = 40, seed: int = 29) -> DataFr
         return pd.Series(out)
 
     _dealt: dict[int, np.ndarray] = {}
-    shard, block, order = fresh(rows, "t_shard", "t_block", "t_order")
     blocks = max(1, round(n / shards / BLOCK_ROWS))
-    dealt = put(rows, {shard: F.pandas_udf(labels, "int")(F.col(at)), order: unit(F.col(at), seed=seed + 1)})
-    dealt = put(dealt, {block: F.floor(F.col(order) * blocks).cast("int")})
-    # Offsets of the blocks: two narrow columns of the table are read for them.
-    count = dealt.groupBy(shard, block).agg(F.count(F.lit(1)).alias("n_rows"))
-    count = count.select(F.col(shard).alias("b_shard"), F.col(block).alias("b_block"), (F.sum("n_rows").over(Window.partitionBy(shard).orderBy(block)) - F.col("n_rows")).alias("b_start"))
-    place = Window.partitionBy(shard, block).orderBy(order, at)
-    slotted = put(dealt, {"t_slot": F.row_number().over(place)}).join(count, (F.col(shard) == F.col("b_shard")) & (F.col(block) == F.col("b_block")))
-    return put(slotted, {"shard": F.col(shard), "slot": (F.col("b_start") + F.col("t_slot") - 1).cast("long")}).drop(at, shard, block, order, "t_slot", "b_shard", "b_block", "b_start")
+    dealt = rows.select("*", F.pandas_udf(labels, "int")("at").alias("shard"), unit("at", seed=seed + 1).alias("order"))
+    dealt = dealt.withColumn("block", F.floor(F.col("order") * blocks).cast("int"))
+    # Offsets of the blocks: one narrow column of the table is read for them.
+    count = dealt.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n_rows"))
+    count = count.select("shard", "block", (F.sum("n_rows").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_rows")).alias("start"))
+    place = Window.partitionBy("shard", "block").orderBy("order", "at")
+    slotted = dealt.withColumn("slot", F.row_number().over(place)).join(count, ["shard", "block"])
+    return opened(slotted, names, {"shard": F.col("shard"), "slot": (F.col("start") + F.col("slot") - 1).cast("long")})
 
 
 def text_size(text: Column) -> Column:
