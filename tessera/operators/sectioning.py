@@ -111,7 +111,7 @@ def with_ids(parts: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def toc_boundaries(toc: DataFrame, deepest: int = 2, key: str = "doc_id") -> DataFrame:
-    """Entries of a table of contents up to a level, each page and title once, with the chapter above and the page before the next entry.
+    """Entries of a table of contents up to a level, each page and title once, with the chapter above and the page before the next entry (null for the last).
 
     ``toc``: key, ord, level, title, page. Result: key, idx, title, level, parent, page_start, page_end.
     """
@@ -120,4 +120,4 @@ def toc_boundaries(toc: DataFrame, deepest: int = 2, key: str = "doc_id") -> Dat
     once = kept.withColumn("_nth", F.row_number().over(Window.partitionBy(key, "page", "_key").orderBy("ord"))).where("_nth = 1")
     above = F.last(F.when(F.col("level") == 1, F.col("title")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     following = F.lead("page").over(order)
-    return once.select(key, F.row_number().over(order).alias("idx"), "title", "level", F.when(F.col("level") > 1, above).alias("parent"), F.col("page").alias("page_start"), F.greatest(F.col("page"), following - 1).alias("page_end"))
+    return once.select(key, F.row_number().over(order).alias("idx"), "title", "level", F.when(F.col("level") > 1, above).alias("parent"), F.col("page").alias("page_start"), F.when(following.isNotNull(), F.greatest(F.col("page"), following - 1)).alias("page_end"))
