@@ -40,8 +40,11 @@ def lines(documents: DataFrame, key: str = "doc_id", body: str = "text") -> Data
 
     clean = documents.select(key, F.regexp_replace(F.coalesce(body, F.lit("")), "\r\n|\r", "\n").alias("_body"))
     fenced = F.when(F.col("_body").rlike("(?m)^\\s*(```|~~~)|^( {4}|\t)"), F.pandas_udf(plain, "array<boolean>")("_body"))
-    split = clean.select(key, F.posexplode(F.split("_body", "\n")).alias("line", "raw"), fenced.alias("_plain"))
-    return split.select(key, "line", "raw", text.strip(F.col("raw")).alias("text"), F.coalesce(F.get("_plain", F.col("line")), F.lit(True)).alias("plain"))
+    # Flags and lines are zipped before they become rows, or each line would carry all its document's flags.
+    both = clean.withColumn("_lines", F.split("_body", "\n")).withColumn("_plain", fenced)
+    zipped = F.arrays_zip(F.col("_lines").alias("raw"), F.coalesce("_plain", F.array_repeat(F.lit(True), F.size("_lines"))).alias("plain"))
+    split = both.select(key, F.posexplode(zipped).alias("line", "x")).select(key, "line", "x.raw", "x.plain")
+    return split.select(key, "line", "raw", text.strip(F.col("raw")).alias("text"), "plain")
 
 
 def markdown_tables(documents: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
