@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.shipping import ship
 
-__all__ = ["batches", "col", "mix", "new_path", "opened", "pieces", "powers", "put", "sealed", "shared_dir", "ship", "small", "text_bytes", "unit", "word_hashes", "word_pieces", "written"]
+__all__ = ["batches", "col", "mix", "new_path", "opened", "pieces", "powers", "put", "release", "sealed", "shared_dir", "ship", "small", "text_bytes", "unit", "word_hashes", "word_pieces", "written"]
 
 #: Bytes of text that the numpy passes work on at a time.
 PIECE = 1 << 20
@@ -172,6 +173,19 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(hashes), counts
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library: it keeps what it likes
+    _trim = None
+
+
+def release() -> None:
+    """Give freed memory back to the system. Workers live on between stages, and what one stage has freed counts against the executor in the next."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def batches(it: Iterator[pa.RecordBatch], text: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``size`` bytes of text at most."""
     for batch in it:
@@ -179,3 +193,5 @@ def batches(it: Iterator[pa.RecordBatch], text: str, size: int = 4 << 20) -> Ite
             _, offsets = text_bytes(batch.column(text))
             for i, j in pieces(offsets, size):
                 yield batch.slice(i, j - i)
+            del batch, offsets
+            release()

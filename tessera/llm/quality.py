@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import IS_SPACE, batches, col, mix, pieces, put, ship, text_bytes, word_pieces
+from tessera.llm.common import IS_SPACE, batches, col, mix, pieces, put, release, ship, text_bytes, word_pieces
 
 #: Dimensions of a vector; slots that words are hashed to; labelled rows that the fit reads at most, and the longest text among them.
 DIMENSIONS, SLOTS, FIT_ROWS, FIT_CHARS = 32, 1 << 14, 6_000, 200_000
@@ -177,6 +177,7 @@ def score_quality(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def scored(texts: pa.Array) -> pa.Array:
         _, offsets = text_bytes(texts)
         parts = [shared.value.scores(texts.slice(i, j - i)) for i, j in pieces(offsets, 2 << 20)]
+        release()
         return pa.array(np.concatenate([np.zeros(0), *parts]))
 
     out = put(df, {"score": scored(col(text))})
