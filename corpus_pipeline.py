@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.bpe import bpe_round_trip
-from tessera.llm.common import written
+from tessera.llm.common import opened, sealed, written
 from tessera.llm.exact_dedup import distinct_texts
 from tessera.llm.minhash import without_near_duplicates
 from tessera.llm.mixing import mix_sources, repeated
@@ -20,7 +20,8 @@ from tessera.llm.queries import tokenizer_path
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on these documents' labels, does not reject."""
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, model).where("predicted = 1").select(docs.columns)
+    bare, names = sealed(docs)
+    return opened(score_quality(bare, model, names["text"]).where("predicted = 1"), names)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
-    return repeated(mix_sources(docs), docs.columns)
+    bare, names = sealed(docs)
+    mixed = mix_sources(bare, names["doc_id"], names["text"], names["source"])
+    return opened(repeated(mixed, list(names.values())), names)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -26,6 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = f"/tmp/checkpoints/{sc.applicationId}"
         spark.conf.set("spark.checkpoint.dir", base)
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     return base.rstrip("/")
 
 

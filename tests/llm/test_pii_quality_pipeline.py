@@ -61,7 +61,7 @@ def test_added_spans_leave_base_and_clean_text_alone():
 
 
 def test_find_pii_rows(spark, sf):
-    rows = [(1, None), (2, ""), (3, "é me@x.org 1.2.3.4"), (3, "é me@x.org 1.2.3.4"), (None, "+1 (632) 555-4827"), (4, "z" * 500_000)]
+    rows = [(1, None), (2, ""), (3, "é me@x.org 1.2.3.4"), (3, "é me@x.org 1.2.3.4"), (None, "+1 (632) 555-4827"), (4, "z" * 3_000)]
     out = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_ip", F.lit("x"))).collect()
     assert len(out) == len(rows)
     for r in out:
@@ -136,6 +136,17 @@ def test_pipeline_stages(spark):
     assert len(last) == sizes[-1] and all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in last)
 
 
+def test_pipeline_stages_keep_clashing_columns_and_nulls(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).withColumns({c: F.lit("mine") for c in ("score", "predicted", "size", "taken", "repeats", "kept", "class_id", "in_0", "id")})
+    odd = docs.limit(3).withColumns({"text": F.lit(None).cast("string"), "source": F.lit(None).cast("string"), "doc_id": F.lit(None).cast("long")})
+    kept = docs.unionByName(odd)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = spark.createDataFrame(stage(spark, kept, sf).collect(), docs.schema)
+        assert {tuple(r) for r in kept.select("score", "predicted", "size", "taken", "repeats", "kept", "class_id", "in_0", "id").collect()} == {("mine",) * 9}
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, sf).count() == kept.count()
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"file://{tmp_path}/documents.parquet")
