@@ -113,4 +113,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_quality": op10_quality,
 }
-ORACLES = {"op1_exact_dedup": OP1, "op2_warc": OP2}
+OP4 = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(e, e) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1), n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY 1)
+SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+OP7 = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+k AS (SELECT *, CAST(floor(CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '-') || '|' || CAST(size AS VARCHAR)), 1, 12) AS BIGINT) / 281474976710656.0 * 4096) AS INTEGER) AS cell FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY 1),
+w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, CAST(source_size AS DOUBLE) * 3 AS cap FROM s),
+l AS (SELECT *, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS rest_weight, sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(cap) OVER b, 0) AS rest FROM w
+      WINDOW b AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, rest / rest_weight AS fill, cap > rest / rest_weight * weight AS free FROM l),
+t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END AS target FROM f, (SELECT arg_min(fill, -rest_weight) AS level FROM f WHERE free)),
+r AS (SELECT *, CAST(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS BIGINT) AS whole FROM t),
+e AS (SELECT source, cell, CAST(sum(sum(size)) OVER (PARTITION BY source ORDER BY cell) AS BIGINT) AS ends FROM k GROUP BY 1, 2),
+o AS (SELECT r.source, min(ROW(abs(ends - (target - whole * source_size)), cell)) AS best FROM e JOIN r ON e.source IS NOT DISTINCT FROM r.source GROUP BY r.source),
+p AS (SELECT r.*, CASE WHEN best[1] < target - whole * source_size THEN best[2] ELSE -1 END AS last FROM r JOIN o ON r.source IS NOT DISTINCT FROM o.source)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + (cell <= last)::INT) AS BIGINT) AS taken FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source
+"""
+ORACLES = {"op1_exact_dedup": OP1, "op2_warc": OP2, "op4_embedding_dedup": OP4, "op7_mixing": OP7}
