@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import amounts, arrays, text, urls
-from tessera.operators import chunks, layout, library, pages, profiles, quality, search, sectioning, stateful, tables
+from tessera.functions import amounts, arrays, ocr, text, urls
+from tessera.operators import chunks, layout, library, pages, profiles, quality, search, sectioning, stateful, summaries, tables
 from tessera.shipping import ship
 from tessera.sources import html
 
@@ -527,3 +527,36 @@ def suppress_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _table(spark, sf_dir, "lineitem")
     x = (F.col("l_partkey") % 50).cast("double")
     return layout.suppress_boxes(li.select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("box_id"), x.alias("x1"), F.lit(0.0).alias("y1"), (x + 30).alias("x2"), F.lit(20.0).alias("y2"), F.col("l_discount").alias("score")))
+
+
+@_query("""WITH t AS (SELECT conv_id AS doc_id, turn AS idx, role || ': ' || substr(text, 1, 150) AS one, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+SELECT doc_id, (n - 1) // 10 AS grp, '**Sections ' || min(idx) || '-' || max(idx) || '**: ' || string_agg(one, '; ' ORDER BY idx) AS line FROM t GROUP BY 1, 2""")
+def overview_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with their texts as summaries, in groups of ten."""
+    t = _turns(spark, sf_dir).withColumn("summary", F.col("text"))
+    return summaries.grouped_overview(t).select("doc_id", F.col("grp").cast("bigint").alias("grp"), "line")
+
+
+@_query("""WITH t AS (SELECT conv_id AS doc_id, length(regexp_replace(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) AS n FROM conversations), s AS (SELECT doc_id, count(*) AS sections, CAST(sum(n) AS BIGINT) AS chars, count(CASE WHEN n >= 40 THEN 1 END) AS long FROM t GROUP BY 1)
+SELECT doc_id, sections, chars, CASE WHEN chars < 200 THEN 'echo' WHEN sections > 10 THEN 'overview' ELSE 'detail' END AS mode, CASE WHEN chars >= 200 AND sections <= 10 THEN long ELSE 0 END AS own FROM s""".replace("\\\\", "\\"))
+def summary_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.plan(_turns(spark, sf_dir))
+
+
+@_query()
+def summary_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.text_overview(_line_sections(_table(spark, sf_dir, "documents")), budget=4000)
+
+
+@_query("""WITH c AS (SELECT CAST(sum(CASE WHEN event_type = 'view' THEN 1 END) AS BIGINT) AS i, CAST(sum(CASE WHEN event_type = 'click' THEN 1 END) AS BIGINT) AS o, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 END) AS BIGINT) AS h, CAST(sum(CASE WHEN event_type = 'error' THEN 1 END) AS BIGINT) AS m FROM events)
+SELECT i AS distill_input_chars, o AS distill_output_chars, h AS capture_cache_hits, m AS capture_cache_misses, CAST(0 AS BIGINT) AS ocr_pages, CAST(0 AS BIGINT) AS ocr_cache_hits, round(o / i, 4) AS distill_output_over_input, round(h / (h + m), 4) AS capture_cache_hit_rate, CAST(NULL AS DOUBLE) AS ocr_cache_hit_rate FROM c""")
+def counter_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as counters, with the ratios of which one has nothing to share."""
+    e = F.col("event_type")
+    name = F.when(e == "view", "distill_input_chars").when(e == "click", "distill_output_chars").when(e == "purchase", "capture_cache_hits").when(e == "error", "capture_cache_misses")
+    return summaries.counters(_table(spark, sf_dir, "events").select(name.alias("name"), F.lit(1).alias("n")))
+
+
+@_query("""SELECT page_id, '⟦web-content nonce=' || substr(md5(url), 1, 16) || ' origin=' || url || ' note=untrusted-text⟧' || chr(10) || substr(html, 1, 100) || chr(10) || '⟦/web-content nonce=' || substr(md5(url), 1, 16) || '⟧' AS wrapped FROM pages""")
+def untrusted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", ocr.wrapped(F.substring("html", 1, 100), F.substring(F.md5("url"), 1, 16), F.col("url")).alias("wrapped"))
