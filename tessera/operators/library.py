@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays, text
+from tessera.storage import stored
 
 #: What one page of results may ask for.
 LIMITS = (1, 200)
@@ -97,13 +98,15 @@ def merge_tags(captures: DataFrame, by: str, tags: str = "tags") -> DataFrame:
 def numbered_ids(new: DataFrame, existing: DataFrame, order: list[str], prefix: str = "DOC", key: str = "id") -> DataFrame:
     """Ids such as DOC-007 for new rows in their order, beyond the highest number that is taken.
 
-    Rows are numbered within range partitions, whose counts alone are added up in one place.
+    Rows are numbered within range partitions, which are stored so that both readings see the same ones; their counts
+    alone are added up in one place.
     """
     taken = existing.select(F.regexp_extract(key, rf"^{prefix}-([0-9]+)$", 1).alias("n")).where("n <> ''").agg(F.coalesce(F.max(F.col("n").cast("long")), F.lit(0)).alias("_base"))
     ranged = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    parts = ranged.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = stored(ranged.withColumn("_part", F.shiftright("_at", 33)), "numbered")
+    parts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = parts.select("_part", (F.sum("_n").over(Window.partitionBy().orderBy("_part")) - F.col("_n")).alias("_start"))
-    numbered = ranged.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(starts), "_part").crossJoin(F.broadcast(taken))
+    numbered = ranged.join(F.broadcast(starts), "_part").crossJoin(F.broadcast(taken))  # a row for each partition; one row
     number = F.col("_base") + F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     return numbered.withColumn(key, F.format_string(f"{prefix}-%03d", number)).drop("_at", "_part", "_start", "_base")
 
@@ -120,12 +123,19 @@ def filename_ids(new: DataFrame, existing: DataFrame, filename: str = "filename"
 
 
 def cache_lookup(requests: DataFrame, captures: DataFrame, keys: list[str], ttl_seconds: float, at: str = "ts", created: str = "created_at", value: str = "id") -> DataFrame:
-    """For each request the latest capture of the same keys that is not older than the time to live and not from the future: value and its age in seconds, null where none is."""
-    cached = captures.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(created).alias("_created"), F.col(value).alias("_value"))
-    age = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.col("_created").cast("timestamp"))
-    match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    row = Window.partitionBy("_request").orderBy(F.col("_created").desc(), F.col("_value"))
-    numbered = requests.withColumn("_request", F.struct(*requests.columns))
-    joined = numbered.join(cached, [*match, age.between(0, int(ttl_seconds * 1_000_000))], "left")
-    best = joined.withColumn("_place", F.row_number().over(row)).where("_place = 1")
-    return best.withColumn("age_seconds", age / 1e6).withColumnRenamed("_value", "hit").drop("_request", "_place", "_created", *(f"_{k}" for k in keys))
+    """For each request the latest capture of the same keys that is not older than the time to live and not from the future: value and its age in seconds, null where none is. Of captures of one time the least value counts.
+
+    Requests and captures are put in one order of time by key, and each request looks back at the last capture before it: a pass that
+    grows with the rows, where a join by interval would grow with their pairs.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    row = F.struct(*requests.columns)
+    row_type, value_type = requests.select(row.alias("r")).schema["r"].dataType, captures.schema[value].dataType
+    asked = requests.select(*(F.col(k).alias(f"_{k}") for k in keys), micros(at).alias("_t"), F.lit(1).alias("_kind"), none("_value", value_type), row.alias("_row"))
+    made = captures.select(*(F.col(k).alias(f"_{k}") for k in keys), micros(created).alias("_t"), F.lit(0).alias("_kind"), F.col(value).alias("_value"), none("_row", row_type))
+    order = Window.partitionBy(*(f"_{k}" for k in keys)).orderBy("_t", "_kind", F.col("_value").desc())
+    last = F.last(F.when(F.col("_kind") == 0, F.struct("_t", "_value")), ignorenulls=True).over(order)
+    found = asked.unionByName(made).withColumn("_last", last).where("_kind = 1").withColumn("_age", F.col("_t") - F.col("_last._t"))
+    fresh = F.col("_age") <= int(ttl_seconds * 1_000_000)
+    return found.select("_row.*", F.when(fresh, F.col("_last._value")).alias("hit"), F.when(fresh, F.col("_age") / 1e6).alias("age_seconds"))

@@ -34,10 +34,19 @@ def test_upsert_delete_and_stale_writers(spark):
     assert _rows(library.guarded_update(lib, late, ["summary"]), "id") == [("a", "g1", "new"), ("b", "g2", "old")]
 
 
+def test_cached_captures(spark):
+    c = spark.createDataFrame([("a", "u", 100), ("b", "u", 160), ("c", "u", 160), ("d", None, 10), ("e", "v", 500)], "id string, url string, s int").withColumn("created_at", F.timestamp_seconds("s"))
+    q = spark.createDataFrame([(1, "u", 120), (2, "u", 165), (2, "u", 165), (3, "u", 300), (4, "u", 90), (5, None, 20), (6, "v", 499), (7, "v", 560), (8, "v", 561)], "q int, url string, s int").withColumn("ts", F.timestamp_seconds("s"))
+    out = [(r.q, r.hit, r.age_seconds) for r in library.cache_lookup(q, c, ["url"], 60).orderBy("q").collect()]
+    assert out == [(1, "a", 20.0), (2, "b", 5.0), (2, "b", 5.0), (3, None, None), (4, None, None), (5, "d", 10.0), (6, None, None), (7, "e", 60.0), (8, None, None)]
+
+
 def test_ids_of_new_documents(spark):
     new = spark.createDataFrame([(i, f"r{i % 3}.pdf") for i in range(10)], "n int, filename string")
     ids = [r.id for r in library.numbered_ids(new, spark.createDataFrame([("DOC-012",), ("x",)], "id string"), ["n"]).orderBy("n").collect()]
     assert ids == [f"DOC-{i:03d}" for i in range(13, 23)]
+    many = spark.range(5000).withColumn("n", (F.col("id") * 37) % 5000).drop("id").withColumn("other", F.lit("x")).repartition(7)
+    assert [int(r.id[4:]) for r in library.numbered_ids(many, spark.createDataFrame([], "id string"), ["n"]).orderBy("n").collect()] == list(range(1, 5001))
     taken = spark.createDataFrame([("r0",), ("r0-4",)], "id string")
     got = [r.id for r in library.filename_ids(new, taken, order="n").orderBy("n").collect()]
     assert got == ["r0-5", "r1", "r2", "r0-6", "r1-2", "r2-2", "r0-7", "r1-3", "r2-3", "r0-8"]
