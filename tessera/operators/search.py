@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
@@ -68,11 +68,19 @@ def _section_hits(sections: DataFrame, query: str, case_sensitive: bool) -> Data
 
 
 def search_sections(sections: DataFrame, doc_id: object, query: str, case_sensitive: bool = False, limit: int = 20) -> DataFrame:
-    """Sections of one document that have the query in title or text. The document is a filter that reaches the scan."""
+    """Sections of one document that have the query in title or text, best first, with the number of all. The document is a filter that reaches the scan."""
     hits = _section_hits(sections.where(F.col("doc_id") == doc_id), query.strip(), case_sensitive)
     return _page(hits, limit, ["idx"])
 
 
+def search_sections_by_document(sections: DataFrame, query: str, case_sensitive: bool = False, limit: int = 20) -> DataFrame:
+    """``search_sections`` for every document at once: its best sections by place, and the number of its hits."""
+    hits = _section_hits(sections, query.strip(), case_sensitive)
+    document = Window.partitionBy("doc_id")
+    placed = hits.withColumn("place", F.row_number().over(document.orderBy(F.col("score").desc(), "idx"))).withColumn("total", F.count(F.lit(1)).over(document))
+    return placed.where(F.col("place") <= clamp(limit))
+
+
 def postings(documents: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
     """The words of all documents with their places: the table that phrase searches join. Build it once, partitioned by token where it is stored."""
     return documents.select(key, F.posexplode(text.word_tokens(F.col(body))).alias("pos", "token"))

@@ -103,12 +103,13 @@ def search_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""
-WITH hits AS (SELECT turn AS idx, role, coalesce(text, '') AS text, 2.0 * contains(lower(role), 'us')::INT + 1.5 * contains(lower(coalesce(text, '')), 'us')::INT AS score FROM conversations WHERE conv_id = 3),
+WITH hits AS (SELECT conv_id AS doc_id, turn AS idx, role, coalesce(text, '') AS text, 2.0 * contains(lower(role), 'us')::INT + 1.5 * contains(lower(coalesce(text, '')), 'us')::INT AS score FROM conversations),
 trimmed AS (SELECT *, {_TRIM.format("CASE WHEN contains(lower(text), 'us') THEN text ELSE role END")} AS hay FROM hits WHERE score > 0)
-SELECT idx, role AS title, CAST(score AS DOUBLE) AS score, {_snippet_sql("us")} AS snippet, count(*) OVER () AS total FROM trimmed""")
-def search_one_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of one conversation that have a query in role or text."""
-    return search.search_sections(_turns(spark, sf_dir), 3, "us", limit=200).select(F.col("idx").cast("bigint").alias("idx"), "title", "score", "snippet", "total")
+SELECT doc_id, idx, role AS title, CAST(score AS DOUBLE) AS score, {_snippet_sql("us")} AS snippet, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, idx) AS place, count(*) OVER (PARTITION BY doc_id) AS total FROM trimmed QUALIFY place <= 20""")
+def search_each_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every conversation its 20 best turns that have a query in role or text."""
+    hits = search.search_sections_by_document(_turns(spark, sf_dir), "us")
+    return hits.select("doc_id", F.col("idx").cast("bigint").alias("idx"), "title", "score", "snippet", F.col("place").cast("bigint").alias("place"), "total")
 
 
 @_query(f"SELECT doc_id, {_snippet_sql('that')} AS snippet FROM (SELECT doc_id, {_TRIM.format('text')} AS hay FROM documents)")
@@ -345,7 +346,9 @@ def header_footer_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "edge", F.replace("line_key", F.lit("\u0001"), F.lit("")).alias("line_key"), "on_pages")
 
 
-@_query()
+@_query("""WITH p AS (SELECT conv_id, count(*) AS pages, count(CASE WHEN turn % 4 <> 3 THEN 1 END) AS b FROM conversations GROUP BY 1),
+t AS (SELECT conv_id, turn, coalesce(text, '') AS body, CASE WHEN turn % 4 <> 3 THEN 'Tessera  Report' || chr(10) ELSE '' END AS banner, chr(10) || '- end -' || chr(10) || (turn + 1) AS foot, pages, b FROM conversations JOIN p USING (conv_id))
+SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page_num, CASE WHEN pages >= 4 AND b >= greatest(2, ceil(pages * 0.5)) THEN body WHEN pages >= 4 THEN banner || body ELSE banner || body || foot END AS text FROM t""")
 def header_footer_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.strip_running_lines(_bannered(spark, sf_dir)).select("doc_id", "page_num", "text")
 
