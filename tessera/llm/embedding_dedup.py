@@ -72,7 +72,7 @@ def _search(graph: Graph, ids: np.ndarray, queries: np.ndarray, own: np.ndarray,
 def embedding_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9) -> DataFrame:
     """Add n_links, component_id and kept to all vectors, in place of columns of those names; vectors are linked where their cosine is ``least`` or more.
 
-    The vectors are dealt to shards by a hash of their keys and each shard gets a hierarchical small-world graph. Every block of
+    The vectors are dealt to shards by a hash of key and vector and each shard gets a hierarchical small-world graph. Every block of
     queries is searched in every shard, with beams that are widened where links fill them and where a brute-force audit
     of some of the block's queries finds too few. Each link is measured in double precision. A task returns counts and
     the forest of its links, so a group in which all are linked costs its members, not their pairs. The forests' components
@@ -98,7 +98,7 @@ def embedding_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embe
     shards = {d: max(SHARDS, -(-n // rows[d])) for d, n in sizes.items()}
     blocks = {d: max(2, -(-n // rows[d])) for d, n in sizes.items()}
     of = lambda x: F.element_at(F.create_map(*(F.lit(v) for kv in x.items() for v in kv)), F.col("dim")) if x else F.lit(1)
-    deal = lambda seed, x: F.pmod(F.xxhash64("id", F.lit(seed)), of(x)).cast("int")
+    deal = lambda seed, x: F.pmod(F.xxhash64("id", "v", F.lit(seed)), of(x)).cast("int")
     sharded = units.withColumn("shard", deal(1, shards))
 
     def build(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

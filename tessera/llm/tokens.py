@@ -213,7 +213,7 @@ def write_tokens(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id"
     The texts are sorted by range, so each task writes a run of keys. Each row of the table of blocks is one file-format
     block (see ``write_block``: ids at the least bits that hold the vocabulary) with its part, number, the keys and the number of ids, written by
     Spark's committer: a lost task leaves nothing behind. Null texts count as empty; null keys come first; rows that
-    repeat a key stay next to each other in no set order. An empty table writes no blocks.
+    repeat a key stay next to each other, in the order of a hash of their texts. An empty table writes no blocks.
     """
     spark = df.sparkSession
     ship(spark)
@@ -242,7 +242,8 @@ def write_tokens(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id"
             yield flush()
 
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first())
+    order = (F.col("key").asc_nulls_first(), F.xxhash64("text"))  # the hash parts the rows of a frequent key, which may be null
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     rows.mapInArrow(blocks, "part int, block int, keys array<long>, n_ids long, data binary").write.parquet(path)
     return path
 
