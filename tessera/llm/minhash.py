@@ -21,8 +21,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Buckets of up to so many texts that still have several classes are compared in full.
 SMALL_BUCKET = 16
-#: Rounds of comparisons between the classes of buckets.
+#: Rounds of cheap comparisons between the classes of buckets, before the exact join of what is still open.
 ROUNDS = 2
+#: Postings of a shingle that one cell of the exact join has on each side.
+CELL = 512
 #: Rows of the tables of copied texts (24 bytes) and of buckets (40 bytes) that are sent to every task; longer ones are joined by a shuffle.
 BROADCAST_COPIES, BROADCAST_BUCKETS = 500_000, 500_000
 
@@ -134,6 +136,16 @@ def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([np.unique(elements[b - c : b]).tobytes() for b, c in zip(ends, n, strict=True)], pa.binary())], ["id", "shingles"])
 
 
+def _tokens(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        for i in range(0, batch.num_rows, 64):
+            part = batch.slice(i, 64)
+            sets = [np.frombuffer(x, np.int64) for x in part.column("shingles").to_pylist()]
+            n = np.array([len(x) for x in sets])
+            at = pa.array(np.repeat(np.arange(len(sets)), n))
+            yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("class").take(at), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], ["id", "class", "size", "token"])
+
+
 def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaccard similarity of sorted distinct 64-bit values in bytes."""
 
@@ -166,7 +178,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     gives a few pairs for each text. Candidates are verified on their whole shingle sets, and the links' components are
     the classes. Buckets that still hold several classes are compared again: in full where they have at most 16
     texts, and where they have more, a member of every class with the member of the largest class that has the most links, then
-    with another one.
+    with another one. What is still open then goes through an exact join (``_exact_pairs``), which finds every link that is left
+    between different classes of a bucket.
 
     Ids are those of the key as a long; rows with a null id or without a word take no part and get no row, and rows that
     repeat an id count as one text with the bands of all. An empty table gives an empty result.
@@ -191,16 +204,55 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
         more = written(_verified(_open_pairs(shared, classes, degree, r), sets, similarity), "near-more")
         if not more.take(1):
             break
-        at = small(classes)
-        between = more.join(at.toDF("a", "ca"), "a", "left").join(at.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        moved = written(components(between, "near"), "near-moved").toDF("component", "to")
-        kept = classes.join(small(moved), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-        alone = moved.join(classes.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("to").alias("component"))
-        classes = written(kept.unionByName(alone), "near-classes")
+        classes = _merged(classes, more)
+    rest = written(_verified(_exact_pairs(shared, classes, sets, similarity), sets, similarity), "near-rest")
+    if rest.take(1):
+        classes = _merged(classes, rest)
     found = ids.select("id", "first").join(small(classes.toDF("first", "component")), "first", "left")
     return found.groupBy("id").agg(F.min(F.coalesce("component", "first")).alias("class_id"))
 
 
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes that are left when these links join some."""
+    at = small(classes)
+    between = links.join(at.toDF("a", "ca"), "a", "left").join(at.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = written(components(between, "near"), "near-moved").toDF("component", "to")
+    kept = classes.join(small(moved), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    alone = moved.join(classes.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("to").alias("component"))
+    return written(kept.unionByName(alone), "near-classes")
+
+
+def _exact_pairs(shared: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs that hold every link between different classes among the texts of large buckets with several classes.
+
+    A prefix filter: sets as similar as that share one of their first n - ceil(n * similarity) + 1 shingles in any one order. Here
+    shingles of a single class come first, as they are in no such pair, then the rare ones. Postings of a
+    shingle are dealt to a triangle of cells, so a frequent one is spread over many tasks.
+    """
+    marked = shared.where(F.col("size") > SMALL_BUCKET).select("bucket", "id").join(small(classes), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("class"))
+    several = marked.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket")
+    texts = written(marked.join(several, "bucket", "left_semi").select("id", "class").distinct(), "near-open")
+    tokens = sets.join(small(texts), "id").select("id", "class", "shingles").mapInArrow(_tokens, "id long, class long, size long, token long")
+    mixed = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
+    mixed = small(written(mixed.select("token", "n"), "near-mixed"))
+    listed = tokens.join(mixed, "token").groupBy("id", "class", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("m"))
+    before = F.col("size") - F.size("m")
+    prefix = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+    listed = listed.withColumn("before", before).withColumn("m", F.slice("m", F.lit(1), F.greatest(F.lit(0), F.least(prefix - before, F.size("m"))).cast("int")))
+    posted = listed.select("id", "class", "size", "before", F.posexplode("m").alias("at", "e")).select("id", "class", "size", (F.col("before") + F.col("at")).alias("at"), "e.token")
+    posted = written(posted, "near-posted")
+    cells = posted.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
+    dealt = posted.join(small(written(cells.select("token", "cells"), "near-cells")), "token").withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")))
+    left = dealt.select("token", F.col("cell").alias("i"), F.explode(F.sequence(F.col("cell"), F.col("cells") - 1)).alias("j"), F.struct("id", "class", "size", "at").alias("x"))
+    right = dealt.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cell"))).alias("i"), F.col("cell").alias("j"), F.struct("id", "class", "size", "at").alias("y"))
+    once = (F.col("i") < F.col("j")) | (F.col("x.id") < F.col("y.id"))
+    sizes = F.col("x.size") + F.col("y.size")
+    common = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
+    near = (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * similarity - 1e-9) & (common >= sizes * (similarity / (1 + similarity)) - 1e-9)
+    met = left.join(right, ["token", "i", "j"]).where(once & (F.col("x.class") != F.col("y.class")) & near)
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def _open_pairs(shared: DataFrame, classes: DataFrame, degree: DataFrame, r: int) -> DataFrame:
     """Pairs of different classes within buckets that hold several."""
     near = small(written(classes.join(degree, "id", "left").select("id", "component", F.coalesce("links", F.lit(0)).alias("links")), "near-degrees"))

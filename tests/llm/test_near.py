@@ -62,6 +62,23 @@ def test_near_duplicates_brute_force(spark):
     assert sorted(r["doc_id"] for r in without_near_duplicates(df).collect()) == sorted(set(want))
 
 
+def test_near_duplicates_of_independent_edits(spark):
+    """Copies around 0.8 that meet in large buckets only, where few of the pairs are links."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, texts = [word() for _ in range(360)], []
+    for _ in range(120):
+        c = list(base)
+        for at in rng.sample(range(360), 5):
+            c[at] = word()
+        texts.append(" ".join(c))
+    sets = [_shingle_set(t) for t in texts]
+    want = _classes(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert 1 < len(set(want)) < 100
+    found = mark_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r["class_id"] for r in sorted(found, key=lambda r: r["doc_id"])] == want
+
+
 def test_near_duplicates_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (None, "a b c d e f"), (4, "a b c d e f"), (5, "A b c d e f"), (5, "A b c d e f"), (6, "other words here only now")]
     out = sorted(((r["doc_id"], r["class_id"], r["kept"]) for r in mark_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
