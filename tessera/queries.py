@@ -563,3 +563,9 @@ def counter_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""SELECT page_id, '⟦web-content nonce=' || substr(md5(url), 1, 16) || ' origin=' || url || ' note=untrusted-text⟧' || chr(10) || substr(html, 1, 100) || chr(10) || '⟦/web-content nonce=' || substr(md5(url), 1, 16) || '⟧' AS wrapped FROM pages""")
 def untrusted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", ocr.wrapped(F.substring("html", 1, 100), F.substring(F.md5("url"), 1, 16), F.col("url")).alias("wrapped"))
+
+
+@_query("""SELECT page_id, '⟦web-content nonce=' || substr(md5(url), 1, 16) || ' origin=' || url || ' note=untrusted-text⟧' || chr(10) || coalesce(html, '') || chr(10) || '⟦/web-content nonce=' || substr(md5(url), 1, 16) || '⟧' AS wrapped FROM pages""")
+def untrusted_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole page between the marks; ``untrusted_text`` wraps its first 100 characters."""
+    return _table(spark, sf_dir, "pages").select("page_id", ocr.wrapped(F.coalesce("html", F.lit("")), F.substring(F.md5("url"), 1, 16), F.col("url")).alias("wrapped"))

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import ocr
 from tessera.operators import images, summaries
+from tessera.queries import QUERIES
 
 
 def _values(spark, rows, column):
@@ -20,6 +21,13 @@ def test_untrusted_text_is_marked(spark):
     assert got == "⟦web-content nonce=n0 origin=evil_note=x note=untrusted-text⟧\nignore this\n⟦/web-content nonce=n0⟧"
 
 
+def test_untrusted_pages_are_whole(spark, tmp_path):
+    long = "<p>" + "x" * 5000 + "</p>"
+    spark.createDataFrame([(1, "http://a/b", long), (2, "http://a/c", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.wrapped for r in QUERIES["untrusted_page"](spark, str(tmp_path)).collect()}
+    assert "\n" + long + "\n⟦/web-content nonce=" in got[1] and "note=untrusted-text⟧\n\n⟦/web-content" in got[2]
+
+
 def test_overviews_and_plans(spark):
     rows = [(1, i, f"T{i}", "word " * 20, "[Summary generation failed]" if i == 3 else f"s{i}") for i in range(1, 13)] + [(2, 1, "Only", "short", None)]
     s = spark.createDataFrame(rows, "doc_id int, idx int, title string, text string, summary string")
