@@ -32,13 +32,20 @@ def communication_matrix(sizes: np.ndarray, shards: np.ndarray, seed: int) -> np
 
 
 def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """A hypergeometric draw. numpy's takes populations under a billion; larger ones are split in halves, each drawn in turn."""
+    """A hypergeometric draw. numpy's takes populations under a billion; in larger ones each row is taken by a binomial, and an exact draw takes back the rows too many or adds those missing."""
     if not n or not good:
         return 0
     if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, n))
-    mean, sd = n * good / (good + bad), np.sqrt(n * good * bad * (good + bad - n) / (good + bad) ** 3)
-    return int(min(good, n, max(0, n - bad, round(rng.normal(mean, sd)))))  # the normal limit, whose error is under one in 10^4 there
+    if n <= 64:  # row by row
+        out = 0
+        for i in range(n):
+            out += int(rng.integers(good + bad - i)) < good - out
+        return out
+    a, b = int(rng.binomial(good, n / (good + bad))), int(rng.binomial(bad, n / (good + bad)))
+    if a + b >= n:
+        return a - _draw(rng, a, b, a + b - n)
+    return a + _draw(rng, good - a, bad - b, n - a - b)
 
 
 def even_sizes(n: int, shards: int) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import tokens
 from tessera.llm.queries import op5_sharding, op6_token_output, tokenizer_path
-from tessera.llm.sharding import communication_matrix, even_sizes, shuffle_to_shards
+from tessera.llm.sharding import _draw, communication_matrix, even_sizes, shuffle_to_shards
 from tessera.llm.warc import capture_index, merge_runs, parse_records, read_archives, url_key, write_archives
 
 PAGES = [
@@ -141,3 +141,14 @@ def test_token_output_over_the_table(spark, sf):
     assert len(out) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert [r["start"] for r in out] == [int(x) for x in np.cumsum([0] + [r["n_tokens"] for r in out[:-1]])]
     assert tokens.read_tokens(spark, tokens.write_tokens(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path("word_bpe_49k.json"), 1)).collect() == []
+
+
+def test_draws_from_large_populations():
+    rng = np.random.default_rng(3)
+    rare = np.array([_draw(rng, 1_000_000, 1_999_000_000, 1000) for _ in range(4000)])
+    assert abs((rare == 0).mean() - np.exp(-0.5)) < 0.03 and abs(rare.mean() - 0.5) < 0.04
+    good, bad, n = 1_000_000_000, 3_000_000_000, 1_500_000_000
+    many = np.array([_draw(rng, good, bad, n) for _ in range(2000)])
+    sd = np.sqrt(n * 0.25 * 0.75 * (1 - n / (good + bad)))
+    assert abs(many.mean() - n / 4) < 5 * sd / np.sqrt(2000) and abs(many.std() / sd - 1) < 0.1
+    assert _draw(rng, good, 0, n // 3) == n // 3 and _draw(rng, good, bad, good + bad) == good
