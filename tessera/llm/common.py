@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -14,33 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.shipping import ship
+from tessera.storage import shared_folder
+from tessera.storage import stored as written
 
-__all__ = ["batches", "col", "mix", "new_path", "opened", "pieces", "powers", "put", "release", "sealed", "shared_dir", "ship", "small", "text_bytes", "unit", "word_hashes", "word_pieces", "written"]
+__all__ = ["batches", "col", "mix", "new_path", "opened", "pieces", "place_keys", "put", "release", "sealed", "ship", "small", "text_bytes", "unit", "word_hashes", "word_pieces", "written"]
 
 #: Bytes of text that the numpy passes work on at a time.
 PIECE = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (local runs)."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"/tmp/checkpoints/{sc.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", base)
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return base.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage, and a lost executor costs nothing that is already written."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
 #: Rows of a table of one or two longs that is sent to every task; 16 bytes each there.
@@ -103,15 +85,15 @@ SPACES = [9, 10, 11, 12, 13, 32]
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[SPACES] = True
 _TABLE = _byte_table(7)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, np.uint64)
+_keys = np.zeros(0, np.uint64)
 
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 4096) - 1, _STEP, np.uint64)]), dtype=np.uint64)
-    return _powers[:n]
+def place_keys(n: int) -> np.ndarray:
+    """A pseudo-random factor for each of the first ``n`` places of a word. The factors are no powers of one number, so texts built to collide at every base, such as Thue-Morse words, don't."""
+    global _keys
+    if len(_keys) < n:
+        _keys = mix(np.arange(1, max(n, 4096) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return _keys[:n]
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +126,7 @@ def _words(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return np.zeros(0, np.uint64), starts
     first = int(starts[0])
     place = np.arange(first, len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
-    values = _TABLE[data[first:]] * powers(int(place.max()) + 1)[place]
+    values = _TABLE[data[first:]] * place_keys(int(place.max()) + 1)[place]
     return mix(np.add.reduceat(values, starts - first)), starts
 
 

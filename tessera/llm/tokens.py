@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import byte_names
-from tessera.llm.common import PIECE, SPACES, batches, mix, new_path, pieces, powers, ship
+from tessera.llm.common import PIECE, SPACES, batches, mix, new_path, pieces, place_keys, ship, small
 
 #: Ids of a block, about; a document is never cut, so a longer one has a block of its own.
 BLOCK_IDS = 1 << 18
@@ -31,28 +31,38 @@ def width(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """``bits`` bits for each id, least bit first, padded to whole bytes."""
-    ids = np.ascontiguousarray(ids, "<u4")
-    if len(ids) and int(ids.max()) >> bits:
+    """``bits`` bits for each id, least bit first, padded to whole bytes. 64 ids fill ``bits`` 64-bit words, so all groups of 64 are shifted into place side by side."""
+    n, groups = len(ids), -(-len(ids) // 64)
+    if n and int(ids.max()) >> bits:
         raise ValueError(f"an id needs more than {bits} bits")
-    if bits == 16:
-        return ids.astype("<u2").tobytes()
-    plane = np.unpackbits(ids.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits]
-    return np.packbits(plane.ravel(), bitorder="little").tobytes()
+    lanes = np.zeros(groups * 64, np.uint64)
+    lanes[:n] = ids
+    lanes, words = np.ascontiguousarray(lanes.reshape(groups, 64).T), np.zeros((bits, groups), np.uint64)
+    for k in range(64):
+        word, shift = divmod(k * bits, 64)
+        words[word] |= lanes[k] << np.uint64(shift)
+        if shift + bits > 64:
+            words[word + 1] |= lanes[k] >> np.uint64(64 - shift)
+    return words.T.astype("<u8").tobytes()[: -(-n * bits // 8)]
 
 
 def unpack(data: bytes | memoryview, bits: int, start: int, n: int) -> np.ndarray:
-    """The ids ``start`` to ``start + n`` of packed data; reads no other bytes."""
+    """The ids ``start`` to ``start + n`` of packed data; reads no bytes but those of their groups of 64."""
     if not n:
         return np.zeros(0, np.uint32)
-    low, high = start * bits // 8, -(-(start + n) * bits // 8)
-    raw = np.frombuffer(data, np.uint8, high - low, low)
-    if bits == 16:
-        return raw.view("<u2").astype(np.uint32)
-    plane = np.unpackbits(raw, bitorder="little")[start * bits - low * 8 :][: n * bits].reshape(n, bits)
-    wide = np.zeros((n, 32), np.uint8)
-    wide[:, :bits] = plane
-    return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
+    low, high = start // 64, -(-(start + n) // 64)
+    raw = np.zeros((high - low) * bits * 8, np.uint8)
+    held = np.frombuffer(data, np.uint8)[low * bits * 8 : high * bits * 8]
+    raw[: len(held)] = held
+    words = np.ascontiguousarray(raw.view("<u8").reshape(-1, bits).T)
+    lanes, mask = np.empty((64, high - low), np.uint32), np.uint64((1 << bits) - 1)
+    for k in range(64):
+        word, shift = divmod(k * bits, 64)
+        lane = words[word] >> np.uint64(shift)
+        if shift + bits > 64:
+            lane |= words[word + 1] << np.uint64(64 - shift)
+        lanes[k] = lane & mask
+    return lanes.T.ravel()[start - low * 64 :][:n]
 
 
 def write_block(documents: list[np.ndarray], bits: int) -> bytes:
@@ -92,8 +102,8 @@ _CLASS[SPACES] = 0
 _CLASS[[*range(ord("a"), ord("z") + 1), *range(128, 256)]] = 1
 _CLASS[ord("0") : ord("9") + 1] = 2
 _HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-#: Words whose ids a worker keeps between batches.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker keeps between batches, and bytes of them.
+CACHE_WORDS, CACHE_BYTES = 400_000, 16 << 20
 
 
 @cache
@@ -115,17 +125,35 @@ def _split(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts = np.flatnonzero(edge)
     lengths = np.diff(np.append(starts, len(data)))
     place = np.arange(len(data)) - np.repeat(starts, lengths)
-    hashes = mix(np.add.reduceat(_HASH[data] * powers(int(place.max()) + 1)[place], starts) + lengths.astype(np.uint64))
+    hashes = mix(np.add.reduceat(_HASH[data] * place_keys(int(place.max()) + 1)[place], starts) + lengths.astype(np.uint64))
     words = kind[starts] > 0
     return starts[words], lengths[words], hashes[words]
 
 
+def _expanded(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of the runs of those starts and lengths, one run after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
+def _differ(a: np.ndarray, a_starts: np.ndarray, a_lengths: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_lengths: np.ndarray) -> np.ndarray:
+    """Which words of ``a`` are other bytes than the words of ``b`` beside them."""
+    out = a_lengths != b_lengths
+    for i, j in pieces(np.concatenate([[0], np.cumsum(a_lengths)]), PIECE):
+        same = i + np.flatnonzero(~out[i:j])
+        unequal = a[_expanded(a_starts[same], a_lengths[same])] != b[_expanded(b_starts[same], b_lengths[same])]
+        if unequal.any():
+            out[np.repeat(same, a_lengths[same])[unequal]] = True
+    return out
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, with the ids of words kept.
 
     A tokenizer that splits normalised text to words before any merge gives a word the same ids at every place. So the
-    library's model encodes each new word once, and texts of plain Latin script are only split here; words are told apart by
-    64-bit hashes. All other texts go to the library whole.
+    library's model encodes each new word once, and texts of plain Latin script are only split here. Words are looked up by
+    64-bit hashes and then compared byte by byte; a text with a word whose hash is another word's goes to the library whole, as
+    do all texts of other scripts.
     """
 
     def __init__(self, path: str) -> None:
@@ -140,6 +168,7 @@ class WordEncoder:
     def clear(self) -> None:
         self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.at, self.size, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         tokenize, ids, lengths = self.tokenizer.model.tokenize, [], []
@@ -147,9 +176,11 @@ class WordEncoder:
             found = [t.id for t in tokenize(w.decode() if w.isascii() else "".join([_BYTE_NAMES[b] for b in w]))]
             ids += found
             lengths.append(len(found))
-        n = np.array(lengths, np.int64)
+        n, size = np.array(lengths, np.int64), np.array([len(w) for w in words], np.int64)
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(n) - n])
         self.lengths, self.flat = np.concatenate([self.lengths, n]), np.concatenate([self.flat, np.array(ids, np.uint32)])
+        self.at, self.size = np.concatenate([self.at, len(self.bytes) + np.cumsum(size) - size]), np.concatenate([self.size, size])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(words), np.uint8)])
         both, place = np.concatenate([self.hashes, hashes]), np.concatenate([self.place, len(self.place) + np.arange(len(hashes))])
         order = np.argsort(both)
         self.hashes, self.place = both[order], place[order]
@@ -161,11 +192,15 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         plain = [self.splits and not _OTHER.search(t) and not any(s in t for s in self.special) for t in texts]
-        rest = iter(self.tokenizer.encode_batch([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False)) if not all(plain) else iter(())
         done = iter(self._plain([t.lower().encode() for t, p in zip(texts, plain, strict=True) if p]))
-        return [next(done) if p else np.array(next(rest).ids, np.uint32) for p in plain]
+        out = [next(done) if p else None for p in plain]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, found in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False) if rest else (), strict=True):
+            out[i] = np.array(found.ids, np.uint32)
+        return out
 
-    def _plain(self, texts: list[bytes]) -> list[np.ndarray]:
+    def _plain(self, texts: list[bytes]) -> list[np.ndarray | None]:
+        """Ids of lower-cased texts; None for one that has to go to the library."""
         offsets = np.zeros(len(texts) + 1, np.int64)
         offsets[1:] = np.cumsum([len(t) for t in texts])
         raw = b"".join(texts)
@@ -187,17 +222,17 @@ class WordEncoder:
         words, first, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
         starts, lengths = np.concatenate(starts), np.concatenate(lengths)
         new = np.flatnonzero(~self.known(words))
-        if len(self.hashes) + len(new) > CACHE_WORDS:
+        if len(self.hashes) + len(new) > CACHE_WORDS or len(self.bytes) > CACHE_BYTES:
             self.clear()
             new = np.arange(len(words))
         self.learn(words[new], [raw[a : a + n] for a, n in zip(starts[first[new]].tolist(), lengths[first[new]].tolist(), strict=True)])
         index = self.place[np.searchsorted(self.hashes, words)][place]
+        strange = np.zeros(len(texts), bool)
+        strange[np.repeat(np.arange(len(texts)), counts)[_differ(data, starts, lengths, self.bytes, self.at[index], self.size[index])]] = True
         out, at = [], 0
-        for n in counts.tolist():
+        for n, other in zip(counts.tolist(), strange.tolist(), strict=True):
             w = index[at : at + n]
-            size = self.lengths[w]
-            ends = np.cumsum(size)
-            out.append(self.flat[np.arange(ends[-1] if n else 0) + np.repeat(self.starts[w] - ends + size, size)])
+            out.append(None if other else self.flat[_expanded(self.starts[w], self.lengths[w])])
             at += n
         return out
 
@@ -207,26 +242,32 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def write_tokens(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", vocabulary: int = 49408) -> str:
+#: A row of the table of blocks: its task and number there, ids before it in the task, its documents' keys, number of ids, the block itself.
+_BLOCKS = "part int, block int, before long, keys array<long>, n_ids long, data binary"
+
+
+def write_tokens(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", vocabulary: int | None = None) -> str:
     """Encode all texts with the tokenizers library, add ``end_id`` to each, and write the ids in blocks in the order of the key. Returns the path.
 
     The texts are sorted by range, so each task writes a run of keys. Each row of the table of blocks is one file-format
-    block (see ``write_block``: ids at the least bits that hold the vocabulary) with its part, number, the keys and the number of ids, written by
-    Spark's committer: a lost task leaves nothing behind. Null texts count as empty; null keys come first; rows that
+    block (see ``write_block``) with its part, number, the keys and the number of ids, written by
+    Spark's committer: a lost task leaves nothing behind. Ids have the least bits that hold the ``vocabulary``; where it is not
+    given, the tokenizer's own and the end id. Null texts count as empty; null keys come first; rows that
     repeat a key stay next to each other, in the order of a hash of their texts. An empty table writes no blocks.
     """
     spark = df.sparkSession
     ship(spark)
     path = new_path(spark, "tokens")
-    bits = width(vocabulary)
+    bits = width(vocabulary or max(end_id, *_tokenizer(tokenizer).get_vocab(with_added_tokens=True).values()) + 1)
 
     def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number, held, keys, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, number, before, held, keys, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([keys], pa.list_(pa.int64())), pa.array([size], pa.int64()), pa.array([write_block(held, bits)], pa.binary())], ["part", "block", "keys", "n_ids", "data"])
+            row = ([part], pa.int32()), ([number], pa.int32()), ([before], pa.int64()), ([keys], pa.list_(pa.int64())), ([size], pa.int64()), ([write_block(held, bits)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in row], ["part", "block", "before", "keys", "n_ids", "data"])
 
         encoder = word_encoder(tokenizer)
         for batch in batches(it, "text"):
@@ -234,7 +275,7 @@ def write_tokens(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id"
             for k, ids in zip(batch.column("key").to_pylist(), encoder.encode(texts), strict=True):
                 if held and size + len(ids) + 1 > BLOCK_IDS:
                     yield flush()
-                    number, held, keys, size = number + 1, [], [], 0
+                    number, before, held, keys, size = number + 1, before + size, [], [], 0
                 held.append(np.append(ids, np.uint32(end_id)))
                 keys.append(k)
                 size += len(ids) + 1
@@ -244,21 +285,19 @@ def write_tokens(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id"
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     order = (F.col("key").asc_nulls_first(), F.xxhash64("text"))  # the hash parts the rows of a frequent key, which may be null
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows.mapInArrow(blocks, "part int, block int, keys array<long>, n_ids long, data binary").write.parquet(path)
+    rows.mapInArrow(blocks, _BLOCKS).write.parquet(path)
     return path
 
 
 def read_tokens(spark, path: str) -> DataFrame:
     """The documents of a table of blocks: key, start (ids of all documents before it), ids, all from the files.
 
-    Only the blocks' counts, one number per task that wrote, are added up in order; the ids themselves stay in their tasks.
+    Only the numbers of ids by task are added up in order, one for each task that wrote; the blocks stay where they are read.
     """
-    schema = "part int, block int, keys array<long>, n_ids long, data binary"
-    table = spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(_BLOCKS).parquet(path)
     sums = table.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = sums.select(F.col("part").alias("s_part"), (F.sum("n").over(Window.partitionBy().orderBy("part")) - F.col("n")).alias("s_start"))
-    within = table.select(F.col("part").alias("b_part"), F.col("block").alias("b_block"), (F.sum("n_ids").over(Window.partitionBy("part").orderBy("block")) - F.col("n_ids")).alias("b_start"))
-    placed = table.join(before, F.col("part") == F.col("s_part")).join(within, (F.col("part") == F.col("b_part")) & (F.col("block") == F.col("b_block")))
+    before = sums.select("part", (F.sum("n").over(Window.partitionBy().orderBy("part")) - F.col("n")).alias("start"))
+    placed = table.join(small(before), "part")
 
     def documents(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -268,7 +307,7 @@ def read_tokens(spark, path: str) -> DataFrame:
                 offsets = block.offsets.astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(start + offsets[:-1].astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], ["key", "start", "ids"])
 
-    return placed.select("keys", (F.col("s_start") + F.col("b_start")).alias("start"), "data").mapInArrow(documents, "key long, start long, ids array<int>")
+    return placed.select("keys", (F.col("start") + F.col("before")).alias("start"), "data").mapInArrow(documents, "key long, start long, ids array<int>")
 
 
 def token_digests(documents: DataFrame) -> DataFrame:

@@ -136,6 +136,33 @@ def test_tokens_against_the_library(spark):
     assert keyed == sorted(keyed, key=lambda k: (k is not None, k or 0))
 
 
+def _thue_morse(n, a, b):
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+def test_words_built_to_collide(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = [_thue_morse(n, *ab) for n in (1024, 2048, 4096) for ab in ("ab", "ba")] + ["abba baab", "baab abba", "cat tac act", "act", ""]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in tokens.WordEncoder(path).encode(texts)] == want
+    monkeypatch.setattr(tokens, "_HASH", np.zeros(256, np.uint64))  # all words of a length collide, in a batch and between batches
+    encoder = tokens.WordEncoder(path)
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+    assert [x.tolist() for x in encoder.encode(texts[::-1])] == want[::-1]
+
+
+def test_a_word_of_megabytes():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    text = "".join(random.Random(5).choice("abcdefgh") for _ in range(1_000_000)) + " end"
+    encoder = tokens.WordEncoder(path)
+    assert encoder.encode([text])[0].tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_token_output_over_the_table(spark, sf):
     out = op6_token_output(spark, sf).orderBy("doc_id").collect()
     assert len(out) == spark.read.parquet(f"{sf}/documents.parquet").count()
