@@ -16,7 +16,8 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
 
     In each round every node joins the neighbour with the least seeded hash, links between joined nodes fall away, and the
     labels so far follow. A star takes one round, a chain about the logarithm of its length; minima are partially aggregated,
-    so a node with very many links is no hot task. Every round is written, so lost executors cost a round at most.
+    so a node with very many links is no hot task. Links are written every round and labels every fourth, so lost executors cost
+    little and plans stay short.
     Links of an id with itself or with null are left out.
     """
     links = links.where("a <> b").select("a", "b")
@@ -27,10 +28,12 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         near = both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("best"))
         near = small(written(near.select("node", F.least(F.col("best"), rank("node"))["id"].alias("to")), f"{name}-joined"))
         joined = links.join(near.toDF("a", "ta"), "a").join(near.toDF("b", "tb"), "b")
-        links = written(joined.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")), f"{name}-links")
+        links = written(joined.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), f"{name}-links")
         labels = near.toDF("id", "label") if labels is None else labels.join(near.toDF("label", "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
         if not links.take(1):
             break
+        if r % 4 == 3:
+            labels = written(labels, f"{name}-labels")
     else:
         raise RuntimeError("the components did not settle")
     labels = written(labels, f"{name}-labels")

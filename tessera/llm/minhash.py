@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batches, col, mix, opened, sealed, ship, small, text_bytes, word_hashes, written
+from tessera.llm.common import SPACES, batches, col, mix, opened, sealed, ship, small, text_bytes, word_hashes, written
 from tessera.llm.components import components
 
 #: Words of a shingle and the least Jaccard similarity of a link.
@@ -116,24 +115,62 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
     return out.view(np.int64)
 
 
-def _signed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches(it, "text", 2 << 20):
-        words, counts = word_hashes(*text_bytes(batch.column("text")))
-        elements, n = shingles(words, counts)
-        keys = band_keys(dart_signatures(elements, n, BANDS * ROWS))
-        ends = np.cumsum(counts)
-        digests = [hashlib.blake2b(words[b - c : b].tobytes(), digest_size=16).digest() for b, c in zip(ends, counts, strict=True)]
-        some = pa.array(n == 0)
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary()), pa.array(n), flat], ["id", "digest", "n", "keys"]).filter(pc.invert(some))
+#: A-Z as a-z, and all ASCII white space as blanks.
+_PLAIN = bytes(32 if b in SPACES else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches(it, "text", 2 << 20):
-        words, counts = word_hashes(*text_bytes(batch.column("text")))
-        elements, n = shingles(words, counts)
-        ends = np.cumsum(n)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([np.unique(elements[b - c : b]).tobytes() for b, c in zip(ends, n, strict=True)], pa.binary())], ["id", "shingles"])
+def words_digest(raw: bytes) -> bytes:
+    """128 bits of a cryptographic hash of a text's words, a blank between each two."""
+    plain = raw.translate(_PLAIN).strip()
+    while b"  " in plain:
+        plain = plain.replace(b"  ", b" ")
+    return hashlib.blake2b(plain, digest_size=16).digest()
+
+
+def counted(elements: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's distinct elements, how often each comes, and how many distinct ones the row has."""
+    rows = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((elements, rows))
+    e, r = elements[order], rows[order]
+    first = np.flatnonzero(np.r_[True, (e[1:] != e[:-1]) | (r[1:] != r[:-1])]) if len(e) else np.zeros(0, np.int64)
+    return e[first], np.diff(np.append(first, len(e))), np.bincount(r[first], minlength=len(counts))
+
+
+def numbered(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Each row's elements told apart by their number among equals, so that the Jaccard similarity of the sets is the weighted one of the counts."""
+    distinct, often, n = counted(elements, counts)
+    place = np.arange(int(often.sum()), dtype=np.uint64) - np.repeat(np.cumsum(often) - often, often).astype(np.uint64)
+    return mix(np.repeat(distinct, often) + place * np.uint64(0xA24BAED4963EE407))
+
+
+def _signed(weighted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def signed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, "text", 2 << 20):
+            data, offsets = text_bytes(batch.column("text"))
+            elements, n = shingles(*word_hashes(data, offsets))
+            if weighted:
+                distinct, often, some = counted(elements, n)
+                keys = band_keys(dart_signatures(distinct, some, BANDS * ROWS, often.astype(np.float64)))
+            else:
+                keys = band_keys(dart_signatures(elements, n, BANDS * ROWS))
+            raw = memoryview(data)
+            digests = [words_digest(bytes(raw[a:b])) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary()), flat], ["id", "digest", "keys"]).filter(pa.array(n > 0))
+
+    return signed
+
+
+def _sets(weighted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, "text", 2 << 20):
+            elements, n = shingles(*word_hashes(*text_bytes(batch.column("text"))))
+            if weighted:
+                elements = numbered(elements, n)
+            ends = np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([np.unique(elements[b - c : b]).tobytes() for b, c in zip(ends, n, strict=True)], pa.binary())], ["id", "shingles"])
+
+    return sets
 
 
 def _tokens(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +180,7 @@ def _tokens(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [np.frombuffer(x, np.int64) for x in part.column("shingles").to_pylist()]
             n = np.array([len(x) for x in sets])
             at = pa.array(np.repeat(np.arange(len(sets)), n))
-            yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("class").take(at), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], ["id", "class", "size", "token"])
+            yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("text").take(at), part.column("class").take(at), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], ["id", "text", "class", "size", "token"])
 
 
 def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -169,11 +206,12 @@ def _pairs(rows: DataFrame, *partners: str) -> DataFrame:
     return rows.select(pair.alias("p")).select("p.a", "p.b").where("a <> b").distinct()
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """Classes of texts that links of Jaccard similarity ``similarity`` or more on five-word shingles hold together: id, class_id, for every text with a word.
 
     Words are runs of other than ASCII white space, A-Z as a-z. Of texts of equal words the one of smallest id stands for
-    all. Texts that agree in one of 24 bands of 5 DartMinHash values are candidates. Buckets are partial aggregates (size, first,
+    all; they are known by a cryptographic digest of their words. Shingles weigh one each, or with ``weighted`` as often as they come, which makes the
+    similarity the weighted one; they are compared by 64-bit hashes. Texts that agree in one of 24 bands of 5 DartMinHash values are candidates. Buckets are partial aggregates (size, first,
     last and a seeded member), never gathered; each of their texts is compared with those three, so a hot bucket
     gives a few pairs for each text. Candidates are verified on their whole shingle sets, and the links' components are
     the classes. Buckets that still hold several classes are compared again: in full where they have at most 16
@@ -181,12 +219,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     with another one. What is still open then goes through an exact join (``_exact_pairs``), which finds every link that is left
     between different classes of a bucket.
 
-    Ids are those of the key as a long; rows with a null id or without a word take no part and get no row, and rows that
-    repeat an id count as one text with the bands of all. An empty table gives an empty result.
+    Ids are those of the key as a long; rows with a null id or without a word take no part and get no row. Rows that
+    repeat an id are one document with all their texts: it is linked where any of them is. An empty table gives an empty result.
     """
     ship(df.sparkSession)
     texts = df.select(col(key).cast("long").alias("id"), col(text).alias("text")).where(F.col("id").isNotNull())
-    signed = written(texts.mapInArrow(_signed, "id long, digest binary, n long, keys array<long>"), "near-signed")
+    signed = written(texts.mapInArrow(_signed(weighted), "id long, digest binary, keys array<long>"), "near-signed")
     copies = signed.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = written(copies.select("digest", "first"), "near-copies")
     held = small(copies, BROADCAST_COPIES)
@@ -196,8 +234,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     buckets = written(buckets.where("low < high"), "near-buckets")
     shared = written(rows.join(small(buckets, BROADCAST_BUCKETS), "bucket"), "near-shared")
     wanted = small(written(shared.select("id").distinct(), "near-wanted"))
-    sets = written(texts.join(wanted, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary").dropDuplicates(["id"]), "near-sets")
-    links = written(_verified(_pairs(shared, "low", "high", "any"), sets, similarity), "near-links")
+    sets = written(texts.join(wanted, "id", "left_semi").mapInArrow(_sets(weighted), "id long, shingles binary").dropDuplicates(), "near-sets")
+    links = written(_verified(_pairs(shared, "low", "high", "any"), sets, similarity).unionByName(_same_id(ids)), "near-links")
     classes = written(components(links, "near"), "near-classes")
     degree = links.union(links.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("links"))
     for r in range(ROUNDS):
@@ -212,6 +250,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     return found.groupBy("id").agg(F.min(F.coalesce("component", "first")).alias("class_id"))
 
 
+def _same_id(ids: DataFrame) -> DataFrame:
+    """Links between the texts that stand for those of one repeated id."""
+    several = ids.groupBy("id").agg(F.min("first").alias("a"), F.max("first").alias("high")).where("a < high").select("id", "a")
+    return ids.join(several, "id").select("a", F.col("first").alias("b")).where("a <> b").distinct()
+
+
 def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     """The classes that are left when these links join some."""
     at = small(classes)
@@ -232,10 +276,10 @@ def _exact_pairs(shared: DataFrame, classes: DataFrame, sets: DataFrame, similar
     marked = shared.where(F.col("size") > SMALL_BUCKET).select("bucket", "id").join(small(classes), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("class"))
     several = marked.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket")
     texts = written(marked.join(several, "bucket", "left_semi").select("id", "class").distinct(), "near-open")
-    tokens = sets.join(small(texts), "id").select("id", "class", "shingles").mapInArrow(_tokens, "id long, class long, size long, token long")
+    tokens = sets.join(small(texts), "id").select("id", F.xxhash64("shingles").alias("text"), "class", "shingles").mapInArrow(_tokens, "id long, text long, class long, size long, token long")
     mixed = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
     mixed = small(written(mixed.select("token", "n"), "near-mixed"))
-    listed = tokens.join(mixed, "token").groupBy("id", "class", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("m"))
+    listed = tokens.join(mixed, "token").groupBy("id", "text", "class", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("m"))
     before = F.col("size") - F.size("m")
     prefix = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
     listed = listed.withColumn("before", before).withColumn("m", F.slice("m", F.lit(1), F.greatest(F.lit(0), F.least(prefix - before, F.size("m"))).cast("int")))
@@ -270,16 +314,16 @@ def _open_pairs(shared: DataFrame, classes: DataFrame, degree: DataFrame, r: int
     return (star if r else full.union(star)).distinct()
 
 
-def mark_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def mark_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """Add class_id and kept (the smallest id of a class stays), in place of columns of those names. A row of no class (see ``near_duplicates``) stays and is its own class."""
     df, names = sealed(df)
-    found = near_duplicates(df, names[key], names[text], similarity)
+    found = near_duplicates(df, names[key], names[text], similarity, weighted)
     joined = df.join(found, F.col(names[key]).cast("long") == F.col("id"), "left")
     return opened(joined, names, {"class_id": F.coalesce(F.col("class_id"), F.col(names[key]).cast("long")), "kept": F.coalesce(F.col("class_id") == F.col("id"), F.lit(True))})
 
 
-def without_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def without_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """The rows of ``df`` but those whose class has a smaller id. Only the ids that go meet the rows."""
     df, names = sealed(df)
-    gone = small(written(near_duplicates(df, names[key], names[text], similarity).where("id <> class_id").select("id"), "near-gone"))
+    gone = small(written(near_duplicates(df, names[key], names[text], similarity, weighted).where("id <> class_id").select("id"), "near-gone"))
     return opened(df.join(gone, F.col(names[key]).cast("long") == F.col("id"), "left_anti"), names)

@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.llm.components import components
 from tessera.llm.embedding_dedup import embedding_duplicates, forest
 from tessera.llm.hnsw import Graph
-from tessera.llm.minhash import dart_signatures, mark_near_duplicates, shingles, without_near_duplicates
+from tessera.llm.minhash import dart_signatures, mark_near_duplicates, shingles, without_near_duplicates, words_digest
 
 
 def _classes(n, links):
@@ -87,6 +87,52 @@ def test_near_duplicates_edges(spark):
     assert without_near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_texts_built_to_collide_are_no_copies(spark):
+    word = lambda n, a, b: "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+    rows, k = [], 0
+    for n in (1024, 2048, 4096):
+        for a, b in ("ab", "ba"):
+            rows.append((k, f"{word(n, a, b)} {word(n, b, a)}"))
+            k += 1
+    out = mark_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["class_id"] == r["doc_id"] and r["kept"] for r in out)
+
+
+def test_digest_is_of_the_words():
+    assert words_digest(b" A  b\tC\r\n") == words_digest(b"a b c") != words_digest(b"ab c")
+    assert words_digest("É x".encode()) != words_digest("é x".encode()) and words_digest(b" \n") == words_digest(b"")
+
+
+def test_texts_of_a_repeated_id_are_one_document(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    x, y = [word() for _ in range(200)], [word() for _ in range(200)]
+    near = lambda t: " ".join([*t[:150], word(), *t[151:]])
+    rows = [(5, " ".join(x)), (5, " ".join(y)), (3, " ".join(y)), (9, near(x)), (7, near(y)), (8, "on its own")]
+    out = mark_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(out) == 6 and {r["doc_id"]: r["class_id"] for r in out} == {5: 3, 3: 3, 9: 3, 7: 3, 8: 8}
+
+
+def test_weighted_near_duplicates_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    phrase, texts = " ".join(word() for _ in range(6)), []
+    for _ in range(12):
+        base = [word() for _ in range(40)]
+        texts += [" ".join([*base, *[phrase] * k]) for k in rng.sample(range(1, 60), 4)]
+
+    def bag(t):
+        w = t.split()
+        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+    bags = [bag(t) for t in texts]
+    want = _classes(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if (bags[i] & bags[j]).total() >= 0.8 * (bags[i] | bags[j]).total()])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["class_id"] for r in mark_near_duplicates(df, weighted=True).collect()}
+    assert [found[i] for i in range(len(texts))] == want and len(set(want)) > 1
+    assert want != [r["class_id"] for r in mark_near_duplicates(df).orderBy("doc_id").collect()]
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     common, a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (300, 60, 40))
