@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,12 @@ from tessera.llm.hnsw import Graph
 
 #: Vectors of a shard and of a block of queries, at most; bytes of a shard, at most; shards at least.
 SHARD_ROWS, SHARD_BYTES, SHARDS = 16_384, 64 << 20, 4
-#: Width of the first beams; queries of each block that are audited by brute force; the recall that they must reach.
-BEAM, AUDITED, RECALL = 64, 32, 0.9995
+#: Width of the first beams and of the widest ones; beyond those a block is searched by brute force. The recall that audits ask for.
+BEAM, WIDEST, RECALL = 64, 512, 0.9995
+#: Made-up queries that audit a shard when it is built; queries of a block that audit its search, as many with links and as many without.
+NEEDLES, AUDITED = 2048, 64
+
+log = logging.getLogger(__name__)
 
 
 def unit_vectors(column: pa.Array) -> list[bytes | None]:
@@ -51,30 +56,35 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[mine], ids[parent[mine]]
 
 
-def _search(graph: Graph, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of the queries with a shard's vectors. Beams are widened until an audited sample by brute force has the recall asked for."""
-    some = np.linspace(0, len(own) - 1, min(AUDITED, len(own))).astype(np.int64)
-    truth = queries[some] @ graph.exact.T >= least
-    beam = BEAM
+def _search(graph: Graph, beam: int, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Links of the queries with a shard's vectors, and how many true links an audit saw and how many of those were found.
+
+    The shard's own audit has set the width of the beams (0: none finds enough). Here queries that found links and others are held against
+    brute force, links of a vector with itself left out; beams are widened until those pass, and a block whose widest beams
+    don't is searched by brute force.
+    """
     while True:
-        r, c = graph.within(queries, least, beam)
-        hit = np.zeros_like(truth)
-        place = np.full(len(own), -1)
-        place[some] = np.arange(len(some))
-        audited = place[r] >= 0
-        hit[place[r[audited]], c[audited]] = True
-        if beam >= len(ids) or (hit & truth).sum() >= RECALL * truth.sum():
-            other = own[r] != ids[c]
-            return own[r[other]], ids[c[other]]
-        beam *= 2
+        r, c = graph.within(queries, least, beam) if beam else graph.exactly(queries, least)
+        other = own[r] != ids[c]
+        r, c = r[other], c[other]
+        linked = np.unique(r)
+        spread = lambda x: x[np.linspace(0, len(x) - 1, min(AUDITED, len(x))).astype(np.int64)]
+        some = np.union1d(spread(linked), spread(np.arange(len(own))))
+        tr, tc = graph.exactly(queries[some], least)
+        truth = int((own[some[tr]] != ids[tc]).sum())
+        hit = int(np.isin(r, some).sum())
+        if not beam or hit >= RECALL * truth:
+            return own[r], ids[c], truth, hit
+        beam = beam * 2 if beam * 2 <= WIDEST else 0
 
 
 def embedding_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9) -> DataFrame:
     """Add n_links, component_id and kept to all vectors, in place of columns of those names; vectors are linked where their cosine is ``least`` or more.
 
     The vectors are dealt to shards by a hash of key and vector and each shard gets a hierarchical small-world graph. Every block of
-    queries is searched in every shard, with beams that are widened where links fill them and where a brute-force audit
-    of some of the block's queries finds too few. Each link is measured in double precision. A task returns counts and
+    queries is searched in every shard. Beams are widened until audits pass: of made-up queries at the threshold when a
+    shard is built, as true links may be too rare to tell, and of the block's own queries against brute force; they also widen where links fill them. A block
+    that no beam serves is searched by brute force. The audits' recall is logged. Each link is measured in double precision. A task returns counts and
     the forest of its links, so a group in which all are linked costs its members, not their pairs. The forests' components
     are the classes. Both the shard and the block have a bounded size, whatever the table's; the number of tasks is the product of
     their numbers, which is what querying every shard takes.
@@ -103,25 +113,31 @@ def embedding_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embe
 
     def build(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         graph = Graph.build(np.frombuffer(b"".join(pdf["v"]), np.float64).reshape(len(pdf), -1))
-        return pd.DataFrame({"dim": [k[0]], "shard": [k[1]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "graph": [graph.to_bytes()]})
+        beam = graph.tuned(least, RECALL, BEAM, WIDEST, NEEDLES)
+        return pd.DataFrame({"dim": [k[0]], "shard": [k[1]], "beam": [beam], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "graph": [graph.to_bytes()]})
 
-    index = written(sharded.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, ids binary, graph binary"), "embed-index")
+    index = written(sharded.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, beam int, ids binary, graph binary"), "embed-index")
 
     def search(queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(shard):
-            return pd.DataFrame({"id": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "to": pd.Series(dtype="Int64")})
+            return pd.DataFrame({"id": pd.Series(dtype="Int64"), "n": pd.Series(dtype="int64"), "to": pd.Series(dtype="Int64")})
         own = queries["id"].to_numpy(np.int64)
         ids = np.frombuffer(shard["ids"].iloc[0], np.int64)
-        a, b = _search(Graph.from_bytes(shard["graph"].iloc[0]), ids, np.frombuffer(b"".join(queries["v"]), np.float64).reshape(len(own), -1), own, least)
+        a, b, truth, hit = _search(Graph.from_bytes(shard["graph"].iloc[0]), int(shard["beam"].iloc[0]), ids, np.frombuffer(b"".join(queries["v"]), np.float64).reshape(len(own), -1), own, least)
         nodes, n = np.unique(a, return_counts=True)
         x, y = forest(a, b)
-        return pd.DataFrame({"id": np.concatenate([nodes, x]), "n": np.concatenate([n, np.zeros(len(x), np.int64)]), "to": pd.array(np.concatenate([nodes, y]), "Int64")})
+        out = pd.DataFrame({"id": np.concatenate([nodes, x, [0]]), "n": np.concatenate([n, np.zeros(len(x), np.int64), [truth]]), "to": np.concatenate([nodes, y, [hit]])}).astype({"id": "Int64"})
+        out.iloc[-1, 0] = pd.NA  # the audit: links that are there, and those of them that were found
+        return out
 
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     asked = units.withColumn("block", deal(2, blocks)).withColumn("shard", each(of(shards)))
     held = index.withColumn("block", each(of(blocks)))
     found = asked.groupBy("dim", "shard", "block").cogroup(held.groupBy("dim", "shard", "block")).applyInPandas(search, "id long, n long, to long")
     found = written(found, "embed-found")
+    seen = found.where("id is null").agg(F.sum("n"), F.sum("to")).first()
+    log.info("audits saw %s links, of which the searches found %s", *(x or 0 for x in seen))
+    found = found.where("id is not null")
     counts = found.groupBy("id").agg(F.sum("n").alias("n_links"))
     classes = components(found.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")), "embed")
     known = counts.join(classes, "id", "full").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component"))

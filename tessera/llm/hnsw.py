@@ -199,6 +199,36 @@ class Graph:
             beam *= 4
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
+    def exactly(self, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (query, node) of a cosine of at least ``least``, by blocks of products."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        step = max(16, (32 << 20) // (4 * len(self.vectors) + 4))
+        for i in range(0, len(queries), step):
+            r, c = np.nonzero(queries[i : i + step].astype(np.float32) @ self.vectors.T >= np.float32(least - 1e-5))
+            sure = np.einsum("kd,kd->k", queries[i + r], self.exact[c]) >= least
+            found.append((i + r[sure], c[sure]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def needles(self, least: float, most: int, seed: int = 4) -> np.ndarray:
+        """Made-up queries that each lie just within ``least`` of a node, in a random direction: what a search must find where true links are too rare to audit."""
+        rng = np.random.default_rng(seed)
+        node = self.exact[rng.permutation(len(self.exact))[:most]]
+        aside = rng.normal(size=node.shape)
+        aside -= np.einsum("qd,qd->q", aside, node)[:, None] * node
+        size = np.linalg.norm(aside, axis=1, keepdims=True)
+        cosine = np.where(size > 1e-9, min(1.0, least + 5e-4), 1.0)
+        return cosine * node + np.sqrt(1 - cosine**2) * aside / np.maximum(size, 1e-9)
+
+    def tuned(self, least: float, recall: float, beam: int, widest: int, most: int) -> int:
+        """The width from which beams find that share of the nodes near the needles; 0 if none up to ``widest`` does."""
+        queries = self.needles(least, most)
+        truth = len(self.exactly(queries, least)[0])
+        while beam <= widest:
+            if len(self.within(queries, least, beam)[0]) >= recall * truth:
+                return beam
+            beam = beam * 3 // 2
+        return 0
+
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
         np.savez(out, exact=self.exact, level=self.level, **{f"layer{i}": x for i, x in enumerate(self.layers)})

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.embedding_dedup import embedding_duplicates, forest
+from tessera.llm.embedding_dedup import BEAM, NEEDLES, RECALL, WIDEST, _search, embedding_duplicates, forest
 from tessera.llm.hnsw import Graph
 from tessera.llm.minhash import dart_signatures, mark_near_duplicates, shingles, without_near_duplicates, words_digest
 
@@ -190,6 +190,33 @@ def test_embeddings_brute_force(spark):
     assert embedding_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_sparse_links_among_many_vectors_are_all_found():
+    """8,000 vectors of 384 dimensions with 300 links: too few for a sample of the queries to meet one."""
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(8000, 384))
+    v[-300:] = v[:300] + rng.normal(size=(300, 384)) * 0.45
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    graph = Graph.build(v)
+    beam = graph.tuned(0.9, RECALL, BEAM, WIDEST, NEEDLES)
+    some, own = np.r_[:300, 7700:8000], np.arange(8000)
+    a, b, truth, hit = _search(graph, beam, own, v[some], some, 0.9)
+    want = {(i, j) for i in range(300) for j in [7700 + i] if v[i] @ v[j] >= 0.9}
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == want | {(j, i) for i, j in want} and hit == truth >= 100
+    r, c = graph.exactly(v[some], 0.9)
+    assert {(some[i], j) for i, j in zip(r, c, strict=True) if some[i] != j} == set(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_a_block_that_no_beam_serves_is_searched_exactly():
+    v = np.random.default_rng(2).normal(size=(600, 8))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    graph = Graph.build(v)
+    graph.layers[0][:] = -1  # no links: beams reach nothing
+    assert graph.tuned(0.9, RECALL, BEAM, WIDEST, NEEDLES) == 0
+    own = np.arange(600)
+    truth = (v @ v.T >= 0.9).sum() - 600
+    assert len(_search(graph, 0, own, v, own, 0.9)[0]) == len(_search(graph, BEAM, own, v, own, 0.9)[0]) == truth > 0
+
+
 def test_graph_recall():
     v = np.random.default_rng(6).normal(size=(1500, 16))
     v /= np.linalg.norm(v, axis=1)[:, None]
