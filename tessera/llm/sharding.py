@@ -12,10 +12,10 @@ from tessera.llm.common import new_path, opened, sealed, ship, unit
 #: Groups of input partitions that the matrix has a row for, at most; it is all the driver holds.
 MATRIX_ROWS = 4096
 #: Rows of a block of a shard, about; a block is permuted in one task.
-BLOCK_ROWS = 2000
+BLOCK_ROWS = 500
 
 
-def communication_matrix(sizes: np.ndarray, shards: np.ndarray, seed: int) -> np.ndarray:
+def communication_matrix(sizes: np.ndarray, shards: np.ndarray, seed: int | list[int]) -> np.ndarray:
     """How many rows of each partition go to each shard: the counts of a uniform random permutation, whose rows sum to ``sizes`` and columns to ``shards``."""
     rng = np.random.default_rng(seed)
     left = shards.astype(np.int64).copy()
@@ -57,9 +57,9 @@ def shuffle_to_shards(df: DataFrame, shards: int = 40, seed: int = 29) -> DataFr
 
     The rows are written once with their number within the partition, so that a task that is run again deals the same
     rows to the same shards. The driver counts the partitions and draws how many rows each sends to each shard
-    (hypergeometric; a row for each of 4,096 groups of partitions at most). Each partition permutes its shard labels
-    locally, the rows are exchanged, and each shard is permuted again in seeded blocks whose offsets are counted first,
-    so no task gets a whole shard.
+    (hypergeometric; a row for each of 4,096 groups of partitions at most, and each task draws its partition's share of its
+    group's row the same way). Each partition permutes its shard labels locally, the rows are exchanged, and each shard is
+    permuted again in seeded blocks whose offsets are counted first, so no task gets a whole shard.
 
     Adds shard and slot (gapless from 0 within the shard), which replace columns of those names. Rows are dealt by place, so nulls, equal rows and hot
     keys need no care; with fewer rows than shards the last shards stay empty. An empty table gives an empty result.
@@ -77,24 +77,24 @@ def shuffle_to_shards(df: DataFrame, shards: int = 40, seed: int = 29) -> DataFr
         return opened(rows, names, {"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     ids, sizes = np.array([p for p, _ in counts]), np.array([c for _, c in counts], np.int64)
     group = np.arange(len(ids)) // -(-len(ids) // MATRIX_ROWS)
-    starts = np.cumsum(sizes) - sizes
     first = np.flatnonzero(np.diff(group, prepend=-1))  # where each group of partitions begins
     matrix = communication_matrix(np.add.reduceat(sizes, first), even_sizes(n, shards), seed)
-    offset = starts - starts[first][group]
-    shared = spark.sparkContext.broadcast((ids, group, offset, matrix))
+    shared = spark.sparkContext.broadcast((ids, sizes, first, matrix))
 
     def labels(place: pd.Series) -> pd.Series:
-        ids, group, offset, matrix = shared.value
+        ids, sizes, first, matrix = shared.value
         place = place.to_numpy()
         part = np.searchsorted(ids, place >> 33)
-        row = offset[part] + (place & ((1 << 33) - 1))
         out = np.zeros(len(place), np.int32)
-        for g in np.unique(group[part]):
-            if g not in _dealt:
+        for p in np.unique(part).tolist():
+            if p not in _dealt:
                 _dealt.clear()
-                _dealt[g] = np.random.default_rng([seed, int(g)]).permutation(np.repeat(np.arange(matrix.shape[1], dtype=np.int32), matrix[g]))
-            mine = group[part] == g
-            out[mine] = _dealt[g][row[mine]]
+                g = int(np.searchsorted(first, p, "right")) - 1
+                mates = sizes[first[g] : first[g + 1] if g + 1 < len(first) else len(sizes)]
+                counts = communication_matrix(mates, matrix[g], [seed, g])[p - first[g]] if len(mates) > 1 else matrix[g]
+                _dealt[p] = np.random.default_rng([seed, g, p]).permutation(np.repeat(np.arange(len(counts), dtype=np.int32), counts))
+            mine = part == p
+            out[mine] = _dealt[p][place[mine] & ((1 << 33) - 1)]
         return pd.Series(out)
 
     _dealt: dict[int, np.ndarray] = {}
