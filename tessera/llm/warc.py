@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,9 @@ ARCHIVE_BYTES = 16 << 20
 BROADCAST_DIGESTS = 100_000
 EPOCH = 1_704_067_200  # 2024-01-01, the capture time of page 0; each page is a second later
 
+#: Runs that are merged at a time, and rows of a block of a run.
+FAN, BLOCK = 64, 512
+
 _INDEX = "page_id long, url string, urlkey string, ts string, archive string, offset long, length long, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
 
@@ -32,7 +36,8 @@ def url_key(url: str) -> str:
 
 def _record(kind: Column, page: Column, url: Column, date: Column, digest: Column, refers: Column, n: Column, payload: Column) -> Column:
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), n.cast("string"), F.lit("\r\n\r\n"))
-    urn = lambda x: F.concat(F.lit("<urn:page:"), F.coalesce(x.cast("string"), F.lit("none")), F.lit(">"))
+    none = F.concat(F.lit("none:"), F.monotonically_increasing_id().cast("string"))
+    urn = lambda x: F.concat(F.lit("<urn:page:"), F.coalesce(x.cast("string"), none), F.lit(">"))
     revisit = F.when(kind == "revisit", F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), urn(refers), F.lit("\r\n"))).otherwise("")
     body = F.when(kind == "revisit", F.lit("")).otherwise(payload)
     return F.concat(
@@ -50,7 +55,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", pay
     digests that repeat meet the pages again, so no payload is shuffled. Spark's text writer puts one record in each line
     and ends it with the two line ends that the format asks for, so the files are plain WARC files, committed by Spark.
 
-    A null payload is empty; line ends in a URL are escaped; a null key is written as ``none`` and is never referred to.
+    A null payload is empty; line ends in a URL are escaped; a null key is written as ``none`` and a number, and is never referred to.
     Rows that repeat the smallest key are all responses. An empty table gives a folder without records.
     """
     spark = pages.sparkSession
@@ -90,18 +95,20 @@ def _page(urn: str | None) -> int | None:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The index entries of all records: one sorted run for each archive.
+    """The index entries of all records, written as sorted runs: one for each task that read archives.
 
     Digests and lengths of responses are taken from the payloads read, and one that differs from its header's is an
-    error; a revisit has them from its header. ``run_place`` is the entry's place in its run by URL key, time and page.
+    error; a revisit has them from its header. A run is in the order of URL key, time and page and is cut into blocks: ``run``, ``block`` and ``at`` are an
+    entry's place, and the columns of ``head`` tell its block's first entry.
     """
-
     ship(spark)
 
     def entries(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        rows = []
         for batch in it:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows = []
                 for offset, length, head, block in parse_records(content.as_buffer().to_pybytes()):
                     raw = bytes(block)
                     split = raw.index(b"\r\n\r\n") + 4
@@ -111,17 +118,17 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         raise ValueError(f"payload of {head['WARC-Record-ID']} is damaged")
                     url, ts = head["WARC-Target-URI"], re.sub(r"\D", "", head["WARC-Date"])
                     rows.append((_page(head["WARC-Record-ID"]), url, url_key(url), ts, name, offset, length, head["WARC-Type"], size, digest, _page(head.get("WARC-Refers-To"))))
-                rows.sort(key=_order)
-                for i in range(0, len(rows), 10_000):
-                    part = rows[i : i + 10_000]
-                    columns = [list(x) for x in zip(*part, strict=True)] + [list(range(i, i + len(part)))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[k]) for k, c in enumerate(columns)], names=_NAMES)
+        rows.sort(key=_order)
+        yield from _run(iter(rows), TaskContext.get().partitionId(), 0)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(entries, _INDEX + ", run_place long")
+    read = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    return written(read.mapInArrow(entries, _RUN), "warc-runs")
 
 
-_NAMES = [x.split()[0] for x in _INDEX.split(", ")] + ["run_place"]
-_ARROW = [{"long": pa.int64(), "string": pa.string()}[x.split()[1]] for x in _INDEX.split(", ")] + [pa.int64()]
+_RUN = _INDEX + ", run int, block long, at int, head_key string, head_ts string, head_page long, head_archive string, head_offset long"
+_NAMES = [x.split()[0] for x in _RUN.split(", ")]
+_ARROW = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[x.split()[1]] for x in _RUN.split(", ")]
+_WIDTH = len(_INDEX.split(", "))
 
 
 def _order(row: tuple) -> tuple:
@@ -129,74 +136,138 @@ def _order(row: tuple) -> tuple:
     return row[2], row[3], row[0] is not None, row[0] or 0, row[4], row[5]
 
 
-def merge_runs(runs: list[Iterator[tuple]], order: Callable[[tuple], tuple] = _order) -> Iterator[tuple]:
-    """The rows of sorted runs in order, by a tree of losers: each row taken costs one comparison a level."""
-    k = len(runs)
-    if not k:
-        return
-    heads = [next(r, None) for r in runs]
-    keys = [order(h) if h is not None else None for h in heads]
-
-    def wins(a: int, b: int) -> bool:
-        """Whether run a's head goes before run b's; -1 beats all while the tree is built."""
+def _head(row: tuple) -> tuple:
+    """The order of the first row of a run's row's block."""
+    key, ts, page, archive, offset = row[_WIDTH + 3 :]
+    return key, ts, page is not None, page or 0, archive, offset
+
+
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
+def _run(rows: Iterator[tuple], run: int, block: int) -> Iterator[pa.RecordBatch]:
+    """Sorted index rows as blocks of a run, numbered from ``block``."""
+    while part := list(islice(rows, BLOCK)):
+        first = part[0]
+        yield _batch([(*r, run, block, i, first[2], first[3], first[0], first[4], first[5]) for i, r in enumerate(part)], _NAMES, _ARROW)
+        block += 1
+
+
+class LoserTree:
+    """Sorted streams as one: each row taken costs one comparison a level. Streams are added where others have run out."""
+
+    def __init__(self, order: Callable[[tuple], tuple]) -> None:
+        self.order, self.streams, self.heads, self.keys, self.losers = order, [], [], [], [0]
+
+    def add(self, stream: Iterator[tuple]) -> None:
+        """Another stream, whose rows are none of them before those already taken."""
+        spent = next((i for i, k in enumerate(self.keys) if k is None), None)
+        if spent is None:
+            for x in (self.streams, self.heads, self.keys):
+                x.append(None)
+            spent = len(self.keys) - 1
+        self.streams[spent] = stream
+        self._next(spent)
+        self._play()
+
+    def _next(self, run: int) -> None:
+        self.heads[run] = next(self.streams[run], None)
+        self.keys[run] = None if self.heads[run] is None else self.order(self.heads[run])
+
+    def _wins(self, a: int, b: int) -> bool:
+        """Whether stream a's head goes before stream b's; -1 beats all while the tree is built."""
         if a < 0 or b < 0:
             return a < 0
-        if keys[a] is None or keys[b] is None:
-            return keys[b] is None and (keys[a] is not None or a < b)
-        return (keys[a], a) < (keys[b], b)
+        if self.keys[a] is None or self.keys[b] is None:
+            return self.keys[b] is None and (self.keys[a] is not None or a < b)
+        return (self.keys[a], a) < (self.keys[b], b)
 
-    losers = [-1] * k  # losers[0] is the winner of all
-
-    def replay(run: int) -> None:
-        node = (run + k) // 2
+    def _replay(self, run: int) -> None:
+        node = (run + len(self.keys)) // 2
         while node:
-            if wins(losers[node], run):
-                losers[node], run = run, losers[node]
+            if self._wins(self.losers[node], run):
+                self.losers[node], run = run, self.losers[node]
             node //= 2
-        losers[0] = run
+        self.losers[0] = run
 
-    for run in range(k - 1, -1, -1):
-        replay(run)
-    while keys[losers[0]] is not None:
-        run = losers[0]
-        yield heads[run]
-        heads[run] = next(runs[run], None)
-        keys[run] = order(heads[run]) if heads[run] is not None else None
-        replay(run)
+    def _play(self) -> None:
+        self.losers = [-1] * max(1, len(self.keys))
+        for run in range(len(self.keys) - 1, -1, -1):
+            self._replay(run)
 
+    def first(self) -> tuple | None:
+        """The key of the next row; null if there is none."""
+        return self.keys[self.losers[0]] if self.keys else None
 
-def capture_index(runs: DataFrame) -> DataFrame:
-    """One index of all captures in the order of URL key, time and page.
+    def take(self) -> tuple:
+        run = self.losers[0]
+        row = self.heads[run]
+        self._next(run)
+        self._replay(run)
+        return row
+
+
+def merge_runs(runs: list[Iterator[tuple]], order: Callable[[tuple], tuple] = _order) -> Iterator[tuple]:
+    """The rows of sorted runs in order, by a tree of losers."""
+    tree = LoserTree(order)
+    for r in runs:
+        tree.add(r)
+    while tree.first() is not None:
+        yield tree.take()
 
-    The runs are dealt by key range, so each task gets a slice of every run, still sorted, and merges them with a tree of
-    losers; part and place give the global order. A URL with very many captures is split by time and page. Adds
-    part and place; the n-th capture of a URL follows from them.
-    """
 
+def merge_blocks(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Index rows in order, from the blocks of several runs in the order of their heads.
+
+    All rows before the next block's head can be given out before that block is read, and by then its run's block before it has none left. So
+    there is one block of each run in memory at a time, however long the runs are.
+    """
+    tree = LoserTree(_order)
+    for _, block in groupby(rows, key=lambda r: r[_WIDTH : _WIDTH + 2]):
+        held = list(block)
+        head = _head(held[0])
+        while (key := tree.first()) is not None and key < head:
+            yield tree.take()
+        tree.add(iter([r[:_WIDTH] for r in held]))
+    while tree.first() is not None:
+        yield tree.take()
+
+
+def _merged(runs: DataFrame, group: Column, schema: str, out: Callable[[Iterator[tuple], int, int], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Each group's runs merged, in ranges of the order; ``out`` makes batches of a range's rows, its group and its partition."""
     ship(runs.sparkSession)
 
     def merged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, slices, last = TaskContext.get().partitionId(), [], None
-        for batch in it:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[4] != last:
-                    slices.append([])
-                    last = row[4]
-                slices[-1].append(row)
-        done, place = [], 0
-        for row in merge_runs([iter(s) for s in slices]):
-            done.append((*row, part, place))
-            place += 1
-            if len(done) == 10_000:
-                yield _table(done)
-                done = []
-        if done:
-            yield _table(done)
-
-    def _table(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), [*_ARROW, pa.int32(), pa.int64()], strict=True)], names=[*_NAMES, "part", "place"])
-
-    order = [F.col("urlkey"), F.col("ts"), F.col("page_id").asc_nulls_first()]
-    return runs.repartitionByRange(*order).sortWithinPartitions("archive", "run_place").mapInArrow(merged, _INDEX + ", run_place long, part int, place long")
+        part = TaskContext.get().partitionId()
+        rows = (r for batch in it for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for g, mine in groupby(rows, key=lambda r: r[-1]):
+            yield from out(merge_blocks(r[:-1] for r in mine), g, part)
+
+    page = lambda c: F.col(c).asc_nulls_first()
+    dealt = runs.withColumn("group", group).repartitionByRange("group", "urlkey", "ts", page("page_id"), "archive", "offset")
+    return dealt.sortWithinPartitions("group", "head_key", "head_ts", page("head_page"), "head_archive", "head_offset", "run", "block", "at").mapInArrow(merged, schema)
+
+
+def capture_index(runs: DataFrame, fan: int = FAN) -> DataFrame:
+    """One index of all captures in the order of URL key, time and page, from the sorted runs of ``read_archives``.
+
+    An external merge: while there are more than ``fan`` runs, passes merge that many to one and write it; the last pass merges what
+    is left, dealt by key range, so that part and place give the global order. Each task streams the blocks of its runs through a tree of losers and
+    holds one block of each. A URL with very many captures is split by time, page and place in the archives. Adds
+    part and place; the n-th capture of a URL follows from them.
+    """
+    n = (runs.agg(F.max("run")).first()[0] or 0) + 1
+    while n > fan:
+        runs = written(_merged(runs, F.floor(F.col("run") / fan).cast("int"), _RUN, lambda rows, g, part: _run(rows, g, part << 33)), "warc-runs")
+        n = -(-n // fan)
+
+    def placed(rows: Iterator[tuple], _: int, part: int) -> Iterator[pa.RecordBatch]:
+        at = 0
+        while some := list(islice(rows, 10_000)):
+            yield _batch([(*r, part, at + i) for i, r in enumerate(some)], [*_NAMES[:_WIDTH], "part", "place"], [*_ARROW[:_WIDTH], pa.int32(), pa.int64()])
+            at += len(some)
+
+    return _merged(runs, F.lit(0), _INDEX + ", part int, place long", placed)

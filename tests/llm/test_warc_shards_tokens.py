@@ -7,12 +7,13 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.llm import tokens
 from tessera.llm.queries import op5_sharding, op6_token_output, tokenizer_path
 from tessera.llm.sharding import _draw, communication_matrix, even_sizes, shuffle_to_shards
-from tessera.llm.warc import capture_index, merge_runs, parse_records, read_archives, url_key, write_archives
+from tessera.llm.warc import _order, capture_index, merge_blocks, merge_runs, parse_records, read_archives, url_key, write_archives
 
 PAGES = [
     (1, "http://www.A.example:80/x?q=1#f", "p" * 120), (2, "https://b.example/", "p" * 120), (3, None, "short"), (4, "http://c.example/", "short"), (5, "http://c.example/", None),
@@ -41,6 +42,38 @@ def test_warc_round_trip(spark):
     assert [x[2:] for x in sorted(order)] == sorted(x[2:] for x in order)
 
 
+def test_captures_are_merged_in_passes(spark, monkeypatch):
+    monkeypatch.setattr("tessera.llm.warc.ARCHIVE_BYTES", 4000)
+    rng = random.Random(6)
+    rows = [(i, f"http://h{rng.randint(0, 9)}.example/{rng.choice(['', 'a', 'b'])}", "x" * 50) for i in range(900)] + [(None, "http://h1.example/", "n")] * 5
+    runs = read_archives(spark, write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)))
+    runs = runs.withColumn("run", (F.col("run") * 300 + F.floor(F.col("at") / 4)).cast("int"))  # as if each four entries were a run
+    runs = runs.withColumns({"head_key": F.first("urlkey").over(w := Window.partitionBy("run", "block").orderBy("at")), "head_ts": F.first("ts").over(w), "head_page": F.first("page_id").over(w), "head_archive": F.first("archive").over(w), "head_offset": F.first("offset").over(w)})
+    assert runs.select("run").distinct().count() > 100
+    out = [r.asDict() for r in capture_index(runs, fan=5).orderBy("part", "place").collect()]
+    keys = [(r["urlkey"], r["ts"], r["page_id"] is not None, r["page_id"] or 0) for r in out]
+    assert keys == sorted(keys) and len(out) == 905 and Counter(r["page_id"] for r in out) == Counter(k for k, _, _ in rows)
+
+
+def test_blocks_are_read_one_a_run():
+    rng = random.Random(7)
+    runs = [sorted(((rng.randint(0, 99), "u", f"k{rng.randint(0, 9)}", "t", f"a{i}", j, 1, "response", 1, "d", None) for j in range(60)), key=_order) for i in range(9)]
+    blocks = [[(*r, i, j, at, *[b[0][c] for c in (2, 3, 0, 4, 5)]) for at, r in enumerate(b)] for i, run in enumerate(runs) for j, b in enumerate([run[a : a + 5] for a in range(0, 60, 5)])]
+    blocks.sort(key=lambda b: (_order(b[0]), b[0][11], b[0][12]))
+    read, most = [0], [0]
+
+    def stream():
+        for b in blocks:
+            read[0] += len(b)
+            yield from b
+
+    out = []
+    for row in merge_blocks(stream()):
+        out.append(row)
+        most[0] = max(most[0], read[0] - len(out))
+    assert out == sorted((r for run in runs for r in run), key=_order) and most[0] <= 5 * 10 and len(out) == 540
+
+
 def test_warc_empty_table_and_damage(spark):
     assert capture_index(read_archives(spark, write_archives(spark.createDataFrame([], "page_id long, url string, html string")))).collect() == []
     with pytest.raises(ValueError):
@@ -82,6 +115,14 @@ def test_shards(spark, sf):
     assert [(r["doc_id"], r["shard"], r["slot"]) for r in sorted(out, key=str)] == [(r["doc_id"], r["shard"], r["slot"]) for r in sorted(op5_sharding(spark, sf).collect(), key=str)]
 
 
+def test_groups_of_partitions_share_a_row_of_the_matrix(spark, monkeypatch):
+    monkeypatch.setattr("tessera.llm.sharding.MATRIX_ROWS", 3)
+    df = spark.range(1000).repartition(10)
+    out = shuffle_to_shards(df, 7, seed=3).collect()
+    assert sorted(Counter(r["shard"] for r in out).values()) == [142] + [143] * 6 and sorted(r["id"] for r in out) == list(range(1000))
+    assert {(r["shard"], r["slot"]) for r in out} == {(s, i) for s in range(7) for i in range(143 if s < 6 else 142)}
+
+
 def test_shard_edges(spark):
     rows = [(None, None, 9)] * 30 + [(1, "same", 8)] * 30 + [(2, "x" * 100_000, 7)]
     out = shuffle_to_shards(spark.createDataFrame(rows, "doc_id long, text string, shard int").repartition(3), 7).collect()
