@@ -41,6 +41,17 @@ def test_one_row_of_each_group_stays(spark):
     assert len(kept[0]) == 3
 
 
+def test_many_groups_of_several_rows(spark, monkeypatch):
+    monkeypatch.setattr("tessera.llm.exact_dedup.BROADCAST_REPEATS", 3)
+    monkeypatch.setattr("tessera.llm.exact_dedup.HOT", 50)
+    rows = [(i, f"text {i % 40}", "a") for i in range(200)] + [(1000 + i, "hot", "b") for i in range(300)] + [(-(1 << 63), "least key", "c"), (None, "least key", "c")]
+    out = {r["doc_id"]: r for r in exact_dedup(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert all((out[i]["keep_id"], out[i]["group_size"], out[i]["kept"]) == (160 + i % 40, 5, i >= 160) for i in range(200))
+    assert all((out[i]["keep_id"], out[i]["group_size"]) == (1299, 300) for i in range(1000, 1300))
+    assert (out[None]["keep_id"], out[None]["kept"], out[-(1 << 63)]["kept"]) == (-(1 << 63), False, True)
+    assert distinct_texts(spark.createDataFrame(rows, SCHEMA)).count() == 42
+
+
 def test_exact_dedup_clashing_names_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a", 5, "q"), (2, "A", 6, "r")], "doc_id long, text string, kept int, t_norm string")
     out = {r["doc_id"]: r for r in exact_dedup(df).collect()}
@@ -50,7 +61,7 @@ def test_exact_dedup_clashing_names_and_empty_table(spark):
 
 
 def test_exact_dedup_runs_no_python(spark):
-    plan = exact_dedup(spark.createDataFrame(ROWS, SCHEMA).repartition(2))._jdf.queryExecution().toString()
+    plan = distinct_texts(spark.createDataFrame(ROWS, SCHEMA).repartition(2))._jdf.queryExecution().toString() + exact_dedup(spark.createDataFrame(ROWS, SCHEMA).repartition(2))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
