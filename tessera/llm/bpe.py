@@ -20,8 +20,8 @@ from tessera.llm.common import batches, col, put, ship
 
 #: Words of up to so many bytes go through the rank array; longer ones through a heap, whose cost is not quadratic.
 SHORT = 32
-#: Words whose ids a worker keeps between batches, and bytes of text that it splits at a time.
-CACHE_WORDS, BATCH_BYTES = 200_000, 2 << 20
+#: Words whose ids a worker keeps between batches, their characters, and bytes of text that it splits at a time.
+CACHE_WORDS, CACHE_CHARS, BATCH_BYTES = 200_000, 8 << 20, 2 << 20
 NO_RANK = np.int32(2**31 - 1)
 #: Unicode white space, as the tokenizer's expressions mean it.
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -97,6 +97,7 @@ class ByteBPE:
 
     def clear(self) -> None:
         self.words.clear()
+        self.chars = 0
         self.flat, self.lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
 
     def merge_short(self, words: list[bytes]) -> list[np.ndarray]:
@@ -189,6 +190,7 @@ class ByteBPE:
                     found[k] = ids
         for k in np.flatnonzero(n > SHORT):
             found[k] = self.merge_long(raw[k])
+        self.chars += sum(map(len, new))
         self.words.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
         self.flat += found
         self.lengths.append(np.array([len(x) for x in found], np.int64))
@@ -211,7 +213,7 @@ class ByteBPE:
             special.append(places)
         distinct: set[str] = set().union(*split) if split else set()
         new = [w for w in distinct if w not in self.words]
-        if len(self.words) + len(new) > CACHE_WORDS:
+        if len(self.words) + len(new) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self.clear()
             new = list(distinct)
         if new:

@@ -29,6 +29,16 @@ def test_encode_and_decode_as_the_library(monkeypatch):
             assert vocab.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+def test_long_words_do_not_fill_the_cache(monkeypatch):
+    vocab, library = ByteBPE(PATH), Tokenizer.from_file(PATH)
+    monkeypatch.setattr("tessera.llm.bpe.CACHE_CHARS", 10_000)
+    rng = random.Random(2)
+    for _ in range(6):
+        text = "".join(rng.choice("abcdefgh") for _ in range(20_000)) + " end"
+        assert vocab.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert vocab.chars <= 30_000
+
+
 def test_short_and_long_words_merge_alike():
     vocab = ByteBPE(PATH)
     for word in (b"internationalization", b"aaaaaaaaaaaaaaaa", "ééééé".encode(), b"x", b"thththththth"):
