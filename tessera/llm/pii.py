@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -86,6 +87,32 @@ _MAYBE = re.compile(r"[0-9]|\[at\]|\(at\)|\{at\}| at |＠")
 _FOR = ("phone", "tel", "call", "mobile", "fax", "contact", "reach", "mail", "write", "address", "card", "visa", "pay", "telefon", "appel", "llama", "numéro", "whatsapp")
 _AGAINST = ("version", "license", "lizenz", "order", "invoice", "isbn", "sku", "id", "part", "page", "chapter", "serial", "build", "total", "price", "eur", "usd", "$", "figure", "table", "date", "token", "password", "sha", "hash")
 _CONTEXT = 32
+#: Candidates whose features are held at a time.
+FEATURE_ROWS = 20_000
+
+
+class Intervals:
+    """Disjoint spans in order, asked and added to by bisection."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]] = ()) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):  # those that overlap become one
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meet(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        return i > 0 and self.ends[i - 1] > a
+
+    def add(self, a: int, b: int) -> None:
+        """One that meets none of those there."""
+        i = bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
 
 
 def candidates(text: str, base: list[Span]) -> list[Span]:
@@ -95,8 +122,8 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
     out = {(kind, m.start(), m.end()) for kind, pattern in GENERATORS for m in pattern.finditer(text)}
     if not out:
         return []
-    taken = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
-    return sorted(s for s in out if not any(a < s[2] and s[1] < b for a, b in taken[s[0]]))
+    taken = {k: Intervals((a, b) for kind, a, b in base if kind == k) for k in KINDS}
+    return sorted(s for s in out if not taken[s[0]].meet(s[1], s[2]))
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -187,9 +214,15 @@ def added_spans(texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     out: list[list[Span]] = [[] for _ in texts]
     if rows:
         trees, limits = model()
-        p = trees.probability(np.array([features(texts[i], s) for i, s in rows], float))
+        p = np.concatenate([trees.probability(np.array([features(texts[i], s) for i, s in rows[at : at + FEATURE_ROWS]], float)) for at in range(0, len(rows), FEATURE_ROWS)])
+        taken: dict[int, Intervals] = {}
         for q, (i, s) in sorted(zip(p.tolist(), rows, strict=True), key=lambda r: (-r[0], r[1])):
-            if q >= limits[s[0]] and not any(a < s[2] and s[1] < b for _, a, b in [*out[i], *base[i]]):
+            if q < limits[s[0]]:
+                continue
+            if i not in taken:
+                taken[i] = Intervals((a, b) for _, a, b in base[i])
+            if not taken[i].meet(s[1], s[2]):
+                taken[i].add(s[1], s[2])
                 out[i].append(s)
     return out
 
