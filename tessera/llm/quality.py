@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import IS_SPACE, batches, col, mix, pieces, put, release, ship, text_bytes, word_pieces
+from tessera.llm.common import IS_SPACE, batches, col, mix, pieces, put, release, ship, text_bytes, word_pieces, written
 
-#: Dimensions of a vector; slots that words are hashed to; labelled rows that the fit reads at most, and the longest text among them.
-DIMENSIONS, SLOTS, FIT_ROWS, FIT_CHARS = 32, 1 << 14, 6_000, 200_000
+#: Dimensions of a vector and those of them that an index vector fills; slots that words are hashed to; labelled rows that the fit reads at most.
+DIMENSIONS, FILLED, SLOTS, FIT_ROWS = 32, 4, 1 << 14, 6_000
+#: Tasks that read the fitted rows; each sends one table of contexts (2 MB) to the driver.
+FIT_TASKS = 8
 HIDDEN = 32
 #: Rows whose share of five is this one are held out.
 FOLDS = 5
@@ -45,15 +47,39 @@ def terms(data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, rows: np.nda
     return (hashes & np.uint64(SLOTS - 1)).astype(np.int64), shape
 
 
+def index_places(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The dimensions that each sparse ternary index vector fills, and 1 or -1 for each, drawn by hash."""
+    h = mix(np.arange(n, dtype=np.uint64)[:, None] * np.uint64(FILLED) + np.arange(FILLED, dtype=np.uint64) + np.uint64(seed << 40))
+    return (h % np.uint64(DIMENSIONS)).astype(np.int64), np.where(h >> np.uint64(63), 1, -1)
+
+
 def index_vectors(n: int, seed: int) -> np.ndarray:
-    """Sparse ternary vectors: four of the dimensions are 1 or -1, drawn by hash."""
+    at, sign = index_places(n, seed)
     out = np.zeros((n, DIMENSIONS), np.float32)
-    for j in range(4):
-        h = mix(np.arange(n, dtype=np.uint64) * np.uint64(4) + np.uint64(j + (seed << 40)))
-        out[np.arange(n), (h % np.uint64(DIMENSIONS)).astype(np.int64)] += np.where(h >> np.uint64(63), 1.0, -1.0)
+    np.add.at(out, (np.arange(n)[:, None], at), sign)
     return out
 
 
+#: Seeds of the index vectors of words and of shapes.
+WORDS, WORD_SHAPES = 1, 2
+
+
+def contexts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Random indexing: for each word slot the sum of its neighbours' index vectors, those of the words and of their shapes, and likewise for each shape that of its neighbours' shapes. Whole numbers, so sums do not depend on their order."""
+    words, shapes = index_places(SLOTS, WORDS), index_places(SHAPES, WORD_SHAPES)
+    around_word, around_shape = np.zeros(SLOTS * DIMENSIONS), np.zeros(SHAPES * DIMENSIONS)
+    for raw, hashes, starts, rows in word_pieces(*text_bytes(column)):
+        if len(starts) < 2:
+            continue
+        slot, shape = terms(raw, hashes, starts, rows)
+        near = np.flatnonzero(rows[1:] == rows[:-1])
+        for a, b in ((near, near + 1), (near + 1, near)):
+            for total, to, of, (at, sign) in ((around_word, slot, slot, words), (around_word, slot, shape, shapes), (around_shape, shape, shape, shapes)):
+                for j in range(FILLED):
+                    total += np.bincount(to[a] * DIMENSIONS + at[of[b], j], sign[of[b], j], len(total))
+    return around_word.reshape(-1, DIMENSIONS).astype(np.int32), around_shape.reshape(-1, DIMENSIONS).astype(np.int64)
+
+
 @dataclass
 class Model:
     """Word and shape vectors, scaling, two layers, temperature."""
@@ -95,41 +121,39 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(self.pooled(column)) / self.temperature, -60, 60)))
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 11) -> Model:
-    """Learn from texts and labels (0 or 1). With one kind of label or none, every score is that label's share (one half without labels)."""
-    y = np.array(labels, np.float64)
-    words, shapes = index_vectors(SLOTS, 1), index_vectors(SHAPES, 2)
-    zero = Model(words, shapes, np.zeros(2 * DIMENSIONS), np.ones(2 * DIMENSIONS), np.zeros((2 * DIMENSIONS, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0)
-    if len(set(labels)) < 2:
-        zero.prior = float(y.mean()) if len(y) else 0.5
-        return zero
-    # Random indexing: a word's vector is its own index vector and those of its neighbours' shapes; likewise a shape's.
-    column = pa.array(texts, pa.large_string())
-    around_word, around_shape = np.zeros_like(words), np.zeros_like(shapes)
-    for raw, hashes, starts, rows in word_pieces(*text_bytes(column)):
-        if len(starts) < 2:
-            continue
-        slot, shape = terms(raw, hashes, starts, rows)
-        near = np.flatnonzero(rows[1:] == rows[:-1])
-        for a, b in ((near, near + 1), (near + 1, near)):
-            np.add.at(around_word, slot[a], shapes[shape[b]])
-            np.add.at(around_shape, shape[a], shapes[shape[b]])
+def indexed(around_word: np.ndarray, around_shape: np.ndarray) -> Model:
+    """A model that has its word vectors: each is the word's own index vector and the sum of its neighbours'."""
     unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-    zero.words, zero.shapes = (0.5 * unit(words) + 0.5 * unit(around_word)).astype(np.float32), unit(shapes) + 0.25 * unit(around_shape)
-    x = zero.pooled(column)
-    zero.mean, zero.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    words = (0.5 * unit(index_vectors(SLOTS, WORDS)) + 0.5 * unit(around_word)).astype(np.float32)
+    shapes = unit(index_vectors(SHAPES, WORD_SHAPES)) + 0.25 * unit(around_shape)
+    return Model(words, shapes, np.zeros(2 * DIMENSIONS), np.ones(2 * DIMENSIONS), np.zeros((2 * DIMENSIONS, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0)
+
+
+def train(model: Model, x: np.ndarray, y: np.ndarray, seed: int = 11) -> Model:
+    """The two layers and the temperature, from pooled vectors and labels (0 or 1). With one kind of label or none, every score is that label's share (one half without labels)."""
+    if len(set(y.tolist())) < 2:
+        model.prior = float(y.mean()) if len(y) else 0.5
+        return model
+    model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
-    held, train = order[: max(1, len(y) // 6)], order[max(1, len(y) // 6) :]
-    zero.w1, zero.w2 = rng.normal(0, 1 / np.sqrt(2 * DIMENSIONS), (2 * DIMENSIONS, HIDDEN)), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN)
-    share = y[train].mean()
-    zero.b2 = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
-    _descend(zero, (x - zero.mean) / zero.scale, y, train, rng)
-    z = zero.logits(x[held])
+    held, rest = order[: max(1, len(y) // 6)], order[max(1, len(y) // 6) :]
+    model.w1, model.w2 = rng.normal(0, 1 / np.sqrt(2 * DIMENSIONS), (2 * DIMENSIONS, HIDDEN)), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN)
+    share = y[rest].mean()
+    model.b2 = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
+    _descend(model, (x - model.mean) / model.scale, y, rest, rng)
+    z = model.logits(x[held])
     grid = np.exp(np.linspace(np.log(0.25), np.log(8), 60))
     loss = [np.mean(np.logaddexp(0, z / t) - y[held] * z / t) for t in grid]
-    zero.temperature = float(grid[int(np.argmin(loss))])
-    return zero
+    model.temperature = float(grid[int(np.argmin(loss))])
+    return model
+
+
+def fit(texts: list[str], labels: list[int], seed: int = 11) -> Model:
+    """Learn from texts and labels that are here; ``fit_quality`` does the same over tables."""
+    column = pa.array(texts, pa.large_string())
+    model = indexed(*contexts(column))
+    return train(model, model.pooled(column), np.array(labels, np.float64), seed)
 
 
 def _descend(model: Model, x: np.ndarray, y: np.ndarray, train: np.ndarray, rng: np.random.Generator, epochs: int = 60, rate: float = 0.01, decay: float = 1e-4) -> None:
@@ -156,14 +180,37 @@ def fold(key: Column) -> Column:
 def fit_quality(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS) -> Model:
     """Fit on ``rows`` labelled rows at most, none of them held out: those of least seeded hash of the key, which is a bounded sample.
 
-    Only the sample's texts of up to 200,000 characters come to the driver, some 20 MB at the usual lengths. The sampled keys are few enough to send to
-    every task, so the documents are read once and not shuffled. Labels other than 0 and 1 and null keys are left out.
+    The sample is written as a table; its texts, whole ones of any length, stay in the tasks that read them. To the driver come tables of word
+    contexts and then a vector for each text, so what it holds does not depend on the texts. The sampled keys are few enough to send to
+    every task, so the documents are read once and not shuffled. Labels other than 0 and 1 and null keys are left out; a null text is
+    an empty one; of rows that repeat a key the greatest text counts.
     """
+    spark = documents.sparkSession
+    ship(spark)
     marked = labels.select(col(key).alias("k"), col(label).cast("int").alias("y")).where((fold(F.col("k")) != 0) & F.col("y").isin(0, 1) & F.col("k").isNotNull())
     sample = marked.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(rows)
-    found = documents.select(col(key).alias("d"), col(text).alias("t")).join(F.broadcast(sample), F.col("d") == F.col("k")).where(F.length("t") <= FIT_CHARS)
-    got = found.groupBy("d").agg(F.max("t").alias("t"), F.max("y").alias("y")).orderBy("d").toPandas()
-    return fit(got["t"].tolist(), got["y"].astype(int).tolist())
+    found = documents.select(col(key).alias("d"), col(text).alias("t")).join(F.broadcast(sample), F.col("d") == F.col("k"))
+    fitted = written(found.groupBy("d").agg(F.max("t").alias("t"), F.max("y").alias("y")), "quality-sample").coalesce(FIT_TASKS)
+
+    def context_sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, shape = np.zeros((SLOTS, DIMENSIONS), np.int32), np.zeros((SHAPES, DIMENSIONS), np.int64)
+        for batch in batches(it, "t"):
+            w, s = contexts(batch.column("t"))
+            word, shape = word + w, shape + s
+        yield pa.RecordBatch.from_arrays([pa.array([word.tobytes()], pa.binary()), pa.array([shape.tobytes()], pa.binary())], ["word", "shape"])
+
+    sums = fitted.select("t").mapInArrow(context_sums, "word binary, shape binary").collect()  # a row for each of FIT_TASKS tasks at most
+    model = indexed(sum((np.frombuffer(r["word"], np.int32).reshape(-1, DIMENSIONS) for r in sums), np.zeros((SLOTS, DIMENSIONS), np.int32)), sum((np.frombuffer(r["shape"], np.int64).reshape(-1, DIMENSIONS) for r in sums), np.zeros((SHAPES, DIMENSIONS), np.int64)))
+    shared = spark.sparkContext.broadcast(model)
+
+    def vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, "t"):
+            x = shared.value.pooled(batch.column("t"))
+            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("y"), pa.array([v.tobytes() for v in x], pa.binary())], ["d", "y", "x"])
+
+    kind = dict(fitted.dtypes)["d"]
+    got = fitted.select("d", "y", "t").mapInArrow(vectors, f"d {kind}, y int, x binary").orderBy("d").collect()  # ``rows`` short rows at most
+    return train(model, np.array([np.frombuffer(r["x"]) for r in got]).reshape(-1, 2 * DIMENSIONS), np.array([r["y"] for r in got], np.float64))
 
 
 def score_quality(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

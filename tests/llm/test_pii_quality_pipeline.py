@@ -1,11 +1,14 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -45,6 +48,49 @@ def test_long_texts_take_linear_time():
         pii.candidates(text, [])
 
 
+def test_very_long_texts_full_of_spans(spark):
+    """Nearly a megabyte with 20,000 candidates and 20,000 base spans, in time that does not grow with their product."""
+    text = " ".join(f"call ({200 + i % 700}) 555-{1000 + i % 9000} or me{i}@x.org ok" for i in range(22_000))
+    began = time.time()
+    base = pii.base_spans(text)
+    added = pii.added_spans([text], [base])[0]
+    assert len(base) == 22_000 and len(added) >= 20_000 and len(text) >= 800_000 and time.time() - began < 60
+    places = sorted((a, b) for _, a, b in added)
+    assert all(b <= c for (_, b), (c, _) in zip(places, places[1:], strict=False))
+    out = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert out["n_email"] == 22_000 and out["spans"].count("phone") == len(added)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 8))), st.tuples(st.integers(0, 60), st.integers(1, 8)))
+def test_intervals(spans, asked):
+    spans, asked = [(a, a + n) for a, n in spans], (asked[0], sum(asked))
+    held = pii.Intervals(spans)
+    assert held.meet(*asked) == any(a < asked[1] and asked[0] < b for a, b in spans)
+    if not held.meet(*asked):
+        held.add(*asked)
+        assert held.meet(*asked)
+
+
+#: Written by hand, not by ``examples``: each text with the spans that a reader would black out beyond the base ones.
+WRITTEN = [
+    ("Please ring our office on 020 7946 0958 before noon.", ["020 7946 0958"]), ("My mobile: 555-867-5309, evenings only", ["555-867-5309"]), ("Fax 0221/470-3311 (Frau Weber)", ["0221/470-3311"]),
+    ("reach me at jane.doe [at] mail [dot] com please", ["jane.doe [at] mail [dot] com"]), ("write to bob(at)site(dot)org", ["bob(at)site(dot)org"]), ("Server answers on 10[.]0[.]0[.]7 only", ["10[.]0[.]0[.]7"]),
+    ("Call (415) 555-2671 or (415) 555-9999.", ["(415) 555-2671", "(415) 555-9999"]), ("Tel. 415.555.2671", ["415.555.2671"]), ("phone 0171 555 0199", ["0171 555 0199"]),
+    ("visa 4111.1111.1111.1111 exp 09/27", ["4111.1111.1111.1111"]), ("pay with 5500/0000/0000/0004", ["5500/0000/0000/0004"]), ("contact: mary_k at example dot net", ["mary_k at example dot net"]),
+    ("The meeting is on 2021-05-17 at 10:30.", []), ("ISBN 978-3-16-148410-0 is out of print", []), ("Release 12.04.20.3 fixes bug 48211", []), ("Total: 1 234 567 EUR for order 2022-11-0042", []), ("see chapter 3.2.1 and page 144", []),
+    ("between 1990-12-31 and 1999/01/02", []), ("build 20230914 passed 10432 tests", []), ("we met at school. Then we left", []), ("serial no 8841-2231-0021", []), ("on 12.05.1998 in Bonn", []), ("invoice 4500123987 dated 03/04/2019", []), ("ratio 3:2 at 60.5 degrees", []),
+]
+
+
+def test_added_spans_on_texts_written_by_hand():
+    right = wrong = missed = 0
+    for text, want in WRITTEN:
+        found = {text[a:b] for _, a, b in pii.added_spans([text], [pii.base_spans(text)])[0]}
+        right, wrong, missed = right + len(found & set(want)), wrong + len(found - set(want)), missed + len(set(want) - found)
+    assert right / (right + wrong) >= 0.9 and right / (right + missed) >= 0.75, (right, wrong, missed)
+
+
 def test_added_spans_are_right_on_unseen_examples():
     texts, spans, y = pii.examples(1500, 77)
     trees, limits = pii.model()
@@ -106,6 +152,19 @@ def test_quality_edges(spark):
     assert {r["score"] for r in none} == {0.5}
 
 
+def test_fit_reads_whole_long_and_null_texts(spark):
+    long = "good words in a row " * 40_000
+    rows = [(i, long if i == 3 else "good words here") for i in range(40)] + [(100 + i, "BAD!! LOUD!!") for i in range(40)] + [(200 + i, None) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, quality int")
+    out = {r["doc_id"]: r["predicted"] for r in quality.quality_scores(df, labels).collect()}
+    assert all(out[i] == int(i < 100) for i, _ in rows)
+    small = df.where("doc_id <> 3 and doc_id < 200")
+    texts, y = zip(*[(t, int(i < 100)) for i, t in rows if i != 3 and i < 200 and zlib.crc32(str(i).encode()) % 5], strict=True)
+    here, there = quality.fit(list(texts), list(y)), quality.fit_quality(small, labels)
+    assert np.allclose(here.words, there.words) and np.allclose(here.w1, there.w1)
+
+
 def test_scores_depend_on_the_text_alone(spark):
     model = quality.fit(["good words in a row"] * 20 + ["BAD!! LOUD!!"] * 20, [1] * 20 + [0] * 20)
     df = spark.createDataFrame([(1, "good BAD!! words"), (2, "good BAD!! words")], "doc_id long, text string")
