@@ -35,7 +35,7 @@ def clean(body: Column, contract_number: Column | None = None) -> Column:
     """Scanned text without blank lines, page footers and bracket noise, with misread phrases put right; a contract's number that heads it is replaced by the known one."""
     lines = F.transform(F.split(F.regexp_replace(body, "\r\n|\r", "\n"), "\n"), strip)
     kept = F.filter(lines, lambda line: (line != "") & ~bracket_noise(line) & ~page_footer(line))
-    kept = F.when((F.size(kept) > 1) & (F.lower(F.get(kept, F.lit(0))) == "preface"), F.slice(kept, 2, 1_000_000)).otherwise(kept)
+    kept = F.when((F.size(kept) > 1) & (F.lower(F.get(kept, F.lit(0))) == "preface"), F.slice(kept, F.lit(2), F.size(kept) - 1)).otherwise(kept)
     out = F.array_join(kept, "\n")
     for wrong, right in MISREAD.items():
         out = F.replace(out, F.lit(wrong), F.lit(right))

@@ -2,76 +2,102 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+import re
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-
-
-
-def _pieces(sections: DataFrame, most: int, overlap: int, key: str) -> DataFrame:
-    """Sections with the texts they fall into: one that is longer than a chunk is cut at empty lines, with the end of each text at the start of the next; a longer paragraph stays whole."""
-    paragraphs = F.filter(F.transform(F.split("text", "\n{2,}"), text.strip), lambda p: p != "")
-    paragraphs = F.when(F.size(paragraphs) > 0, paragraphs).otherwise(F.array("text"))
-    kind = "struct<done:array<string>,parts:array<string>,tokens:bigint>"
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("parts"), F.lit(0).cast("bigint").alias("tokens")).cast(kind)
-
-    def step(s: Column, p: Column) -> Column:
-        n = text.token_estimate(p)
-        whole = text.strip(F.array_join(s["parts"], "\n\n"))
-        tail = F.when(F.length(whole) > overlap * 4, F.substring(whole, -overlap * 4, overlap * 4)).otherwise(whole) if overlap else F.lit("")
-        over = (F.size(s["parts"]) > 0) & (s["tokens"] + n > most)
-        fresh = F.array(tail, p) if overlap else F.array(p)
-        carried = text.token_estimate(tail) + n if overlap else n
-        return F.when(over, F.struct(F.concat(s["done"], F.array(whole)).alias("done"), fresh.alias("parts"), carried.alias("tokens"))).otherwise(F.struct(s["done"].alias("done"), F.concat(s["parts"], F.array(p)).alias("parts"), (s["tokens"] + n).alias("tokens"))).cast(kind)
-
-    cut = F.aggregate(paragraphs, start, step, lambda s: F.concat(s["done"], F.array(text.strip(F.array_join(s["parts"], "\n\n")))))
-    tokens = text.token_estimate(F.col("text"))
-    return sections.withColumn("tokens", tokens).withColumn("cut", F.when(tokens > most, cut))
+from tessera.operators.streamed import folded
+
+_CJK = re.compile("[一-鿿]")
+#: White space as the column expressions mean it.
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+
+
+def token_estimate(body: str) -> int:
+    """``functions.text.token_estimate`` of a text."""
+    n = len(body)
+    share = 0.0 if body.isascii() else len(_CJK.findall(body)) / max(n, 1)
+    return math.floor(n / (2.5 * share + 4.0 * (1.0 - share)))
+
+
+def _pieces(body: str, most: int, overlap: int) -> Iterator[str]:
+    """The texts that a longer section falls into: cut at empty lines, with the end of each text at the start of the next; a longer paragraph stays whole."""
+    parts: list[str] = []
+    tokens = 0
+    for p in [p for p in (x.strip(_SPACE) for x in re.split("\n{2,}", body)) if p] or [body]:
+        n = token_estimate(p)
+        if parts and tokens + n > most:
+            whole = "\n\n".join(parts).strip(_SPACE)
+            yield whole
+            tail = whole[-overlap * 4 :] if overlap else ""
+            parts, tokens = [tail] if overlap else [], token_estimate(tail)
+        parts.append(p)
+        tokens += n
+    yield "\n\n".join(parts).strip(_SPACE)
+
+
+#: Sections in order: idx, sid, title, page_start, page_end, text. Chunks: sids, titles, page_start, page_end, text.
+Section = tuple[int, str | None, str | None, int | None, int | None, str | None]
+Chunk = tuple[list[str], list[str], int | None, int | None, str]
+
+
+def _packed(sections: Iterator[Section], most: int, merge: bool, threshold: int, overlap: int) -> Iterator[Chunk]:
+    """Chunks as their sections come in; only the open one is held."""
+    held: list[Section] = []
+    used = 0
+
+    def flushed() -> Iterator[Chunk]:
+        if held:
+            span = lambda i: [s[i] for s in held if s[i] is not None]
+            yield span(1), [s[2] for s in held[:3] if s[2] is not None], min(span(3), default=None), max(span(4), default=None), "\n\n".join(span(5)).strip(_SPACE)
+            held.clear()
+
+    for s in sections:
+        n = token_estimate(s[5] or "")
+        if n > most:
+            yield from flushed()
+            own = [s[1]] if s[1] is not None else [], [s[2]] if s[2] is not None else [], s[3], s[4]
+            yield from ((*own, piece) for piece in _pieces(s[5], most, overlap))
+            continue
+        if not (held and merge and used + n <= most and (used < threshold or n < threshold)):
+            yield from flushed()
+            used = 0
+        held.append(s)
+        used += n
+    yield from flushed()
 
 
 def chunk(sections: DataFrame, most: int = 1000, merge: bool = True, threshold: int = 200, overlap: int = 0, key: str = "doc_id") -> DataFrame:
     """Chunks of each document's sections in order: key, idx (from 1), chunk_id, sids, title, page_start, page_end, char_count, token_estimate, text.
 
-    A section joins the chunk before it where both fit and either is below the threshold; one that does not fit at all is cut. A fold
-    over a document's array of sections, in the JVM: a document is one row there, so very long documents should come in parts.
+    A section joins the chunk before it where both fit and either is below the threshold; one that does not fit at all is cut. A
+    document's sections are streamed in order, and only the open chunk is held; null texts count as empty.
     """
-    item = F.struct("idx", "sid", "title", "page_start", "page_end", "text", "tokens", "cut")
-    listed = _pieces(sections, most, overlap, key).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("s"))
-    one = "struct<sids:array<string>,titles:array<string>,page_start:int,page_end:int,text:string>"
-    kind = f"struct<done:array<{one}>,sids:array<string>,titles:array<string>,page_start:int,page_end:int,parts:array<string>,tokens:bigint>"
-    none = F.array().cast("array<string>")
-    empty = F.struct(F.array().cast(f"array<{one}>").alias("done"), none.alias("sids"), none.alias("titles"), F.lit(None).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end"), none.alias("parts"), F.lit(0).cast("bigint").alias("tokens")).cast(kind)
-
-    def flushed(s: Column) -> Column:
-        made = F.struct(s["sids"].alias("sids"), s["titles"].alias("titles"), s["page_start"].alias("page_start"), s["page_end"].alias("page_end"), text.strip(F.array_join(s["parts"], "\n\n")).alias("text")).cast(one)
-        return F.when(F.size(s["sids"]) > 0, F.concat(s["done"], F.array(made))).otherwise(s["done"])
-
-    def step(s: Column, x: Column) -> Column:
-        fits = F.lit(merge) & (s["tokens"] + x["tokens"] <= most) & ((s["tokens"] < threshold) | (x["tokens"] < threshold))
-        titles = F.when(F.size(s["titles"]) < 3, F.concat(s["titles"], F.array(x["title"]))).otherwise(s["titles"])
-        grown = F.struct(s["done"].alias("done"), F.concat(s["sids"], F.array(x["sid"])).alias("sids"), titles.alias("titles"), F.least(s["page_start"], x["page_start"]).alias("page_start"), F.greatest(s["page_end"], x["page_end"]).alias("page_end"), F.concat(s["parts"], F.array(x["text"])).alias("parts"), (s["tokens"] + x["tokens"]).alias("tokens")).cast(kind)
-        alone = lambda done: F.struct(done.alias("done"), F.array(x["sid"]).alias("sids"), F.array(x["title"]).alias("titles"), x["page_start"].alias("page_start"), x["page_end"].alias("page_end"), F.array(x["text"]).alias("parts"), x["tokens"].alias("tokens")).cast(kind)
-        cut = F.transform(x["cut"], lambda t: F.struct(F.array(x["sid"]).alias("sids"), F.array(x["title"]).alias("titles"), x["page_start"].alias("page_start"), x["page_end"].alias("page_end"), t.alias("text")).cast(one))
-        long = F.struct(F.concat(flushed(s), cut).alias("done"), none.alias("sids"), none.alias("titles"), F.lit(None).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end"), none.alias("parts"), F.lit(0).cast("bigint").alias("tokens")).cast(kind)
-        return F.when(x["cut"].isNotNull(), long).when(F.size(s["sids"]) == 0, alone(s["done"])).when(fits, grown).otherwise(alone(flushed(s)))
-
-    made = listed.select(key, F.posexplode(F.aggregate("s", empty, step, flushed)).alias("_i", "c"))
-    title = F.regexp_replace(F.array_join("c.titles", " / "), "^[ /]+|[ /]+$", "")
-    return made.select(key, (F.col("_i") + 1).alias("idx"), F.format_string("chunk-%04d", F.col("_i") + 1).alias("chunk_id"), F.col("c.sids").alias("sids"), title.alias("title"), F.col("c.page_start").alias("page_start"), F.col("c.page_end").alias("page_end"), F.length("c.text").alias("char_count"), text.token_estimate(F.col("c.text")).alias("token_estimate"), F.col("c.text").alias("text"))
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for i, (sids, titles, start, end, body) in enumerate(_packed(rows, most, merge, threshold, overlap), 1):
+            yield i, sids, " / ".join(titles), start, end, body
+
+    rows = sections.select(key, *(F.col(c).cast("int").alias(c) if c in ("idx", "page_start", "page_end") else c for c in ("idx", "sid", "title", "page_start", "page_end", "text")))
+    made = folded(rows, "idx int, sids array<string>, title string, page_start int, page_end int, text string", fold)
+    title = F.regexp_replace("title", "^[ /]+|[ /]+$", "")
+    return made.select(key, "idx", F.format_string("chunk-%04d", "idx").alias("chunk_id"), "sids", title.alias("title"), "page_start", "page_end", F.length("text").alias("char_count"), text.token_estimate(F.col("text")).alias("token_estimate"), "text")
 
 
 def batches(sections: DataFrame, most: int = 10_000, extra: int = 20, key: str = "doc_id") -> DataFrame:
     """Sections with the number of the batch (from 1) they go to in order, none over ``most`` tokens unless a single one is: key, idx, batch, tokens."""
-    tokens = text.token_estimate(F.col("text")) + text.token_estimate(F.col("title")) + extra
-    listed = sections.withColumn("_tokens", tokens).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "_tokens"))).alias("s"))
-    kind = "struct<batch:int,used:bigint,out:array<struct<idx:int,batch:int,tokens:bigint>>>"
-    start = F.struct(F.lit(1).alias("batch"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<idx:int,batch:int,tokens:bigint>>").alias("out")).cast(kind)
 
-    def step(s: Column, x: Column) -> Column:
-        over = (s["used"] > 0) & (s["used"] + x["_tokens"] > most)
-        number = s["batch"] + over.cast("int")
-        used = F.when(over, x["_tokens"]).otherwise(s["used"] + x["_tokens"])
-        return F.struct(number.alias("batch"), used.alias("used"), F.concat(s["out"], F.array(F.struct(x["idx"].cast("int").alias("idx"), number.alias("batch"), x["_tokens"].alias("tokens")))).alias("out")).cast(kind)
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        number, used = 1, 0
+        for idx, tokens in rows:
+            if used and used + tokens > most:
+                number, used = number + 1, 0
+            used += tokens
+            yield idx, number, tokens
 
-    return listed.select(key, F.explode(F.aggregate("s", start, step)["out"]).alias("x")).select(key, "x.idx", "x.batch", "x.tokens")
+    tokens = text.token_estimate(F.col("text")) + text.token_estimate(F.col("title")) + extra
+    return folded(sections.select(key, F.col("idx").cast("int").alias("idx"), tokens.alias("tokens")), "idx int, batch int, tokens bigint", fold)

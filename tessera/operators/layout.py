@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from statistics import median
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,95 +23,104 @@ def overlap_ratio(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.when(least > 0, F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0)) / least).otherwise(0.0)
 
 
-def _lines(x0: np.ndarray, middle: np.ndarray, tolerance: float) -> list[list[int]]:
+# How near blocks must be to share a line or a column, and how far a table reaches beyond its rows; in points, and in shares of a block's usual width and height.
+_COLUMN_GAP, _COLUMN_SHARE, _LINE_GAP, _LINE_SHARE, _REACH_SHARE = 12.0, 0.35, 8.0, 0.75, 1.5
+
+
+def _lines(x0: list[float], middle: list[float], tolerance: float) -> list[list[int]]:
     """Blocks in lines from the top: each goes to the first line whose running middle is near enough."""
     lines: list[list[int]] = []
     centres: list[float] = []
-    for i in np.lexsort((x0, middle)).tolist():
+    for i in sorted(range(len(x0)), key=lambda i: (middle[i], x0[i])):
         k = next((k for k, c in enumerate(centres) if abs(c - middle[i]) <= tolerance), None)
         if k is None:
             lines.append([i])
-            centres.append(float(middle[i]))
+            centres.append(middle[i])
         else:
             lines[k].append(i)
             centres[k] += (middle[i] - centres[k]) / len(lines[k])
     return [sorted(line, key=x0.__getitem__) for line in lines]
 
 
-def _columns(left: np.ndarray, tolerance: float) -> np.ndarray:
+def _columns(left: Iterable[float], tolerance: float) -> list[float]:
     """Left sides in columns: each moves the first column that is near enough half way, or begins one."""
     found: list[float] = []
-    for x in np.sort(left).tolist():
+    for x in sorted(left):
         k = next((i for i, c in enumerate(found) if abs(x - c) <= tolerance), None)
         if k is None:
             found.append(x)
         else:
             found[k] = (found[k] + x) / 2
-    return np.array(found)
+    return found
 
 
-def _cells(texts: list[str], ids: list[str], box: np.ndarray, confidence: np.ndarray) -> list[tuple]:
-    """Cells of the table that the blocks of one page form; ``box``: a row of x0, y0, x1, y1 for each block."""
-    if len(texts) < 4:
+def _cells(blocks: list[tuple]) -> list[tuple]:
+    """Cells of the table that the blocks of one page form; ``blocks``: block_id, text, x0, y0, x1, y1, confidence."""
+    blocks = [b for b in blocks if (b[1] or "").strip() and b[4] > b[2] and b[5] > b[3]]
+    if len(blocks) < 4:
         return []
-    x0, y0, x1, y1 = box.T
-    middle = (y0 + y1) / 2
-    wide, tall = max(12.0, float(np.median(x1 - x0)) * 0.35), float(np.median(y1 - y0))
-    lines = _lines(x0, middle, max(8.0, tall * 0.75))
+    ids, texts, x0, y0, x1, y1, confidence = map(list, zip(*blocks, strict=True))
+    middle = [(a + b) / 2 for a, b in zip(y0, y1, strict=True)]
+    wide, tall = max(_COLUMN_GAP, median(b - a for a, b in zip(x0, x1, strict=True)) * _COLUMN_SHARE), median(b - a for a, b in zip(y0, y1, strict=True))
+    lines = _lines(x0, middle, max(_LINE_GAP, tall * _LINE_SHARE))
     rows = [line for line in lines if len(line) > 1]
     anchors = [i for line in rows for i in line]
-    columns = _columns(x0[anchors], wide) if len(rows) > 1 else np.zeros(0)
+    columns = _columns((x0[i] for i in anchors), wide) if len(rows) > 1 else []
     if len(columns) < 2:
         return []
-    span = lambda a, b: max(1, int(((a - wide <= columns) & (columns < b)).sum()))
-    gap = max(8.0, tall * 1.5)
-    top, foot = y0[anchors].min() - gap, y1[anchors].max() + gap
+    span = lambda a, b: max(1, sum(a - wide <= c < b for c in columns))
+    gap = max(_LINE_GAP, tall * _REACH_SHARE)
+    top, foot = min(y0[i] for i in anchors) - gap, max(y1[i] for i in anchors) + gap
     # A single block that reaches over columns, inside or next to the table, is a row too.
     rows += [line for line in lines if len(line) == 1 and top <= middle[line[0]] <= foot and span(x0[line[0]], x1[line[0]]) > 1]
     out = []
-    for r, line in enumerate(sorted(rows, key=lambda line: y0[line].min()), 1):
+    for r, line in enumerate(sorted(rows, key=lambda line: min(y0[i] for i in line)), 1):
         cells: dict[int, list[int]] = {}
         for i in line:
-            cells.setdefault(int(np.abs(x0[i] - columns).argmin()), []).append(i)
+            cells.setdefault(min(range(len(columns)), key=lambda c: abs(x0[i] - columns[c])), []).append(i)
         for c, members in sorted(cells.items()):
             members.sort(key=lambda i: (y0[i], x0[i]))
-            low, high = box[members, :2].min(axis=0), box[members, 2:].max(axis=0)
-            out.append((r, c + 1, span(low[0], high[0]), "\n".join(texts[i] for i in members).strip(), *map(float, (*low, *high)), float(confidence[members].mean()), ",".join(ids[i] for i in members)))
+            box = [min(x0[i] for i in members), min(y0[i] for i in members), max(x1[i] for i in members), max(y1[i] for i in members)]
+            out.append((r, c + 1, span(box[0], box[2]), "\n".join(texts[i] for i in members).strip(), *box, sum(confidence[i] for i in members) / len(members), ",".join(ids[i] for i in members)))
     return out
 
 
-def _page_tables(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in CELL.split(", ")]
-    for pages in it:
-        out = []
-        for doc, page, blocks in zip(pages["doc_id"], pages["page"], pages["blocks"], strict=True):
-            b = [x for x in blocks if (x["text"] or "").strip() and x["x1"] > x["x0"] and x["y1"] > x["y0"]]
-            found = _cells([x["text"] for x in b], [x["block_id"] for x in b], np.array([[x["x0"], x["y0"], x["x1"], x["y1"]] for x in b]).reshape(-1, 4), np.array([x["confidence"] for x in b]))
-            out += [(doc, page, 1, *cell) for cell in found]
-        yield pd.DataFrame(out, columns=names)
+_CELL = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[t]) for n, t in (c.split() for c in CELL.split(", "))])
+
+
+def _page_tables(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = (r for batch in it for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    out: list[tuple] = []
+    for page, blocks in groupby(rows, key=lambda r: r[:2]):
+        out += [(*page, 1, *cell) for cell in _cells([b[2:] for b in blocks])]
+        if len(out) >= 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _CELL, strict=True)], schema=_CELL)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _CELL, strict=True)], schema=_CELL)
 
 
 def layout_tables(blocks: DataFrame) -> DataFrame:
     """Cells of the table that the blocks of a page form, if they do: two rows or more of two columns or more.
 
     ``blocks``: doc_id, page, block_id, text, x0, y0, x1, y1, confidence. Lines and columns are found by moving middles, an
-    ordered rule, so each page is a group; a page's blocks are few.
+    ordered rule, so each page's few blocks are read together: pages are dealt by one shuffle, sorted, and streamed.
     """
     ship(blocks.sparkSession)
-    box = F.struct("block_id", "text", "x0", "y0", "x1", "y1", "confidence")
-    pages = blocks.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(box)).alias("blocks"))
-    return pages.mapInPandas(_page_tables, CELL)
+    rows = blocks.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("page").cast("int").alias("page"), F.col("block_id").cast("string").alias("block_id"), "text", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "confidence")))
+    return rows.repartition("doc_id", "page").sortWithinPartitions(*rows.columns).mapInArrow(_page_tables, CELL)
 
 
 def layout_markdown(cells: DataFrame) -> DataFrame:
-    """Tables of ``layout_tables`` as Markdown with their size and box, the first row as header."""
+    """Tables of ``layout_tables`` as Markdown with their size and box, the first row as header. One aggregation by table."""
     by = ["doc_id", "page", "table_idx"]
-    size = cells.groupBy(*by).agg(F.max("row").alias("row_count"), F.max("col").alias("column_count"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.bround(F.avg("confidence"), 4).alias("confidence"))
-    rows = cells.groupBy(*by, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", F.regexp_replace("text", "[|\n]", " ")))).alias("m")).join(size.select(*by, "column_count"), by)
-    line = F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(1), "column_count"), lambda i: F.coalesce(F.element_at("m", i), F.lit(""))), " | "), F.lit(" |"))
+    cell = F.struct((F.col("row").cast("long") * (1 << 20) + F.col("col")).alias("place"), F.regexp_replace("text", "[|\n]", " ").alias("text"))
+    size = cells.groupBy(*by).agg(F.max("row").alias("row_count"), F.max("col").alias("column_count"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.bround(F.avg("confidence"), 4).alias("confidence"), F.map_from_entries(F.collect_list(cell)).alias("_m"))
+    text_at = lambda r, c: F.coalesce(F.element_at("_m", r.cast("long") * (1 << 20) + c), F.lit(""))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(1), "column_count"), lambda c: text_at(r, c)), " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("column_count")), " | "), F.lit(" |"))
-    joined = rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", line.alias("line")))), lambda x: x["line"]).alias("lines"))
-    return size.join(joined, by).select(*size.columns, F.array_join(F.concat(F.slice("lines", 1, 1), F.array(rule), F.slice("lines", 2, 100_000)), "\n").alias("markdown"))
+    rest = F.when(F.col("row_count") > 1, F.transform(F.sequence(F.lit(2), F.greatest("row_count", F.lit(2))), line)).otherwise(F.array().cast("array<string>"))
+    return size.withColumn("markdown", F.array_join(F.concat(F.array(line(F.lit(1)), rule), rest), "\n")).drop("_m")
 
 
 def text_outside_tables(blocks: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -119,16 +131,20 @@ def text_outside_tables(blocks: DataFrame, boxes: DataFrame) -> DataFrame:
     return b.join(t, inside, "left_anti")
 
 
+#: Fixed value: sides count whole pixels, both ends included.
+_PIXEL = 1
+
+
 def _kept(boxes: np.ndarray, least: float, most: int) -> list[int]:
-    """Places of the boxes (x1, y1, x2, y2, best first) that stay; sides count whole pixels."""
+    """Places of the boxes (x1, y1, x2, y2, best first) that stay."""
     x1, y1, x2, y2 = boxes.T
-    area = (x2 - x1 + 1) * (y2 - y1 + 1)
+    area = (x2 - x1 + _PIXEL) * (y2 - y1 + _PIXEL)
     left, picked = np.arange(len(boxes)), []
     while len(left) and len(picked) < most:
         i, left = int(left[0]), left[1:]
         picked.append(i)
-        w = np.minimum(x2[i], x2[left]) - np.maximum(x1[i], x1[left]) + 1
-        h = np.minimum(y2[i], y2[left]) - np.maximum(y1[i], y1[left]) + 1
+        w = np.minimum(x2[i], x2[left]) - np.maximum(x1[i], x1[left]) + _PIXEL
+        h = np.minimum(y2[i], y2[left]) - np.maximum(y1[i], y1[left]) + _PIXEL
         both = np.maximum(w, 0) * np.maximum(h, 0)
         left = left[both / (area[i] + area[left] - both) <= least]
     return picked

@@ -19,10 +19,11 @@ def blocks(elements: DataFrame, key: str = "page_id") -> DataFrame:
 
     On pages with fewer than ten of them, longer texts that stand directly in containers follow as paragraphs.
     """
-    shown = elements.where(~F.col("hidden") & (F.col("text") != ""))
+    shown = elements.where(~F.col("hidden") & (F.col("chars") > 0))
     main = shown.where(F.col("tag").isin(*BLOCKS) & (F.col("tag").isin(*HEADINGS) | (F.length("text") >= MIN_BLOCK)))
     first = Window.partitionBy(key, "text").orderBy("part", "pos")
-    own = shown.where(F.col("tag").isin("div", "section", "td") & (F.length("own_text") > MIN_OWN)).select(key, F.lit(1).alias("part"), "pos", F.lit("p").alias("tag"), F.col("own_text").alias("text"))
+    direct = text.collapse(F.array_join(F.transform("own", lambda x: x["text"]), ""))
+    own = shown.where(F.col("tag").isin("div", "section", "td")).select(key, F.lit(1).alias("part"), "pos", F.lit("p").alias("tag"), direct.alias("text")).where(F.length("text") > MIN_OWN)
     both = main.select(key, F.lit(0).alias("part"), "pos", "tag", "text").unionByName(own)
     once = both.withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
     counted = once.withColumn("_main", F.sum((F.col("part") == 0).cast("int")).over(Window.partitionBy(key)))
@@ -100,11 +101,11 @@ def titles(elements: DataFrame, key: str = "page_id") -> DataFrame:
 def table_cells(elements: DataFrame, most: int = 20, key: str = "page_id") -> DataFrame:
     """Cells of the visible tables of each page, rows padded to the table's width: key, table_no, row, col, value, head (the row has header cells)."""
     parts = elements.where(~F.col("hidden"))
-    tables = parts.where("tag = 'table'").select(key, F.col("pos").alias("table_pos"), F.row_number().over(Window.partitionBy(key).orderBy("pos")).alias("table_no")).where(F.col("table_no") <= most)
-    rows = parts.where("tag = 'tr'").select(key, F.col("pos").alias("row_pos"))
+    # A row is of the last table that begins before it; tables are numbered as they begin.
+    before = Window.partitionBy(key).orderBy("pos")
+    owner = parts.where("tag in ('table', 'tr')").select(key, "tag", F.col("pos").alias("row_pos"), F.sum((F.col("tag") == "table").cast("int")).over(before).alias("table_no"))
+    owner = owner.where((F.col("tag") == "tr") & F.col("table_no").between(1, most)).select(key, "row_pos", "table_no")
     cells = parts.where("tag in ('td', 'th')").select(key, "pos", F.col("parent").alias("row_pos"), "tag", F.replace("text", F.lit("|"), F.lit("¦")).alias("value"))
-    # A row is of the last table that begins before it.
-    owner = rows.join(tables, key).where("table_pos < row_pos").groupBy(key, "row_pos").agg(F.max(F.struct("table_pos", "table_no"))["table_no"].alias("table_no"))
     at = cells.join(owner, [key, "row_pos"])
     at = at.withColumn("row", F.dense_rank().over(Window.partitionBy(key, "table_no").orderBy("row_pos")) - 1).withColumn("col", F.row_number().over(Window.partitionBy(key, "row_pos").orderBy("pos")) - 1)
     lines = at.groupBy(key, "table_no", "row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("c"), F.max((F.col("tag") == "th").cast("int")).alias("head"))
@@ -218,12 +219,13 @@ def sections_diff(old: DataFrame, new: DataFrame, key: str = "page_id") -> DataF
 
 def declared_tools(elements: DataFrame, key: str = "page_id") -> DataFrame:
     """Tools that forms declare: key, pos, name, description, and the names of the form's fields with those that are required."""
-    forms = elements.where("tag = 'form' and attrs['toolname'] is not null").select(key, F.col("pos").alias("form_pos"), F.col("attrs")["toolname"].alias("name"), F.col("attrs")["tooldescription"].alias("description"))
-    ends = Window.partitionBy(key).orderBy("pos")
-    all_forms = elements.where("tag = 'form'").select(key, F.col("pos").alias("form_pos"), F.lead("pos").over(ends).alias("next_pos"))
-    fields = elements.where("tag in ('input','select','textarea') and attrs['name'] is not null").select(key, "pos", F.col("attrs")["name"].alias("field"), F.col("attrs")["required"].isNotNull().alias("required"))
-    inside = forms.join(all_forms, [key, "form_pos"]).join(fields, key, "left").where("field is null or (pos > form_pos and (next_pos is null or pos < next_pos))")
-    return inside.groupBy(key, "form_pos", "name", "description").agg(F.array_sort(F.collect_set("field")).alias("fields"), F.array_sort(F.collect_set(F.when(F.col("required"), F.col("field")))).alias("required"))
+    a = F.col("attrs")
+    rows = elements.where("tag in ('form', 'input', 'select', 'textarea')").select(key, "pos", "tag", a["toolname"].alias("name"), a["tooldescription"].alias("description"), a["name"].alias("field"), a["required"].isNotNull().alias("required"))
+    # A field is of the last form that begins before it.
+    form = F.when(F.col("tag") == "form", F.struct(F.col("pos").alias("form_pos"), "name", "description"))
+    placed = rows.withColumn("_form", F.last(form, ignorenulls=True).over(Window.partitionBy(key).orderBy("pos"))).where("_form.name is not null")
+    field = F.when((F.col("tag") != "form"), F.col("field"))
+    return placed.groupBy(key, "_form.form_pos", "_form.name", "_form.description").agg(F.array_sort(F.collect_set(field)).alias("fields"), F.array_sort(F.collect_set(F.when(F.col("required"), field))).alias("required"))
 
 
 # Class and id words that speak for and against a container being the article.
@@ -240,7 +242,7 @@ def content_scores(elements: DataFrame, key: str = "page_id") -> DataFrame:
     shown = elements.where(~F.col("hidden"))
     words = F.lower(F.concat_ws(" ", F.col("attrs")["class"], F.col("attrs")["id"]))
     parts = shown.where("tag in ('p', 'pre', 'td', 'blockquote') and length(text) >= 25").select(key, "parent", (1 + F.regexp_count("text", F.lit("[,，、]")) + F.least(F.floor(F.length("text") / 100), F.lit(3))).cast("double").alias("points"))
-    holders = shown.select(key, "pos", "parent", "tag", (F.when(words.rlike(GOOD), 25).otherwise(0) - F.when(words.rlike(BAD), 25).otherwise(0)).alias("class_points"), F.length("text").alias("chars"), "link_chars")
+    holders = shown.select(key, "pos", "parent", "tag", (F.when(words.rlike(GOOD), 25).otherwise(0) - F.when(words.rlike(BAD), 25).otherwise(0)).alias("class_points"), "chars", "link_chars")
     up = holders.select(key, F.col("pos").alias("parent"), F.col("parent").alias("above"))
     twice = parts.join(up, [key, "parent"]).select(key, F.explode(F.array(F.struct(F.col("parent").alias("pos"), F.col("points").alias("p")), F.struct(F.col("above").alias("pos"), (F.col("points") / 2).alias("p")))).alias("x")).select(key, "x.pos", "x.p")
     sums = twice.where("pos >= 0").groupBy(key, "pos").agg(F.sum("p").alias("points"))
@@ -249,7 +251,31 @@ def content_scores(elements: DataFrame, key: str = "page_id") -> DataFrame:
     return sums.join(holders, [key, "pos"]).select(key, "pos", "tag", F.round((F.col("points") + tag + F.col("class_points")) * (1 - density), 4).alias("score"))
 
 
+def candidates(elements: DataFrame, most: int = 5, key: str = "page_id") -> DataFrame:
+    """The best containers of each page by ``content_scores``, with their place from 1."""
+    order = Window.partitionBy(key).orderBy(F.col("score").desc(), "pos")
+    return content_scores(elements, key).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+#: Share of the best container's score that a sibling needs to be joined to it, and the least such score; characters of a paragraph that is joined for its own sake.
+SIBLING_SHARE, SIBLING_LEAST, SIBLING_CHARS = 0.2, 10.0, 80
+
+
 def article(elements: DataFrame, key: str = "page_id") -> DataFrame:
-    """The text of each page's best container by ``content_scores``."""
-    best = content_scores(elements, key).groupBy(key).agg(F.max_by("pos", F.struct("score", -F.col("pos"))).alias("pos"), F.max("score").alias("score"))
-    return best.join(elements.select(key, "pos", "text"), [key, "pos"]).select(key, "score", "text")
+    """The text of each page's best container by ``content_scores``, together with those of its siblings that score a fifth as much or are long paragraphs with few links."""
+    scores = content_scores(elements, key)
+    best = scores.groupBy(key).agg(F.max_by("pos", F.struct("score", -F.col("pos"))).alias("best"), F.max("score").alias("score"))
+    shown = elements.where(~F.col("hidden")).select(key, "pos", "last", "parent", "tag", "chars", "link_chars", "own")
+    top = best.join(shown.select(key, F.col("pos").alias("best"), F.col("parent").alias("best_parent"), F.col("last").alias("best_last")), [key, "best"])
+    siblings = shown.join(scores.select(key, "pos", F.col("score").alias("own_score")), [key, "pos"], "left").join(top, key)
+    enough = F.col("own_score") >= F.greatest(F.lit(SIBLING_LEAST), F.col("score") * SIBLING_SHARE)
+    prose = (F.col("tag") == "p") & (F.col("chars") > SIBLING_CHARS) & (F.col("link_chars") < F.col("chars") * 0.25)
+    chosen = siblings.where((F.col("pos") == F.col("best")) | ((F.col("parent") == F.col("best_parent")) & (F.col("parent") >= 0) & (enough | prose)))
+    # The chosen ones do not overlap, so a piece of text is of the last one that begins before it, if that has not ended.
+    begins = chosen.select(key, "pos", F.lit(0).alias("_kind"), F.col("last").alias("_last"), F.lit(None).cast("array<struct<at:int,text:string>>").alias("own"), "score")
+    parts = shown.select(key, "pos", F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_last"), "own", F.lit(None).cast("double").alias("score"))
+    before = Window.partitionBy(key).orderBy("pos", "_kind")
+    held = begins.unionByName(parts).withColumn("_in", F.last(F.when(F.col("_kind") == 0, F.struct("_last", "score")), ignorenulls=True).over(before))
+    pieces = held.where((F.col("_kind") == 1) & (F.col("pos") <= F.col("_in._last"))).select(key, F.col("_in.score").alias("score"), F.explode("own").alias("x"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x.at", "x.text"))), lambda x: x["text"]), "")
+    return pieces.groupBy(key).agg(F.max("score").alias("score"), text.collapse(joined).alias("text"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.shipping import ship
+from tessera.operators.streamed import folded
 
 
 def micros(ts: Column) -> Column:
@@ -26,26 +26,19 @@ def idle_sessions(events: DataFrame, gap_seconds: float, key: str = "user_id", t
 def _fold(events: DataFrame, interval: int, boundary: bool, key: str, ts: str, tie: str) -> DataFrame:
     """For each event whether it opens an interval: it does when the one that did so last is further back than the interval (or as far, with the boundary). Others do not move the interval.
 
-    Each opening depends on the one before, so a key's times (16 bytes an event) go through one task, which leaps from
-    opening to opening by binary search.
+    Each opening depends on the one before, so a key's events are streamed in order past the time of the last opening, which is all that is held.
     """
-    ship(events.sparkSession)
-
-    def leap(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["t", "tie"], kind="stable")
-        t = group["t"].to_numpy()
-        opens, last = np.zeros(len(t), bool), np.zeros(len(t), np.int64)
-        i = 0
-        while i < len(t):
-            j = max(i + 1, int(np.searchsorted(t, t[i] + interval, "left" if boundary else "right")))
-            opens[i], last[i:j] = True, t[i]
-            i = j
-        return group.assign(opens=opens, age_seconds=np.where(opens, np.nan, (t - last) / 1e6))[["key", "tie", "opens", "age_seconds"]]
-
-    kinds = dict(events.dtypes)
-    slim = events.select(F.col(key).alias("key"), micros(F.col(ts)).alias("t"), F.col(tie).alias("tie")).where("t is not null")
-    out = slim.groupBy("key").applyInPandas(leap, f"key {kinds[key]}, tie {kinds[tie]}, opens boolean, age_seconds double")
-    return out.select(F.col("key").alias(key), F.col("tie").alias(tie), "opens", F.when(~F.col("opens"), F.col("age_seconds")).alias("age_seconds"))
+
+    def opened(rows: Iterator[tuple]) -> Iterator[tuple]:
+        last = None
+        for t, i in rows:
+            age = None if last is None else t - last
+            opens = age is None or age > interval or (boundary and age == interval)
+            last = t if opens else last
+            yield i, opens, None if opens else age / 1e6
+
+    slim = events.select(key, micros(F.col(ts)).alias("t"), F.col(tie).alias("tie")).where("t is not null")
+    return folded(slim, f"`{tie}` {dict(events.dtypes)[tie]}, opens boolean, age_seconds double", opened)
 
 
 def cache_hits(events: DataFrame, ttl_seconds: float, key: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:

@@ -18,15 +18,25 @@ _ENDS = {"li": ("li", "ul ol"), "td": ("td th", "tr table"), "th": ("td th", "tr
 _QUIET = frozenset("script style noscript template head".split())
 _KEPT = frozenset("title article main body div section nav aside header footer h1 h2 h3 h4 h5 h6 p li blockquote pre code table caption tr th td a button input select textarea form label img".split())
 _ATTRIBUTES = ("id", "name", "type", "role", "aria-label", "title", "placeholder", "value", "href", "class", "data-test", "hidden", "toolname", "tooldescription", "required", "alt", "checked")
+#: Elements that hold others: their texts are not repeated, as they would grow with the depth of the page.
+CONTAINERS = frozenset("article main body div section nav aside header footer form table tr".split())
 
 
 class _Elements(HTMLParser):
-    """Collects the kept elements: place in the document, tag, whole and own text, attributes, parent, and whether they are hidden."""
+    """Collects the kept elements: place in the document and last place inside, tag, text, its own pieces of text, attributes, parent, and whether they are hidden.
+
+    Each piece of text is kept once, with its place; what an element contains is a range of pieces.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[dict] = []
         self.done: list[dict] = []
+        self.pieces: list[tuple[str, bool]] = []  # text, hidden
+        # Of all visible pieces before each one: characters that are no white space, words begun, characters in links.
+        self.solid, self.words, self.linked = [0], [0], [0]
+        self.within = False  # whether the last visible piece ended within a word
+        self.inside: list[bool] = []  # whether a piece goes on with the word of the one before it
         self.at = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -39,11 +49,14 @@ class _Elements(HTMLParser):
         style = given.get("style", "").replace(" ", "").lower()
         above = self.open[-1] if self.open else None
         hidden = (above is not None and above["hidden"]) or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
-        parent = next((e["pos"] for e in reversed(self.open) if e["tag"] in _KEPT), -1)
-        element = {"pos": self.at, "tag": tag, "parent": parent, "parts": [], "own": [], "links": 0, "hidden": hidden or (tag in _QUIET and tag != "head"), "attrs": {k: given[k] for k in _ATTRIBUTES if k in given}}
+        element = {
+            "pos": self.at, "tag": tag, "parent": above["kept"] if above else -1, "own": [], "start": len(self.pieces), "hidden": hidden or (tag in _QUIET and tag != "head"),
+            "quiet": (above is not None and above["quiet"]) or (tag in _QUIET and tag != "head"), "in_link": tag == "a" or (above is not None and above["in_link"]), "attrs": {k: given[k] for k in _ATTRIBUTES if k in given},
+        }
+        element["kept"] = self.at if tag in _KEPT else element["parent"]
         self.at += 1
         if tag in _VOID:
-            self.done.append(element)
+            self._end(element)
             if tag == "br":
                 self.handle_data("\n")
         else:
@@ -56,34 +69,62 @@ class _Elements(HTMLParser):
         """End the innermost open element of that tag and all in it, unless a stopping one is nearer."""
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i]["tag"] == tag:
-                self.done += self.open[i:]
+                for e in self.open[i:]:
+                    self._end(e)
                 del self.open[i:]
                 return
             if self.open[i]["tag"] in stop.split():
                 return
 
+    def _end(self, element: dict) -> None:
+        element["last"], element["end"] = self.at - 1, len(self.pieces)
+        self.done.append(element)
+
     def handle_data(self, data: str) -> None:
-        if not self.open or any(e["tag"] in _QUIET and e["tag"] != "head" for e in self.open):
+        if not self.open or self.open[-1]["quiet"]:
             return
-        self.open[-1]["own"].append(data)
-        linked = any(e["tag"] == "a" for e in self.open)
-        for e in self.open:
-            if e["hidden"] or not self.open[-1]["hidden"]:
-                e["parts"].append(data)
-                e["links"] += len(data) if linked else 0
+        innermost = self.open[-1]
+        innermost["own"].append((len(self.pieces), data))
+        words = [] if innermost["hidden"] else data.split()
+        goes_on = bool(words) and self.within and not data[0].isspace()
+        self.pieces.append((data, innermost["hidden"]))
+        self.inside.append(goes_on)
+        self.solid.append(self.solid[-1] + sum(map(len, words)))
+        self.words.append(self.words[-1] + len(words) - goes_on)
+        self.linked.append(self.linked[-1] + (len(data) if innermost["in_link"] and not innermost["hidden"] else 0))
+        if not innermost["hidden"] and data:
+            self.within = not data[-1].isspace()
+
+    def _chars(self, start: int, end: int) -> int:
+        """Length of the visible text between two pieces, with single blanks between words."""
+        solid, words = self.solid[end] - self.solid[start], self.words[end] - self.words[start]
+        first = next((i for i in range(start, end) if self.solid[i + 1] > self.solid[i]), None) if words or solid else None
+        return solid + words + (first is not None and self.inside[first]) - 1 if solid else 0
 
     def rows(self) -> list[dict]:
         self.close()
-        found = sorted((e for e in [*self.done, *self.open] if e["tag"] in _KEPT), key=lambda e: e["pos"])
-        return [{"pos": e["pos"], "tag": e["tag"], "parent": e["parent"], "text": " ".join("".join(e["parts"]).split()), "own_text": " ".join("".join(e["own"]).split()), "link_chars": e["links"], "hidden": e["hidden"], "attrs": list(e["attrs"].items())} for e in found]
+        for e in self.open:
+            self._end(e)
+        out = []
+        for e in sorted((e for e in self.done if e["tag"] in _KEPT), key=lambda e: e["pos"]):
+            text = None
+            if e["tag"] not in CONTAINERS:
+                text = " ".join("".join(t for t, hidden in self.pieces[e["start"] : e["end"]] if e["hidden"] or not hidden).split())
+            links = self.linked[e["end"]] - self.linked[e["start"]]
+            out.append({"pos": e["pos"], "last": e["last"], "tag": e["tag"], "parent": e["parent"], "text": text, "chars": 0 if e["hidden"] else self._chars(e["start"], e["end"]), "link_chars": links, "hidden": e["hidden"], "own": [{"at": i, "text": t} for i, t in e["own"]], "attrs": list(e["attrs"].items())})
+        return out
 
 
-_ROW = pa.struct([("pos", pa.int32()), ("tag", pa.string()), ("parent", pa.int32()), ("text", pa.string()), ("own_text", pa.string()), ("link_chars", pa.int32()), ("hidden", pa.bool_()), ("attrs", pa.map_(pa.string(), pa.string()))])
-ELEMENT = "pos int, tag string, parent int, text string, own_text string, link_chars int, hidden boolean, attrs map<string,string>"
+_ROW = pa.struct([("pos", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("parent", pa.int32()), ("text", pa.string()), ("chars", pa.int32()), ("link_chars", pa.int32()), ("hidden", pa.bool_()), ("own", pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string())]))), ("attrs", pa.map_(pa.string(), pa.string()))])
+ELEMENT = "pos int, last int, tag string, parent int, text string, chars int, link_chars int, hidden boolean, own array<struct<at:int,text:string>>, attrs map<string,string>"
 
 
 def elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """A row for each element of note of every page: key, pos (document order), tag, parent (its pos; -1 for none), text, own_text, link_chars, hidden, attrs.
+    """A row for each element of note of every page: key, pos (document order), last (pos of the last element inside), tag, parent (its pos; -1 for none), text, chars, link_chars, hidden, own, attrs.
+
+    ``own`` has the pieces of text that stand directly in the element with their places on the page. Elements that hold others
+    have the length of their text in ``chars`` and a null text: it is the pieces of all elements from pos to last in order. So a page gives about
+    its own size, whatever its depth.
 
     Parsing is by page, so it needs no shuffle; paragraphs, list items, cells and rows that are not closed end where the next
     one or their container does. What is hidden is told by attributes and inline styles. A null page has no elements.

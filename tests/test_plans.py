@@ -26,7 +26,7 @@ def test_top_k_is_no_global_sort(spark, sf):
 
 
 def test_expression_queries_run_no_python(spark, sf):
-    for name in ("library_search", "search_full_text", "section_ids", "text_cleanup", "url_guard", "sections_diff", "chunk_packing", "table_stats", "page_quality", "split_sections", "section_table_overlap", "cache_lookup", "failover_first_ok"):
+    for name in ("library_search", "search_full_text", "section_ids", "text_cleanup", "url_guard", "sections_diff", "table_stats", "page_quality", "split_sections", "section_table_overlap", "cache_lookup", "failover_first_ok"):
         assert not re.search("Python|Arrow|InPandas", _plan(QUERIES[name](spark, sf))), name
 
 
