@@ -23,18 +23,35 @@ def page_footer(line: Column) -> Column:
     return strip(line).rlike(FOOTER)
 
 
+# How long a word in brackets is at most, and an unbroken run of ASCII at least; ASCII signs that a noisy line has at least, and how many for each Chinese one.
+SHORT_BRACKET, RUN_LEAST, SIGNS_LEAST, SIGNS_SHARE = 5, 5, 6, 2
+
+
 def bracket_noise(line: Column) -> Column:
-    """Whether a line with square brackets is what a table's frame was read as: short, or mostly ASCII."""
+    """Whether a line with square brackets is what a table's frame was read as: a short word in brackets, one run of ASCII, or far more ASCII than Chinese."""
     bare = F.regexp_replace(line, r"(?U)\s+", "")
-    plain, chinese = F.regexp_count(bare, F.lit(r"[A-Za-z0-9_\-\[\]]")), F.regexp_count(bare, F.lit(r"[\x{4E00}-\x{9FFF}]"))
-    short = (F.length(bare) <= 5) & bare.rlike(r"^\[[A-Za-z0-9_]+\]?$")
-    return bare.rlike(r"[\[\]]") & (short | ((plain >= 6) & (plain >= chinese * 2)) | bare.rlike(r"^[A-Za-z0-9_\-\[\]]{5,}$"))
+    signs, chinese = F.regexp_count(bare, F.lit(r"[\w\[\]-]")), F.regexp_count(bare, F.lit(r"[\x{4E00}-\x{9FFF}]"))
+    one_run = bare.rlike(rf"^\[\w{{1,{SHORT_BRACKET - 1}}}$|^\[\w{{1,{SHORT_BRACKET - 2}}}\]$|^[\w\[\]-]{{{RUN_LEAST},}}$")
+    return bare.rlike(r"[\[\]]") & (one_run | (signs >= F.greatest(F.lit(SIGNS_LEAST), chinese * SIGNS_SHARE)))
+
+
+# A word that is a stamp's remains where it stands after the line with the place of signing, or before a page's footer; the lines before that count.
+STAMP, SIGNED_AT, STAMP_LINES = "定作", "合同签订地点", 4
 
 
 def clean(body: Column, contract_number: Column | None = None) -> Column:
-    """Scanned text without blank lines, page footers and bracket noise, with misread phrases put right; a contract's number that heads it is replaced by the known one."""
+    """Scanned text without blank lines, page footers, bracket noise and what a stamp left, with misread phrases put right; a contract's number that heads it is replaced by the known one."""
     lines = F.transform(F.split(F.regexp_replace(body, "\r\n|\r", "\n"), "\n"), strip)
-    kept = F.filter(lines, lambda line: (line != "") & ~bracket_noise(line) & ~page_footer(line))
+    # A stamp is judged by the line after it as it was and by the lines kept before it, so lines go first with a mark where the next is a footer.
+    marked = F.transform(lines, lambda line, i: F.struct(line.alias("t"), page_footer(F.coalesce(F.get(lines, i + 1), F.lit(""))).alias("foot")))
+    solid = F.filter(marked, lambda x: (x["t"] != "") & ~bracket_noise(x["t"]) & ~page_footer(x["t"]))
+    def near(i: Column) -> Column:
+        """Whether one of the lines before place i, stamps left out, says where the contract was signed."""
+        before = F.reverse(F.filter(F.slice(solid, F.lit(1), F.greatest(i, F.lit(0))), lambda x: x["t"] != STAMP))
+        return F.exists(F.slice(before, F.lit(1), F.lit(STAMP_LINES)), lambda x: F.contains(x["t"], F.lit(SIGNED_AT)))
+
+    stays = F.filter(solid, lambda x, i: ~((x["t"] == STAMP) & (x["foot"] | near(i))))
+    kept = F.transform(stays, lambda x: x["t"])
     kept = F.when((F.size(kept) > 1) & (F.lower(F.get(kept, F.lit(0))) == "preface"), F.slice(kept, F.lit(2), F.size(kept) - 1)).otherwise(kept)
     out = F.array_join(kept, "\n")
     for wrong, right in MISREAD.items():
@@ -46,6 +63,23 @@ def clean(body: Column, contract_number: Column | None = None) -> Column:
     return strip(out)
 
 
+# What a signing service prints across pages, a site's own line, and a misread unit of prices.
+WATERMARK = r"^(?=..)(?:[万翼签]*万翼[万翼签]*|(?:万翼签|万翼|翼签)+)$"
+SITE_LINE, MONTHLY = "TINGYUN.COM", r"([0-9]+)\s*月/个"
+
+
+def watermark(line: Column) -> Column:
+    """Whether a line is nothing but a signing service's watermark."""
+    return F.regexp_replace(line, r"(?U)\s+", "").rlike(WATERMARK)
+
+
+def without_noise(body: Column) -> Column:
+    """Extracted text without watermarks and the site's line, with the misread unit of monthly prices put right."""
+    lines = F.split(F.regexp_replace(body, "\r\n|\r", "\n"), "\n")
+    kept = F.filter(lines, lambda line: ~watermark(line) & (F.upper(strip(line)) != SITE_LINE))
+    return strip(F.array_join(F.transform(kept, lambda line: F.regexp_replace(F.regexp_replace(line, r"(?U)\s+$", ""), MONTHLY, "$1 元/个")), "\n"))
+
+
 def noise_hits(body: Column) -> Column:
     """The signs of bad scanning that a text has."""
     return F.filter(F.array(*map(F.lit, NOISE)), lambda sign: F.contains(body, sign))

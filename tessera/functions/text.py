@@ -178,3 +178,33 @@ def content_type(text: Column) -> Column:
     known = F.create_map(*(F.lit(v) for kv in CONTENT_TYPES.items() for v in kv))
     key = F.lower(strip(F.coalesce(text, F.lit("General"))))
     return F.coalesce(F.element_at(known, key), F.raise_error(F.concat(F.lit("unknown content type: "), text)).cast("string"))
+
+
+# Texts of results by language; what is missing in one language is taken from English.
+TEMPLATES = {
+    "en": {"default_section_title": "Preface", "full_document_title": "Full document", "front_matter_title": "Preface / TOC", "page_title": "Page {page}", "summary_failed": "[Summary generation failed]", "table_prefix": "[Table]", "table_truncated": "[... {total} rows total, showing first {shown} ...]"},
+    "zh": {"front_matter_title": "前言/目录"},
+}
+
+
+def locale_of(language: Column, default: str = "en") -> Column:
+    """The language of templates that a tag such as zh-CN stands for."""
+    tag = F.lower(F.coalesce(language, F.lit("")))
+    return F.when(F.startswith(tag, F.lit("zh")), "zh").when(F.startswith(tag, F.lit("en")), "en").otherwise(default)
+
+
+def template(language: Column, name: str, **values: Column) -> Column:
+    """A template in a language, its names in braces replaced by values; an unknown name gives an empty text."""
+    english = TEMPLATES["en"].get(name, "")
+    out = F.lit(english)
+    for code, texts in TEMPLATES.items():
+        if texts.get(name, english) != english:
+            out = F.when(locale_of(language) == code, texts[name]).otherwise(out)
+    for k, v in values.items():
+        out = F.replace(out, F.lit("{" + k + "}"), F.coalesce(v.cast("string"), F.lit("")))
+    return out
+
+
+def masked_path(path: Column, home: str) -> Column:
+    """A path with the home folder as a tilde, for logs."""
+    return F.when(F.startswith(path, F.lit(home)), F.replace(path, F.lit(home), F.lit("~"))).otherwise(path)

@@ -29,10 +29,14 @@ def context_keywords(*texts: Column) -> Column:
     return F.filter(F.array(*(F.when(has(words), F.lit(kind)) for kind, words in CONTEXT.items())), lambda k: k.isNotNull())
 
 
+# Pixels below which an image is small; least width and height, and range of width over height, of what looks like a screenshot; least height and range of what looks like a scanned page.
+SMALL_PIXELS, SCREEN_WIDTH, SCREEN_HEIGHT, SCREEN_RATIO, SCAN_HEIGHT, SCAN_RATIO = 20_000, 900, 500, (1.2, 2.4), 900, (0.55, 1.15)
+
+
 def hints(width: Column, height: Column, rendered: Column, keywords: Column) -> Column:
     """What an image may be, by its size, shape and surroundings."""
     ratio, ok = width / height, rendered & (width * height > 0)
-    shape = [F.when(~rendered, "render_failed"), F.when(ok & (width * height < 20_000), "small_image"), F.when(ok & (width >= 900) & (height >= 500) & ratio.between(1.2, 2.4), "screenshot_like"), F.when(ok & (height >= 900) & ratio.between(0.55, 1.15), "document_scan_like")]
+    shape = [F.when(~rendered, "render_failed"), F.when(ok & (width * height < SMALL_PIXELS), "small_image"), F.when(ok & (width >= SCREEN_WIDTH) & (height >= SCREEN_HEIGHT) & ratio.between(*SCREEN_RATIO), "screenshot_like"), F.when(ok & (height >= SCAN_HEIGHT) & ratio.between(*SCAN_RATIO), "document_scan_like")]
     candidates = [F.when(F.arrays_overlap(keywords, F.array(*map(F.lit, kinds))), name) for name, kinds in CANDIDATES.items()]
     named = F.transform(F.array_sort(keywords), lambda k: F.concat(F.lit("context:"), k))
     some = lambda items: F.filter(F.array(*items), lambda h: h.isNotNull())
@@ -53,3 +57,11 @@ def anchored(images: DataFrame, sections: DataFrame, key: str = "doc_id") -> Dat
     fits = ((head != "") & ((F.col("_title") == head) | F.contains("_text", head))) | ((para != "") & F.contains("_text", para))
     joined = images.join(s, (F.col(key) == F.col("_key")) & fits, "left")
     return joined.groupBy(*images.columns).agg(F.min_by("section_sid", "_idx").alias("section_sid"))
+
+
+def average_hash(pixels: Column) -> Column:
+    """A hash by which images that look alike have few bits of difference: of the grey values of an image scaled to 8 by 8, a bit for each that reaches their mean, in hexadecimal digits; empty without pixels."""
+    mean = F.aggregate(pixels, F.lit(0.0), lambda a, x: a + x) / F.size(pixels)
+    bits = F.array_join(F.transform(pixels, lambda x: F.when(x >= mean, "1").otherwise("0")), "")
+    digits = F.transform(F.sequence(F.lit(0), F.floor(F.size(pixels) / 4).cast("int") - 1), lambda i: F.lower(F.conv(F.substring(bits, i * 4 + 1, F.lit(4)), 2, 16)))
+    return F.when(F.coalesce(F.size(pixels), F.lit(0)) >= 4, F.array_join(digits, "")).otherwise("")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,73 @@ class FieldRule:
     valid: str | None = None
 
 
+@dataclass(frozen=True)
+class Profile:
+    """A kind of documents: its name, the terms one of which such a document has, its field rules, the segments that a better reading replaces, and limits."""
+
+    name: str
+    required_terms: tuple[str, ...] = ()
+    fields: tuple[FieldRule, ...] = ()
+    segments: tuple[Segment, ...] = ()
+    limits: dict[str, float | bool] | None = None
+
+
+@dataclass(frozen=True)
+class Segment:
+    """A part of a page: from a start word (or the first of some words) to an end word, or the whole page."""
+
+    name: str
+    start: str | None = None
+    end: str | None = None
+    aliases: tuple[str, ...] = ()
+    whole: bool = False
+
+
+#: Limits that a profile may set, with what holds where it does not, and the least that they may be.
+LIMITS = {
+    "sparse_text_chars": (40, 0), "usable_text_chars": (120, 1), "scan_page_ratio": (0.85, None), "mixed_page_ratio": (0.2, None), "toc_max_level": (2, 1), "formal_chinese_min_headings": (4, 1),
+    "suppress_arabic_clause_headings_when_formal_chinese": (False, None),
+}
+
+
+def load_profile(config: str) -> Profile:
+    """A profile from its JSON text. Lists keep their texts only, pages their whole numbers only; a text that is no JSON object is an error."""
+    raw = json.loads(config)
+    if not isinstance(raw, dict):
+        raise ValueError("a profile is a JSON object")
+    part = lambda name: raw[name] if isinstance(raw.get(name), dict) else {}
+    texts = lambda v: tuple(str(x) for x in v or () if str(x).strip())
+    pages = lambda v: tuple(x for x in v or () if isinstance(x, int) and not isinstance(x, bool))
+    items = lambda name: [x for x in raw.get(name, []) if isinstance(x, dict)]
+    fields = tuple(FieldRule(str(x.get("id") or f"field_{i}"), x.get("pattern") or None, texts(x.get("aliases")), pages(x.get("page_scope"))) for i, x in enumerate(items("fields"), 1))
+    segments = tuple(Segment(str(x.get("id") or f"group_{i}"), (x.get("start_alias") or "").strip() or None, (x.get("end_alias") or "").strip() or None, texts(x.get("aliases")), x.get("replace_mode") == "replace_entire_page") for i, x in enumerate(items("groups"), 1))
+    given = part("quality_policy") | part("section_policy")
+    limits = {k: type(v)(given.get(k, v)) if least is None else max(least, type(v)(given.get(k, v))) for k, (v, least) in LIMITS.items()}
+    return Profile(str(raw.get("profile") or "profile"), texts(part("classification").get("required_terms")), fields, segments, limits)
+
+
+def replaced_segment(body: Column, segment: Segment, better: Column) -> Column:
+    """A page with a segment replaced by a better reading of it; unchanged where the segment does not begin on it or there is no better reading."""
+    better = text.strip(better)
+    if segment.whole:
+        return F.coalesce(better, body)
+    at = lambda word: F.locate(word, body)
+    words = [w for w in segment.aliases if w]
+    first = None
+    if words:  # of the words that are there, the first on the page
+        found = F.filter(F.array(*(F.struct(at(w).alias("at"), F.lit(len(w)).alias("n")) for w in words)), lambda x: x["at"] > 0)
+        first = F.array_min(found)
+    start = first["at"] if words else F.lit(None).cast("int")
+    size = first["n"] if words else F.lit(0)
+    if segment.start:
+        start, size = F.when(at(segment.start) > 0, at(segment.start)).otherwise(start), F.when(at(segment.start) > 0, len(segment.start)).otherwise(size)
+    rest = F.substring(body, start + size, F.length(body))
+    gap = F.locate(segment.end, rest) if segment.end else F.lit(0)
+    after = F.when(gap > 0, F.regexp_replace(F.substring(rest, gap, F.length(rest)), r"(?U)^\s+", "")).otherwise("")
+    made = text.strip(F.concat(text.rstrip(F.substring(body, F.lit(1), start - 1)), F.lit("\n\n"), better, F.lit("\n\n"), after))
+    return F.when(start.isNull() | better.isNull(), body).otherwise(made)
+
+
 def _value(rule: FieldRule, body: Column) -> Column:
     present = F.lit(not rule.aliases)
     for alias in rule.aliases:

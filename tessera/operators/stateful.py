@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,6 +52,63 @@ def throttle(events: DataFrame, interval_seconds: float, key: str = "user_id", t
     return _fold(events, int(interval_seconds * 1_000_000), True, key, ts, tie).select(key, tie, F.col("opens").alias("accepted"))
 
 
+def chain_throttle(requests: DataFrame, interval_seconds: float, group: str = "service", chain: str = "providers", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """For each request with a chain of providers whether it is let through: none of them was charged within the interval. One that is let through charges them all; one that is refused charges none. group, tie, accepted.
+
+    Chains tie providers together, so the requests of a group (a service, a tenant) are one ordered stream; what is held is a time for each provider.
+    """
+    interval = int(interval_seconds * 1_000_000)
+
+    def judged(rows: Iterator[tuple]) -> Iterator[tuple]:
+        charged: dict[str, int] = {}
+        for t, i, providers in rows:
+            free = all(p not in charged or t - charged[p] >= interval for p in providers or ())
+            if free:
+                charged.update(dict.fromkeys(providers or (), t))
+            yield i, free
+
+    slim = requests.select(group, micros(F.col(ts)).alias("t"), F.col(tie).alias("tie"), chain).where("t is not null")
+    return folded(slim, f"`{tie}` {dict(requests.dtypes)[tie]}, accepted boolean", judged)
+
+
+def bounded_sessions(events: DataFrame, most: int, ttl_seconds: float, group: str = "service", key: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """What each access finds in a store of at most ``most`` sessions a group: group, tie, found (hit, new, expired), evicted (the session that had to go for a new one, else null).
+
+    A session that has been idle for longer than the time to live has expired when it is asked for, and is opened anew; a full store gives up the one
+    least recently used. The store is what is held.
+    """
+    ttl = int(ttl_seconds * 1_000_000)
+
+    def stored(rows: Iterator[tuple]) -> Iterator[tuple]:
+        live: OrderedDict = OrderedDict()
+        for t, i, k in rows:
+            at = live.pop(k, None)
+            state = "new" if at is None else "expired" if t - at > ttl else "hit"
+            evicted = live.popitem(last=False)[0] if state != "hit" and len(live) >= most else None
+            live[k] = t
+            yield i, state, evicted
+
+    kinds = dict(events.dtypes)
+    slim = events.select(group, micros(F.col(ts)).alias("t"), F.col(tie).alias("tie"), F.col(key).alias("key")).where("t is not null and key is not null")
+    return folded(slim, f"`{tie}` {kinds[tie]}, found string, evicted {kinds[key]}", stored)
+
+
+def circuit_breaker(calls: DataFrame, open_seconds: float, key: str = "user_id", ts: str = "ts", tie: str = "event_id", failed: str = "failed") -> DataFrame:
+    """For each call of a key whether it is made: one that fails keeps all calls within the time after it from being made. key, tie, made. A call that is not made cannot fail, so each one depends on those before it."""
+    span = int(open_seconds * 1_000_000)
+
+    def judged(rows: Iterator[tuple]) -> Iterator[tuple]:
+        until = None
+        for t, i, bad in rows:
+            made = until is None or t >= until
+            if made and bad:
+                until = t + span
+            yield i, made
+
+    slim = calls.select(key, micros(F.col(ts)).alias("t"), F.col(tie).alias("tie"), F.col(failed).alias("bad")).where("t is not null")
+    return folded(slim, f"`{tie}` {dict(calls.dtypes)[tie]}, made boolean", judged)
+
+
 def nth_occurrence(rows: DataFrame, same: list[str], order: list[str], name: str = "nth") -> DataFrame:
     """Adds the place of each row, from 0, among those that are the same."""
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*same).orderBy(*order)) - 1)

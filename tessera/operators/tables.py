@@ -172,3 +172,53 @@ def continuation(tables: DataFrame, key: str = "doc_id") -> DataFrame:
     linked = tables.withColumn("_next", following).withColumn("continued_to", F.when(F.coalesce(goes_on, F.lit(False)), F.col("_next")["table_id"]))
     before = F.lag(F.struct("table_id", "continued_to")).over(order)
     return linked.withColumn("_before", before).withColumn("continued_from", F.when(F.col("_before")["continued_to"] == F.col("table_id"), F.col("_before")["table_id"])).drop("_next", "_before")
+
+
+# Words of which three head a priced table, those that end one, units that its rows have, and rows without a number.
+PRICE_HEADS = ("序号", "名称", "售卖模式", "内容描述", "计价单位", "数量", "税率", "含税单价", "含税金额", "服务类型/服务项", "服务描述")
+PRICE_FEET = ("小计", "合计", "大写人民币")
+PRICE_UNITS = ("¥", "%", "套", "次", "年", "项", "个", "台", "PV")
+PRICE_ROWS = ("软件产品", "服务中心")
+#: Words that a head has at least; characters that a row has at least.
+HEAD_WORDS, ROW_CHARS = 3, 20
+
+
+def _has(line: Column, words: tuple[str, ...]) -> Column:
+    return F.aggregate(F.array(*(F.contains(line, F.lit(w)).cast("int") for w in words)), F.lit(0), lambda a, x: a + x)
+
+
+def scanned_tables(pages: DataFrame, key: str = "doc_id", page: str = "page_num") -> tuple[DataFrame, DataFrame]:
+    """The tables in scanned pages' texts, and the pages without them: (key, page, idx, markdown) and (key, page, text).
+
+    A table is a run of rows in bars from a row that a separator follows, of three lines or more, or a run of priced rows from a head on. The page's
+    own number is no line at its foot. Runs are windows over the lines of a page.
+    """
+    total = F.count(F.lit(1)).over(Window.partitionBy(key))
+    split = pages.withColumn("_pages", total).select(key, page, "_pages", F.posexplode(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n|\r", "\n"), "\n")).alias("_raw_line", "_raw"))
+    of_page = Window.partitionBy(key, page)
+    order = of_page.orderBy("line")
+    rows = split.withColumn("t", text.strip(F.col("_raw"))).where("t <> ''").withColumn("line", F.row_number().over(of_page.orderBy("_raw_line")))
+    number = F.when(F.col("t").rlike("^[0-9]{1,9}$"), F.col("t").cast("long"))
+    foot = number.between(F.greatest(F.lit(1), F.col(page) - 1), F.least(F.col(page) + 1, F.col("_pages"))) & (F.col("line") >= 3)
+    tail = F.min(F.coalesce(foot, F.lit(False)).cast("int")).over(of_page.orderBy(F.col("line").desc()))
+    rows = rows.withColumn("_tail", tail).where("_tail = 0")
+    t = F.col("t")
+    head = (_has(t, PRICE_HEADS) >= HEAD_WORDS) | F.startswith(t, F.lit("序号 "))
+    priced = head | (_has(t, PRICE_FEET) > 0) | (t.rlike(r"^[0-9]+\s+") & (F.length(t) >= ROW_CHARS) & (_has(t, PRICE_UNITS) > 0)) | t.isin(*PRICE_ROWS)
+    bars = (F.regexp_count(t, F.lit(r"\|")) >= 2) & (text.strip(F.regexp_replace(t, r"\|", "")) != "")
+    rule = t.rlike(r"^\|?(?:\s*:?-+:?\s*\|)+\s*:?-+:?\s*\|?$")
+    marked = rows.withColumns({"_head": head, "_priced": priced, "_bars": bars, "_rule": rule})
+    marked = marked.withColumn("_begins", F.col("_bars") & F.coalesce(F.lead("_rule").over(order), F.lit(False)))
+    run = lambda c: F.sum((~F.col(c)).cast("int")).over(order)
+    marked = marked.withColumns({"_bar_run": run("_bars"), "_price_run": run("_priced")})
+    since = lambda c, r: F.max(F.col(c).cast("int")).over(Window.partitionBy(key, page, r).orderBy("line")) == 1
+    inside = marked.withColumns({"_md": F.col("_bars") & since("_begins", "_bar_run"), "_plain": F.col("_priced") & since("_head", "_price_run")})
+    named = inside.withColumn("_table", F.when(F.col("_md"), F.concat(F.lit("m"), F.col("_bar_run").cast("string"))).when(F.col("_plain"), F.concat(F.lit("p"), F.col("_price_run").cast("string"))))
+    size = F.count(F.lit(1)).over(Window.partitionBy(key, page, "_table"))
+    whole = named.withColumn("_size", size).withColumn("_kept", F.col("_table").isNotNull() & (~F.col("_md") | (F.col("_size") > 2)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]), "\n")
+    found = whole.where("_kept").groupBy(key, page, "_table").agg(F.min("line").alias("_at"), joined.alias("markdown"))
+    found = found.select(key, page, F.row_number().over(Window.partitionBy(key, page).orderBy("_at")).alias("idx"), "markdown")
+    body = whole.where(~F.col("_kept") & ~(F.col("_rule") & F.col("_table").isNotNull())).groupBy(key, page).agg(joined.alias("text"))
+    rest = pages.select(key, page).join(body, [key, page], "left").select(key, page, F.coalesce("text", F.lit("")).alias("text"))
+    return found, rest

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.operators import sectioning
 from tessera.shipping import ship
 
 # Kinds of files that can be read here, and the limits of an archive's entries.
@@ -66,6 +68,89 @@ def _paragraphs(root: ElementTree.Element) -> Iterator[str]:
             yield from _paragraphs(e)
 
 
+def _docx_paragraphs(data: bytes) -> list[tuple]:
+    """Paragraphs with the level of their heading style (0 for none) and the package paths of the images in them."""
+    with _checked(data) as archive:
+        body = ElementTree.fromstring(archive.read("word/document.xml"))
+        rels = ElementTree.fromstring(archive.read("word/_rels/document.xml.rels")) if "word/_rels/document.xml.rels" in archive.namelist() else ()
+    inside = {}
+    for r in rels:
+        target = r.get("Target", "").replace("\\", "/").strip()
+        if target and r.get("TargetMode", "").lower() != "external" and ("image" in r.get("Type", "").lower() or target.lower().startswith("media/")):
+            inside[r.get("Id")] = posixpath.normpath(target.lstrip("/") if target.startswith("/") else f"word/{target}")
+    attribute = lambda x, name: next((v for k, v in x.attrib.items() if _name_of(k) == name), "")
+    out = []
+    for i, p in enumerate(e for e in body.iter() if _name(e) == "p"):
+        style = next((attribute(x, "val") for x in p.iter() if _name(x) == "pStyle"), "").lower()
+        number = re.search("[1-6]", style)
+        level = (min(int(number[0]), 3) if number else 1) if any(w in style for w in ("heading", "标题", "title")) else 0
+        used = [attribute(x, "embed") if _name(x) == "blip" else attribute(x, "id") for x in p.iter() if _name(x) in ("blip", "imagedata")]
+        out.append((i, "".join(x.text or "" for x in p.iter() if _name(x) == "t").strip(), level, [inside[u] for u in dict.fromkeys(used) if u in inside]))
+    return out
+
+
+def _name_of(qualified: str) -> str:
+    return qualified.rpartition("}")[2]
+
+
+def docx_paragraphs(found: DataFrame) -> DataFrame:
+    """Paragraphs of the word processor files among those of ``files``: path, idx, text, style_level, images (package paths). A damaged file has none."""
+    ship(found.sparkSession)
+
+    def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in it:
+            out = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    out += [(path, *p) for p in _docx_paragraphs(content)]
+                except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError):
+                    continue
+            yield pd.DataFrame(out, columns=["path", "idx", "text", "style_level", "images"])
+
+    return found.where("kind = 'docx'").select("path", "content").mapInPandas(read, "path string, idx int, text string, style_level int, images array<string>")
+
+
+#: Paragraphs before and after an image that are its context, and characters of that.
+BEFORE, AFTER, CONTEXT_CHARS = 4, 3, 1200
+
+
+def docx_images(paragraphs: DataFrame, path: str = "path") -> DataFrame:
+    """Images of documents given as ``docx_paragraphs``: path, image_no (from 1), target, paragraph, near_heading, paragraph_text, context_text.
+
+    The heading is the last one before or at the image, by style or by its number; the context is the paragraphs around it.
+    """
+    order = Window.partitionBy(path).orderBy("idx")
+    levelled = sectioning.with_levels(paragraphs, "text").withColumn("_heading", F.when((F.col("text") != "") & ((F.col("style_level") > 0) | (F.col("level") > 0)), F.col("text")))
+    near = F.coalesce(F.last("_heading", ignorenulls=True).over(order), F.lit(""))
+    around = F.array_join(F.filter(F.collect_list("text").over(order.rowsBetween(-BEFORE, AFTER)), lambda t: t != ""), "\n")
+    told = levelled.select(path, "idx", "text", "images", near.alias("near_heading"), F.substring(around, 1, CONTEXT_CHARS).alias("context_text"))
+    each = told.select(path, "idx", "text", "near_heading", "context_text", F.posexplode("images").alias("_nth", "target"))
+    number = F.row_number().over(Window.partitionBy(path).orderBy("idx", "_nth"))
+    return each.select(path, number.alias("image_no"), "target", F.col("idx").alias("paragraph"), "near_heading", F.col("text").alias("paragraph_text"), "context_text")
+
+
+def docx_image_count(paragraphs: DataFrame, path: str = "path") -> DataFrame:
+    """How many images each document refers to, those of one paragraph once each: path, images."""
+    return paragraphs.groupBy(path).agg(F.sum(F.size("images")).alias("images"))
+
+
+def docx_media(found: DataFrame, target: str = "word/media/") -> DataFrame:
+    """The parts of office files under a folder of the package: path, target, content. Archives that unpack too large are left out."""
+    ship(found.sparkSession)
+
+    def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in it:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    with _checked(content) as archive:
+                        names = [n for n in archive.namelist() if n.startswith(target)]
+                        yield pd.DataFrame([(path, n, archive.read(n)) for n in names], columns=["path", "target", "content"])
+                except (ValueError, zipfile.BadZipFile):
+                    continue
+
+    return found.where(F.col("kind").isin(*ARCHIVE_KINDS)).select("path", "content").mapInPandas(read, "path string, target string, content binary")
+
+
 def _docx(data: bytes) -> list[str]:
     with _checked(data) as archive:
         body = ElementTree.fromstring(archive.read("word/document.xml"))
@@ -83,11 +168,14 @@ def _xlsx(data: bytes) -> list[str]:
     with _checked(data) as archive:
         names = archive.namelist()
         shared = ["".join(t.text or "" for t in si.iter() if _name(t) == "t") for si in ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-        titles = [s.attrib["name"] for s in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter() if _name(s) == "sheet"]
+        rels = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))} if "xl/_rels/workbook.xml.rels" in names else {}
+        sheets = [s for s in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter() if _name(s) == "sheet"]
         out = []
-        for i, title in enumerate(titles, 1):
+        for i, sheet in enumerate(sheets, 1):
+            title, target = sheet.attrib["name"], rels.get(next((v for k, v in sheet.attrib.items() if _name_of(k) == "id" and "}" in k), ""), "")
+            part = posixpath.normpath(target.lstrip("/") if target.startswith("/") else f"xl/{target}") if target else f"xl/worksheets/sheet{i}.xml"
             rows = []
-            for row in (r for r in ElementTree.fromstring(archive.read(f"xl/worksheets/sheet{i}.xml")).iter() if _name(r) == "row"):
+            for row in (r for r in ElementTree.fromstring(archive.read(part)).iter() if _name(r) == "row"):
                 cells: dict[int, str] = {}
                 for c in row:
                     column = 0
