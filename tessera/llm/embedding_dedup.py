@@ -20,7 +20,7 @@ SHARD_ROWS, SHARD_BYTES, SHARDS = 16_384, 64 << 20, 4
 #: Width of the first beams and of the widest ones; beyond those a block is searched by brute force. The recall that audits ask for.
 BEAM, WIDEST, RECALL = 64, 512, 0.9995
 #: Made-up queries that audit a shard when it is built; queries of a block that audit its search, as many with links and as many without.
-NEEDLES, AUDITED = 2048, 64
+NEEDLES, AUDITED = 1024, 64
 
 log = logging.getLogger(__name__)
 
@@ -72,6 +72,7 @@ def _search(graph: Graph, beam: int, ids: np.ndarray, queries: np.ndarray, own:
         some = np.union1d(spread(linked), spread(np.arange(len(own))))
         tr, tc = graph.exactly(queries[some], least)
         truth = int((own[some[tr]] != ids[tc]).sum())
+        del tr, tc
         hit = int(np.isin(r, some).sum())
         if not beam or hit >= RECALL * truth:
             return own[r], ids[c], truth, hit

@@ -16,6 +16,8 @@ CALLERS = 4
 SPARE = 8
 #: Beam nodes that a query expands in a step.
 EXPAND = 4
+#: Pairs that are measured again at a time.
+PAIRS = 1 << 15
 
 
 class Graph:
@@ -193,7 +195,7 @@ class Graph:
                 again.append(some[full])
                 r, c = np.nonzero((sims >= close) & ~full[:, None])
                 r, c = some[r], ids[r, c]
-                sure = np.einsum("kd,kd->k", queries[r], self.exact[c]) >= least
+                sure = self._sure(queries, r, c, least)
                 found.append((r[sure], c[sure]))
             todo = np.concatenate(again)
             beam *= 4
@@ -205,26 +207,37 @@ class Graph:
         step = max(16, (32 << 20) // (4 * len(self.vectors) + 4))
         for i in range(0, len(queries), step):
             r, c = np.nonzero(queries[i : i + step].astype(np.float32) @ self.vectors.T >= np.float32(least - 1e-5))
-            sure = np.einsum("kd,kd->k", queries[i + r], self.exact[c]) >= least
+            sure = self._sure(queries, i + r, c, least)
             found.append((i + r[sure], c[sure]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def needles(self, least: float, most: int, seed: int = 4) -> np.ndarray:
-        """Made-up queries that each lie just within ``least`` of a node, in a random direction: what a search must find where true links are too rare to audit."""
+    def _sure(self, queries: np.ndarray, r: np.ndarray, c: np.ndarray, least: float) -> np.ndarray:
+        """Which pairs (query, node) have a cosine of at least ``least`` in double precision; so many at a time that memory does not follow their number."""
+        out = np.zeros(len(r), bool)
+        for i in range(0, len(r), PAIRS):
+            out[i : i + PAIRS] = np.einsum("kd,kd->k", queries[r[i : i + PAIRS]], self.exact[c[i : i + PAIRS]]) >= least
+        return out
+
+    def tuned(self, least: float, recall: float, beam: int, widest: int, most: int, seed: int = 4) -> int:
+        """The width of beams that find that share of the nodes from made-up queries just within ``least`` of them, each in a random direction; 0 if none up to ``widest`` does.
+
+        So the search is audited where true links are too rare to audit. A beam that such nodes all but fill counts, as ``within`` widens it.
+        """
         rng = np.random.default_rng(seed)
-        node = self.exact[rng.permutation(len(self.exact))[:most]]
-        aside = rng.normal(size=node.shape)
+        at = rng.permutation(len(self.exact))[:most]
+        node, aside = self.exact[at], rng.normal(size=(len(at), self.exact.shape[1]))
         aside -= np.einsum("qd,qd->q", aside, node)[:, None] * node
         size = np.linalg.norm(aside, axis=1, keepdims=True)
         cosine = np.where(size > 1e-9, min(1.0, least + 5e-4), 1.0)
-        return cosine * node + np.sqrt(1 - cosine**2) * aside / np.maximum(size, 1e-9)
-
-    def tuned(self, least: float, recall: float, beam: int, widest: int, most: int) -> int:
-        """The width from which beams find that share of the nodes near the needles; 0 if none up to ``widest`` does."""
-        queries = self.needles(least, most)
-        truth = len(self.exactly(queries, least)[0])
+        queries = (cosine * node + np.sqrt(1 - cosine**2) * aside / np.maximum(size, 1e-9)).astype(np.float32)
         while beam <= widest:
-            if len(self.within(queries, least, beam)[0]) >= recall * truth:
+            wide, found = min(beam, len(self.exact)), 0
+            for i in range(0, len(at), 256):
+                some = queries[i : i + 256]
+                ids, sims = self._beam(some, self._descend(some, np.zeros(len(some), np.int64))[:, None], 0, wide)
+                full = (sims[:, -min(SPARE, wide)] >= np.float32(least - 1e-5)) & (wide < len(self.exact))
+                found += int(((ids == at[i : i + 256, None]).any(axis=1) | full).sum())
+            if found >= recall * len(at):
                 return beam
             beam = beam * 3 // 2
         return 0
