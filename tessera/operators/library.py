@@ -12,8 +12,8 @@ from tessera.storage import stored
 LIMITS = (1, 200)
 
 
-def from_documents(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """The library of a table of documents: a file for each, its language as tag, its labels as metadata.
+def from_documents(documents: DataFrame, labels: DataFrame | None = None, content_type: Column | None = None) -> DataFrame:
+    """The library of a table of documents: a file for each, its language and source as tags, its labels as metadata; its content type is General where none is given.
 
     Documents without labels have null values in their metadata, as a library has where a key is missing.
     """
@@ -22,7 +22,7 @@ def from_documents(documents: DataFrame, labels: DataFrame | None = None) -> Dat
         F.format_string("DOC-%06d", "doc_id").alias("id"),
         F.concat(F.col("source"), F.lit("-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
         F.lit("txt").alias("file_type"),
-        F.when(F.pmod(F.col("doc_id"), F.lit(4)) == 0, "Contract").when(F.pmod(F.col("doc_id"), F.lit(4)) == 1, "Bid").when(F.pmod(F.col("doc_id"), F.lit(4)) == 2, "Knowledge").otherwise("General").alias("content_type"),
+        text.content_type(content_type if content_type is not None else F.lit(None).cast("string")).alias("content_type"),
         F.col("source"),
         F.substring("text", 1, 200).alias("digest"),
         F.array("lang", "source").alias("tags"),
@@ -117,9 +117,13 @@ def filename_ids(new: DataFrame, existing: DataFrame, filename: str = "filename"
     whole = existing.select(F.col(key).alias("_base"), F.lit(1).alias("_n"))
     counted = existing.where(F.col(key).rlike("-[0-9]{1,9}$")).select(F.regexp_replace(key, "-[0-9]+$", "").alias("_base"), F.regexp_extract(key, "-([0-9]+)$", 1).cast("int").alias("_n"))
     taken = whole.union(counted).groupBy("_base").agg(F.max("_n").alias("_taken"))
-    place = F.row_number().over(Window.partitionBy("_base").orderBy(order)) + F.coalesce("_taken", F.lit(0))
-    placed = based.join(taken, "_base", "left").withColumn("_place", place)
-    return placed.withColumn(key, F.when(F.col("_place") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), F.col("_place").cast("string")))).drop("_base", "_taken", "_place")
+    # Rows are numbered within range partitions, so a name that very many rows have is no hot task; stored, as they are read twice.
+    ranged = based.repartitionByRange("_base", order).withColumn("_part", F.spark_partition_id())
+    ranged = stored(ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part", "_base").orderBy(order))), "named")
+    parts = ranged.groupBy("_base", "_part").agg(F.count(F.lit(1)).alias("_rows"))
+    starts = parts.select("_base", "_part", (F.sum("_rows").over(Window.partitionBy("_base").orderBy("_part")) - F.col("_rows")).alias("_start"))
+    placed = ranged.join(starts, ["_base", "_part"]).join(taken, "_base", "left").withColumn("_place", F.col("_n") + F.col("_start") + F.coalesce("_taken", F.lit(0)))
+    return placed.withColumn(key, F.when(F.col("_place") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), F.col("_place").cast("string")))).drop("_base", "_taken", "_place", "_part", "_n", "_start")
 
 
 def cache_lookup(requests: DataFrame, captures: DataFrame, keys: list[str], ttl_seconds: float, at: str = "ts", created: str = "created_at", value: str = "id") -> DataFrame:

@@ -32,7 +32,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library.from_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    kinds = F.array(*map(F.lit, ("Contract", "Bid", "Knowledge", "General")))
+    return library.from_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), F.get(kinds, F.pmod(F.col("doc_id"), F.lit(4)).cast("int")))
 
 
 def _line_sections(documents: DataFrame) -> DataFrame:
@@ -337,12 +338,15 @@ def _bannered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), k.alias("page_num"), F.concat(banner, F.coalesce("text", F.lit("")), F.lit("\n- end -\n"), k.cast("string")).alias("text"))
 
 
-@_query("""WITH p AS (SELECT conv_id AS doc_id, count(*) AS pages, count(CASE WHEN turn % 4 <> 3 THEN 1 END) AS b FROM conversations GROUP BY 1)
-SELECT doc_id, 'foot' AS edge, '-end-' AS line_key, pages AS on_pages FROM p WHERE pages >= 4 UNION ALL SELECT doc_id, 'foot', 'page', pages FROM p WHERE pages >= 4
-UNION ALL SELECT doc_id, 'top', 'TesseraReport', b FROM p WHERE pages >= 4 AND b >= greatest(2, ceil(pages * 0.5))""")
+@_query(r"""WITH p AS (SELECT conv_id AS doc_id, turn + 1 AS page, count(*) OVER (PARTITION BY conv_id) AS pages, CASE WHEN turn % 4 <> 3 THEN 'Tessera  Report' || chr(10) ELSE '' END || coalesce(text, '') || chr(10) || '- end -' || chr(10) || (turn + 1) AS body FROM conversations),
+l AS (SELECT doc_id, page, pages, generate_subscripts(string_split(body, chr(10)), 1) AS n, regexp_replace(unnest(string_split(body, chr(10))), '\s+', '', 'g') AS t FROM p WHERE pages >= 4),
+e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY n) AS top, row_number() OVER (PARTITION BY doc_id, page ORDER BY n DESC) AS foot FROM l WHERE t <> ''),
+k AS (SELECT doc_id, page, pages, 'top' AS edge, t AS line_key FROM e WHERE top <= 2 UNION ALL
+ SELECT doc_id, page, pages, 'foot', CASE WHEN regexp_matches(t, '^[0-9]{1,9}$') AND try_cast(t AS BIGINT) BETWEEN 1 AND pages AND abs(try_cast(t AS BIGINT) - page) <= 2 THEN 'page' ELSE t END FROM e WHERE foot <= 2)
+SELECT doc_id, edge, line_key, count(DISTINCT page) AS on_pages FROM k GROUP BY doc_id, edge, line_key, pages HAVING count(DISTINCT page) >= greatest(2, ceil(pages * 0.5))""")
 def header_footer_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that run along the edges of most pages of a document."""
-    found = quality.running_lines(_bannered(spark, sf_dir)).where("line_key in ('-end-', '\u0001page', 'TesseraReport')")
+    found = quality.running_lines(_bannered(spark, sf_dir))
     return found.select("doc_id", "edge", F.replace("line_key", F.lit("\u0001"), F.lit("")).alias("line_key"), "on_pages")
 
 
@@ -353,12 +357,13 @@ def header_footer_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.strip_running_lines(_bannered(spark, sf_dir)).select("doc_id", "page_num", "text")
 
 
-@_query(r"""SELECT page_id, 'h1' AS tag, count(*) AS n FROM pages WHERE regexp_matches(html, '<h1>') GROUP BY 1 UNION ALL
-SELECT page_id, 'title', CAST(length(html) - length(replace(html, '<title>', 'title>')) AS BIGINT) FROM pages UNION ALL
-SELECT page_id, 'li', CAST(length(html) - length(replace(html, '<li>', 'li>')) AS BIGINT) FROM pages WHERE contains(html, '<li>')""")
+_KEPT_TAGS = "title article main body div section nav aside header footer h1 h2 h3 h4 h5 h6 p li blockquote pre code table caption tr th td a button input select textarea form label img"
+
+
+@_query(f"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '<([a-z0-9]+)[ >/]', 1)) AS tag FROM pages)
+SELECT page_id, tag, count(*) AS n FROM t WHERE tag IN ({", ".join(f"'{x}'" for x in _KEPT_TAGS.split())}) GROUP BY 1, 2""")
 def page_element_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html.elements(_table(spark, sf_dir, "pages")).where("tag in ('h1', 'title', 'li')")
-    return found.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+    return html.elements(_table(spark, sf_dir, "pages")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _page_sections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -496,7 +501,16 @@ def page_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(text.page_set(spec, F.lit(15)), ",").alias("pages"))
 
 
-@_query()
+def _words_sql(n: str) -> str:
+    """A number under 10,000 in Chinese words, as SQL."""
+    digit = lambda place, unit: f"CASE WHEN {n} // {place} % 10 = 0 THEN '零' ELSE substr('零壹贰叁肆伍陆柒捌玖', CAST({n} // {place} % 10 + 1 AS INT), 1) || '{unit}' END"
+    return f"regexp_replace(regexp_replace({digit(1000, '仟')} || {digit(100, '佰')} || {digit(10, '拾')} || {digit(1, '')}, '零+', '零', 'g'), '^零|零$', '', 'g')"
+
+
+@_query(f"""WITH a AS (SELECT o_orderkey, printf('%.2f', o_totalprice) AS p FROM orders), c AS (SELECT *, CAST(replace(p, '.', '') AS BIGINT) AS cents FROM a),
+g AS (SELECT *, cents // 100 AS w, cents // 1000000 AS high, cents // 100 % 10000 AS low, cents // 10 % 10 AS tenth, cents % 10 AS hundredth FROM c)
+SELECT o_orderkey, '¥' || p AS amount, CASE WHEN w = 0 THEN '零' ELSE CASE WHEN high > 0 THEN {_words_sql("high")} || '万' ELSE '' END || CASE WHEN high > 0 AND low > 0 AND low < 1000 THEN '零' ELSE '' END || CASE WHEN low > 0 THEN {_words_sql("low")} ELSE '' END END
+ || CASE WHEN cents % 100 = 0 THEN '元整' ELSE '元' || CASE WHEN tenth > 0 THEN substr('零壹贰叁肆伍陆柒捌玖', CAST(tenth + 1 AS INT), 1) || '角' ELSE '零' END || CASE WHEN hundredth > 0 THEN substr('零壹贰叁肆伍陆柒捌玖', CAST(hundredth + 1 AS INT), 1) || '分' ELSE '' END END AS words FROM g""")
 def amounts_in_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return _table(spark, sf_dir, "orders").select("o_orderkey", F.format_string("¥%.2f", "o_totalprice").alias("amount")).withColumn("words", amounts.uppercase_rmb(F.col("amount")))
@@ -524,12 +538,17 @@ def layout_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.layout_markdown(layout.layout_tables(blocks))
 
 
-@_query()
+@_query("""WITH RECURSIVE b AS (SELECT l_orderkey AS image_id, l_linenumber AS box_id, CAST(l_partkey % 50 AS DOUBLE) AS x1, 0.0::DOUBLE AS y1, CAST(l_partkey % 50 + 30 AS DOUBLE) AS x2, 20.0::DOUBLE AS y2, l_discount AS score FROM lineitem),
+o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, box_id, x1) AS n FROM b),
+f AS (SELECT image_id, box_id, x1, y1, x2, y2, score, n, [x1] AS kept, true AS stays FROM o WHERE n = 1 UNION ALL
+ SELECT o.image_id, o.box_id, o.x1, o.y1, o.x2, o.y2, o.score, o.n, CASE WHEN ok THEN list_append(kept, o.x1) ELSE kept END, ok FROM (SELECT f.kept, o.*, len(list_filter(f.kept, lambda k: greatest(0, 31 - abs(k - o.x1)) / (62 - greatest(0, 31 - abs(k - o.x1))) > 0.5)) = 0 AS ok FROM f JOIN o ON o.image_id = f.image_id AND o.n = f.n + 1) o)
+SELECT image_id, box_id, x1, y1, x2, y2, score, row_number() OVER (PARTITION BY image_id ORDER BY n) - 1 AS place FROM f WHERE stays""")
 def suppress_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as scored boxes of an image each: of overlapping ones the best stays."""
     li = _table(spark, sf_dir, "lineitem")
     x = (F.col("l_partkey") % 50).cast("double")
-    return layout.suppress_boxes(li.select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("box_id"), x.alias("x1"), F.lit(0.0).alias("y1"), (x + 30).alias("x2"), F.lit(20.0).alias("y2"), F.col("l_discount").alias("score")))
+    found = layout.suppress_boxes(li.select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("box_id"), x.alias("x1"), F.lit(0.0).alias("y1"), (x + 30).alias("x2"), F.lit(20.0).alias("y2"), F.col("l_discount").alias("score")))
+    return found.withColumn("place", F.col("place").cast("bigint"))
 
 
 @_query("""WITH t AS (SELECT conv_id AS doc_id, turn AS idx, role || ': ' || substr(text, 1, 150) AS one, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
@@ -546,7 +565,11 @@ def summary_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.plan(_turns(spark, sf_dir))
 
 
-@_query()
+@_query(r"""WITH s AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx, unnest(string_split(text, chr(10))) AS body FROM documents),
+c AS (SELECT doc_id, idx, substr(body, 1, 40) AS title, regexp_replace(regexp_replace(body, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS one FROM s),
+p AS (SELECT doc_id, idx, '## ' || title || chr(10) || CASE WHEN length(one) > 200 THEN regexp_replace(substr(one, 1, 200), '\s+$', '') || '...' ELSE one END AS part FROM c),
+u AS (SELECT *, sum(length(part)) OVER w AS used, row_number() OVER w AS n FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY idx)), o AS (SELECT *, max((used > 4000 AND n > 1)::INT) OVER (PARTITION BY doc_id ORDER BY idx) AS gone FROM u)
+SELECT doc_id, CAST(sum((gone = 0)::INT) AS BIGINT) AS parts, max(gone) = 1 AS cut, string_agg(CASE WHEN gone = 0 THEN part END, chr(10) || chr(10) ORDER BY idx) AS overview FROM o GROUP BY 1""")
 def summary_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.text_overview(_line_sections(_table(spark, sf_dir, "documents")), budget=4000)
 
@@ -560,12 +583,13 @@ def counter_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.counters(_table(spark, sf_dir, "events").select(name.alias("name"), F.lit(1).alias("n")))
 
 
-@_query("""SELECT page_id, '⟦web-content nonce=' || substr(md5(url), 1, 16) || ' origin=' || url || ' note=untrusted-text⟧' || chr(10) || substr(html, 1, 100) || chr(10) || '⟦/web-content nonce=' || substr(md5(url), 1, 16) || '⟧' AS wrapped FROM pages""")
+@_query("""SELECT doc_id, '⟦document-text nonce=' || substr(md5(source), 1, 16) || ' origin=' || source || ' note=untrusted-text⟧' || chr(10) || coalesce(text, '') || chr(10) || '⟦/document-text nonce=' || substr(md5(source), 1, 16) || '⟧' AS wrapped FROM documents""")
 def untrusted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", ocr.wrapped(F.substring("html", 1, 100), F.substring(F.md5("url"), 1, 16), F.col("url")).alias("wrapped"))
+    """Whole documents between the marks."""
+    return _table(spark, sf_dir, "documents").select("doc_id", ocr.wrapped(F.coalesce("text", F.lit("")), F.substring(F.md5("source"), 1, 16), F.col("source"), "document-text").alias("wrapped"))
 
 
 @_query("""SELECT page_id, '⟦web-content nonce=' || substr(md5(url), 1, 16) || ' origin=' || url || ' note=untrusted-text⟧' || chr(10) || coalesce(html, '') || chr(10) || '⟦/web-content nonce=' || substr(md5(url), 1, 16) || '⟧' AS wrapped FROM pages""")
 def untrusted_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole page between the marks; ``untrusted_text`` wraps its first 100 characters."""
+    """Whole pages between the marks."""
     return _table(spark, sf_dir, "pages").select("page_id", ocr.wrapped(F.coalesce("html", F.lit("")), F.substring(F.md5("url"), 1, 16), F.col("url")).alias("wrapped"))
