@@ -371,9 +371,18 @@ def _page_sections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return elements, pages.sections(pages.blocks(elements))
 
 
-@_query()
+_BLOCKS_SQL = r"""b AS (SELECT page_id, regexp_replace(html, '(?s)<head>.*?</head>|<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g') AS h FROM pages),
+o AS (SELECT page_id, unnest(regexp_extract_all(h, '<(h1|p|li|div)(?: [^>]*)?>', 1)) AS tag, generate_subscripts(regexp_extract_all(h, '<(h1|p|li|div)(?: [^>]*)?>', 1), 1) AS pos, unnest(string_split_regex(h, '<(?:h1|p|li|div)(?: [^>]*)?>')[2:]) AS piece FROM b),
+c AS (SELECT page_id, tag, pos, regexp_replace(regexp_replace(regexp_replace(piece, '(?s)</(?:h1|p|li|div|ul|nav|article|footer|body)>.*|<(?:ul|nav|article|footer)[ >].*', ''), '<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS raw FROM o),
+t AS (SELECT page_id, tag, pos, regexp_replace(regexp_replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS text FROM c),
+k AS (SELECT page_id, CASE WHEN tag = 'div' THEN 1 ELSE 0 END AS part, pos, CASE WHEN tag = 'div' THEN 'p' ELSE tag END AS tag, text FROM t WHERE text <> '' AND (tag = 'h1' OR length(text) >= CASE WHEN tag = 'div' THEN 81 ELSE 20 END)),
+d AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY page_id, text ORDER BY part, pos) = 1), n AS (SELECT *, sum((part = 0)::INT) OVER (PARTITION BY page_id) AS main FROM d),
+blocks AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY part, pos) - 1 AS idx, tag, text FROM n WHERE part = 0 OR main < 10)""".replace("\\\\", "\\")
+
+
+@_query(f"WITH {_BLOCKS_SQL} SELECT page_id, idx, tag, text FROM blocks WHERE idx < 1501")
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.blocks(html.elements(_table(spark, sf_dir, "pages")))
+    return pages.blocks(html.elements(_table(spark, sf_dir, "pages"))).withColumn("idx", F.col("idx").cast("bigint"))
 
 
 @_query()
@@ -430,11 +439,31 @@ def chunk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "idx", F.size("sids").cast("bigint").alias("n_sections"))
 
 
-@_query()
+def _est_sql(t: str) -> str:
+    """The estimate of a text's tokens, as SQL."""
+    share = f"(length(regexp_replace({t}, '[^\\x{{4E00}}-\\x{{9FFF}}]', '', 'g')) / greatest(length({t}), 1))"
+    return f"CAST(floor(length({t}) / (2.5 * {share} + 4.0 * (1 - {share}))) AS BIGINT)"
+
+
+def _strip_sql(t: str) -> str:
+    return f"regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
+
+
+@_query(f"""WITH RECURSIVE d AS (SELECT doc_id, source, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents), e AS (SELECT *, {_est_sql("t")} AS tokens FROM d),
+q AS (SELECT doc_id, list_filter(list_transform(string_split_regex(t, '\\n{{2,}}'), lambda x: {_strip_sql("x")}), lambda x: x <> '') AS ps, t FROM e WHERE tokens > 400),
+p AS (SELECT doc_id, unnest(CASE WHEN len(ps) > 0 THEN ps ELSE [t] END) AS p, generate_subscripts(CASE WHEN len(ps) > 0 THEN ps ELSE [t] END, 1) AS n FROM q),
+s AS (SELECT doc_id, n, p, {_est_sql("p")} AS k, lead(n) OVER (PARTITION BY doc_id ORDER BY n) IS NULL AS final FROM p),
+f AS (SELECT doc_id, n, p AS cur, k AS used, CAST(NULL AS VARCHAR) AS done, final FROM s WHERE n = 1 UNION ALL
+ SELECT doc_id, n, CASE WHEN over THEN tail || chr(10) || chr(10) || p ELSE cur || chr(10) || chr(10) || p END, CASE WHEN over THEN {_est_sql("tail")} + k ELSE used + k END, CASE WHEN over THEN whole END, final
+ FROM (SELECT s.doc_id, s.n, s.p, s.k, s.final, f.cur, f.used, f.used + s.k > 400 AS over, {_strip_sql("f.cur")} AS whole, right({_strip_sql("f.cur")}, 80) AS tail FROM f JOIN s ON s.doc_id = f.doc_id AND s.n = f.n + 1)),
+c AS (SELECT doc_id, n, 0 AS z, done AS body FROM f WHERE done IS NOT NULL UNION ALL SELECT doc_id, n, 1, {_strip_sql("cur")} FROM f WHERE final UNION ALL SELECT doc_id, 1, 0, {_strip_sql("t")} FROM e WHERE tokens <= 400),
+o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, z) AS idx, body FROM c)
+SELECT doc_id, idx, 'chunk-' || lpad(CAST(idx AS VARCHAR), CAST(greatest(4, length(CAST(idx AS VARCHAR))) AS INT), '0') AS chunk_id, regexp_replace(source, '^[ /]+|[ /]+$', '', 'g') AS title, 1 AS page_start, 1 AS page_end, length(body) AS char_count, {_est_sql("body")} AS token_estimate, body AS text FROM o JOIN documents USING (doc_id)""")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in chunks of 400 tokens with 20 shared, lines as paragraphs."""
     d = _table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("idx"), F.col("source").alias("title"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")).withColumns({"sid": text.section_id(F.col("title"), F.col("text")), "page_start": F.lit(1), "page_end": F.lit(1)})
-    return chunks.chunk(d, 400, overlap=20).drop("sids")
+    made = chunks.chunk(d, 400, overlap=20).drop("sids")
+    return made.withColumns({"idx": F.col("idx").cast("bigint"), "char_count": F.col("char_count").cast("bigint")})
 
 
 @_query("""SELECT source, count(*) AS docs, CAST(sum(strlen(text)) AS BIGINT) AS bytes, bool_or(lang = 'en') AS has_english, round(sum((quality = 1)::INT) / nullif(count(quality), 0), 4) AS good_share, round(count(quality) / nullif(count(*), 0), 4) AS labelled_share FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
