@@ -24,7 +24,8 @@ def capture(pages: DataFrame, key: str = "page_id", url: str = "url") -> dict[st
 def parse(pages: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
     """Pages of documents (key, page_num, text) parsed to sections, Markdown tables and one library row each; running headers and footers go first."""
     clean = quality.strip_running_lines(pages, key)
-    parts = sectioning.with_ids(sectioning.merge_short(sectioning.merge_stubs(sectioning.sections(clean, key), key), key), key)
+    merged = sectioning.merge_short(sectioning.merge_stubs(sectioning.sections(clean, key), key), key)
+    parts = sectioning.with_ids(sectioning.promote_children(merged), key)
     paged = clean.withColumn("_page", F.struct(key, "page_num"))
     found = tables.markdown_tables(paged.select("_page", "text"), "_page").select(f"_page.{key}", "_page.page_num", "idx", "markdown", tables.dimensions(F.col("markdown")).alias("size"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n")
