@@ -385,12 +385,38 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.blocks(html.elements(_table(spark, sf_dir, "pages"))).withColumn("idx", F.col("idx").cast("bigint"))
 
 
-@_query()
+def _clip_sql(t: str, most: str) -> str:
+    """A text clipped at an empty line beyond 60 % of the room, as SQL."""
+    cut = f"substr({t}, 1, CAST({most} AS INT))"
+    last = f"(length({cut}) - strpos(reverse({cut}), chr(10) || chr(10)) - 1)"
+    short = f"CASE WHEN strpos(reverse({cut}), chr(10) || chr(10)) > 0 AND {last} > {most} * 0.6 THEN substr({cut}, 1, CAST({last} AS INT)) ELSE {cut} END"
+    return f"CASE WHEN length({t}) <= {most} THEN {t} ELSE {_TRIM.format(short)} END"
+
+
+_NORMAL_SQL = _TRIM.format(r"regexp_replace(regexp_replace(t, '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")
+_SECTIONS_SQL = f"""{_BLOCKS_SQL},
+g AS (SELECT page_id, idx, tag, text, sum((tag = 'h1')::INT) OVER (PARTITION BY page_id ORDER BY idx) AS grp FROM blocks WHERE idx < 1501),
+hd AS (SELECT page_id, grp, substr(text, 1, 120) AS h FROM g WHERE tag = 'h1'), bd AS (SELECT *, (row_number() OVER (PARTITION BY page_id, grp ORDER BY idx) - 1) // 41 AS sub FROM g WHERE tag <> 'h1'),
+pt AS (SELECT page_id, grp, sub, min(idx) AS pl, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS t FROM bd GROUP BY 1, 2, 3), nt AS (SELECT page_id, grp, sub, pl, {_NORMAL_SQL} AS t FROM pt),
+raw AS (SELECT nt.page_id, row_number() OVER (PARTITION BY nt.page_id ORDER BY pl) AS part, CASE WHEN sub = 0 THEN h END AS h, {_clip_sql("t", "4000")} AS t FROM nt LEFT JOIN hd ON hd.page_id = nt.page_id AND hd.grp = nt.grp QUALIFY part <= 60),
+spent AS (SELECT page_id, part, h, t, length(t) AS used FROM raw WHERE part = 1 UNION ALL
+ SELECT page_id, part, h, t, used + length(t) FROM (SELECT r.page_id, r.part, r.h, s.used, CASE WHEN length(r.t) > 12000 - s.used THEN {_clip_sql("r.t", "greatest(220, 12000 - s.used)")} ELSE r.t END AS t FROM spent s JOIN raw r ON r.page_id = s.page_id AND r.part = s.part + 1 WHERE s.used < 12000)),
+named AS (SELECT page_id, part - 1 AS idx, h, t, 's_' || substr(sha1(lower({_TRIM.format("coalesce(h, '')")}) || chr(10) || substr(lower(regexp_replace({_TRIM.format("t")}, '\\s+', ' ', 'g')), 1, 400)), 1, 10) AS sid, {_TRIM.format("string_split_regex(t, '[.!?。！？\\n]')[1]")} AS sentence FROM spent),
+short AS (SELECT *, substr(sentence, 1, 80) AS cut, 80 - strpos(reverse(substr(sentence, 1, 80)), ' ') AS last FROM named),
+secs AS (SELECT page_id, idx, CASE WHEN row_number() OVER (PARTITION BY page_id, sid ORDER BY idx) > 1 THEN sid || '_' || idx ELSE sid END AS sid,
+ CASE WHEN coalesce(h, '') <> '' THEN h WHEN length(sentence) > 10 THEN CASE WHEN length(sentence) <= 80 THEN sentence ELSE regexp_replace(CASE WHEN strpos(reverse(cut), ' ') > 0 AND last > 48 THEN substr(cut, 1, CAST(last AS INT)) ELSE cut END, '\\s+$', '') || '…' END END AS h, t, 'text' AS type FROM short)"""
+
+
+@_query(f"WITH RECURSIVE {_SECTIONS_SQL} SELECT page_id, idx, sid, h, t, type FROM secs")
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _page_sections(spark, sf_dir)[1]
+    return _page_sections(spark, sf_dir)[1].withColumn("idx", F.col("idx").cast("bigint"))
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_SECTIONS_SQL},
+tt AS (SELECT page_id, nullif(regexp_replace({_TRIM.format("replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')")}, '\\s+', ' ', 'g'), '') AS title FROM pages),
+ln AS (SELECT page_id, idx, t, '## ' || coalesce(h, '') || chr(10) || substr(t, 1, 120) AS line FROM secs), rn AS (SELECT *, coalesce(sum(length(line) + 2) OVER (PARTITION BY page_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ln),
+ag AS (SELECT page_id, string_agg(CASE WHEN before < 600 THEN line END, chr(10) || chr(10) ORDER BY idx) AS body, string_agg(t, chr(10) || chr(10) ORDER BY idx) AS whole FROM rn GROUP BY 1)
+SELECT page_id, substr(concat_ws(chr(10) || chr(10), '# ' || coalesce(title, ''), body), 1, 600) AS digest, 'sha256:' || sha256(coalesce(title, '') || chr(10) || coalesce(whole, '')) AS content_hash FROM tt LEFT JOIN ag USING (page_id)""")
 def page_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     elements, parts = _page_sections(spark, sf_dir)
     return pages.digest(pages.titles(elements), parts).join(pages.content_hash(pages.titles(elements), parts), "page_id")
