@@ -239,7 +239,7 @@ class Graph:
                 found += int(((ids == at[i : i + 256, None]).any(axis=1) | full).sum())
             if found >= recall * len(at):
                 return beam
-            beam = beam * 3 // 2
+            beam = beam * 5 // 4
         return 0
 
     def to_bytes(self) -> bytes:
