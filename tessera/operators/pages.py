@@ -98,13 +98,28 @@ def titles(elements: DataFrame, key: str = "page_id") -> DataFrame:
     return first.select(key, F.when(F.col("title") != "", F.col("title")).alias("title"))
 
 
+def innermost(elements: DataFrame, holder: Column, key: str = "page_id") -> DataFrame:
+    """Adds _in: the place of the innermost holder that an element is in, its own for a holder, null outside all.
+
+    Elements nest, so an element is in the last holder that begins before it at the depth that it has itself: holders begun less holders ended.
+    """
+    marked = elements.withColumn("_holds", holder)
+    ends = marked.where("_holds").select(key, F.col("last").alias("pos"), F.lit(1).alias("_kind"), F.lit(-1).alias("_step"))
+    steps = marked.withColumns({"_kind": F.lit(0), "_step": F.col("_holds").cast("int")}).unionByName(ends, allowMissingColumns=True)
+    deep = steps.withColumn("_depth", F.sum("_step").over(Window.partitionBy(key).orderBy("pos", "_kind"))).where("_kind = 0")
+    begun = F.last(F.when(F.col("_holds"), F.col("pos")), ignorenulls=True).over(Window.partitionBy(key, "_depth").orderBy("pos"))
+    return deep.withColumn("_in", F.when(F.col("_depth") > 0, begun)).drop("_holds", "_kind", "_step", "_depth")
+
+
 def table_cells(elements: DataFrame, most: int = 20, key: str = "page_id") -> DataFrame:
-    """Cells of the visible tables of each page, rows padded to the table's width: key, table_no, row, col, value, head (the row has header cells)."""
+    """Cells of the visible tables of each page, rows padded to the table's width: key, table_no, row, col, value, head (the row has header cells).
+
+    Tables are numbered as they begin. A row is of the innermost table around it alone: what a table within a cell says is part of that cell's text, but its rows are no rows of the outer table.
+    """
     parts = elements.where(~F.col("hidden"))
-    # A row is of the last table that begins before it; tables are numbered as they begin.
-    before = Window.partitionBy(key).orderBy("pos")
-    owner = parts.where("tag in ('table', 'tr')").select(key, "tag", F.col("pos").alias("row_pos"), F.sum((F.col("tag") == "table").cast("int")).over(before).alias("table_no"))
-    owner = owner.where((F.col("tag") == "tr") & F.col("table_no").between(1, most)).select(key, "row_pos", "table_no")
+    held = innermost(parts.where("tag in ('table', 'tr')").select(key, "pos", "last", "tag"), F.col("tag") == "table", key)
+    numbers = parts.where("tag = 'table'").select(key, F.col("pos").alias("_in"), F.row_number().over(Window.partitionBy(key).orderBy("pos")).alias("table_no"))
+    owner = held.where("tag = 'tr'").join(numbers.where(F.col("table_no") <= most), [key, "_in"]).select(key, F.col("pos").alias("row_pos"), "table_no")
     cells = parts.where("tag in ('td', 'th')").select(key, "pos", F.col("parent").alias("row_pos"), "tag", F.replace("text", F.lit("|"), F.lit("¦")).alias("value"))
     at = cells.join(owner, [key, "row_pos"])
     at = at.withColumn("row", F.dense_rank().over(Window.partitionBy(key, "table_no").orderBy("row_pos")) - 1).withColumn("col", F.row_number().over(Window.partitionBy(key, "row_pos").orderBy("pos")) - 1)
@@ -220,10 +235,9 @@ def sections_diff(old: DataFrame, new: DataFrame, key: str = "page_id") -> DataF
 def declared_tools(elements: DataFrame, key: str = "page_id") -> DataFrame:
     """Tools that forms declare: key, pos, name, description, and the names of the form's fields with those that are required."""
     a = F.col("attrs")
-    rows = elements.where("tag in ('form', 'input', 'select', 'textarea')").select(key, "pos", "tag", a["toolname"].alias("name"), a["tooldescription"].alias("description"), a["name"].alias("field"), a["required"].isNotNull().alias("required"))
-    # A field is of the last form that begins before it.
+    rows = elements.where("tag in ('form', 'input', 'select', 'textarea')").select(key, "pos", "last", "tag", a["toolname"].alias("name"), a["tooldescription"].alias("description"), a["name"].alias("field"), a["required"].isNotNull().alias("required"))
     form = F.when(F.col("tag") == "form", F.struct(F.col("pos").alias("form_pos"), "name", "description"))
-    placed = rows.withColumn("_form", F.last(form, ignorenulls=True).over(Window.partitionBy(key).orderBy("pos"))).where("_form.name is not null")
+    placed = innermost(rows, F.col("tag") == "form", key).withColumn("_form", F.max(form).over(Window.partitionBy(key, "_in"))).where("_in is not null and _form.name is not null")
     field = F.when((F.col("tag") != "form"), F.col("field"))
     return placed.groupBy(key, "_form.form_pos", "_form.name", "_form.description").agg(F.array_sort(F.collect_set(field)).alias("fields"), F.array_sort(F.collect_set(F.when(F.col("required"), field))).alias("required"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.operators import tables
 
 # Lines that are headings, and the level of each kind.
 HEADINGS = (
@@ -49,9 +50,9 @@ def numbered_level(t: Column) -> Column:
 
 
 def with_levels(lines: DataFrame, line: str = "t") -> DataFrame:
-    """Adds level: that of a line as a heading, 0 for running text. The steps are columns of their own, so that no expression is evaluated twice."""
+    """Adds level: that of a line as a heading, 0 for running text and for rows of tables. The steps are columns of their own, so that no expression is evaluated twice."""
     t = F.col("_plain")
-    never = (t == "") | (F.length(t) > 100) | t.rlike("|".join(f"(?:{p})" for p in NOT_HEADINGS)) | text.polluted_heading(t)
+    never = (t == "") | (F.length(t) > 100) | t.rlike("|".join(f"(?:{p})" for p in NOT_HEADINGS)) | text.polluted_heading(t) | tables.priced_row(t) | tables.barred_row(t)
     first = "|".join(f"(?:{p})" for p, level in HEADINGS if level == 1)
     second = "|".join(f"(?:{p})" for p, level in HEADINGS if level == 2)
     out = lines.withColumn("_plain", text.plain_heading(F.col(line))).withColumn("_number", numbered_level(t)).withColumn("_never", never)
@@ -71,7 +72,8 @@ SCANNED_SHARE, FORMAL_PAGES, FORMAL_CHARS, FORMAL_LEAST = 0.8, 5, 120, 4
 
 def _formal(lines: DataFrame, key: str, least: int) -> DataFrame:
     """Adds _formal: whether the document's first pages have Chinese clause headings enough, and as many Arabic ones, which then are not headings."""
-    first = (F.dense_rank().over(Window.partitionBy(key).orderBy("page_num")) <= FORMAL_PAGES) & (F.length("_plain") <= FORMAL_CHARS)
+    page = F.size(F.collect_set(F.when(F.col("_solid"), F.col("page_num"))).over(Window.partitionBy(key).orderBy("page_num")))
+    first = (page <= FORMAL_PAGES) & F.col("_solid") & (F.length("_plain") <= FORMAL_CHARS)
     of = lambda c: F.sum((F.col("_first") & c).cast("int")).over(Window.partitionBy(key))
     counted = lines.withColumn("_first", first)
     formal, arabic = of(F.col("_plain").rlike(FORMAL)), of(F.col("_plain").rlike(ARABIC))
@@ -102,11 +104,12 @@ def sections(pages: DataFrame, key: str = "doc_id", first_title: str = "Preface"
     scanned = F.coalesce(F.col("is_ocr").cast("boolean"), F.lit(False)) if "is_ocr" in pages.columns else F.lit(False)
     document = Window.partitionBy(key)
     rows = pages.select(key, "page_num", "text", scanned.alias("_ocr"))
-    counted = rows.withColumns({"_pages": F.count(F.lit(1)).over(document), "_scan": F.avg(F.col("_ocr").cast("double")).over(document) >= SCANNED_SHARE})
-    split = counted.select(key, "page_num", "_pages", "_scan", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "raw"))
+    counted = rows.withColumns({"_pages": F.count(F.lit(1)).over(document), "_scan": F.avg(F.col("_ocr").cast("double")).over(document) >= SCANNED_SHARE, "_last": F.max("page_num").over(document)})
+    split = counted.select(key, "page_num", "_pages", "_scan", "_last", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "raw"))
     order = Window.partitionBy(key).orderBy("page_num", "line")
-    solid = split.withColumn("t", text.strip(F.col("raw"))).where("t <> ''").withColumn("_at", F.row_number().over(order))
-    levelled = _contents_end(with_levels(solid), key)
+    # Empty lines stay, at level 0 and outside all counts: a document split by page has them in its text.
+    lines = split.withColumn("t", text.strip(F.col("raw"))).withColumn("_solid", F.col("t") != "").withColumn("_at", F.row_number().over(order))
+    levelled = _contents_end(with_levels(lines), key)
     if formal:
         levelled = _formal(levelled, key, formal_least)
         levelled = levelled.withColumn("level", F.when(F.col("_formal") & ~F.col("_scan") & F.col("_plain").rlike(ARABIC), 0).otherwise(F.col("level"))).drop("_formal")
@@ -118,23 +121,28 @@ def sections(pages: DataFrame, key: str = "doc_id", first_title: str = "Preface"
     headed = least.withColumn("level", F.when(F.col("_front"), 0).otherwise(marked))
     # Of headings one after another every second one is text: nothing is under the one before it.
     heading = F.col("level") > 0
-    runs = headed.withColumn("_run", F.sum((~heading).cast("int")).over(order)).withColumn("_nth", F.sum(heading.cast("int")).over(Window.partitionBy(key, "_run").orderBy("page_num", "line")))
+    runs = headed.withColumn("_run", F.sum((~heading & F.col("_solid")).cast("int")).over(order)).withColumn("_nth", F.sum(heading.cast("int")).over(Window.partitionBy(key, "_run").orderBy("page_num", "line")))
     once = runs.withColumn("level", F.when(heading & (F.col("_nth") % 2 == 0), 0).otherwise(F.col("level")))
     grouped = once.withColumn("_group", F.when(F.col("_front"), -1).otherwise(F.sum(heading.cast("int")).over(order)))
+    solid = lambda c: F.when(F.col("_solid"), c)
+    spread = grouped.withColumns({"_lowest": F.min(solid(F.col("_group"))).over(document), "_highest": F.max(solid(F.col("_group"))).over(document), "_to": F.max(solid(F.col("page_num"))).over(document)})
+    blank = F.col("_lowest").isNull()
+    by_page = F.coalesce((F.col("_lowest") == F.col("_highest")) & (F.col("_pages") > 1) & (F.col("_to") > 1), F.lit(False))
+    kinds = spread.withColumns({"_blank": blank, "_by_page": by_page}).withColumn("_group", F.when(by_page, F.col("page_num").cast("long")).when(blank, 0).otherwise(F.col("_group")))
     head = lambda c: F.max(F.when(F.col("level") > 0, c))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("_at", "t")))), lambda x: x["t"]), "\n")
-    made = grouped.groupBy(key, "_group").agg(
-        F.coalesce(head(F.col("_plain")), F.when(F.max("_front"), "Preface / TOC").otherwise(first_title)).alias("title"), F.coalesce(head(F.col("level")), F.lit(1)).alias("level"), body.alias("text"),
-        F.min("page_num").alias("page_start"), F.max("page_num").alias("page_end"), F.max("_pages").alias("_pages"),
+    body = F.when(F.col("_by_page"), F.struct("_at", F.col("raw").alias("t"))).when(F.col("_solid") & (F.col("level") == 0), F.struct("_at", "t"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(body)), lambda x: x["t"]), "\n")
+    made = kinds.groupBy(key, "_group").agg(
+        F.coalesce(head(F.col("_plain")), F.when(F.max("_front"), "Preface / TOC").otherwise(first_title)).alias("title"), F.coalesce(head(F.col("level")), F.lit(1)).alias("level"), joined.alias("text"),
+        F.min(solid(F.col("page_num"))).alias("page_start"), F.max(solid(F.col("page_num"))).alias("page_end"), F.max("_last").alias("_last"), F.max("_by_page").alias("_by_page"), F.max("_blank").alias("_blank"),
     )
-    whole = made.withColumn("_n", F.count(F.lit(1)).over(document))
-    by_page = (F.col("_n") == 1) & (F.col("_pages") > 1) & (F.col("page_end") > 1)
-    kept = whole.where(~by_page).select(key, F.col("_group").cast("long").alias("_group"), "title", "level", "text", "page_start", "page_end")
-    single = pages.join(whole.where(by_page).select(key), key, "left_semi").withColumn("_text", text.strip(F.coalesce("text", F.lit("")))).where("_text <> ''")
-    paged = single.select(key, F.col("page_num").cast("long").alias("_group"), F.concat(F.lit("Page "), F.col("page_num").cast("string")).alias("title"), F.lit(1).alias("level"), F.col("_text").alias("text"), F.col("page_num").alias("page_start"), F.col("page_num").alias("page_end"))
-    blank = pages.groupBy(key).agg(F.max("page_num").alias("page_end")).join(made.select(key), key, "left_anti")
-    empty = blank.select(key, F.lit(0).cast("long").alias("_group"), F.lit("Full document").alias("title"), F.lit(1).alias("level"), F.lit("").alias("text"), F.lit(1).cast(pages.schema["page_num"].dataType).alias("page_start"), "page_end")
-    return _numbered(kept.unionByName(paged).unionByName(empty), key, "_group")
+    first_page = F.lit(1).cast(pages.schema["page_num"].dataType)
+    whole = made.where(F.col("_blank") | F.col("page_start").isNotNull()).select(
+        key, "_group", F.when(F.col("_blank"), "Full document").when(F.col("_by_page"), F.concat(F.lit("Page "), F.col("page_start").cast("string"))).otherwise(F.col("title")).alias("title"),
+        F.when(F.col("_blank") | F.col("_by_page"), 1).otherwise(F.col("level")).alias("level"), F.when(F.col("_blank"), "").when(F.col("_by_page"), text.strip(F.col("text"))).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("_blank"), first_page).otherwise(F.col("page_start")).alias("page_start"), F.when(F.col("_blank"), F.col("_last")).otherwise(F.col("page_end")).alias("page_end"),
+    )
+    return _numbered(whole, key, "_group")
 
 
 def _numbered(made: DataFrame, key: str, order: str) -> DataFrame:

@@ -187,6 +187,21 @@ def _has(line: Column, words: tuple[str, ...]) -> Column:
     return F.aggregate(F.array(*(F.contains(line, F.lit(w)).cast("int") for w in words)), F.lit(0), lambda a, x: a + x)
 
 
+def priced_head(t: Column) -> Column:
+    """Whether a line heads a priced table."""
+    return (_has(t, PRICE_HEADS) >= HEAD_WORDS) | F.startswith(t, F.lit("序号 "))
+
+
+def priced_row(t: Column) -> Column:
+    """Whether a line without white space at its ends is a row, head or foot of a priced table in running text."""
+    return priced_head(t) | (_has(t, PRICE_FEET) > 0) | (t.rlike(r"^[0-9]+\s+") & (F.length(t) >= ROW_CHARS) & (_has(t, PRICE_UNITS) > 0)) | t.isin(*PRICE_ROWS)
+
+
+def barred_row(t: Column) -> Column:
+    """Whether a line has cells in bars: two bars or more and something besides."""
+    return (F.regexp_count(t, F.lit(r"\|")) >= 2) & (text.strip(F.regexp_replace(t, r"\|", "")) != "")
+
+
 def scanned_tables(pages: DataFrame, key: str = "doc_id", page: str = "page_num") -> tuple[DataFrame, DataFrame]:
     """The tables in scanned pages' texts, and the pages without them: (key, page, idx, markdown) and (key, page, text).
 
@@ -203,11 +218,8 @@ def scanned_tables(pages: DataFrame, key: str = "doc_id", page: str = "page_num"
     tail = F.min(F.coalesce(foot, F.lit(False)).cast("int")).over(of_page.orderBy(F.col("line").desc()))
     rows = rows.withColumn("_tail", tail).where("_tail = 0")
     t = F.col("t")
-    head = (_has(t, PRICE_HEADS) >= HEAD_WORDS) | F.startswith(t, F.lit("序号 "))
-    priced = head | (_has(t, PRICE_FEET) > 0) | (t.rlike(r"^[0-9]+\s+") & (F.length(t) >= ROW_CHARS) & (_has(t, PRICE_UNITS) > 0)) | t.isin(*PRICE_ROWS)
-    bars = (F.regexp_count(t, F.lit(r"\|")) >= 2) & (text.strip(F.regexp_replace(t, r"\|", "")) != "")
     rule = t.rlike(r"^\|?(?:\s*:?-+:?\s*\|)+\s*:?-+:?\s*\|?$")
-    marked = rows.withColumns({"_head": head, "_priced": priced, "_bars": bars, "_rule": rule})
+    marked = rows.withColumns({"_head": priced_head(t), "_priced": priced_row(t), "_bars": barred_row(t), "_rule": rule})
     marked = marked.withColumn("_begins", F.col("_bars") & F.coalesce(F.lead("_rule").over(order), F.lit(False)))
     run = lambda c: F.sum((~F.col(c)).cast("int")).over(order)
     marked = marked.withColumns({"_bar_run": run("_bars"), "_price_run": run("_priced")})

@@ -9,23 +9,24 @@ from tessera.functions import text, urls
 from tessera.operators import pages as web
 from tessera.operators import quality, sectioning, tables
 from tessera.sources import html
+from tessera.storage import stored
 
 
 def capture(pages: DataFrame, key: str = "page_id", url: str = "url") -> dict[str, DataFrame]:
     """Pages distilled to the tables of a capture: library (URL, title, digest, content hash, why it is refused), sections, tables, actions, tools."""
-    elements = html.elements(pages, key)
+    elements = html.parsed(pages, key)
     titles = web.titles(elements, key)
-    page_tables = web.page_tables(elements, key=key)
-    parts = web.sections(web.blocks(elements, key), page_tables, key=key)
+    page_tables = stored(web.page_tables(elements, key=key), "page-tables")
+    parts = stored(web.sections(web.blocks(elements, key), page_tables, key=key), "page-sections")
     entry = pages.select(key, F.col(url).alias("source_url"), urls.violation(F.col(url)).alias("refused")).join(titles, key, "left").join(web.digest(titles, parts, key=key), key, "left").join(web.content_hash(titles, parts, key=key), key, "left")
     return {"library": entry, "sections": parts, "tables": page_tables, "actions": web.actions(elements, key), "tools": web.declared_tools(elements, key)}
 
 
 def parse(pages: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
     """Pages of documents (key, page_num, text) parsed to sections, Markdown tables and one library row each; running headers and footers go first."""
-    clean = quality.strip_running_lines(pages, key)
+    clean = stored(quality.strip_running_lines(pages, key), "clean-pages")
     merged = sectioning.merge_short(sectioning.merge_stubs(sectioning.sections(clean, key), key), key)
-    parts = sectioning.with_ids(sectioning.promote_children(merged), key)
+    parts = stored(sectioning.with_ids(sectioning.promote_children(merged), key), "sections")
     paged = clean.withColumn("_page", F.struct(key, "page_num"))
     found = tables.markdown_tables(paged.select("_page", "text"), "_page").select(f"_page.{key}", "_page.page_num", "idx", "markdown", tables.dimensions(F.col("markdown")).alias("size"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n")

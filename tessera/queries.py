@@ -11,6 +11,7 @@ from tessera.functions import amounts, arrays, ocr, text, urls
 from tessera.operators import chunks, layout, library, pages, profiles, quality, search, sectioning, stateful, summaries, tables
 from tessera.shipping import ship
 from tessera.sources import html
+from tessera.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -367,8 +368,8 @@ def page_element_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _page_sections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    elements = html.elements(_table(spark, sf_dir, "pages"))
-    return elements, pages.sections(pages.blocks(elements))
+    elements = html.parsed(_table(spark, sf_dir, "pages"))
+    return elements, stored(pages.sections(pages.blocks(elements)), "page-sections")
 
 
 _BLOCKS_SQL = r"""b AS (SELECT page_id, regexp_replace(html, '(?s)<head>.*?</head>|<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g') AS h FROM pages),
@@ -431,7 +432,7 @@ def page_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def page_article(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.article(html.elements(_table(spark, sf_dir, "pages")))
+    return pages.article(html.parsed(_table(spark, sf_dir, "pages")))
 
 
 @_query("SELECT event_id, CAST(round(value_rank, 6) AS DOUBLE) AS score, row_number() OVER (ORDER BY round(value_rank, 6) DESC, event_id) AS place FROM (SELECT event_id, 0.8 + CASE event_type WHEN 'click' THEN 0.02 WHEN 'view' THEN 0.015 WHEN 'signup' THEN 0.03 ELSE 0 END + 0.03 + 0.02 AS value_rank FROM events) QUALIFY place <= 100")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.shipping import ship
+from tessera.storage import stored
 
 # Elements without content, those that end an open paragraph, and what each of the named ones ends.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -146,3 +147,8 @@ def elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> Data
 
     kind = dict(pages.dtypes)[key]
     return pages.select(key, F.col(html).alias("html")).mapInArrow(parsed, f"`{key}` {kind}, {ELEMENT}")
+
+
+def parsed(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """``elements``, written once in the shared folder: for plans that use them several times, which would parse the pages each time."""
+    return stored(elements(pages, key, html), "elements")
