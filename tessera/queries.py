@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import amounts, arrays, ocr, text, urls
-from tessera.operators import chunks, layout, library, pages, profiles, quality, search, sectioning, stateful, summaries, tables
+from tessera.operators import chunks, layout, library, pages, profiles, quality, readability, search, sectioning, stateful, summaries, tables
 from tessera.shipping import ship
 from tessera.sources import html
 from tessera.storage import stored
@@ -432,7 +432,9 @@ def page_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def page_article(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.article(html.parsed(_table(spark, sf_dir, "pages")))
+    """The article of each page with its metadata, by the first of four tries that gives enough."""
+    table = _table(spark, sf_dir, "pages")
+    return readability.articles(table, html.parsed(table, article=True))
 
 
 @_query("SELECT event_id, CAST(round(value_rank, 6) AS DOUBLE) AS score, row_number() OVER (ORDER BY round(value_rank, 6) DESC, event_id) AS place FROM (SELECT event_id, 0.8 + CASE event_type WHEN 'click' THEN 0.02 WHEN 'view' THEN 0.015 WHEN 'signup' THEN 0.03 ELSE 0 END + 0.03 + 0.02 AS value_rank FROM events) QUALIFY place <= 100")

@@ -19,6 +19,11 @@ _ENDS = {"li": ("li", "ul ol"), "td": ("td th", "tr table"), "th": ("td th", "tr
 _QUIET = frozenset("script style noscript template head".split())
 _KEPT = frozenset("title article main body div section nav aside header footer h1 h2 h3 h4 h5 h6 p li blockquote pre code table caption tr th td a button input select textarea form label img".split())
 _ATTRIBUTES = ("id", "name", "type", "role", "aria-label", "title", "placeholder", "value", "href", "class", "data-test", "hidden", "toolname", "tooldescription", "required", "alt", "checked")
+#: Ancestors of an element that are listed, nearest first.
+UP = 6
+#: Elements and attributes that article extraction looks at besides.
+ARTICLE_TAGS = frozenset("html ul ol dl dt dd figure object embed iframe fieldset address thead tfoot col colgroup span meta link hr h4 h5 h6".split())
+ARTICLE_ATTRIBUTES = ("itemprop", "rel", "aria-modal", "property", "content", "summary", "datatable", "src", "data", "dir", "lang")
 #: Elements that hold others: their texts are not repeated, as they would grow with the depth of the page.
 CONTAINERS = frozenset("article main body div section nav aside header footer form table tr".split())
 
@@ -29,8 +34,9 @@ class _Elements(HTMLParser):
     Each piece of text is kept once, with its place; what an element contains is a range of pieces.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, kept: frozenset[str] = _KEPT, attributes: tuple[str, ...] = _ATTRIBUTES, flow: bool = False) -> None:
         super().__init__(convert_charrefs=True)
+        self.tags, self.attributes, self.flow = kept, attributes, flow
         self.open: list[dict] = []
         self.done: list[dict] = []
         self.pieces: list[tuple[str, bool]] = []  # text, hidden
@@ -52,9 +58,11 @@ class _Elements(HTMLParser):
         hidden = (above is not None and above["hidden"]) or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
         element = {
             "pos": self.at, "tag": tag, "parent": above["kept"] if above else -1, "own": [], "start": len(self.pieces), "hidden": hidden or (tag in _QUIET and tag != "head"),
-            "quiet": (above is not None and above["quiet"]) or (tag in _QUIET and tag != "head"), "in_link": tag == "a" or (above is not None and above["in_link"]), "attrs": {k: given[k] for k in _ATTRIBUTES if k in given},
+            "quiet": (above is not None and above["quiet"]) or (tag in _QUIET and tag != "head"), "in_link": tag == "a" or (above is not None and above["in_link"]), "attrs": {k: given[k] for k in self.attributes if k in given},
         }
-        element["kept"] = self.at if tag in _KEPT else element["parent"]
+        element["holder"] = element if tag in self.tags or above is None else above["holder"]
+        element["up"] = [] if above is None else ([above["pos"], *above["up"]][:UP] if above["tag"] in self.tags else above["up"])
+        element["kept"] = self.at if tag in self.tags else element["parent"]
         self.at += 1
         if tag in _VOID:
             self._end(element)
@@ -85,7 +93,7 @@ class _Elements(HTMLParser):
         if not self.open or self.open[-1]["quiet"]:
             return
         innermost = self.open[-1]
-        innermost["own"].append((len(self.pieces), data))
+        (innermost["holder"] if self.flow else innermost)["own"].append((len(self.pieces), data))
         words = [] if innermost["hidden"] else data.split()
         goes_on = bool(words) and self.within and not data[0].isspace()
         self.pieces.append((data, innermost["hidden"]))
@@ -107,20 +115,21 @@ class _Elements(HTMLParser):
         for e in self.open:
             self._end(e)
         out = []
-        for e in sorted((e for e in self.done if e["tag"] in _KEPT), key=lambda e: e["pos"]):
+        for e in sorted((e for e in self.done if e["tag"] in self.tags), key=lambda e: e["pos"]):
             text = None
             if e["tag"] not in CONTAINERS:
                 text = " ".join("".join(t for t, hidden in self.pieces[e["start"] : e["end"]] if e["hidden"] or not hidden).split())
             links = self.linked[e["end"]] - self.linked[e["start"]]
-            out.append({"pos": e["pos"], "last": e["last"], "tag": e["tag"], "parent": e["parent"], "text": text, "chars": 0 if e["hidden"] else self._chars(e["start"], e["end"]), "link_chars": links, "hidden": e["hidden"], "own": [{"at": i, "text": t} for i, t in e["own"]], "attrs": list(e["attrs"].items())})
+            out.append({"pos": e["pos"], "last": e["last"], "tag": e["tag"], "parent": e["parent"], "text": text, "chars": 0 if e["hidden"] else self._chars(e["start"], e["end"]), "link_chars": links, "hidden": e["hidden"], "own": [{"at": i, "text": t} for i, t in e["own"]], "attrs": list(e["attrs"].items()), "up": e["up"]})
         return out
 
 
 _ROW = pa.struct([("pos", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("parent", pa.int32()), ("text", pa.string()), ("chars", pa.int32()), ("link_chars", pa.int32()), ("hidden", pa.bool_()), ("own", pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string())]))), ("attrs", pa.map_(pa.string(), pa.string()))])
+_FLOW_ROW = pa.struct([*_ROW, ("up", pa.list_(pa.int32()))])
 ELEMENT = "pos int, last int, tag string, parent int, text string, chars int, link_chars int, hidden boolean, own array<struct<at:int,text:string>>, attrs map<string,string>"
 
 
-def elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+def elements(pages: DataFrame, key: str = "page_id", html: str = "html", article: bool = False) -> DataFrame:
     """A row for each element of note of every page: key, pos (document order), last (pos of the last element inside), tag, parent (its pos; -1 for none), text, chars, link_chars, hidden, own, attrs.
 
     ``own`` has the pieces of text that stand directly in the element with their places on the page. Elements that hold others
@@ -129,8 +138,12 @@ def elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> Data
 
     Parsing is by page, so it needs no shuffle; paragraphs, list items, cells and rows that are not closed end where the next
     one or their container does. What is hidden is told by attributes and inline styles. A null page has no elements.
+
+    For ``article`` more elements and attributes are kept, text within elements that are not is the own text of the nearest one around, and ``up`` lists the nearest six elements around.
     """
     ship(pages.sparkSession)
+    row = _FLOW_ROW if article else _ROW
+    how = (_KEPT | ARTICLE_TAGS, _ATTRIBUTES + ARTICLE_ATTRIBUTES, True) if article else (_KEPT, _ATTRIBUTES, False)
 
     def parsed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -138,17 +151,17 @@ def elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> Data
                 part = batch.slice(i, 200)
                 keys, rows = [], []
                 for k, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    parser = _Elements()
+                    parser = _Elements(*how)
                     parser.feed(page or "")
                     mine = parser.rows()
                     keys += [k] * len(mine)
                     rows += mine
-                yield pa.RecordBatch.from_arrays([pa.array(keys, part.schema.field(0).type), *pa.array(rows, _ROW).flatten()], [key, *(f.name for f in _ROW)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, part.schema.field(0).type), *pa.array(rows, row).flatten()], [key, *(f.name for f in row)])
 
     kind = dict(pages.dtypes)[key]
-    return pages.select(key, F.col(html).alias("html")).mapInArrow(parsed, f"`{key}` {kind}, {ELEMENT}")
+    return pages.select(key, F.col(html).alias("html")).mapInArrow(parsed, f"`{key}` {kind}, {ELEMENT}" + ", up array<int>" * article)
 
 
-def parsed(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+def parsed(pages: DataFrame, key: str = "page_id", html: str = "html", article: bool = False) -> DataFrame:
     """``elements``, written once in the shared folder: for plans that use them several times, which would parse the pages each time."""
-    return stored(elements(pages, key, html), "elements")
+    return stored(elements(pages, key, html, article), "elements")
