@@ -49,3 +49,23 @@ def uppercase_rmb(amount: Column) -> Column:
         return amounts.map(in_words)
 
     return F.pandas_udf(words, "string")(amount)
+
+
+# An amount in figures that is followed by one in words, as contracts write it.
+PHRASE = re.compile(r"(¥\s*[\d,]+(?:\.\d+)?)\s*[（(]\s*大写[：:]\s*人民币\s*[零〇一二三四五六七八九十百千万亿壹贰叁肆伍陆柒捌玖拾佰仟萬億元角分整正]+\s*[)）]")
+
+
+def _with_words(m: re.Match[str]) -> str:
+    figures = re.sub(r"\s+", "", m[1])
+    words = in_words(figures if re.search(r"\.\d{3,}$", figures) is None else str(Decimal(figures[1:].replace(",", "")).quantize(Decimal("0.01"), ROUND_HALF_UP)))
+    return m[0] if words is None else f"{m[1]}（大写：人民币{words}）"
+
+
+def consistent_phrases(body: Column) -> Column:
+    """A text in which the words after each amount in figures are those of the figures. Texts without such a phrase do not pass through Python."""
+
+    @F.pandas_udf("string")
+    def rewritten(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda t: None if t is None else PHRASE.sub(_with_words, t))
+
+    return F.when(F.contains(body, F.lit("大写")), rewritten(body)).otherwise(body)

@@ -37,7 +37,7 @@ def fragment(url: Column) -> Column:
 def parameter(url: Column, name: str) -> Column:
     """Value of a query parameter; null where it is missing."""
     found = F.regexp_extract(F.concat(F.lit("&"), query(url)), rf"&{name}=([^&]*)", 0)
-    return F.when(found != "", F.substring(found, len(name) + 3, 1 << 20))
+    return F.when(found != "", F.substring(found, F.lit(len(name) + 3), F.length(found)))
 
 
 def _part(text: Column) -> Column:

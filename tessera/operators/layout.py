@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import grid
 from tessera.shipping import ship
+from tessera.storage import stored
 
 CELL = "doc_id string, page int, table_idx int, row int, col int, colspan int, text string, x0 double, y0 double, x1 double, y1 double, confidence double, blocks string"
 
@@ -125,10 +127,10 @@ def layout_markdown(cells: DataFrame) -> DataFrame:
 
 def text_outside_tables(blocks: DataFrame, boxes: DataFrame) -> DataFrame:
     """Blocks whose middle is in none of their page's table boxes (doc_id, page, x0, y0, x1, y1)."""
-    b, t = blocks.alias("b"), boxes.alias("t")
-    x, y = (F.col("b.x0") + F.col("b.x1")) / 2, (F.col("b.y0") + F.col("b.y1")) / 2
-    inside = (F.col("b.doc_id") == F.col("t.doc_id")) & (F.col("b.page") == F.col("t.page")) & x.between(F.col("t.x0"), F.col("t.x1")) & y.between(F.col("t.y0"), F.col("t.y1"))
-    return b.join(t, inside, "left_anti")
+    key = blocks.select("*", ((F.col("x0") + F.col("x1")) / 2).alias("_x"), ((F.col("y0") + F.col("y1")) / 2).alias("_y"), F.monotonically_increasing_id().alias("_n"))
+    key = stored(key, "layout-blocks")  # the numbers are the same whenever they are read
+    inside = grid.boxes_at(key.select("doc_id", "page", "_n", "_x", "_y"), boxes, ["doc_id", "page"], at=("_x", "_y")).select("_n").distinct()
+    return key.join(inside, "_n", "left_anti").select(*blocks.columns)
 
 
 #: Fixed value: sides count whole pixels, both ends included.

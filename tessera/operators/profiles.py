@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import text
+from tessera.functions import ocr, text
+from tessera.shipping import ship
 
 
 @dataclass(frozen=True)
@@ -44,7 +48,7 @@ class Segment:
     whole: bool = False
 
 
-#: Limits that a profile may set, with what holds where it does not, and the least that they may be.
+# Limits that a profile may set, with what holds where it does not, and the least that they may be.
 LIMITS = {
     "sparse_text_chars": (40, 0), "usable_text_chars": (120, 1), "scan_page_ratio": (0.85, None), "mixed_page_ratio": (0.2, None), "toc_max_level": (2, 1), "formal_chinese_min_headings": (4, 1),
     "suppress_arabic_clause_headings_when_formal_chinese": (False, None),
@@ -89,6 +93,40 @@ def replaced_segment(body: Column, segment: Segment, better: Column) -> Column:
     return F.when(start.isNull() | better.isNull(), body).otherwise(made)
 
 
+# What a contract's number is not, words one of which an organisation's name has, and how many characters or digits a value has at least.
+NO_NUMBERS, ORGANISATIONS = ("甲", "乙", "合同", "合同编号", "方"), "公司|中心|银行|基金|学校|医院|政府|委员会|研究院|事务所|集团"
+LEAST_CHARS, LEAST_PHONE, LEAST_ACCOUNT = 4, 7, 6
+
+
+def refusal(field: str, value: Column) -> Column:
+    """Why a value is none for a field of that name; null where it is one. Numbers of contracts need a digit, parties a word of organisations, phones and accounts enough digits."""
+    bare = F.regexp_replace(value, r"(?U)\s+", "")
+    digits = F.length(F.regexp_replace(bare, r"\D", ""))
+    why = F.when(text.strip(value) == "", "empty").when(value.rlike("[\u3040-\u30ff]"), "kana_noise").when(ocr.bracket_noise(value), "bracket_noise")
+    if field == "contract_no":
+        why = why.when(bare.isin(*NO_NUMBERS), "label_only").when((F.length(bare) < LEAST_CHARS) | ~bare.rlike(r"\d"), "too_short_or_no_digit")
+    elif field in ("party_a_name", "party_b_name", "customer_name"):
+        why = why.when(F.length(bare) < LEAST_CHARS, "too_short").when(~bare.rlike(ORGANISATIONS), "not_org_like")
+    elif field.endswith("_phone"):
+        why = why.when(digits < LEAST_PHONE, "not_phone_like")
+    elif field.endswith("_account"):
+        why = why.when(digits < LEAST_ACCOUNT, "not_account_like")
+    return why
+
+
+def filename_contract_no(filename: Column) -> Column:
+    """The contract's number that a file is named by: letters and digits only; null for other names."""
+    stem = text.strip(F.regexp_replace(F.regexp_replace(filename, r"^.*/", ""), r"\.[^.]*$", ""))
+    return F.when(stem.rlike(ocr.CONTRACT_NUMBER), stem)
+
+
+def with_contract_no(body: Column, filename: Column) -> Column:
+    """The text with its file's contract number as first line, where the text does not have it."""
+    number = filename_contract_no(filename)
+    missing = number.isNotNull() & ~F.contains(F.regexp_replace(body, r"(?U)\s+", ""), number)
+    return F.when(missing, text.strip(F.concat(number, F.lit("\n"), text.strip(body)))).otherwise(text.strip(body))
+
+
 def _value(rule: FieldRule, body: Column) -> Column:
     present = F.lit(not rule.aliases)
     for alias in rule.aliases:
@@ -97,7 +135,7 @@ def _value(rule: FieldRule, body: Column) -> Column:
         value = text.strip(F.regexp_extract(body, "(?m)" + rule.pattern, 1 if "(" in rule.pattern.replace("(?", "") else 0))
     else:
         value = F.coalesce(*(F.when(F.contains(body, F.lit(a)), F.lit(a)) for a in rule.aliases))
-    good = present & (value != "") & ~value.rlike("[぀-ヿ]")
+    good = present & refusal(rule.field, value).isNull()
     return F.when(good & value.rlike(rule.valid) if rule.valid else good, value)
 
 
@@ -124,14 +162,61 @@ def classified(body: Column, terms: list[str]) -> Column:
     return F.lit(True) if not terms else F.size(matched_terms(body, terms)) > 0
 
 
+# The characters that company names are of, and their suffixes, longest first.
+_NAME_CHARS, COMPANY_SUFFIXES = "A-Za-z0-9\u4e00-\u9fff", ("股份有限公司", "有限责任公司", "有限公司")
+COMPANY = rf"[{_NAME_CHARS}()（）·]+(?:{'|'.join(COMPANY_SUFFIXES)})"
+
+
+def company_names(documents: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
+    """The company names in each text, each once: key, name."""
+    return documents.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(body), F.lit("")), F.lit(f"({COMPANY})"), 1))).alias("name")).distinct()
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """How alike two short texts are: twice the characters in matching blocks (the longest common piece, and so on to both sides of it) over those of both."""
+
+    @F.pandas_udf("double")
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        out, matcher = [], SequenceMatcher(None, autojunk=True)
+        for x, y in zip(left, right, strict=True):
+            matcher.set_seqs(x, y)
+            out.append(matcher.ratio())
+        return pd.Series(out, dtype="float64")
+
+    return ratio(a, b)
+
+
 def unified_companies(names: DataFrame, least: float = 0.7, key: str = "doc_id") -> DataFrame:
-    """Company names of a document that are spellings of one: key, name, unified. Those of the same suffix and last two characters before it, and of a likeness of 70 %, become the longest.
+    """Company names of a document that are spellings of one: key, name, unified. Those of the same suffix and last two characters before it, and of a likeness of 70 %, become the longest; of equally long ones the first in order.
 
-    Likeness is 1 less the edit distance over the greater length; candidates come from an equality join.
+    Candidates come from an equality join, and likeness is only measured for them. A name whose spellings are no longer than itself stays.
     """
-    split = names.select(key, "name", F.regexp_extract("name", "(股份有限公司|有限责任公司|有限公司)$", 1).alias("_suffix")).distinct()
-    keyed = split.where("_suffix <> ''").withColumn("_stem", F.expr("substring(name, 1, length(name) - length(_suffix))")).withColumn("_tail", F.expr("right(_stem, 2)"))
+    ship(names.sparkSession)
+    split = names.select(key, "name", F.regexp_extract("name", f"({'|'.join(COMPANY_SUFFIXES)})$", 1).alias("_suffix")).distinct()
+    keyed = split.where("_suffix <> ''").withColumn("_stem", F.expr("substring(name, 1, length(name) - length(_suffix))")).where(F.length("_stem") >= 2).withColumn("_tail", F.expr("right(_stem, 2)"))
     other = keyed.select(key, "_suffix", "_tail", F.col("name").alias("_other"), F.col("_stem").alias("_other_stem"))
-    like = 1 - F.levenshtein("_stem", "_other_stem") / F.greatest(F.length("_stem"), F.length("_other_stem"))
-    pairs = keyed.join(other, [key, "_suffix", "_tail"]).where(like >= least)
-    return pairs.groupBy(key, "name").agg(F.max_by("_other", F.struct(F.length("_other"), "_other")).alias("unified"))
+    pairs = keyed.join(other, [key, "_suffix", "_tail"]).where(F.length("_other") > F.length("name"))
+    alike = pairs.withColumn("_like", likeness(F.col("_stem"), F.col("_other_stem"))).where(F.col("_like") >= least)
+    best = alike.groupBy(key, "name").agg(F.min(F.struct((-F.length("_other")).alias("n"), "_other")).alias("b")).select(key, "name", F.col("b._other").alias("unified"))
+    return split.select(key, "name").join(best, [key, "name"], "left").select(key, "name", F.coalesce("unified", "name").alias("unified"))
+
+
+def with_unified_companies(documents: DataFrame, key: str = "doc_id", body: str = "text", least: float = 0.7) -> DataFrame:
+    """Texts with each company name that is a spelling of a longer one replaced by that: one pass over each text for all its names, longest first, where no letter, digit or Chinese character stands next to them. Null texts stay null."""
+    ship(documents.sparkSession)
+    changed = unified_companies(company_names(documents, key, body), least, key).where("name <> unified")
+    of = changed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", "unified"))).alias("_names"))
+
+    @F.pandas_udf("string")
+    def replaced(texts: pd.Series, names: pd.Series) -> pd.Series:
+        out = []
+        for t, n in zip(texts, names, strict=True):
+            pairs = dict(n) if n is not None else {}
+            if t and pairs:
+                any_of = "|".join(map(re.escape, sorted(pairs, key=len, reverse=True)))
+                t = re.sub(rf"(?<![{_NAME_CHARS}])(?:{any_of})(?![{_NAME_CHARS}])", lambda m, pairs=pairs: pairs[m[0]], t)
+            out.append(t)
+        return pd.Series(out, dtype=object)
+
+    joined = documents.join(of, key, "left")
+    return joined.withColumn(body, F.when(F.col("_names").isNotNull(), replaced(F.col(body), F.col("_names"))).otherwise(F.col(body))).select(*documents.columns)

@@ -86,13 +86,17 @@ def postings(documents: DataFrame, key: str = "doc_id", body: str = "text") -> D
     return documents.select(key, F.posexplode(text.word_tokens(F.col(body))).alias("pos", "token"))
 
 
+def phrase_words(phrase: str) -> list[str]:
+    return [w for w in re.split(r"[\W_]+", phrase.lower()) if w]
+
+
 def phrase_search(index: DataFrame, phrase: str, key: str = "doc_id") -> DataFrame:
     """Documents that have the words of the phrase next to each other, and how often.
 
     Each word's postings are shifted to where the phrase would begin, and a place at which all words meet is a hit; one
     aggregation, whatever the phrase's length.
     """
-    words = [w for w in re.split(r"[\W_]+", phrase.lower()) if w]
+    words = phrase_words(phrase)
     offset = F.create_map(*(F.lit(v) for w in dict.fromkeys(words) for v in (w, ",".join(str(i) for i, x in enumerate(words) if x == w))))
     starts = index.where(F.col("token").isin(words)).select(key, F.col("pos"), F.explode(F.transform(F.split(F.element_at(offset, F.col("token")), ","), lambda i: i.cast("int"))).alias("at"))
     met = starts.groupBy(key, (F.col("pos") - F.col("at")).alias("start")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(words))
