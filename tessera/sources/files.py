@@ -7,6 +7,7 @@ import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, time, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -16,9 +17,11 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.operators import sectioning
 from tessera.shipping import ship
+from tessera.sources import markdown
 
 # Kinds of files that can be read here, and the limits of an archive's entries.
 TEXT_KINDS = ("txt", "text", "csv", "json", "jsonl", "xml", "html", "htm")
+MARKUP_KINDS = ("html", "htm")
 ARCHIVE_KINDS = ("docx", "xlsx", "pptx")
 #: Kinds that need a program of their own: a reader can be given for them.
 OTHER_KINDS = ("pdf", "doc", "ppt", "xls")
@@ -51,21 +54,54 @@ def _name(element: ElementTree.Element) -> str:
     return element.tag.rpartition("}")[2]
 
 
-def _paragraphs(root: ElementTree.Element) -> Iterator[str]:
-    """Paragraphs of a word processor's body, headings with their signs, tables as rows in bars."""
+def _lists(archive: zipfile.ZipFile) -> dict[tuple[str, str], tuple[str, int]]:
+    """Of each numbering and level of a word document its format and first number."""
+    if "word/numbering.xml" not in archive.namelist():
+        return {}
+    of = lambda e, name: next((v for k, v in e.attrib.items() if _name_of(k) == name), "")
+    inner = lambda e, name: next((of(x, "val") for x in e if _name(x) == name), "")
+    root = ElementTree.fromstring(archive.read("word/numbering.xml"))
+    kinds = {of(a, "abstractNumId"): {of(v, "ilvl"): (inner(v, "numFmt"), int(inner(v, "start") or 1)) for v in a if _name(v) == "lvl"} for a in root if _name(a) == "abstractNum"}
+    return {(of(n, "numId"), level): x for n in root if _name(n) == "num" for level, x in kinds.get(inner(n, "abstractNumId"), {}).items()}
+
+
+class _Numbers:
+    """The marks of list paragraphs, in order: bullets, or numbers that go on in their list until a paragraph of a level above comes."""
+
+    def __init__(self, lists: dict[tuple[str, str], tuple[str, int]]) -> None:
+        self.lists, self.at = lists, {}
+
+    def mark(self, paragraph: ElementTree.Element) -> str:
+        number = next((x for x in paragraph.iter() if _name(x) == "numPr"), None)
+        if number is None:
+            return ""
+        value = {_name(x): next((v for k, v in x.attrib.items() if _name_of(k) == "val"), "") for x in number}
+        key = value.get("numId", ""), value.get("ilvl", "0")
+        if key[0] in ("", "0"):
+            return ""
+        kind, start = self.lists.get(key, ("bullet", 1))
+        depth = int(key[1]) if key[1].isdigit() else 0
+        self.at = {k: n for k, n in self.at.items() if k[0] != key[0] or int(k[1]) <= depth}
+        self.at[key] = self.at.get(key, start - 1) + 1
+        return "  " * depth + ("- " if kind in ("bullet", "none", "") else f"{self.at[key]}. ")
+
+
+def _paragraphs(root: ElementTree.Element, numbers: _Numbers | None = None) -> Iterator[str]:
+    """Paragraphs of a word processor's body, headings with their signs, list paragraphs with their marks, tables as rows in bars."""
+    numbers = numbers or _Numbers({})
     for e in root:
         if _name(e) == "p":
             style = next((v for x in e.iter() if _name(x) == "pStyle" for k, v in x.attrib.items() if k.endswith("val")), "")
             words = "".join(x.text or "" for x in e.iter() if _name(x) == "t")
             level = re.fullmatch(r"[Hh]eading\s?([1-6])", style)
             if words.strip():
-                yield ("#" * int(level[1]) + " " if level else "") + words
+                yield ("#" * int(level[1]) + " " if level else numbers.mark(e)) + words
         elif _name(e) == "tbl":
             rows = [["".join(x.text or "" for x in c.iter() if _name(x) == "t").replace("|", "¦") for c in r if _name(c) == "tc"] for r in e if _name(r) == "tr"]
             for i, row in enumerate(rows):
                 yield "| " + " | ".join(row) + " |" + ("\n|" + "---|" * len(row) if i == 0 else "")
         else:
-            yield from _paragraphs(e)
+            yield from _paragraphs(e, numbers)
 
 
 def _docx_paragraphs(data: bytes) -> list[tuple]:
@@ -153,8 +189,8 @@ def docx_media(found: DataFrame, target: str = "word/media/") -> DataFrame:
 
 def _docx(data: bytes) -> list[str]:
     with _checked(data) as archive:
-        body = ElementTree.fromstring(archive.read("word/document.xml"))
-    return ["\n".join(_paragraphs(body))]
+        body, numbers = ElementTree.fromstring(archive.read("word/document.xml")), _Numbers(_lists(archive))
+    return ["\n".join(_paragraphs(body, numbers))]
 
 
 def _pptx(data: bytes) -> list[str]:
@@ -163,12 +199,45 @@ def _pptx(data: bytes) -> list[str]:
         return ["\n".join("".join(t.text or "" for t in p.iter() if _name(t) == "t") for p in ElementTree.fromstring(archive.read(n)).iter() if _name(p) == "p").strip() for n in slides]
 
 
+# Built-in number formats that are dates, and the day that serial 0 is.
+_DATE_FORMATS, _DAY_ZERO = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)]), datetime(1899, 12, 30)
+
+
+def _date_styles(archive: zipfile.ZipFile) -> list[bool]:
+    """Of each cell style whether its number format is a date."""
+    if "xl/styles.xml" not in archive.namelist():
+        return []
+    root = ElementTree.fromstring(archive.read("xl/styles.xml"))
+    own = {int(x.get("numFmtId", "0")): re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", x.get("formatCode", "")) for x in root.iter() if _name(x) == "numFmt"}
+    dates = lambda n: n in _DATE_FORMATS or bool(re.search("[ymdhs]", own.get(n, "").lower()))
+    return [dates(int(x.get("numFmtId", "0"))) for xfs in root if _name(xfs) == "cellXfs" for x in xfs]
+
+
+def _cell(value: str, kind: str | None, style: str | None, shared: list[str], dates: list[bool]) -> str:
+    """What a cell shows: shared texts by number, truth values in words, dates in ISO form, whole numbers without a fraction."""
+    if kind == "s" and value:
+        return shared[int(value)]
+    if kind == "b":
+        return {"1": "TRUE", "0": "FALSE"}.get(value, value)
+    if kind in (None, "n") and value:
+        try:
+            number = float(value)
+        except ValueError:
+            return value
+        if style and style.isdigit() and int(style) < len(dates) and dates[int(style)] and 0 <= number < 2_958_466:
+            at = _DAY_ZERO + timedelta(seconds=round(number * 86_400))
+            return at.strftime("%H:%M:%S") if number < 1 else at.strftime("%Y-%m-%d" if at.time() == time() else "%Y-%m-%d %H:%M:%S")
+        return str(int(number)) if number.is_integer() and abs(number) < 1e15 else value
+    return value
+
+
 def _xlsx(data: bytes) -> list[str]:
     """Each sheet as a heading and a table in bars."""
     with _checked(data) as archive:
         names = archive.namelist()
         shared = ["".join(t.text or "" for t in si.iter() if _name(t) == "t") for si in ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
         rels = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))} if "xl/_rels/workbook.xml.rels" in names else {}
+        dates = _date_styles(archive)
         sheets = [s for s in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter() if _name(s) == "sheet"]
         out = []
         for i, sheet in enumerate(sheets, 1):
@@ -182,7 +251,7 @@ def _xlsx(data: bytes) -> list[str]:
                     for letter in re.match("[A-Z]*", c.attrib.get("r", ""))[0]:
                         column = column * 26 + ord(letter) - 64
                     value = "".join(x.text or "" for x in c.iter() if _name(x) in ("v", "t"))
-                    cells[column or len(cells) + 1] = shared[int(value)] if c.attrib.get("t") == "s" and value else value
+                    cells[column or len(cells) + 1] = _cell(value, c.attrib.get("t"), c.attrib.get("s"), shared, dates)
                 rows.append([cells.get(k, "") for k in range(1, max(cells, default=0) + 1)])
             width = max(map(len, rows), default=0)
             lines = ["| " + " | ".join(v.replace("|", "¦") for v in r + [""] * (width - len(r))) + " |" for r in rows]
@@ -196,12 +265,14 @@ _READERS = {"docx": _docx, "pptx": _pptx, "xlsx": _xlsx}
 def pages(found: DataFrame, readers: dict | None = None) -> DataFrame:
     """Pages of the files of ``files``: path, page_num, text, error.
 
-    Texts are one page, decoded in the JVM; office files are read by their task, a sheet or slide a page. A file that can't
+    Texts are one page, decoded in the JVM, and HTML becomes Markdown; office files are read by their task, a sheet or slide a page. A file that can't
     be read gives a page with the error instead of ending the job. ``readers`` has functions of other kinds: bytes in, texts of pages out.
     """
     ship(found.sparkSession)
     mine = _READERS | (readers or {})
-    plain = found.where(F.col("kind").isin(*TEXT_KINDS)).select("path", F.lit(1).alias("page_num"), F.regexp_replace(F.col("content").cast("string"), "^﻿", "").alias("text"), F.lit(None).cast("string").alias("error"))
+    body = F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "")
+    shown = F.when(F.col("kind").isin(*MARKUP_KINDS), markdown.from_html(body)).otherwise(body)
+    plain = found.where(F.col("kind").isin(*TEXT_KINDS)).select("path", F.lit(1).alias("page_num"), shown.alias("text"), F.lit(None).cast("string").alias("error"))
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in it:
