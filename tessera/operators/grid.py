@@ -41,8 +41,9 @@ def smallest_box(points: DataFrame, boxes: DataFrame, by: list[str], point: str,
     corners = places.get("corners", ("x0", "y0", "x1", "y1"))
     x0, y0, x1, y1 = (F.col(f"box.{c}").cast("double") for c in corners)
     met = boxes_at(points, boxes, by, **places)
-    best = met.groupBy(*by, point).agg(F.max_by(F.col(f"box.{box}"), F.struct(-(x1 - x0) * (y1 - y0), F.col(f"box.{box}"))).alias("found"))
-    return points.join(best, [*by, point], "left")
+    same = [*by, point, *places.get("at", ("x", "y"))]  # an id may stand for several points
+    best = met.groupBy(*same).agg(F.max_by(F.col(f"box.{box}"), F.struct(-(x1 - x0) * (y1 - y0), F.col(f"box.{box}"))).alias("found"))
+    return points.join(best, same, "left")
 
 
 # What a click on an element is meant for: the nearest of these around it.

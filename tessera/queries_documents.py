@@ -207,12 +207,16 @@ def guarded_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""SELECT o_orderkey AS query, CASE WHEN o_orderkey % 3 = 0 THEN 'brave' ELSE 'tavily' END AS provider, CAST(i AS INT) AS rank, 'T' || o_custkey || '-' || i AS title, 'http://e.example/' || o_orderkey || '/' || i AS url, 0.5::DOUBLE / i AS score FROM (SELECT *, unnest(generate_series(1, o_orderkey % 4)) AS i FROM orders WHERE o_orderkey % 5 <> 0)""".replace("0.5::DOUBLE / i AS score", "CASE WHEN o_orderkey % 3 <> 0 THEN 0.5::DOUBLE END AS score"))
 def provider_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of two providers in their own JSON: the first one's where it has no trouble, and none where it says that it has nothing for us."""
+    return results.hits(_answers(spark, sf_dir)).select("query", "provider", "rank", "title", "url", "score")
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     some = lambda **extra: F.transform(F.slice(F.array(*map(F.lit, (1, 2, 3))), F.lit(1), (k % 4).cast("int")), lambda i: F.struct(F.concat(F.lit("T"), F.col("o_custkey").cast("string"), F.lit("-"), i.cast("string")).alias("title"), F.concat(F.lit("http://e.example/"), k.cast("string"), F.lit("/"), i.cast("string")).alias("url"), *(v.alias(n) for n, v in extra.items())))
     first = o.select(k.alias("query"), F.lit("tavily").alias("provider"), F.lit(1).alias("priority"), F.when(k % 5 == 0, 401).when(k % 3 == 0, 503).otherwise(200).alias("status"), F.to_json(F.struct(some(score=F.lit(0.5)).alias("results"))).alias("body"))
     second = o.select(k.alias("query"), F.lit("brave").alias("provider"), F.lit(2).alias("priority"), F.lit(200).alias("status"), F.to_json(F.struct(F.struct(some().alias("results")).alias("web"))).alias("body"))
-    return results.hits(first.unionByName(second)).select("query", "provider", "rank", "title", "url", "score")
+    return first.unionByName(second)
 
 
 @_query("""SELECT '| n_nationkey | n_name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS text FROM nation""")
