@@ -27,7 +27,7 @@ def path(url: Column) -> Column:
 
 
 def query(url: Column) -> Column:
-    return F.regexp_extract(url, r"\?([^#]*)", 1)
+    return F.regexp_extract(url, r"^[^#?]*\?([^#]*)", 1)  # a fragment may have a question mark too
 
 
 def fragment(url: Column) -> Column:
