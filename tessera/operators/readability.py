@@ -43,24 +43,28 @@ def _covered(condition: Column, key: str, strict: bool = False) -> Column:
     return F.coalesce(F.max(F.when(condition, F.col("last"))).over(before) >= F.col("pos"), F.lit(False))
 
 
-def subtree_sums(rows: DataFrame, values: dict[str, Column], key: str, children: dict[str, Column] | None = None) -> DataFrame:
-    """Adds sums over each element and all within it: running sums over the page in order, taken where the element ends less where it begins. ``children``: aggregates over the rows of an element's children, by name.
+def subtree_sums(rows: DataFrame, values: dict[str, str], key: str, children: dict[str, str] | None = None) -> DataFrame:
+    """Adds sums over each element and all within it: running sums over the page in order, taken where the element ends less where it begins. ``children``: aggregates over the rows (``row``) of an element's children (``kind`` 2), by name. Both are SQL.
 
     Each element gives a record where it begins, one where it ends and one to its parent, so the rows are read once, whatever is measured.
     """
-    fields = {f"_v_{n}": F.coalesce(v.cast("double"), F.lit(0.0)) for n, v in values.items()}
-    row = F.struct(*(c for c in rows.columns if c != key))
-    mark = lambda of, at, kind: F.struct(F.col(of).alias("of"), F.col(at).alias("at"), F.lit(kind).alias("kind"))
-    marks = rows.select(key, row.alias("row"), *(v.alias(n) for n, v in fields.items()), F.explode(F.array(mark("pos", "pos", 0), mark("pos", "last", 1), mark("parent", "pos", 2))).alias("m")).select(key, "m.*", "row", *fields)
-    begins = F.col("kind") == 0
-    order = Window.partitionBy(key).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    run = marks.select(key, "of", "kind", "row", *fields, *(F.sum(F.when(begins, F.col(f"_v_{n}")).otherwise(0.0)).over(order).alias(f"_s_{n}") for n in values))
-    total = lambda n: F.max(F.when(F.col("kind") == 1, F.col(f"_s_{n}"))) - F.max(F.when(begins, F.col(f"_s_{n}") - F.col(f"_v_{n}")))
+    k = f"`{key}`"
+    own = [f"coalesce(cast({v} AS double), 0.0D) AS _v_{n}" for n, v in values.items()]
+    row = ", ".join(f"`{c}`" for c in rows.columns if c != key)
+    mark = "explode(array(struct(pos AS of, pos AS at, 0 AS kind), struct(pos AS of, last AS at, 1 AS kind), struct(parent AS of, pos AS at, 2 AS kind))) AS m"
+    marks = rows.selectExpr(k, f"struct({row}) AS row", *own, mark).selectExpr(k, "m.*", "row", *(f"_v_{n}" for n in values))
+    order = f"OVER (PARTITION BY {k} ORDER BY at, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    run = marks.selectExpr(k, "of", "kind", "row", *(f"_v_{n}" for n in values), *(f"sum(CASE WHEN kind = 0 THEN _v_{n} ELSE 0.0D END) {order} AS _s_{n}" for n in values))
+    total = [f"max(CASE WHEN kind = 1 THEN _s_{n} END) - max(CASE WHEN kind = 0 THEN _s_{n} - _v_{n} END) AS {n}" for n in values]
     below = children or {}
-    out = run.groupBy(key, "of").agg(F.first(F.when(begins, F.col("row")), ignorenulls=True).alias("row"), *(total(n).alias(n) for n in values), *(v.alias(n) for n, v in below.items()))
+    out = run.groupBy(key, "of").agg(*map(F.expr, ["first(CASE WHEN kind = 0 THEN row END, true) AS row", *total, *(f"{v} AS {n}" for n, v in below.items())]))
     return out.where("row is not null").select(key, "row.*", *values, *below)
 
 
+def _in(*tags: str) -> str:
+    return f"tag IN ({', '.join(repr(t) for t in tags)})"
+
+
 def _chars(solid: str = "solid", words: str = "words") -> Column:
     """Characters of a text with single blanks between its words."""
     return F.col(solid) + F.greatest(F.col(words) - 1, F.lit(0))
@@ -105,19 +109,18 @@ def _measured(rows: DataFrame, key: str) -> DataFrame:
 
     A table holds data by what it says, by a caption or head cells; not if it holds tables or has one row or column; else by its size, for which columns are its cells for each row, rounded up.
     """
-    one = lambda c: c.cast("int")
-    child = F.col("kind") == 2
+    framed = _in("object", "embed", "iframe")
     first = subtree_sums(rows.drop(*_COUNTS, *_SHARES, "data"), {
-        "solid": F.col("solid_own"), "words": F.col("words_own"), "commas": F.col("commas_own"), "ascii": F.col("ascii_own"), "blocks": one(_is(*BLOCKS)), "n_p": one(_is("p")), "n_img": one(_is("img")), "n_li": one(_is("li")),
-        "n_input": one(_is("input")), "n_embed": one(_is("object", "embed", "iframe")), "n_video": one(_is("object", "embed", "iframe") & F.col("video")), "n_table": one(_is("table")), "n_head_cells": one(_is("col", "colgroup", "tfoot", "thead", "th")),
-        "n_caption": one(_is("caption") & (F.col("words_own") > 0)), "n_tr": one(_is("tr")), "n_cells": one(_is("td", "th")),
-    }, key, {"children": F.sum(one(child)), "child_p": F.sum(one(child & (F.col("row.tag") == "p")))})
-    chars = _chars()
-    columns = F.ceil(F.col("n_cells") / F.col("n_tr"))
-    size = F.when((columns <= 1) | (F.col("n_tr") <= 1), False).otherwise((F.col("n_tr") >= 10) | (columns > 4) | (F.col("n_tr") * columns > 10))
-    data = F.when(F.col("said_data") != 0, F.col("said_data") > 0).when((F.col("n_caption") > 0) | (F.col("n_head_cells") > 0), True).when(F.col("n_table") > 1, False).otherwise(F.coalesce(size, F.lit(False)))
-    first = first.withColumn("data", _is("table") & data)
-    return subtree_sums(first, {"link_chars": F.when(_is("a"), chars * F.col("link_part")), "head_chars": F.when(_is(*HEADINGS), chars), "list_chars": F.when(_is("ul", "ol"), chars), "textish_chars": F.when(_is(*TEXTISH), chars), "n_data": one(F.col("data"))}, key, {"grand": F.max(F.when(child, F.col("row.children")))})
+        "solid": "solid_own", "words": "words_own", "commas": "commas_own", "ascii": "ascii_own", "blocks": _in(*BLOCKS), "n_p": _in("p"), "n_img": _in("img"), "n_li": _in("li"), "n_input": _in("input"), "n_embed": framed, "n_video": f"{framed} AND video",
+        "n_table": _in("table"), "n_head_cells": _in("col", "colgroup", "tfoot", "thead", "th"), "n_caption": f"{_in('caption')} AND words_own > 0", "n_tr": _in("tr"), "n_cells": _in("td", "th"),
+    }, key, {"children": "sum(cast(kind = 2 AS int))", "child_p": "sum(cast(kind = 2 AND row.tag = 'p' AS int))"})
+    columns = "ceil(n_cells / nullif(n_tr, 0))"
+    size = f"coalesce(CASE WHEN {columns} <= 1 OR n_tr <= 1 THEN false ELSE n_tr >= 10 OR {columns} > 4 OR n_tr * {columns} > 10 END, false)"
+    data = f"tag = 'table' AND CASE WHEN said_data <> 0 THEN said_data > 0 WHEN n_caption > 0 OR n_head_cells > 0 THEN true WHEN n_table > 1 THEN false ELSE {size} END AS data"
+    chars = "solid + greatest(words - 1, 0)"
+    of = lambda *tags, part="1": f"CASE WHEN {_in(*tags)} THEN ({chars}) * {part} END"
+    shares = {"link_chars": of("a", part="link_part"), "head_chars": of(*HEADINGS), "list_chars": of("ul", "ol"), "textish_chars": of(*TEXTISH), "n_data": "data"}
+    return subtree_sums(first.selectExpr("*", data), shares, key, {"grand": "max(CASE WHEN kind = 2 THEN row.children END)"})
 
 
 def _density() -> Column:
@@ -264,7 +267,7 @@ def metadata(pages: DataFrame, elements: DataFrame, key: str = "page_id", html:
     out = pages.select(key).join(linked, key, "left").join(metas, key, "left").join(titles, key, "left")
     page = F.coalesce("page_title", F.lit(""))
     both = F.col("name").isNotNull() & F.col("headline").isNotNull() & (F.col("name") != F.col("headline"))
-    title = F.when(both & (_similar(page, F.col("headline")) > SIMILAR) & ~(_similar(page, F.col("name")) > SIMILAR), F.col("headline")).otherwise(F.coalesce("name", "headline"))
+    title = F.when(both & (_similar(F.col("headline"), page) > SIMILAR) & ~(_similar(F.col("name"), page) > SIMILAR), F.col("headline")).otherwise(F.coalesce("name", "headline"))
     given = lambda *c: F.coalesce(*(F.nullif(F.col(x) if isinstance(x, str) else x, F.lit("")) for x in c))
     return out.select(key, given(title, "m_title", "page_title").alias("title"), given("l_byline", "m_byline").alias("byline"), given("l_excerpt", "m_excerpt").alias("excerpt"), given("l_site", "m_site").alias("site_name"), given("l_date", "m_date").alias("published"))
 
@@ -282,7 +285,7 @@ def articles(pages: DataFrame, elements: DataFrame, key: str = "page_id", html:
     about = stored(metadata(pages, elements, key, html), "article-metadata")
     rows = _prepared(elements, key).where(~_is("meta", "title", "link"))
     seen = _remaining(rows, F.col("hidden") | F.col("modal"), key).join(about.select(key, "title", F.col("byline").alias("said_by")), key, "left")
-    sized = subtree_sums(seen, {"solid": F.col("solid_own"), "words": F.col("words_own")}, key)
+    sized = subtree_sums(seen, {"solid": "solid_own", "words": "words_own"}, key)
     doc = Window.partitionBy(key)
     repeats = _is("h1", "h2") & (_similar(F.coalesce("title", F.lit("")), F.coalesce("short", F.lit(""))) > SIMILAR)
     signed = F.col("said_by").isNull() & (F.col("authored") | F.col("match").rlike(BYLINE)) & (_chars() > 0) & (_chars() < 100) & ~_is("body", "html")

@@ -237,7 +237,7 @@ def test_articles_against_a_walk(spark):
     pages = [(i, f"<html><head><title>A title{i}</title></head><body>{b}</body></html>") for i, b in enumerate(PAGES)]
     pages += [(100, None), (101, ""), (102, "no markup at all")]
     linked = '{"@context": "https://schema.org", "@type": "NewsArticle", "name": "Site", "headline": "Head of it", "author": [{"name": " A "}, {"name": "B"}], "publisher": {"name": "P"}, "datePublished": "2024"}'
-    pages.append((200, f'<html><head><title>Head of it - Site</title><meta property="og:description" content="what  it says"><script type="application/ld+json">{linked}</script></head><body>{FIRST}</body></html>'))
+    pages.append((200, f'<html><head><title>Head of it - X</title><meta property="og:description" content="what  it says"><script type="application/ld+json">{linked}</script></head><body>{FIRST}</body></html>'))
     graph = '[{"@type": "Other"}, {"@context": {"@vocab": "http://schema.org/"}, "@type": "BlogPosting", "name": "N", "author": {"name": "C"}}]'
     pages.append((201, f'<html><head><meta name="author" content="M"><script type="application/ld+json">{graph}</script><script type="application/ld+json">{{broken</script></head><body>{FIRST}</body></html>'))
     df = spark.createDataFrame(pages, "page_id int, html string")
