@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.storage import stored
 
 #: Documents of fewer pages keep all lines; lines at each edge that may be running ones; share of pages they must be on.
 MIN_PAGES, EDGE_LINES, PAGE_SHARE = 4, 2, 0.5
@@ -29,28 +30,32 @@ def edge_lines(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     return solid.select(key, "page_num", "pages", "line", "text", "_text", F.row_number().over(page.orderBy("line")).alias("top"), F.row_number().over(page.orderBy(F.col("line").desc())).alias("foot"))
 
 
+def _edges(pages: DataFrame, key: str) -> DataFrame:
+    """The lines at the edges of pages of documents that are long enough: a row for each edge a line is near."""
+    lines = edge_lines(pages, key).where(F.col("pages") >= MIN_PAGES)
+    sides = F.explode(F.array(*(F.struct(F.lit(e).alias("edge"), F.col(e).alias("place")) for e in ("top", "foot")))).alias("e")
+    near = lines.select(key, "page_num", "pages", "line", "_text", sides).select(key, "page_num", "pages", "line", "_text", "e.*").where(F.col("place") <= EDGE_LINES)
+    of = lambda footer: _edge_key(F.col("_text"), F.col("page_num"), F.col("pages"), footer)
+    return near.withColumn("line_key", F.when(F.col("edge") == "foot", of(True)).otherwise(of(False))).drop("_text")
+
+
+def _running(edges: DataFrame, key: str) -> DataFrame:
+    both = edges.groupBy(key, "edge", "line_key").agg(F.count_distinct("page_num").alias("on_pages"), F.max("pages").alias("pages"))
+    return both.where((F.col("line_key") != "") & (F.col("on_pages") >= F.greatest(F.lit(2), F.ceil(F.col("pages") * PAGE_SHARE)))).select(key, "edge", "line_key", "on_pages")
+
+
 def running_lines(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     """Lines that come at the same edge of at least half of a document's pages: key, edge, line_key, on_pages."""
-    found = []
-    edges = edge_lines(pages, key).where(F.col("pages") >= MIN_PAGES)
-    for edge in ("top", "foot"):
-        near = edges.where(F.col(edge) <= EDGE_LINES).withColumn("line_key", _edge_key(F.col("_text"), F.col("page_num"), F.col("pages"), edge == "foot"))
-        found.append(near.groupBy(key, "line_key").agg(F.count_distinct("page_num").alias("on_pages"), F.max("pages").alias("pages")).withColumn("edge", F.lit(edge)))
-    both = found[0].unionByName(found[1])
-    return both.where((F.col("line_key") != "") & (F.col("on_pages") >= F.greatest(F.lit(2), F.ceil(F.col("pages") * PAGE_SHARE)))).select(key, "edge", "line_key", "on_pages")
+    return _running(_edges(pages, key), key)
 
 
 def strip_running_lines(pages: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The pages without running headers and footers: from each edge up to two lines, and none beyond the first that does not run."""
-    running = running_lines(pages, key)
-    edges = edge_lines(pages, key)
-    drops = []
-    for edge in ("top", "foot"):
-        near = edges.where(F.col(edge) <= EDGE_LINES).withColumn("line_key", _edge_key(F.col("_text"), F.col("page_num"), F.col("pages"), edge == "foot"))
-        hit = near.join(running.where(F.col("edge") == edge).select(key, "line_key", F.lit(True).alias("_runs")), [key, "line_key"], "left")
-        outer = Window.partitionBy(key, "page_num").orderBy(edge).rowsBetween(Window.unboundedPreceding, 0)
-        drops.append(hit.withColumn("_all", F.min(F.coalesce("_runs", F.lit(False)).cast("int")).over(outer)).where("_all = 1").select(key, "page_num", "line"))
-    gone = drops[0].union(drops[1]).groupBy(key, "page_num").agg(F.collect_set("line").alias("_gone"))
+    """The pages without running headers and footers: from each edge up to two lines, and none beyond the first that does not run. The edges' lines, four a page, are stored, so pages are split once."""
+    near = stored(_edges(pages, key), "page-edges")
+    hit = near.join(_running(near, key).select(key, "edge", "line_key", F.lit(True).alias("_runs")), [key, "edge", "line_key"], "left")
+    outer = Window.partitionBy(key, "page_num", "edge").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    drops = hit.withColumn("_all", F.min(F.coalesce("_runs", F.lit(False)).cast("int")).over(outer)).where("_all = 1")
+    gone = drops.groupBy(key, "page_num").agg(F.collect_set("line").alias("_gone"))
     kept = F.array_join(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda v, i: F.when(~F.array_contains("_gone", i), v)), lambda v: v.isNotNull()), "\n")
     return pages.join(gone, [key, "page_num"], "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).drop("_gone")
 

@@ -1,4 +1,7 @@
-"""Rules that depend on what came before: idle sessions, caches, throttles, failover. Each is a window or a fold over one key's events."""
+"""Rules that depend on what came before: idle sessions, caches, throttles, failover. Each is a window or a fold over one key's events.
+
+The folds have no place for an event without a time (or, in ``bounded_sessions``, without a key): such events are left out of their results.
+"""
 
 from __future__ import annotations
 

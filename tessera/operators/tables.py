@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -184,7 +185,7 @@ HEAD_WORDS, ROW_CHARS = 3, 20
 
 
 def _has(line: Column, words: tuple[str, ...]) -> Column:
-    return F.aggregate(F.array(*(F.contains(line, F.lit(w)).cast("int") for w in words)), F.lit(0), lambda a, x: a + x)
+    return reduce(lambda a, w: a + F.contains(line, F.lit(w)).cast("int"), words, F.lit(0))
 
 
 def priced_head(t: Column) -> Column:

@@ -1,4 +1,8 @@
-"""Streams of captures and requests. Each has a batch operator with the same rule, which tests compare it with."""
+"""Streams of captures and requests. Each has a batch operator with the same rule, which tests compare it with.
+
+``throttle``, ``cache_hits`` and ``snapshot_diffs`` keep a key's state for as long as the stream runs, as their rules ask for no end of time; ``streaming.stores`` has forms whose state goes once it
+can matter no more.
+"""
 
 from __future__ import annotations
 
