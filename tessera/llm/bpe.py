@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batches, col, put, ship
+from tessera.llm.common import batches, col, put, release, ship
 
 #: Words of up to so many bytes go through the rank array; longer ones through a heap, whose cost is not quadratic.
 SHORT = 32
@@ -240,7 +240,9 @@ class ByteBPE:
 
 @cache
 def vocabulary(path: str) -> ByteBPE:
-    return ByteBPE(path)
+    out = ByteBPE(path)
+    release()  # what reading the file took
+    return out
 
 
 def encode_texts(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
