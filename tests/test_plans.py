@@ -34,3 +34,19 @@ def test_overlaps_are_no_cross_join(spark):
     s = spark.createDataFrame([(1, 1, 1, 2)], "doc_id int, idx int, page_start int, page_end int")
     t = spark.createDataFrame([(1, "t", 1, 2)], "doc_id int, table_id string, page_start int, page_end int")
     assert not re.search("CartesianProduct|NestedLoop", _plan(tables.sections_with_tables(s, t)))
+
+
+def test_documents_are_read_and_split_once(spark, sf):
+    plan = _plan(QUERIES["split_sections"](spark, sf))
+    assert len(re.findall("FileScan", plan)) == 1 and len(re.findall(r"\bWindow \[", plan)) < 20
+
+
+def test_pages_are_parsed_before_they_are_used_several_times(spark, sf):
+    assert not re.search("MapInArrow", _plan(QUERIES["page_digest"](spark, sf)))
+
+
+def test_every_query_with_sql_is_registered():
+    import __spark_entry__
+
+    queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+    assert set(sql) <= set(queries) and len(queries) > 120
