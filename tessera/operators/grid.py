@@ -64,8 +64,9 @@ def elements_at(points: DataFrame, elements: DataFrame, by: str = "page_id", poi
     ranked = met.withColumn("_place", F.row_number().over(order)).withColumn("_top", F.first("box.pos").over(order))
     # Around the topmost: begins no later and ends no sooner; the nearest is the one that begins last.
     around = (F.col("box.pos") <= F.col("_top")) & (F.col("box.last") >= F.col("_top")) & F.col("_acts")
-    info = lambda c: F.struct("box.pos", "box.tag", F.col("box.attrs")["role"].alias("role"), F.col("box.attrs")["type"].alias("type"), F.coalesce(*(F.nullif(F.trim(x), F.lit("")) for x in (a["aria-label"], a["title"], a["placeholder"], F.col("box.text"))), F.lit("")).alias("name"))
-    picked = ranked.groupBy(by, point).agg(F.max_by(F.when(around, info(0)), F.when(around, F.col("box.pos"))).alias("acts"), F.max(F.when(F.col("_place") == 1, info(0))).alias("top"))
+    named = F.coalesce(*(F.nullif(F.trim(x), F.lit("")) for x in (a["aria-label"], a["title"], a["placeholder"], F.col("box.text"))), F.lit(""))
+    found = F.struct("box.pos", "box.tag", a["role"].alias("role"), a["type"].alias("type"), named.alias("name"))
+    picked = ranked.groupBy(by, point).agg(F.max_by(F.when(around, found), F.when(around, F.col("box.pos"))).alias("acts"), F.max(F.when(F.col("_place") == 1, found)).alias("top"))
     e = F.coalesce("acts", "top")
     tag, kind = e["tag"], F.lower(F.coalesce(e["type"], F.lit("")))
     role = F.coalesce(F.nullif(F.lower(F.trim(e["role"])), F.lit("")), F.when(tag == "a", "link").when((tag == "input") & kind.isin("button", "submit", "reset"), "button").when((tag == "input") & kind.isin("checkbox", "radio"), kind).when(tag.isin("input", "textarea"), "textbox").when(tag == "select", "combobox").otherwise(tag))
