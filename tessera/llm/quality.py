@@ -14,7 +14,7 @@ from tessera.llm.common import IS_SPACE, batches, col, mix, pieces, put, release
 
 #: Dimensions of a vector and those of them that an index vector fills; slots that words are hashed to; labelled rows that the fit reads at most.
 DIMENSIONS, FILLED, SLOTS, FIT_ROWS = 32, 4, 1 << 14, 6_000
-#: Tasks that read the fitted rows; each sends one table of contexts (2 MB) to the driver.
+#: Tasks that read the fitted rows; each sends one table of contexts (6 MB at most) to the driver.
 FIT_TASKS = 8
 HIDDEN = 32
 #: Rows whose share of five is this one are held out.
@@ -35,16 +35,51 @@ _SIZES = np.array([3, 6, 11, 21])
 SHAPES = 7 * 3 * 2 * 5
 
 
-def terms(data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two terms for each word: its slot, and its shape (kind of last byte, case, whether it repeats the word before, length)."""
-    first = int(starts[0])
-    size = np.add.reduceat((~IS_SPACE[data[first:]]).astype(np.int64), starts - first)
-    upper = np.add.reduceat(_UPPER[data[first:]], starts - first)
-    case = np.where((upper * 2 >= size) & (upper > 1), 2, np.minimum(upper, 1))
-    again = np.zeros(len(hashes), np.int64)
-    again[1:] = (hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])
-    shape = ((_LAST[data[starts + size - 1]].astype(np.int64) * 3 + case) * 2 + again) * 5 + np.searchsorted(_SIZES, size, "right")
-    return (hashes & np.uint64(SLOTS - 1)).astype(np.int64), shape
+#: Words with a slot of their own at most: those that the fitted rows have most often. All others share SLOTS hashed ones.
+OWN_SLOTS = 1 << 15
+NO_WORDS = np.zeros(0, np.uint64)
+
+
+def slots(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The slot of each word: its own after the hashed ones if it is among the known words (in order), else one it is hashed to."""
+    shared = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+    if not len(known):
+        return shared
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, SLOTS + at, shared)
+
+
+def terms(data: np.ndarray, offsets: np.ndarray, known: np.ndarray = NO_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, tuple[int, int, int, int] | None]]:
+    """For each piece of the texts: rows, slots and shapes of its words, and (row, hash, slot, shape) of the word before the first one if it is of the same row.
+
+    A shape is the kind of the last byte, case, whether the word repeats the one before, and length. Where a long row is cut makes no difference to any of them.
+    """
+    last = None
+    for raw, hashes, starts, rows in word_pieces(data, offsets):
+        if not len(starts):
+            continue
+        before = last if last is not None and last[0] == rows[0] else None
+        first = int(starts[0])
+        size = np.add.reduceat((~IS_SPACE[raw[first:]]).astype(np.int64), starts - first)
+        upper = np.add.reduceat(_UPPER[raw[first:]], starts - first)
+        case = np.where((upper * 2 >= size) & (upper > 1), 2, np.minimum(upper, 1))
+        again = np.zeros(len(hashes), np.int64)
+        again[1:] = (hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])
+        again[0] = before is not None and before[1] == hashes[0]
+        shape = ((_LAST[raw[starts + size - 1]].astype(np.int64) * 3 + case) * 2 + again) * 5 + np.searchsorted(_SIZES, size, "right")
+        slot = slots(hashes, known)
+        yield rows, slot, shape, before
+        last = int(rows[-1]), hashes[-1], int(slot[-1]), int(shape[-1])
+
+
+def word_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of these texts and how often each comes."""
+    words, counts = NO_WORDS, np.zeros(0, np.int64)
+    for _, hashes, _, _ in word_pieces(*text_bytes(column)):
+        new, n = np.unique(hashes, return_counts=True)
+        words, to = np.unique(np.concatenate([words, new]), return_inverse=True)
+        counts = np.bincount(to, np.concatenate([counts, n]), len(words)).astype(np.int64)
+    return words, counts
 
 
 def index_places(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,14 +99,13 @@ def index_vectors(n: int, seed: int) -> np.ndarray:
 WORDS, WORD_SHAPES = 1, 2
 
 
-def contexts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def contexts(column: pa.Array, known: np.ndarray = NO_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Random indexing: for each word slot the sum of its neighbours' index vectors, those of the words and of their shapes, and likewise for each shape that of its neighbours' shapes. Whole numbers, so sums do not depend on their order."""
-    words, shapes = index_places(SLOTS, WORDS), index_places(SHAPES, WORD_SHAPES)
-    around_word, around_shape = np.zeros(SLOTS * DIMENSIONS), np.zeros(SHAPES * DIMENSIONS)
-    for raw, hashes, starts, rows in word_pieces(*text_bytes(column)):
-        if len(starts) < 2:
-            continue
-        slot, shape = terms(raw, hashes, starts, rows)
+    words, shapes = index_places(SLOTS + len(known), WORDS), index_places(SHAPES, WORD_SHAPES)
+    around_word, around_shape = np.zeros((SLOTS + len(known)) * DIMENSIONS), np.zeros(SHAPES * DIMENSIONS)
+    for rows, slot, shape, before in terms(*text_bytes(column), known):
+        if before is not None:  # the neighbour across a cut
+            rows, slot, shape = np.append(before[0], rows), np.append(before[2], slot), np.append(before[3], shape)
         near = np.flatnonzero(rows[1:] == rows[:-1])
         for a, b in ((near, near + 1), (near + 1, near)):
             for total, to, of, (at, sign) in ((around_word, slot, slot, words), (around_word, slot, shape, shapes), (around_shape, shape, shape, shapes)):
@@ -82,8 +116,9 @@ def contexts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Word and shape vectors, scaling, two layers, temperature."""
+    """The words with slots of their own, word and shape vectors, scaling, two layers, temperature."""
 
+    known: np.ndarray
     words: np.ndarray
     shapes: np.ndarray
     mean: np.ndarray
@@ -100,10 +135,7 @@ class Model:
         data, offsets = text_bytes(column)
         n = len(offsets) - 1
         total, shapes, count = np.zeros((n, DIMENSIONS), np.float64), np.zeros((n, SHAPES), np.float64), np.zeros(n)
-        for raw, hashes, starts, rows in word_pieces(data, offsets):
-            if not len(starts):
-                continue
-            slot, shape = terms(raw, hashes, starts, rows)
+        for rows, slot, shape, _ in terms(data, offsets, self.known):
             at = np.flatnonzero(np.diff(rows, prepend=-1))
             total[rows[at]] += np.add.reduceat(self.words[slot], at, axis=0)
             low, span = int(rows[0]), int(rows[-1] - rows[0]) + 1
@@ -121,12 +153,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(self.pooled(column)) / self.temperature, -60, 60)))
 
 
-def indexed(around_word: np.ndarray, around_shape: np.ndarray) -> Model:
+def indexed(known: np.ndarray, around_word: np.ndarray, around_shape: np.ndarray) -> Model:
     """A model that has its word vectors: each is the word's own index vector and the sum of its neighbours'."""
     unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-    words = (0.5 * unit(index_vectors(SLOTS, WORDS)) + 0.5 * unit(around_word)).astype(np.float32)
+    words = (0.5 * unit(index_vectors(len(around_word), WORDS)) + 0.5 * unit(around_word)).astype(np.float32)
     shapes = unit(index_vectors(SHAPES, WORD_SHAPES)) + 0.25 * unit(around_shape)
-    return Model(words, shapes, np.zeros(2 * DIMENSIONS), np.ones(2 * DIMENSIONS), np.zeros((2 * DIMENSIONS, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0)
+    return Model(known, words, shapes, np.zeros(2 * DIMENSIONS), np.ones(2 * DIMENSIONS), np.zeros((2 * DIMENSIONS, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0)
 
 
 def train(model: Model, x: np.ndarray, y: np.ndarray, seed: int = 11) -> Model:
@@ -152,7 +184,9 @@ def train(model: Model, x: np.ndarray, y: np.ndarray, seed: int = 11) -> Model:
 def fit(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     """Learn from texts and labels that are here; ``fit_quality`` does the same over tables."""
     column = pa.array(texts, pa.large_string())
-    model = indexed(*contexts(column))
+    words, counts = word_counts(column)
+    known = np.sort(words[np.lexsort((words.view(np.int64), -counts))[:OWN_SLOTS]])
+    model = indexed(known, *contexts(column, known))
     return train(model, model.pooled(column), np.array(labels, np.float64), seed)
 
 
@@ -180,8 +214,8 @@ def fold(key: Column) -> Column:
 def fit_quality(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS) -> Model:
     """Fit on ``rows`` labelled rows at most, none of them held out: those of least seeded hash of the key, which is a bounded sample.
 
-    The sample is written as a table; its texts, whole ones of any length, stay in the tasks that read them. To the driver come tables of word
-    contexts and then a vector for each text, so what it holds does not depend on the texts. The sampled keys are few enough to send to
+    The sample is written as a table; its texts, whole ones of any length, stay in the tasks that read them. Its OWN_SLOTS most frequent words
+    (ties by hash) get vectors of their own. To the driver come tables of word contexts and then a vector for each text, so what it holds does not depend on the texts. The sampled keys are few enough to send to
     every task, so the documents are read once and not shuffled. Labels other than 0 and 1 and null keys are left out; a null text is
     an empty one; of rows that repeat a key the greatest text counts.
     """
@@ -192,15 +226,27 @@ def fit_quality(documents: DataFrame, labels: DataFrame, key: str = "doc_id", te
     found = documents.select(col(key).alias("d"), col(text).alias("t")).join(F.broadcast(sample), F.col("d") == F.col("k"))
     fitted = written(found.groupBy("d").agg(F.max("t").alias("t"), F.max("y").alias("y")), "quality-sample").coalesce(FIT_TASKS)
 
+    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, "t"):
+            words, counts = word_counts(batch.column("t"))
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
+
+    often = fitted.select("t").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(OWN_SLOTS).select("word").collect()
+    known = np.sort(np.array([r["word"] for r in often], np.int64).view(np.uint64))
+
     def context_sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, shape = np.zeros((SLOTS, DIMENSIONS), np.int32), np.zeros((SHAPES, DIMENSIONS), np.int64)
+        word, shape = np.zeros((SLOTS + len(known), DIMENSIONS), np.int32), np.zeros((SHAPES, DIMENSIONS), np.int64)
         for batch in batches(it, "t"):
-            w, s = contexts(batch.column("t"))
-            word, shape = word + w, shape + s
+            w, s = contexts(batch.column("t"), known)
+            word += w
+            shape += s
         yield pa.RecordBatch.from_arrays([pa.array([word.tobytes()], pa.binary()), pa.array([shape.tobytes()], pa.binary())], ["word", "shape"])
 
-    sums = fitted.select("t").mapInArrow(context_sums, "word binary, shape binary").collect()  # a row for each of FIT_TASKS tasks at most
-    model = indexed(sum((np.frombuffer(r["word"], np.int32).reshape(-1, DIMENSIONS) for r in sums), np.zeros((SLOTS, DIMENSIONS), np.int32)), sum((np.frombuffer(r["shape"], np.int64).reshape(-1, DIMENSIONS) for r in sums), np.zeros((SHAPES, DIMENSIONS), np.int64)))
+    around_word, around_shape = np.zeros((SLOTS + len(known), DIMENSIONS), np.int32), np.zeros((SHAPES, DIMENSIONS), np.int64)
+    for r in fitted.select("t").mapInArrow(context_sums, "word binary, shape binary").collect():  # a row for each of FIT_TASKS tasks at most
+        around_word += np.frombuffer(r["word"], np.int32).reshape(-1, DIMENSIONS)
+        around_shape += np.frombuffer(r["shape"], np.int64).reshape(-1, DIMENSIONS)
+    model = indexed(known, around_word, around_shape)
     shared = spark.sparkContext.broadcast(model)
 
     def vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

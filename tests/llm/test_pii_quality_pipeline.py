@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -165,6 +166,41 @@ def test_fit_reads_whole_long_and_null_texts(spark):
     assert np.allclose(here.words, there.words) and np.allclose(here.w1, there.w1)
 
 
+def test_where_a_long_text_is_cut_makes_no_difference(monkeypatch):
+    """Neighbours and repeats across cuts count: small pieces give what whole texts do, and what a walk over the words gives."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["aa", "aa", "Bb!", "c1", "dd,", "e" * 300]) for _ in range(n)) for n in (0, 1, 700, 3, 900)] + ["", "x" * 2_000]
+    column = pa.array(texts, pa.large_string())
+    words, counts = quality.word_counts(column)
+    assert sorted(counts.tolist()) == sorted(Counter(w.lower() for t in texts for w in t.split()).values())
+    known = np.sort(words[:3])
+    whole, pooled = quality.contexts(column, known), quality.indexed(known, *quality.contexts(column, known)).pooled(column)
+    shape_of = {t: [int(s) for s in next(quality.terms(*quality.text_bytes(pa.array([t])), known))[2]] for t in texts if t}
+    monkeypatch.setattr("tessera.llm.common.PIECE", 16)
+    cut = quality.contexts(column, known)
+    assert all((a == b).all() for a, b in zip(whole, cut, strict=True))
+    assert np.allclose(quality.indexed(known, *cut).pooled(column), pooled)
+    slot = {w.lower(): int(next(quality.terms(*quality.text_bytes(pa.array([w])), known))[1][0]) for t in texts for w in t.split()}
+    vectors, want = quality.index_vectors(quality.SLOTS + 3, quality.WORDS), np.zeros_like(whole[0])
+    shapes = quality.index_vectors(quality.SHAPES, quality.WORD_SHAPES)
+    for t in texts:
+        split = t.split()
+        for a, b in zip(split, split[1:], strict=False):
+            want[slot[a.lower()]] += vectors[slot[b.lower()]].astype(int)
+            want[slot[b.lower()]] += vectors[slot[a.lower()]].astype(int)
+        shape = shape_of.get(t, [])
+        for (a, b), (sa, sb) in zip(zip(split, split[1:], strict=False), zip(shape, shape[1:], strict=False), strict=False):
+            want[slot[a.lower()]] += shapes[sb].astype(int)
+            want[slot[b.lower()]] += shapes[sa].astype(int)
+    assert (want == whole[0]).all()
+
+
+def test_words_of_the_fit_have_slots_of_their_own():
+    words = np.arange(5, 50, 5).astype(np.uint64)
+    got = quality.slots(np.array([5, 6, 45, 99], np.uint64), words)
+    assert got.tolist() == [quality.SLOTS, 6, quality.SLOTS + 8, 99] and quality.slots(words, quality.NO_WORDS).tolist() == words.tolist()
+
+
 def test_scores_depend_on_the_text_alone(spark):
     model = quality.fit(["good words in a row"] * 20 + ["BAD!! LOUD!!"] * 20, [1] * 20 + [0] * 20)
     df = spark.createDataFrame([(1, "good BAD!! words"), (2, "good BAD!! words")], "doc_id long, text string")
