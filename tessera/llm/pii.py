@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import cache
+from heapq import nsmallest
 
 import numpy as np
 import pandas as pd
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.boosting import BoostedTrees
-from tessera.llm.common import batches, col, ship
+from tessera.llm.common import batches, col, ship, written
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -75,7 +78,8 @@ def base_spans(text: str) -> list[Span]:
 
 #: What may be personal data, kind by kind; spans may overlap. Each pattern is bounded, so its time is linear in the text.
 GENERATORS = (
-    ("email", re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?(?:\[at\]|\(at\)|\{at\}| at |＠) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\{dot\}| dot |\.) ?[A-Za-z0-9-]{2,24}){1,4}(?![A-Za-z0-9])")),
+    ("email", re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?(?:\[at\]|\(at\)|\{at\}|＠) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\{dot\}| dot |\.) ?[A-Za-z0-9-]{2,24}){1,4}(?![A-Za-z0-9])")),
+    ("email", re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} at [A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\{dot\}| dot |\.) ?[A-Za-z0-9-]{2,24}){1,4}(?![A-Za-z0-9])")),
     ("phone", re.compile(r"(?<![A-Za-z0-9.+(-])\(?[0-9]{2,4}\)?[ ./-]{1,2}[0-9]{2,4}(?:[ ./-][0-9]{2,4}){1,3}(?![A-Za-z0-9])")),
     ("phone", re.compile(r"(?<![A-Za-z0-9.+-])(?:00|0|1)?[1-9][0-9]{8,11}(?![A-Za-z0-9.])")),
     ("card", re.compile(r"(?<![A-Za-z0-9.+-])[0-9]{4}(?:[ .:/_-]{1,2}[0-9]{4}){2}[ .:/_-]{1,2}[0-9]{3,4}(?![A-Za-z0-9])")),
@@ -164,7 +168,7 @@ def examples(n: int, seed: int = 3) -> tuple[list[str], list[Span], np.ndarray]:
         lead = pick("", "", pick("call", "tel", "phone:", "contact", "mail", "card no", "reach me") + " ")
         bad_lead = pick("", pick("order", "version", "invoice", "serial", "id", "isbn", "part no", "total", "build") + pick(" ", ": ", "=", " #"))
         if kind == "email":
-            body = f"{word()}{pick('.', '', '_')}{word()}{pick(' at ', ' [at] ', '(at)', '[at]', ' (at) ')}{word()}{pick(' dot ', ' [dot] ', '(dot)', ' (dot) ')}{pick('com', 'org', 'net', 'de', 'es')}" if good else f"{word()} at {word()}.{word()}"
+            body = f"{word()}{pick('.', '', '_')}{word()}{(sign := pick(' at ', ' [at] ', '(at)', '[at]', ' (at) ', '＠'))}{word()}{pick(' dot ', ' [dot] ', '(dot)', ' (dot) ', *(['.'] if sign != ' at ' else []))}{pick('com', 'org', 'net', 'de', 'es')}" if good else f"{word()} at {word()}.{word()}"
         elif kind == "phone":
             body = pick(f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"0{num(2)} {num(4)} {num(4)}", f"0{num(3)}/{num(3)} {num(3)}") if good else pick(f"{rng.integers(1900, 2030)}-{num(2)}-{num(2)}", f"{num(2)}/{num(2)}/{rng.integers(1900, 2030)}", f"{num(2)}.{num(2)}.{num(2)}.{num(2)}", f"{num(4)}-{num(4)}-{num(2)}", f"{num(2)}-{num(2)}-{num(2)}")
         elif kind == "card":
@@ -187,37 +191,145 @@ def examples(n: int, seed: int = 3) -> tuple[list[str], list[Span], np.ndarray]:
     return texts, spans, np.array(y)
 
 
+def masked(body: str, kind: str) -> str | None:
+    """A base span written in a way that the base patterns miss, which one its own digest says; null where it has none."""
+    draw, digits = zlib.crc32(body.encode()), _digits(body)
+    if kind == "email":
+        at, dot = ((" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "."), (" (at) ", " (dot) "))[draw % 5]
+        local, domain = body.split("@")
+        return local + at + domain.replace(".", dot)
+    if kind == "ip":
+        return body.replace(".", ("[.]", "(.)")[draw % 2])
+    if kind == "card":
+        return (".", "/", "_", ":")[draw % 4].join(digits[i : i + 4] for i in range(0, 16, 4)) if len(digits) == 16 else None
+    area, front, line = digits[-10:-7], digits[-7:-4], digits[-4:]  # without the country's number
+    return (f"({area}) {front}-{line}", f"{area}-{front}-{line}", f"{area}.{front}.{line}", f"{area} {front} {line}")[draw % 4] if len(digits) >= 10 else None
+
+
+_DATE = re.compile(r"(?:19|20)[0-9]{2}([-/. ])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/. ])[0-9]{1,2}\2(?:19|20)[0-9]{2}")
+_NEXT_SENTENCE = re.compile(r"\. [A-Z]")
+
+
+def refused(body: str, kind: str) -> bool:
+    """A look-alike for sure: a card number that fails its check digit, an address with a part over its limit, a date, a mail address that runs on into the next sentence."""
+    if kind == "card":
+        return not luhn(_digits(body))
+    if kind == "ip":
+        return any(int(p) > IP_PART for p in re.findall("[0-9]+", body))
+    return bool(_DATE.fullmatch(body) if kind == "phone" else _NEXT_SENTENCE.search(body))
+
+
+#: Documents of a table and spots in them that the trees learn from at most, those of least hash.
+FIT_DOCUMENTS, FIT_SPANS = 2_000, 8_000
+#: What a document needs to hold a base span, as Spark's patterns.
+_LIKELY = r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.|\+[0-9][\x20().0-9-]{7}|[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]|[0-9]([\x20-]?[0-9]){15}"
+
+
+def learned(text: str, most: int = FIT_SPANS) -> list[tuple[int, int, str, list[float], float]]:
+    """What a text teaches: (rank, start, kind, features, right). At most ``most`` spots, those of least rank, which is a hash of place and kind.
+
+    A base span, masked where it stands, is right, and other candidates that overlap it are wrong. Wrong too are candidates that are refused, and
+    those that overlap a base span of another kind.
+    """
+    base = base_spans(text)
+    other = {k: Intervals((a, b) for kind, a, b in base if kind != k) for k in KINDS}
+    spots = [(s, True) for s in base] + [(s, False) for s in candidates(text, base) if other[s[0]].meet(s[1], s[2]) or refused(text[s[1] : s[2]], s[0])]
+    ranked = nsmallest(most, ((zlib.crc32(f"{kind}:{a}:{b}".encode()), a, b, kind, right) for (kind, a, b), right in spots))
+    out = []
+    for rank, a, b, kind, right in ranked:
+        if not right:
+            out.append((rank, a, kind, features(text, (kind, a, b)), 0.0))
+            continue
+        body, before = masked(text[a:b], kind), text[max(0, a - 2 * _CONTEXT) : a]
+        if body is not None:
+            window, here = before + body + text[b : b + 2 * _CONTEXT], (kind, len(before), len(before) + len(body))
+            for s in candidates(window, base_spans(window)):
+                if s[1] < here[2] and s[2] > here[1]:
+                    out.append((rank, a, s[0], features(window, s), float(s == here)))
+    return out
+
+
 #: Share of a kind's chosen spans that are right, at least, on examples that the trees have not seen.
 PRECISION = 0.98
 
 
-@cache
-def model(rows: int = 4000, seed: int = 3) -> tuple[BoostedTrees, dict[str, float]]:
-    """The trees and a threshold for each kind: the least calibrated probability at and above which 98 in 100 examples are right. Fitted from the seeded examples alone, so every task has the same."""
-    texts, spans, y = examples(rows, seed)
-    x = np.array([features(t, s) for t, s in zip(texts, spans, strict=True)], float)
-    part = np.arange(len(y)) % 4
+@dataclass
+class Detector:
+    """The trees, a threshold for each kind, and for each kind what the rows that only set thresholds say: how many there are, precision, recall."""
+
+    trees: BoostedTrees
+    limits: dict[str, float]
+    seen: dict[str, tuple[int, float, float]]
+
+
+def trained(x: np.ndarray, y: np.ndarray, part: np.ndarray) -> Detector:
+    """Trees from parts 0 and 1, calibration from 2, and from 3 the least calibrated probability for each kind at and above which 98 in 100 are right."""
     trees = BoostedTrees().fit(x[part < 2], y[part < 2]).calibrate(x[part == 2], y[part == 2])
-    p, right, limits = trees.probability(x[part == 3]), y[part == 3], {}
+    p, right, limits, seen = trees.probability(x[part == 3]), y[part == 3], {}, {}
     for i, kind in enumerate(KINDS):
         mine = x[part == 3][:, i] == 1
-        order = np.argsort(-p[mine])
+        order = np.argsort(-p[mine], kind="stable")
         good = np.cumsum(right[mine][order]) / np.arange(1, mine.sum() + 1)
         fits = np.flatnonzero(good >= PRECISION)
         limits[kind] = max(0.5, float(p[mine][order][fits[-1]])) if len(fits) else 1.1
-    return trees, limits
+        chosen = p[mine] >= limits[kind]
+        seen[kind] = int(mine.sum()), float(right[mine][chosen].mean()) if chosen.any() else 1.0, float(chosen[right[mine] == 1].mean()) if (right[mine] == 1).any() else 1.0
+    return Detector(trees, limits, seen)
+
+
+@cache
+def _made(rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    texts, spans, y = examples(rows, seed)
+    return np.array([features(t, s) for t, s in zip(texts, spans, strict=True)], float), y
+
+
+@cache
+def model(rows: int = 4000, seed: int = 3) -> Detector:
+    """A detector fitted from the seeded examples alone, so every task has the same."""
+    x, y = _made(rows, seed)
+    return trained(x, y, np.arange(len(y)) % 4)
+
+
+def fit_pii(df: DataFrame, text: str = "text", documents: int = FIT_DOCUMENTS, spots: int = FIT_SPANS, rows: int = 4000, seed: int = 3) -> Detector:
+    """A detector fitted from the table's own texts and the seeded examples together.
+
+    From a bounded sample (``documents`` different texts that may hold base spans, those of least hash, and ``spots`` places in them) the trees learn how
+    personal data and look-alikes stand in these texts (see ``learned``). Thresholds come from documents, and examples, that
+    the trees have not seen. Texts stay in the tasks; the driver gets ``spots`` rows of numbers, or a few more where a spot has several candidates.
+    A table without such texts gives the detector of the examples.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    texts = df.select(col(text).alias("t"))
+    sample = written(texts.where(F.col("t").rlike(_LIKELY)).select(F.xxhash64("t").alias("h")).distinct().orderBy("h").limit(documents), "pii-sample")
+    found = texts.withColumn("h", F.xxhash64("t")).join(F.broadcast(sample), "h").groupBy("h").agg(F.min("t").alias("t"))
+
+    def taught(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, "t"):
+            for h, t in zip(batch.column("h").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                if got := learned(t, spots):
+                    ranks, starts, kinds, x, y = zip(*got, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([h] * len(got)), pa.array(ranks, pa.int64()), pa.array(starts, pa.int64()), pa.array(kinds), pa.array([np.array(v, float).tobytes() for v in x], pa.binary()), pa.array(y)], ["h", "rank", "start", "kind", "x", "y"])
+
+    got = found.mapInArrow(taught, "h long, rank long, start long, kind string, x binary, y double").orderBy("rank", "h", "start", "kind", "y", "x").limit(spots).collect()
+    x, y = _made(rows, seed)
+    part = np.arange(len(y)) % 4
+    if got:
+        x, y = np.vstack([x, *(np.frombuffer(r["x"]) for r in got)]), np.append(y, [r["y"] for r in got])
+        part = np.append(part, [r["h"] % 4 for r in got])
+    return trained(x, y, part)
 
 
-def added_spans(texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
+def added_spans(texts: list[str], base: list[list[Span]], detector: Detector | None = None) -> list[list[Span]]:
     """The candidates that the trees choose: likely enough for their kind, the likeliest of those that overlap."""
     rows = [(i, s) for i, (t, b) in enumerate(zip(texts, base, strict=True)) for s in candidates(t, b)]
     out: list[list[Span]] = [[] for _ in texts]
     if rows:
-        trees, limits = model()
-        p = np.concatenate([trees.probability(np.array([features(texts[i], s) for i, s in rows[at : at + FEATURE_ROWS]], float)) for at in range(0, len(rows), FEATURE_ROWS)])
+        detector = detector or model()
+        p = np.concatenate([detector.trees.probability(np.array([features(texts[i], s) for i, s in rows[at : at + FEATURE_ROWS]], float)) for at in range(0, len(rows), FEATURE_ROWS)])
         taken: dict[int, Intervals] = {}
         for q, (i, s) in sorted(zip(p.tolist(), rows, strict=True), key=lambda r: (-r[0], r[1])):
-            if q < limits[s[0]]:
+            if q < detector.limits[s[0]]:
                 continue
             if i not in taken:
                 taken[i] = Intervals((a, b) for _, a, b in base[i])
@@ -232,24 +344,25 @@ def listed(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
 
 
-def _spans_of(texts: list[str]) -> tuple[list[list[Span]], list[list[Span]]]:
+def _spans_of(texts: list[str], detector: Detector | None = None) -> tuple[list[list[Span]], list[list[Span]]]:
     base = [base_spans(t) for t in texts]
-    return base, [b + a for b, a in zip(base, added_spans(texts, base), strict=True)]
+    return base, [b + a for b, a in zip(base, added_spans(texts, base, detector), strict=True)]
 
 
-def find_pii(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def find_pii(df: DataFrame, key: str = "doc_id", text: str = "text", detector: Detector | None = None) -> DataFrame:
     """Personal data of every whole text: key, n_email, n_ip, n_card, n_phone (base spans of each kind), base_sha256, spans.
 
     base_sha256 is of the base spans' list, spans the list of base and added ones; places are code points, the end exclusive. Each
     text is searched where it lies: no shuffle, batches of 4 MB or one longer text, time linear in the text. Null and empty texts have no spans.
-    Keys may be null and may repeat. An empty table gives an empty result.
+    Without a ``detector`` one is fitted from these texts first (``fit_pii``). Keys may be null and may repeat. An empty table gives an empty result.
     """
+    shared = df.sparkSession.sparkContext.broadcast(detector or fit_pii(df, text))
     ship(df.sparkSession)
     kind = dict(df.dtypes)[key]
 
     def found(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, "text"):
-            base, every = _spans_of(batch.column("text").fill_null("").to_pylist())
+            base, every = _spans_of(batch.column("text").fill_null("").to_pylist(), shared.value)
             counts = [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in KINDS]
             yield pa.RecordBatch.from_arrays([batch.column("key"), *counts, pa.array([hashlib.sha256(listed(b).encode()).hexdigest() for b in base], pa.string()), pa.array(map(listed, every), pa.string())], ["key", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
@@ -257,13 +370,13 @@ def find_pii(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return out.withColumnRenamed("key", key)
 
 
-def redacted(text: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the first and longest names it. Null stays null."""
+def redacted(text: Column, detector: Detector | None = None) -> Column:
+    """The text with each span replaced by its kind in brackets; of overlapping spans the first and longest names it. Null stays null. Without a ``detector`` it is the one of the made-up examples."""
 
     def hidden(series: pd.Series) -> pd.Series:
         texts = ["" if t is None else t for t in series]
         out = []
-        for t, given, spans in zip(texts, series, _spans_of(texts)[1], strict=True):
+        for t, given, spans in zip(texts, series, _spans_of(texts, detector)[1], strict=True):
             parts, at = [], 0
             for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
                 if a >= at:

@@ -81,22 +81,64 @@ WRITTEN = [
     ("visa 4111.1111.1111.1111 exp 09/27", ["4111.1111.1111.1111"]), ("pay with 5500/0000/0000/0004", ["5500/0000/0000/0004"]), ("contact: mary_k at example dot net", ["mary_k at example dot net"]),
     ("The meeting is on 2021-05-17 at 10:30.", []), ("ISBN 978-3-16-148410-0 is out of print", []), ("Release 12.04.20.3 fixes bug 48211", []), ("Total: 1 234 567 EUR for order 2022-11-0042", []), ("see chapter 3.2.1 and page 144", []),
     ("between 1990-12-31 and 1999/01/02", []), ("build 20230914 passed 10432 tests", []), ("we met at school. Then we left", []), ("serial no 8841-2231-0021", []), ("on 12.05.1998 in Bonn", []), ("invoice 4500123987 dated 03/04/2019", []), ("ratio 3:2 at 60.5 degrees", []),
+    ("You can reach Tom on 01632 960 983 after six.", ["01632 960 983"]), ("office: (202) 555-0143 ext. 4", ["(202) 555-0143"]), ("home phone 303-555-0127 or mobile 303-555-0188", ["303-555-0127", "303-555-0188"]), ("Telefon 030 2345 6789, Mo bis Fr", ["030 2345 6789"]),
+    ("mi teléfono es 612 345 678 por la tarde", ["612 345 678"]), ("Appelez le 01 42 68 53 00 pour réserver", ["01 42 68 53 00"]), ("her number is 617.555.0192.", ["617.555.0192"]), ("WhatsApp 0151/234/5678", ["0151/234/5678"]), ("call 212 555 0170 now", ["212 555 0170"]), ("dial (0)20 7946 0321 for the desk", ["(0)20 7946 0321"]),
+    ("Emergency contact: Ana, 415-555-0133", ["415-555-0133"]), ("text me at 919-555-0110", ["919-555-0110"]), ("fax 020 7946 0001", ["020 7946 0001"]), ("his cell (508) 555 0164", ["(508) 555 0164"]), ("Rückruf unter 0711 2345 678 erbeten", ["0711 2345 678"]), ("the plumber's line is 716-555-0199, ask for Joe", ["716-555-0199"]),
+    ("info [at] acme [dot] org", ["info [at] acme [dot] org"]), ("sales(at)shop.example.com is read daily", ["sales(at)shop.example.com"]), ("ping me: k.lee {at} lab {dot} edu", ["k.lee {at} lab {dot} edu"]), ("email peter.smith at company dot com for a copy", ["peter.smith at company dot com"]), ("escribe a luis (at) correo (dot) es", ["luis (at) correo (dot) es"]), ("mail anna_b[at]web.de, danke", ["anna_b[at]web.de"]),
+    ("questions to help [at] desk.example.net", ["help [at] desk.example.net"]), ("contact: j.r at uni dot edu", ["j.r at uni dot edu"]), ("write to Maria (at) posta (dot) it or Ugo (at) posta (dot) it", ["Maria (at) posta (dot) it", "Ugo (at) posta (dot) it"]), ("account recovery: zoe99＠mail.example.org", ["zoe99＠mail.example.org"]), ("the editor, news[at]paper[dot]com, replied", ["news[at]paper[dot]com"]),
+    ("host 192[.]168[.]4[.]20 beaconed out", ["192[.]168[.]4[.]20"]), ("blocked: 8(.)8(.)4(.)4", ["8(.)8(.)4(.)4"]), ("C2 at 203[.]0[.]113[.]77 and 198[.]51[.]100[.]3", ["203[.]0[.]113[.]77", "198[.]51[.]100[.]3"]), ("gateway is 10(.)1(.)2(.)254", ["10(.)1(.)2(.)254"]), ("seen from 172[.]16[.]0[.]9 twice", ["172[.]16[.]0[.]9"]),
+    ("card 4242.4242.4242.4242 declined", ["4242.4242.4242.4242"]), ("MasterCard 5105_1051_0510_5100", ["5105_1051_0510_5100"]), ("charge it to 4012/8888/8888/1881 please", ["4012/8888/8888/1881"]), ("number on the card: 6011:1111:1111:1117", ["6011:1111:1111:1117"]), ("paid with 5555.5555.5555.4444 on Friday", ["5555.5555.5555.4444"]), ("my visa is 4111_1111_1111_1111 ok", ["4111_1111_1111_1111"]),
+    ("Amount due 2,430.50 by 30.06.2023", []), ("born 1984-03-22 in Lyon", []), ("the 2019/20 season began on 10/08/2019", []), ("flights 1844, 1846 and 1848 are full", []), ("pages 112-118 and 240-244", []), ("version 10.0.19045.3448 is current", []), ("we sat at dinner. Nobody spoke", []), ("look at this. Then that", []), ("order 4500-2210-77 shipped", []), ("ticket 20230918114502 was closed", []),
+    ("part no 77-1203-44", []), ("lat 52.520008 lon 13.404954", []), ("scores were 21-19 18-21 21-17", []), ("the code is 0x3F2A99", []), ("resolution 1920x1080 at 60 Hz", []), ("at 10:15:30.250 the pump failed", []), ("call number QA76.73 on the shelf", []), ("ISBN 0-306-40615-2", []), ("invoice 2021-000-441 was paid", []), ("total 1.234.567,89 EUR", []),
+    ("between 1939-09-01 and 1945-05-08", []), ("DOI 10.1000 182 is cited", []), ("item 4012888888881882 in stock", []), ("tracking 9400110200881234567890", []), ("serial 1234-5678-9012-3456", []), ("build 7.4.2.1183 failed at stage 3. Retry", []), ("look at page 12. The answer", []), ("lot 03-05-07-11", []), ("sku 10-200-3000", []), ("they met at noon. Both left", []),
+    ("chapter 4.3.2.1 of the manual", []), ("the ratio 16:9 at 1080 lines", []), ("temperatures of 21.5 22.0 22.4", []), ("rows 100-200 300-400", []), ("price 19.99 19.49 18.99", []), ("hash 5f4dcc3b5aa765d61d8327deb882cf99", []), ("on 24 12 2020 it snowed", []), ("checksum 3735928559 matches", []), ("good at chess. Bad at go", []), ("account of 1812 and 1815", []),
+    ("section 12-34-56 of the act", []), ("in 2008, 2009 and 2010", []), ("model 911.622.101.00 fits", []), ("they arrived at once. Everyone cheered", []), ("isbn: 9783161484100", []),
 ]
 
 
-def test_added_spans_on_texts_written_by_hand():
+def _on_written(detector):
     right = wrong = missed = 0
     for text, want in WRITTEN:
-        found = {text[a:b] for _, a, b in pii.added_spans([text], [pii.base_spans(text)])[0]}
+        found = {text[a:b] for _, a, b in pii.added_spans([text], [pii.base_spans(text)], detector)[0]}
         right, wrong, missed = right + len(found & set(want)), wrong + len(found - set(want)), missed + len(set(want) - found)
-    assert right / (right + wrong) >= 0.9 and right / (right + missed) >= 0.75, (right, wrong, missed)
+    return right / (right + wrong), right / (right + missed)
+
+
+def test_added_spans_on_texts_written_by_hand():
+    assert len(WRITTEN) >= 100
+    precision, recall = _on_written(pii.model())
+    assert precision >= 0.9 and recall >= 0.8, (precision, recall)
+
+
+def test_fit_on_the_table(spark, sf):
+    """Trees that learn from the table's own spans hold on texts written by hand, and on its documents that they have not seen."""
+    detector = pii.fit_pii(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    precision, recall = _on_written(detector)
+    assert precision >= 0.9 and recall >= 0.8, (precision, recall)
+    assert all(p >= pii.PRECISION or not n for n, p, _ in detector.seen.values()), detector.seen
+    again = pii.fit_pii(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(7))
+    assert again.limits == detector.limits and again.seen == detector.seen
+    empty = pii.fit_pii(spark.createDataFrame([(None,), ("",)], "text string"))
+    assert empty.limits == pii.model().limits
+
+
+def test_what_a_text_teaches():
+    text = "write me@x.org or +1 (226) 555-1404, card 4111 1111 1111 1111, host 10.1.2.3; not 4111.1111.1111.1112 nor they met at noon. Both left"
+    got = pii.learned(text)
+    right = {k for _, _, k, _, y in got if y}
+    assert right == {"email", "phone", "card", "ip"}
+    assert any(text[a:].startswith("4111.1111.1111.1112") for _, a, _, _, y in got if not y) and any(text[a:].startswith("met at noon") for _, a, _, _, y in got if not y)
+    assert len(pii.learned("me@x.org " * 500, 20)) <= 60 and pii.learned("") == [] == pii.learned("plain words")
+    for kind, body in (("email", "a.b@c-d.org"), ("phone", "+1 (226) 555-1404"), ("card", "4111 1111 1111 1111"), ("ip", "10.1.2.3")):
+        assert not any(k == kind for k, _, _ in pii.base_spans(pii.masked(body, kind)))
+    assert pii.masked("4111 1111 1111 1111 110", "card") is None and pii.masked("+12345678", "phone") is None
 
 
 def test_added_spans_are_right_on_unseen_examples():
     texts, spans, y = pii.examples(1500, 77)
-    trees, limits = pii.model()
-    p = trees.probability(np.array([pii.features(t, s) for t, s in zip(texts, spans, strict=True)], float))
-    chosen = p >= np.array([limits[s[0]] for s in spans])
+    made = pii.model()
+    p = made.trees.probability(np.array([pii.features(t, s) for t, s in zip(texts, spans, strict=True)], float))
+    chosen = p >= np.array([made.limits[s[0]] for s in spans])
     assert y[chosen].mean() >= 0.97 and chosen[y == 1].mean() >= 0.9
 
 
