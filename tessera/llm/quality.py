@@ -14,8 +14,8 @@ from tessera.llm.common import IS_SPACE, batches, col, mix, pieces, put, release
 
 #: Dimensions of a vector and those of them that an index vector fills; slots that words are hashed to; labelled rows that the fit reads at most.
 DIMENSIONS, FILLED, SLOTS, FIT_ROWS = 32, 4, 1 << 14, 6_000
-#: Tasks that read the fitted rows; each sends one table of contexts (6 MB at most) to the driver.
-FIT_TASKS = 8
+#: Tasks that read the fitted rows; each makes one table of contexts (13 MB at most), and rows of such a table that are added up together.
+FIT_TASKS, BLOCK = 8, 1 << 11
 HIDDEN = 32
 #: Rows whose share of five is this one are held out.
 FOLDS = 5
@@ -215,7 +215,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, key: str = "doc_id", te
     """Fit on ``rows`` labelled rows at most, none of them held out: those of least seeded hash of the key, which is a bounded sample.
 
     The sample is written as a table; its texts, whole ones of any length, stay in the tasks that read them. Its OWN_SLOTS most frequent words
-    (ties by hash) get vectors of their own. To the driver come tables of word contexts and then a vector for each text, so what it holds does not depend on the texts. The sampled keys are few enough to send to
+    (ties by hash) get vectors of their own. To the driver come the sums of word contexts and then a vector for each text, so what it holds does not depend on the texts. The sampled keys are few enough to send to
     every task, so the documents are read once and not shuffled. Labels other than 0 and 1 and null keys are left out; a null text is
     an empty one; of rows that repeat a key the greatest text counts.
     """
@@ -234,18 +234,25 @@ def fit_quality(documents: DataFrame, labels: DataFrame, key: str = "doc_id", te
     often = fitted.select("t").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(OWN_SLOTS).select("word").collect()
     known = np.sort(np.array([r["word"] for r in often], np.int64).view(np.uint64))
 
+    n_slots = SLOTS + len(known)
+
     def context_sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word, shape = np.zeros((SLOTS + len(known), DIMENSIONS), np.int32), np.zeros((SHAPES, DIMENSIONS), np.int64)
+        total = np.zeros((n_slots + SHAPES, DIMENSIONS), np.int64)
         for batch in batches(it, "t"):
-            w, s = contexts(batch.column("t"), known)
-            word += w
-            shape += s
-        yield pa.RecordBatch.from_arrays([pa.array([word.tobytes()], pa.binary()), pa.array([shape.tobytes()], pa.binary())], ["word", "shape"])
-
-    around_word, around_shape = np.zeros((SLOTS + len(known), DIMENSIONS), np.int32), np.zeros((SHAPES, DIMENSIONS), np.int64)
-    for r in fitted.select("t").mapInArrow(context_sums, "word binary, shape binary").collect():  # a row for each of FIT_TASKS tasks at most
-        around_word += np.frombuffer(r["word"], np.int32).reshape(-1, DIMENSIONS)
-        around_shape += np.frombuffer(r["shape"], np.int64).reshape(-1, DIMENSIONS)
+            word, shape = contexts(batch.column("t"), known)
+            total[:n_slots] += word
+            total[n_slots:] += shape
+        for at in range(0, len(total), BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([total[at : at + BLOCK].tobytes()], pa.binary())], ["at", "v"])
+
+    def added(block: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(v, np.int64) for v in block.column("v").to_pylist())
+        return pa.table({"at": block.column("at")[:1], "v": pa.array([total.tobytes()], pa.binary())})
+
+    around = np.zeros((n_slots + SHAPES, DIMENSIONS), np.int64)
+    for r in fitted.select("t").mapInArrow(context_sums, "at long, v binary").groupBy("at").applyInArrow(added, "at long, v binary").collect():  # one table, whatever the number of tasks
+        around[r["at"] : r["at"] + BLOCK] = np.frombuffer(r["v"], np.int64).reshape(-1, DIMENSIONS)
+    around_word, around_shape = around[:n_slots], around[n_slots:]
     model = indexed(known, around_word, around_shape)
     shared = spark.sparkContext.broadcast(model)
 
