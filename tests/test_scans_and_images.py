@@ -87,6 +87,12 @@ def test_average_hash(spark):
     assert got == ["00000000ffffffff", "f" * 16, "a" * 16, ""]
 
 
+def test_average_hash_makes_the_pixels_once(spark):
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("id") * (i + 4242))
+    plan = spark.range(3, numPartitions=1).select(images.average_hash(pixels).alias("h"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("4242") == 1
+
+
 def test_profiles_from_json(spark):
     config = {"profile": "contract", "classification": {"required_terms": ["合同", " "]}, "quality_policy": {"sparse_text_chars": -5}, "section_policy": {"toc_max_level": 0, "formal_chinese_min_headings": 6},
               "fields": [{"id": "no", "pattern": "No: (\\S+)", "page_scope": [1, "x", True]}, "bad", {"aliases": ["甲方"]}], "groups": [{"start_alias": "甲方", "end_alias": "乙方"}, {"id": "all", "replace_mode": "replace_entire_page"}]}
