@@ -226,3 +226,10 @@ def test_documents_parsed_and_stored(spark, tmp_path):
     assert corpus.full_text(corpus.load(spark, f"file://{tmp_path}/lib", "sections")).first().text.startswith("## Part 1\n\nsome body")
     meta = spark.createDataFrame([('{"a": 1, "b": [1, 2], "c": {"x": 1}, "d": null}',)], "m string").select(corpus.indexed_metadata(F.col("m"))).first()[0]
     assert meta["a"] == "1" and "c" not in meta and meta["d"] is None
+
+
+def test_references_need_their_semicolon(spark):
+    cut = spark.createDataFrame([(1, "<title>a &amp; b&amp</title><h1>x&lt;y &lt &copy; &#65; &#65 &nosuch; R&D</h1><a href='/p?a=1&amp;b=2&amp'>k</a>")], "page_id int, html string")
+    got = {r.tag: r for r in html.elements(cut).collect()}
+    assert (got["title"].text, got["h1"].text) == ("a & b&amp", "x<y &lt \u00a9 A &#65 &nosuch; R&D")
+    assert got["a"].attrs["href"] == "/p?a=1&b=2&amp"
