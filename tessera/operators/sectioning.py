@@ -94,8 +94,8 @@ def _contents_end(lines: DataFrame, key: str) -> DataFrame:
 def sections(pages: DataFrame, key: str = "doc_id", first_title: str = "Preface", formal: bool = False, formal_least: int = FORMAL_LEAST) -> DataFrame:
     """Sections of documents given as pages (key, page_num, text and perhaps is_ocr): key, idx, title, level, text, page_start, page_end.
 
-    Where Markdown headings occur, those of the shallowest level in the document split it and deeper ones are text; elsewhere
-    numbered and named headings do. In documents of which four fifths of the pages are scanned (``is_ocr``) Markdown and margins count for
+    Where Markdown headings occur, those of the shallowest level in the document split it, and deeper ones and lines that begin with a number or
+    look like a name are text; in other documents numbered and named headings do. In documents of which four fifths of the pages are scanned (``is_ocr``) Markdown and margins count for
     nothing, and clauses below the top level are text. With ``formal``, contracts by Chinese clauses are not split at Arabic numbers. A heading right
     after a heading is text, as nothing is under the first. What comes before the first heading is a section of its own, and so is the table of contents
     of a one-page document. A document of one section on several pages is split by page; one without any text is one section
@@ -117,7 +117,7 @@ def sections(pages: DataFrame, key: str = "doc_id", first_title: str = "Preface"
     unscanned = F.when(F.col("_scan") & margin, 0).otherwise(F.col("level"))
     signs = levelled.withColumn("level", unscanned).withColumn("md", F.when(~F.col("_scan") & ~F.col("_front"), text.markdown_level(F.col("t"))))
     least = signs.withColumn("_least", F.min("md").over(document))
-    marked = F.when(F.col("md").isNotNull(), F.when((F.col("md") == F.col("_least")) & ~text.polluted_heading(F.col("_plain")), F.col("md")).otherwise(0)).otherwise(F.col("level"))
+    marked = F.when(F.col("md").isNotNull(), F.when((F.col("md") == F.col("_least")) & ~text.polluted_heading(F.col("_plain")), F.col("md")).otherwise(0)).when(F.col("_least").isNotNull(), 0).otherwise(F.col("level"))
     headed = least.withColumn("level", F.when(F.col("_front"), 0).otherwise(marked))
     # Of headings one after another every second one is text: nothing is under the one before it.
     heading = F.col("level") > 0

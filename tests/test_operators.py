@@ -233,3 +233,8 @@ def test_references_need_their_semicolon(spark):
     got = {r.tag: r for r in html.elements(cut).collect()}
     assert (got["title"].text, got["h1"].text) == ("a & b&amp", "x<y &lt \u00a9 A &#65 &nosuch; R&D")
     assert got["a"].attrs["href"] == "/p?a=1&b=2&amp"
+
+
+def test_numbers_are_no_headings_beside_markdown_ones(spark):
+    docs = spark.createDataFrame([(1, 1, "## Part 1\nbody here.\n4881297747170635 Die schung.\n44.144.126.223 Th anatble\nThlytily\nmore.\n## Part 2\nend."), (2, 1, "1. Aims\nbody here.\n2. Terms\nend.")], "doc_id int, page_num int, text string")
+    assert [(r.doc_id, r.title) for r in sectioning.sections(docs).orderBy("doc_id", "idx").collect()] == [(1, "Part 1"), (1, "Part 2"), (2, "1. Aims"), (2, "2. Terms")]
