@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import tables
+from tessera.storage import spread
 
 # Lines that are headings, and the level of each kind.
 HEADINGS = (
@@ -28,6 +29,8 @@ NOT_HEADINGS = (
 )
 #: Sections shorter than this are short; documents with this share of them have theirs joined.
 SHORT, SHORT_SHARE = 80, 0.35
+#: Pages of a task: the windows over their lines hold so much at once, however large the table is.
+PAGES = 5_000
 CHAPTER = r"^第[一二三四五六七八九十\d]+[章节部分篇]\s*[、:：]?\s*\S"
 
 
@@ -103,7 +106,7 @@ def sections(pages: DataFrame, key: str = "doc_id", first_title: str = "Preface"
     """
     scanned = F.coalesce(F.col("is_ocr").cast("boolean"), F.lit(False)) if "is_ocr" in pages.columns else F.lit(False)
     document = Window.partitionBy(key)
-    rows = pages.select(key, "page_num", "text", scanned.alias("_ocr"))
+    rows = spread(pages.select(key, "page_num", "text", scanned.alias("_ocr")), PAGES, key)
     counted = rows.withColumns({"_pages": F.count(F.lit(1)).over(document), "_scan": F.avg(F.col("_ocr").cast("double")).over(document) >= SCANNED_SHARE, "_last": F.max("page_num").over(document)})
     split = counted.select(key, "page_num", "_pages", "_scan", "_last", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "raw"))
     order = Window.partitionBy(key).orderBy("page_num", "line")
@@ -125,10 +128,10 @@ def sections(pages: DataFrame, key: str = "doc_id", first_title: str = "Preface"
     once = runs.withColumn("level", F.when(heading & (F.col("_nth") % 2 == 0), 0).otherwise(F.col("level")))
     grouped = once.withColumn("_group", F.when(F.col("_front"), -1).otherwise(F.sum(heading.cast("int")).over(order)))
     solid = lambda c: F.when(F.col("_solid"), c)
-    spread = grouped.withColumns({"_lowest": F.min(solid(F.col("_group"))).over(document), "_highest": F.max(solid(F.col("_group"))).over(document), "_to": F.max(solid(F.col("page_num"))).over(document)})
+    placed = grouped.withColumns({"_lowest": F.min(solid(F.col("_group"))).over(document), "_highest": F.max(solid(F.col("_group"))).over(document), "_to": F.max(solid(F.col("page_num"))).over(document)})
     blank = F.col("_lowest").isNull()
     by_page = F.coalesce((F.col("_lowest") == F.col("_highest")) & (F.col("_pages") > 1) & (F.col("_to") > 1), F.lit(False))
-    kinds = spread.withColumns({"_blank": blank, "_by_page": by_page}).withColumn("_group", F.when(by_page, F.col("page_num").cast("long")).when(blank, 0).otherwise(F.col("_group")))
+    kinds = placed.withColumns({"_blank": blank, "_by_page": by_page}).withColumn("_group", F.when(by_page, F.col("page_num").cast("long")).when(blank, 0).otherwise(F.col("_group")))
     head = lambda c: F.max(F.when(F.col("level") > 0, c))
     body = F.when(F.col("_by_page"), F.struct("_at", F.col("raw").alias("t"))).when(F.col("_solid") & (F.col("level") == 0), F.struct("_at", "t"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(body)), lambda x: x["t"]), "\n")
@@ -255,7 +258,7 @@ def sections_from_toc(pages: DataFrame, toc: DataFrame, deepest: int = 2, key: s
     before them. Lines meet entries by page and title only, and the rest is a window over both in order.
     """
     at = boundaries(toc, deepest, key).select(key, "ord", "level", F.col("title").alias("entry"), F.col("page").alias("page_num"), "parent", text.heading_key(F.col("title")).alias("_wanted"))
-    split = pages.join(at.select(key).distinct(), key, "left_semi").select(key, "page_num", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "raw"))
+    split = spread(pages.select(key, "page_num", "text"), PAGES).join(at.select(key).distinct(), key, "left_semi").select(key, "page_num", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "raw"))
     lines = split.select(key, "page_num", "line", text.strip(F.col("raw")).alias("t")).where("t <> ''")
     named = lines.withColumn("_name", text.heading_key(F.col("t"))).where("_name <> ''")
     fits = (F.col("_name") == F.col("_wanted")) | F.startswith(F.col("_name"), F.col("_wanted")) | F.startswith(F.col("_wanted"), F.col("_name"))
@@ -263,7 +266,11 @@ def sections_from_toc(pages: DataFrame, toc: DataFrame, deepest: int = 2, key: s
     begins = at.join(start, [key, "ord"], "left").select(key, "page_num", F.coalesce("_line", F.lit(0)).alias("line"), F.lit(0).alias("_kind"), "ord", F.struct("ord", "level", "entry", "parent").alias("_entry"), F.lit(None).cast("string").alias("t"))
     body = lines.select(key, "page_num", "line", F.lit(1).alias("_kind"), F.lit(0).alias("ord"), F.lit(None).cast(begins.schema["_entry"].dataType).alias("_entry"), "t")
     order = Window.partitionBy(key).orderBy("page_num", "line", "_kind", "ord")
-    held = begins.withColumn("ord", F.col("ord").cast("long")).unionByName(body.withColumn("ord", F.col("ord").cast("long"))).withColumn("_in", F.last("_entry", ignorenulls=True).over(order)).where("_kind = 1")
+    held = begins.withColumn("ord", F.col("ord").cast("long")).unionByName(body.withColumn("ord", F.col("ord").cast("long")))
+    # As many tasks as the pages need, by the document, which the windows and groups after it keep.
+    tasks = -(-pages.count() // PAGES)
+    held = held.repartition(tasks, key) if tasks > 1 else held
+    held = held.withColumn("_in", F.last("_entry", ignorenulls=True).over(order)).where("_kind = 1")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "line", "t"))), lambda x: x["t"]), "\n")
     made = held.groupBy(key, F.coalesce(F.col("_in.ord").cast("long"), F.lit(-1)).alias("_group")).agg(F.first("_in").alias("_in"), joined.alias("text"), F.min("page_num").alias("page_start"), F.max("page_num").alias("page_end"))
     told = F.contains(text.heading_key(F.substring("text", 1, 200)), text.heading_key(F.coalesce(F.col("_in.parent"), F.lit(""))))
