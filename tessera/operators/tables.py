@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.shipping import ship
+from tessera.storage import spread
 
 #: A separator row: every cell is dashes, with a colon at either end perhaps.
 SEPARATOR = r"^\|(\s*:?-+:?\s*\|)+$"
 #: A row that some cell of which has no dash also separates when only the size is asked for.
 LOOSE_SEPARATOR = r"^\|[\s\-:|]+\|$"
 ROW = r"^\|.*\|$"
+#: Texts of a task: the windows over their lines hold so much at once, however large the table is.
+TEXTS = 2_000
 _FENCE = re.compile("^(`{3}|~{3})")
 
 
@@ -56,7 +59,7 @@ def markdown_tables(documents: DataFrame, key: str = "doc_id", body: str = "text
     """
     doc = Window.partitionBy(key).orderBy("line")
     row = F.col("plain") & F.col("text").rlike(ROW)
-    marked = lines(documents, key, body).withColumn("_row", row).withColumn("_sep", row & F.col("text").rlike(SEPARATOR))
+    marked = lines(spread(documents.select(key, body), TEXTS, key), key, body).withColumn("_row", row).withColumn("_sep", row & F.col("text").rlike(SEPARATOR))
     marked = marked.withColumn("_anchor", F.col("_sep") & ~F.coalesce(F.lag("_sep").over(doc), F.lit(False)))
     marked = marked.withColumn("_run", F.sum((~F.col("_row")).cast("int")).over(doc)).where("_row")
     run = Window.partitionBy(key, "_run").orderBy("line")
@@ -120,11 +123,12 @@ def column_stats(table_cells: DataFrame, by: list[str]) -> DataFrame:
     Only tables of more than three rows, and columns of which more than half of all rows, the header's counted, are numbers. Of columns of one name
     the last counts.
     """
-    value = table_cells.where("row > 0").withColumn("_number", number(F.col("value")))
-    sums = value.groupBy(*by, "col").agg(F.min("_number").alias("min"), F.max("_number").alias("max"), F.avg("_number").alias("_avg"), F.count("_number").alias("count"))
-    size = table_cells.groupBy(*by).agg((F.max("row") + 1).alias("_rows"))
-    names = table_cells.where("row = 0").select(*by, "col", F.col("value").alias("column"))
-    kept = sums.join(size, by).where((F.col("_rows") > 3) & (F.col("count") > F.col("_rows") * 0.5)).join(names, [*by, "col"])
+    # One pass: names and sizes come with the sums, as cells are often made from texts.
+    value = table_cells.withColumn("_number", F.when(F.col("row") > 0, number(F.col("value"))))
+    head = F.col("row") == 0
+    sums = value.groupBy(*by, "col").agg(F.min("_number").alias("min"), F.max("_number").alias("max"), F.avg("_number").alias("_avg"), F.count("_number").alias("count"), F.max("row").alias("_row"), F.max(F.when(head, F.col("value"))).alias("column"), F.max(head).alias("_named"))
+    sized = sums.withColumn("_rows", F.max("_row").over(Window.partitionBy(*by)) + 1)
+    kept = sized.where((F.col("_rows") > 3) & (F.col("count") > F.col("_rows") * 0.5) & F.col("_named"))
     last = kept.withColumn("_last", F.max("col").over(Window.partitionBy(*by, "column"))).where("col = _last")
     return last.select(*by, "column", "min", "max", (F.floor(F.round(F.col("_avg") * 100, 4) + 0.5) / 100).alias("avg"), "count")
 
@@ -210,7 +214,7 @@ def scanned_tables(pages: DataFrame, key: str = "doc_id", page: str = "page_num"
     own number is no line at its foot. Runs are windows over the lines of a page.
     """
     total = F.count(F.lit(1)).over(Window.partitionBy(key))
-    split = pages.withColumn("_pages", total).select(key, page, "_pages", F.posexplode(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n|\r", "\n"), "\n")).alias("_raw_line", "_raw"))
+    split = spread(pages.select(key, page, "text"), TEXTS, key).withColumn("_pages", total).select(key, page, "_pages", F.posexplode(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n|\r", "\n"), "\n")).alias("_raw_line", "_raw"))
     of_page = Window.partitionBy(key, page)
     order = of_page.orderBy("line")
     rows = split.withColumn("t", text.strip(F.col("_raw"))).where("t <> ''").withColumn("line", F.row_number().over(of_page.orderBy("_raw_line")))
