@@ -6,7 +6,12 @@ Each has a batch operator with the same rule in ``operators.stateful``. They nee
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+import pickle
+import tempfile
+from collections.abc import Generator, Iterator
+from itertools import islice
+from operator import itemgetter
 from typing import Any
 
 import pandas as pd
@@ -24,9 +29,39 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
 
 
-def _ordered(rows: Iterator[pd.DataFrame]) -> list[tuple]:
-    """The rows of a key in a batch, by time and tie."""
-    return sorted((r for part in rows for r in part.itertuples(index=False, name=None)), key=lambda r: r[1:3])
+#: Rows of a key that are sorted at once, and rows that are read back or given out at once.
+SORTED, READ = 100_000, 5_000
+
+
+def _spilled(rows: list[tuple]) -> Iterator[tuple]:
+    """Sorted rows, put into a file of this task and read back a few at a time."""
+    f = tempfile.TemporaryFile()
+    for i in range(0, len(rows), READ):
+        pickle.dump(rows[i : i + READ], f)
+    f.seek(0)
+
+    def read() -> Iterator[tuple]:
+        with f:
+            while True:
+                try:
+                    yield from pickle.load(f)
+                except EOFError:
+                    return
+
+    return read()
+
+
+def _ordered(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """The rows of a key in a batch, by time and tie: sorted runs that are merged, so a task holds a run and no key."""
+    place = itemgetter(1, 2)
+    runs: list[Iterator[tuple]] = []
+    held: list[tuple] = []
+    for part in rows:
+        held += part.itertuples(index=False, name=None)
+        if len(held) >= SORTED:
+            runs.append(_spilled(sorted(held, key=place)))
+            held = []
+    return heapq.merge(*runs, sorted(held, key=place), key=place)
 
 
 class _Processor(StatefulProcessor):
@@ -42,22 +77,29 @@ class _Processor(StatefulProcessor):
     def open(self) -> None:
         raise NotImplementedError
 
-    def answers(self, rows: list[tuple]) -> tuple[list[tuple], int | None]:
-        """Answers, and the time in microseconds at which the state may go."""
+    def answers(self, rows: Iterator[tuple]) -> Generator[tuple, None, int | None]:
+        """Gives the answers, and returns the time in microseconds at which the state may go."""
         raise NotImplementedError
 
     def forget(self) -> None:
         raise NotImplementedError
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out, end = self.answers(_ordered(rows))
+        end: int | None = None
+
+        def given() -> Iterator[tuple]:
+            nonlocal end
+            end = yield from self.answers(_ordered(rows))
+
+        answers = given()
+        while out := list(islice(answers, READ)):
+            yield pd.DataFrame([(key[0], *r) for r in out], columns=["key", *self.columns])
         if end is not None:
             at = end // 1000 + 1
             if self.due.exists():
                 self.handle.deleteTimer(self.due.get()[0])
             self.handle.registerTimer(at)
             self.due.update((at,))
-        yield pd.DataFrame([(key[0], *r) for r in out], columns=["key", *self.columns])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.forget()
@@ -77,15 +119,15 @@ class _Cache(_Processor):
     def open(self) -> None:
         self.made = self.handle.getValueState("made", "at long")
 
-    def answers(self, rows: list[tuple]) -> tuple[list[tuple], int | None]:
-        at, out = self.made.get()[0] if self.made.exists() else None, []
+    def answers(self, rows: Iterator[tuple]) -> Generator[tuple, None, int | None]:
+        at = self.made.get()[0] if self.made.exists() else None
         for _, t, tie, _ in rows:
             age = None if at is None else t - at
             hit = age is not None and age <= self.ttl
             at = at if hit else t
-            out.append((tie, hit, age / 1e6 if hit else None))
+            yield tie, hit, age / 1e6 if hit else None
         self.made.update((at,))
-        return out, at + self.ttl
+        return at + self.ttl
 
     def forget(self) -> None:
         self.made.clear()
@@ -100,16 +142,16 @@ class _Breaker(_Processor):
     def open(self) -> None:
         self.until = self.handle.getValueState("until", "at long")
 
-    def answers(self, rows: list[tuple]) -> tuple[list[tuple], int | None]:
-        until, out = self.until.get()[0] if self.until.exists() else None, []
+    def answers(self, rows: Iterator[tuple]) -> Generator[tuple, None, int | None]:
+        until = self.until.get()[0] if self.until.exists() else None
         for _, t, tie, bad, _ in rows:
             made = until is None or t >= until
             if made and bad:
                 until = t + self.span
-            out.append((tie, made))
+            yield tie, made
         if until is not None:
             self.until.update((until,))
-        return out, until
+        return until
 
     def forget(self) -> None:
         self.until.clear()
@@ -125,11 +167,10 @@ class _Sessions(_Processor):
         self.live = self.handle.getMapState("live", "session string", "at long, place long")
         self.order = self.handle.getValueState("order", "place long")
 
-    def answers(self, rows: list[tuple]) -> tuple[list[tuple], int | None]:
+    def answers(self, rows: Iterator[tuple]) -> Generator[tuple, None, int | None]:
         live = {k[0]: v for k, v in self.live.iterator()}
         before = dict(live)
         place = self.order.get()[0] if self.order.exists() else 0
-        out = []
         for _, t, tie, session, _ in rows:
             at = live.pop(session, None)
             found = "new" if at is None else "expired" if t - at[0] > self.ttl else "hit"
@@ -139,14 +180,14 @@ class _Sessions(_Processor):
                 del live[evicted]
             place += 1
             live[session] = (t, place)
-            out.append((tie, found, evicted))
+            yield tie, found, evicted
         for k in before.keys() - live.keys():
             self.live.removeKey((k,))
         for k in live:
             if live[k] != before.get(k):
                 self.live.updateValue((k,), live[k])
         self.order.update((place,))
-        return out, max(t for t, _ in live.values()) + self.ttl
+        return max(t for t, _ in live.values()) + self.ttl
 
     def forget(self) -> None:
         self.live.clear()
