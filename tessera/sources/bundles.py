@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -24,6 +25,10 @@ from tessera.shipping import ship
 SCHEMA = "doc_id string, kind string, name string, meta string, content binary"
 # The kinds of files, and the folder that each goes to.
 FOLDERS = {"section": "sections", "table": "tables", "image": "images", "ocr": "ocr"}
+# Fixed value: columns of the list of files that a reader gives.
+_LISTED = ("doc_id", "kind", "name", "meta", "bytes", "sha256")
+#: Files that are read at once.
+READ = 64
 
 
 def _row(kind: str, key: str, name: Column, meta: dict[str, Column], content: Column) -> list[Column]:
@@ -168,6 +173,17 @@ def read_bundle(spark: SparkSession, path: str) -> DataFrame:
     if not tasks:
         return spark.createDataFrame([], "doc_id string, kind string, name string, meta string, bytes long, sha256 string, content binary")
     listed = spark.read.schema(schema).json([f"file://{local}/data/{t}/files.jsonl" for t in tasks])
-    contents = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"file://{local}/data/{t}" for t in tasks])
-    at = F.regexp_extract(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), r"/data/([^/]+/.*)$", 1)
-    return listed.join(contents.select(at.alias("path"), "content"), "path").select("doc_id", "kind", "name", "meta", "bytes", "sha256", "content")
+
+    def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i in range(0, batch.num_rows, READ):
+                part = batch.slice(i, READ)
+                contents = []
+                for at in part.column("path").to_pylist():
+                    with open(os.path.join(local, "data", at), "rb") as f:
+                        contents.append(f.read())
+                kept = [part.column(n) for n in _LISTED]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(contents, pa.binary())], [*_LISTED, "content"])
+
+    # The list says where the files are, so no folder is looked through and the driver holds no paths.
+    return listed.mapInArrow(read, "doc_id string, kind string, name string, meta string, bytes long, sha256 string, content binary")
