@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,3 +53,8 @@ def json_string(text: Column) -> Column:
     for raw, name in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         out = F.replace(out, F.lit(raw), F.lit(name))
     return F.concat(F.lit('"'), out, F.lit('"'))
+
+
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once: within functions over arrays an expression is evaluated again wherever it stands."""
+    return F.transform(F.array(value), then)[0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import bound
 from tessera.functions.text import strip
 
 # Misread phrases and what they stand for.
@@ -43,16 +44,18 @@ def clean(body: Column, contract_number: Column | None = None) -> Column:
     """Scanned text without blank lines, page footers, bracket noise and what a stamp left, with misread phrases put right; a contract's number that heads it is replaced by the known one."""
     lines = F.transform(F.split(F.regexp_replace(body, "\r\n|\r", "\n"), "\n"), strip)
     # A stamp is judged by the line after it as it was and by the lines kept before it, so lines go first with a mark where the next is a footer.
-    marked = F.transform(lines, lambda line, i: F.struct(line.alias("t"), page_footer(F.coalesce(F.get(lines, i + 1), F.lit(""))).alias("foot")))
-    solid = F.filter(marked, lambda x: (x["t"] != "") & ~bracket_noise(x["t"]) & ~page_footer(x["t"]))
-    def near(i: Column) -> Column:
+    feet = lambda a: F.transform(a, page_footer)
+    zipped = lambda a: bound(feet(a), lambda f: F.transform(a, lambda line, i: F.struct(line.alias("t"), F.get(f, i).alias("own"), F.coalesce(F.get(f, i + 1), F.lit(False)).alias("foot"))))
+    solid = F.filter(bound(lines, zipped), lambda x: (x["t"] != "") & ~bracket_noise(x["t"]) & ~x["own"])
+
+    def near(a: Column, i: Column) -> Column:
         """Whether one of the lines before place i, stamps left out, says where the contract was signed."""
-        before = F.reverse(F.filter(F.slice(solid, F.lit(1), F.greatest(i, F.lit(0))), lambda x: x["t"] != STAMP))
+        before = F.reverse(F.filter(F.slice(a, F.lit(1), F.greatest(i, F.lit(0))), lambda x: x["t"] != STAMP))
         return F.exists(F.slice(before, F.lit(1), F.lit(STAMP_LINES)), lambda x: F.contains(x["t"], F.lit(SIGNED_AT)))
 
-    stays = F.filter(solid, lambda x, i: ~((x["t"] == STAMP) & (x["foot"] | near(i))))
-    kept = F.transform(stays, lambda x: x["t"])
-    kept = F.when((F.size(kept) > 1) & (F.lower(F.get(kept, F.lit(0))) == "preface"), F.slice(kept, F.lit(2), F.size(kept) - 1)).otherwise(kept)
+    stays = bound(solid, lambda a: F.filter(a, lambda x, i: ~((x["t"] == STAMP) & (x["foot"] | near(a, i)))))
+    headed = lambda a: F.when((F.size(a) > 1) & (F.lower(F.get(a, F.lit(0))) == "preface"), F.slice(a, F.lit(2), F.size(a) - 1)).otherwise(a)
+    kept = bound(F.transform(stays, lambda x: x["t"]), headed)
     out = F.array_join(kept, "\n")
     for wrong, right in MISREAD.items():
         out = F.replace(out, F.lit(wrong), F.lit(right))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.functions.arrays import bound
 
 # Kinds of images and the words near them.
 CONTEXT = {
@@ -62,7 +63,6 @@ def anchored(images: DataFrame, sections: DataFrame, key: str = "doc_id") -> Dat
 def average_hash(pixels: Column) -> Column:
     """A hash by which images that look alike have few bits of difference: of the grey values of an image scaled to 8 by 8, a bit for each that reaches their mean, in hexadecimal digits; empty without pixels."""
     # Each step is an array of one item and the next one a function over it, so that the pixels and their mean are made once and not once for each bit.
-    bound = lambda value, then: F.transform(F.array(value), then)[0]
     mean = lambda p: F.aggregate(p, F.lit(0.0), lambda a, x: a + x) / F.size(p)
     digit = lambda p, m, i: F.lower(F.hex(sum((F.when(F.get(p, i * 4 + k) >= m, 8 >> k).otherwise(0) for k in range(4)), F.lit(0))))
     places = lambda p: F.sequence(F.lit(0), F.floor(F.size(p) / 4).cast("int") - 1)

@@ -11,7 +11,7 @@ from tessera.functions import arrays, ocr, text, urls
 from tessera.operators import images, layout, library, pages, profiles, quality, sectioning, stateful, summaries, tables
 from tessera.queries import _query, _table
 from tessera.sources import files, results, scans
-from tessera.storage import shared_folder
+from tessera.storage import shared_folder, spread
 from tessera.streaming import captures
 
 
@@ -60,7 +60,7 @@ b AS (SELECT *, regexp_replace(t, '\s+', '', 'g') AS s FROM l WHERE t <> ''), c
 k AS (SELECT * FROM c WHERE NOT ((contains(s, '[') OR contains(s, ']')) AND ((length(s) <= 5 AND regexp_matches(s, '^\[[A-Za-z0-9_]+\]?$')) OR (plain >= 6 AND plain >= 2 * han) OR regexp_matches(s, '^[A-Za-z0-9_\-\[\]]{5,}$'))))
 SELECT doc_id, coalesce(string_agg(t, chr(10) ORDER BY n), '') AS text FROM documents LEFT JOIN k USING (doc_id) GROUP BY 1""".replace("coalesce(string_agg(t, chr(10) ORDER BY n), '') AS text FROM documents LEFT JOIN k", "coalesce(string_agg(t, chr(10) ORDER BY n), '') AS text FROM (SELECT doc_id FROM documents) LEFT JOIN k"))
 def scanned_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", ocr.clean(F.col("text")).alias("text"))
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text"), 5_000).select("doc_id", ocr.clean(F.col("text")).alias("text"))
 
 
 @_query("""SELECT event_id, CASE WHEN event_type = 'view' AND value > 180 THEN CASE WHEN event_id % 5 < 3 THEN 'pending' ELSE 'failed' END WHEN event_type = 'view' THEN 'running' WHEN event_type = 'error' THEN CASE WHEN event_id % 5 < 3 THEN 'pending' ELSE 'failed' END ELSE 'done' END AS state FROM events""")
@@ -87,7 +87,7 @@ SELECT c_custkey, array_to_string(list_transform(d, lambda x: substr('0123456789
 def image_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average hashes of made-up images of 64 grey values."""
     pixels = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: ((F.col("c_custkey") * (i + 7)) % 256).cast("int"))
-    return _table(spark, sf_dir, "customer").select("c_custkey", images.average_hash(pixels).alias("ahash"))
+    return spread(_table(spark, sf_dir, "customer").select("c_custkey"), 20_000).select("c_custkey", images.average_hash(pixels).alias("ahash"))
 
 
 @_query("""SELECT l_orderkey AS doc_id, CAST(1 AS INT) AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) - 1 AS ord, CAST(l_partkey AS VARCHAR) AS text, CAST(l_suppkey AS DOUBLE) AS x0, CAST(l_linenumber * 10 AS DOUBLE) AS y0, CAST(l_suppkey + 90 AS DOUBLE) AS x1, CAST(l_linenumber * 10 + 8 AS DOUBLE) AS y1, l_discount AS confidence FROM lineitem""")

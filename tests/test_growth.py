@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tessera.functions import ocr
 from tessera.operators import sectioning, tables
 from tessera.sources import bundles, html
 from tessera.storage import spread
@@ -50,3 +51,8 @@ def test_a_bundle_is_read_by_its_list(spark, tmp_path):
     bundles.write_bundle(files, str(tmp_path / "b"))
     back = bundles.read_bundle(spark, str(tmp_path / "b"))
     assert "binaryFile" not in _plan(back) and "Join" not in _plan(back) and {bytes(r.content) for r in back.collect()} == {b"abc"}
+
+
+def test_lines_of_scans_are_split_once(spark):
+    plan = _plan(spark.createDataFrame([("a\nb",)], "v string").select(ocr.clean(F.col("v"))))
+    assert plan.count("split(") <= 2
