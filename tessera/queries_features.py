@@ -13,7 +13,7 @@ from tessera.operators.index import TextIndex
 from tessera.queries import ORACLES, _query, _table
 from tessera.queries_documents import _answers
 from tessera.sources import bundles, html, markdown, recorded
-from tessera.storage import shared_folder, stored
+from tessera.storage import shared_folder, spread, stored
 from tessera.streaming import progress, stores
 
 
@@ -173,7 +173,7 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as Markdown. (Tested against written-out cases, lists read back and broken markup.)"""
-    return _table(spark, sf_dir, "pages").select("page_id", markdown.from_html(F.col("html")).alias("markdown"))
+    return spread(_table(spark, sf_dir, "pages"), 1_000).select("page_id", markdown.from_html(F.col("html")).alias("markdown"))
 
 
 @_query("""SELECT r_regionkey AS doc, '# ' || r_name || chr(10) || chr(10) || string_agg('- **' || n_name || '**' || chr(10) || '  1. key ' || n_nationkey || chr(10) || '  2. [site](/n/' || n_nationkey || ')', chr(10) ORDER BY n_nationkey)
@@ -218,7 +218,7 @@ def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of price lists beside numbered headings: rows of tables, in bars or plain, and their sums are no headings."""
     k = F.col("p_partkey").cast("string")
     lines = F.array(F.concat(F.lit("1. 软件 | 套 | "), k), F.concat(k, F.lit(" 基础软件产品及其实施服务 数量 3 套 100 元")), F.concat(F.lit("2. 合计金额 "), k), F.lit("3. 服务范围"), F.lit("3.1 范围说明"), F.concat(F.lit("| 4. 表 | "), k, F.lit(" |")))
-    split = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.posexplode(lines).alias("n", "t"))
+    split = spread(_table(spark, sf_dir, "part"), 20_000).select(F.col("p_partkey").alias("part"), F.posexplode(lines).alias("n", "t"))
     return sectioning.with_levels(split).select("part", (F.col("n") + 1).alias("line"), "level")
 
 
