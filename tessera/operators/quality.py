@@ -30,11 +30,11 @@ def edge_lines(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     return solid.select(key, "page_num", "pages", "line", "text", "_text", F.row_number().over(page.orderBy("line")).alias("top"), F.row_number().over(page.orderBy(F.col("line").desc())).alias("foot"))
 
 
-def _edges(pages: DataFrame, key: str) -> DataFrame:
+def _edges(pages: DataFrame, key: str, header: int = EDGE_LINES, footer: int = EDGE_LINES) -> DataFrame:
     """The lines at the edges of pages of documents that are long enough: a row for each edge a line is near."""
     lines = edge_lines(pages, key).where(F.col("pages") >= MIN_PAGES)
     sides = F.explode(F.array(*(F.struct(F.lit(e).alias("edge"), F.col(e).alias("place")) for e in ("top", "foot")))).alias("e")
-    near = lines.select(key, "page_num", "pages", "line", "_text", sides).select(key, "page_num", "pages", "line", "_text", "e.*").where(F.col("place") <= EDGE_LINES)
+    near = lines.select(key, "page_num", "pages", "line", "_text", sides).select(key, "page_num", "pages", "line", "_text", "e.*").where(F.col("place") <= F.when(F.col("edge") == "top", header).otherwise(footer))
     of = lambda footer: _edge_key(F.col("_text"), F.col("page_num"), F.col("pages"), footer)
     return near.withColumn("line_key", F.when(F.col("edge") == "foot", of(True)).otherwise(of(False))).drop("_text")
 
@@ -49,9 +49,9 @@ def running_lines(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     return _running(_edges(pages, key), key)
 
 
-def strip_running_lines(pages: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The pages without running headers and footers: from each edge up to two lines, and none beyond the first that does not run. The edges' lines, four a page, are stored, so pages are split once."""
-    near = stored(_edges(pages, key), "page-edges")
+def strip_running_lines(pages: DataFrame, key: str = "doc_id", header: int = EDGE_LINES, footer: int = EDGE_LINES) -> DataFrame:
+    """The pages without running headers and footers: from each edge up to two lines, or as many as are known to be ``header`` and ``footer``, and none beyond the first that does not run. The edges' lines, four a page, are stored, so pages are split once."""
+    near = stored(_edges(pages, key, header, footer), "page-edges")
     hit = near.join(_running(near, key).select(key, "edge", "line_key", F.lit(True).alias("_runs")), [key, "edge", "line_key"], "left")
     outer = Window.partitionBy(key, "page_num", "edge").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     drops = hit.withColumn("_all", F.min(F.coalesce("_runs", F.lit(False)).cast("int")).over(outer)).where("_all = 1")
