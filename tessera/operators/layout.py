@@ -6,8 +6,6 @@ from collections.abc import Iterable, Iterator
 from itertools import groupby
 from statistics import median
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,29 +135,23 @@ def text_outside_tables(blocks: DataFrame, boxes: DataFrame) -> DataFrame:
 _PIXEL = 1
 
 
-def _kept(boxes: np.ndarray, least: float, most: int) -> list[int]:
-    """Places of the boxes (x1, y1, x2, y2, best first) that stay."""
-    x1, y1, x2, y2 = boxes.T
-    area = (x2 - x1 + _PIXEL) * (y2 - y1 + _PIXEL)
-    left, picked = np.arange(len(boxes)), []
-    while len(left) and len(picked) < most:
-        i, left = int(left[0]), left[1:]
-        picked.append(i)
-        w = np.minimum(x2[i], x2[left]) - np.maximum(x1[i], x1[left]) + _PIXEL
-        h = np.minimum(y2[i], y2[left]) - np.maximum(y1[i], y1[left]) + _PIXEL
-        both = np.maximum(w, 0) * np.maximum(h, 0)
-        left = left[both / (area[i] + area[left] - both) <= least]
-    return picked
+def _shared(a: Column, b: Column) -> Column:
+    """Share of the union of two boxes that they have in common; NaN where a side is unknown or there is no union."""
+    side = lambda low, high: high - low + _PIXEL
+    area = lambda x: side(x["x1"], x["x2"]) * side(x["y1"], x["y2"])
+    both = F.greatest(side(F.greatest(a["x1"], b["x1"]), F.least(a["x2"], b["x2"])), F.lit(0.0)) * F.greatest(side(F.greatest(a["y1"], b["y1"]), F.least(a["y2"], b["y2"])), F.lit(0.0))
+    return F.coalesce(F.try_divide(both, area(a) + area(b) - both), F.lit(float("nan")))
 
 
 def suppress_boxes(boxes: DataFrame, least: float = 0.5, most: int = 100) -> DataFrame:
-    """Of overlapping boxes of an image (image_id, box_id, x1, y1, x2, y2, score) those that no better one covers to that share of their union, 100 at most, best first, with their place."""
-    ship(boxes.sparkSession)
-
-    def places(images: pd.Series) -> pd.Series:
-        return images.map(lambda b: _kept(np.array([[x["x1"], x["y1"], x["x2"], x["y2"]] for x in b], float).reshape(-1, 4), least, most))
+    """Of overlapping boxes of an image (image_id, box_id, x1, y1, x2, y2, score) those that no better one covers to that share of their union, 100 at most, best first, with their place.
 
+    Each image's boxes are folded best first, in the JVM: one stays unless it shares too much with one that stayed before.
+    """
     columns = [c for c in boxes.columns if c != "image_id"]
-    listed = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("_order"), *columns))).alias("_boxes"))
-    picked = listed.withColumn("_picked", F.pandas_udf(places, "array<int>")("_boxes")).select("image_id", "_boxes", F.posexplode("_picked").alias("place", "_at"))
-    return picked.select("image_id", F.get("_boxes", F.col("_at")).alias("_b"), "place").select("image_id", *(f"_b.{c}" for c in columns), "place")
+    box = F.struct(*(F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in ("x1", "y1", "x2", "y2")))
+    listed = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("_order"), *columns, box.alias("_box")))).alias("_boxes"))
+    nothing = F.array().cast(listed.schema["_boxes"].dataType)
+    stays = lambda kept, b: (F.size(kept) < most) & ~F.exists(kept, lambda k: _shared(k["_box"], b["_box"]) > least)
+    picked = listed.select("image_id", F.posexplode(F.aggregate("_boxes", nothing, lambda kept, b: F.when(stays(kept, b), F.concat(kept, F.array(b))).otherwise(kept))).alias("place", "_b"))
+    return picked.select("image_id", *(f"_b.{c}" for c in columns), "place")
