@@ -77,7 +77,7 @@ def layout_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = rows.select(k, "i", F.explode(F.array(cell(1, 100, F.concat(F.lit("c"), k.cast("string"), F.lit("r"), i.cast("string"))), cell(2, 250, (i * 10).cast("string")), cell(3, 400, F.when((i == 2) & (k % 5 == 0), "x|y").otherwise(F.concat(F.lit("z"), i.cast("string")))))).alias("x"))
     y = i * 40.0
     blocks = cells.select(k.cast("string").alias("doc_id"), F.lit(1).alias("page"), F.concat_ws("-", "i", "x.c").alias("block_id"), "x.text", "x.x0", y.alias("y0"), (F.col("x.x0") + 90).alias("x1"), (y + 20).alias("y1"), F.lit(0.9).alias("confidence"))
-    return layout.layout_markdown(layout.layout_tables(blocks)).select("doc_id", "row_count", "column_count", "markdown")
+    return layout.blocks_markdown(blocks).select("doc_id", "row_count", "column_count", "markdown")
 
 
 @_query("""SELECT c_custkey AS doc_id, e.idx, e.title || CASE WHEN e.idx = 4 THEN CAST(c_custkey AS VARCHAR) ELSE '' END AS title, e.level, e.parent, CASE WHEN e.idx = 4 THEN 4 + c_custkey % 3 ELSE e.first END AS page_start, CASE e.idx WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN greatest(4, 3 + c_custkey % 3) END AS page_end
