@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.storage import stored
+from tessera.storage import spread, stored
 
 # Class and id words that make an element unlikely, those that save it, those that speak for and against it, and those of bylines and share boxes.
 UNLIKELY = r"(?i)-ad-|ai2html|banner|breadcrumbs|combx|comment|community|cover-wrap|disqus|extra|footer|gdpr|header|legends|menu|related|remark|replies|rss|shoutbox|sidebar|skyscraper|social|sponsor|supplemental|ad-break|agegate|pagination|pager|popup|yom-remote"
@@ -31,6 +31,13 @@ SIMILAR = 0.75
 #: The tries: whether unlikely elements go, class words count, and what looks like no content is cleaned.
 TRIES = ((True, True, True), (False, True, True), (False, False, True), (False, False, False))
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Elements of a task: those of a page stay together.
+ELEMENTS = 25_000
+
+
+def _dealt(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``df`` stored and dealt by pages over tasks of about so many elements: windows and sums over a page need no other shuffle, and what a task sorts does not grow with the table."""
+    return spread(stored(df, f"article-{name}"), ELEMENTS, key)
 
 
 def _is(*tags: str) -> Column:
@@ -145,7 +152,7 @@ def _scores(rows: DataFrame, weigh: bool, key: str) -> DataFrame:
     shares = given.select(key, F.posexplode("up").alias("level", "pos"), "points").select(key, "pos", (F.col("points") / F.when(level == 0, 1).when(level == 1, 2).otherwise(level * 3)).alias("share"))
     sums = shares.groupBy(key, "pos").agg(F.sum("share").alias("given"))
     base = F.col("tag_points") + (F.col("class_weight") if weigh else F.lit(0))
-    return rows.join(sums, [key, "pos"], "left").withColumns({"score": F.when(_is("html"), None).otherwise((F.col("given") + base) * (1 - _density())), "base": base.cast("double")}).drop("given")
+    return spread(rows, ELEMENTS, key, "pos").join(sums, [key, "pos"], "left").withColumns({"score": F.when(_is("html"), None).otherwise((F.col("given") + base) * (1 - _density())), "base": base.cast("double")}).drop("given")
 
 
 def _top(scored: DataFrame, key: str) -> DataFrame:
@@ -222,9 +229,9 @@ def _attempt(rows: DataFrame, flags: tuple[bool, bool, bool], key: str) -> DataF
     kept = rows.withColumn("tabled", tabled)
     if strip:
         kept = _remaining(kept, unlikely | F.col("role").isin(*ROLES), key)
-    measured = stored(_measured(kept, key), "article-measures")
+    measured = _dealt(_measured(kept, key), "measures", key)
     empty = _is("div", "section", "header", *HEADINGS) & (F.col("words") == 0) & (F.col("children") == 0)
-    scored = stored(_scores(_measured(_remaining(measured, empty, key), key), weigh, key), "article-scores")
+    scored = _dealt(_scores(_dealt(_measured(_remaining(measured, empty, key), key), "sums", key), weigh, key), "scores", key)
     chosen = _chosen(scored, _top(scored, key), key)
     if clean:
         chosen = _no_content(chosen, ("form", "fieldset"), weigh, key)
@@ -232,9 +239,9 @@ def _attempt(rows: DataFrame, flags: tuple[bool, bool, bool], key: str) -> DataF
     gone = (_is("object", "embed", "iframe") & ~F.col("video")) | _is("footer", "link", "aside", "input", "textarea", "select", "button") | shared
     if weigh:
         gone = gone | (_is("h1", "h2") & (F.col("class_weight") < 0))
-    chosen = stored(_remaining(chosen, gone, key), "article-chosen")
+    chosen = _dealt(_remaining(chosen, gone, key), "chosen", key)
     if clean:
-        chosen = _no_content(stored(_no_content(chosen, ("table", "ul"), weigh, key), "article-cleaned"), ("div",), weigh, key)
+        chosen = _no_content(_dealt(_no_content(chosen, ("table", "ul"), weigh, key), "cleaned", key), ("div",), weigh, key)
     return chosen.select(key, "pos")
 
 
@@ -283,22 +290,22 @@ def articles(pages: DataFrame, elements: DataFrame, key: str = "page_id", html:
     stood in them before.
     """
     about = stored(metadata(pages, elements, key, html), "article-metadata")
-    rows = _prepared(elements, key).where(~_is("meta", "title", "link"))
+    rows = _prepared(spread(elements, ELEMENTS, key), key).where(~_is("meta", "title", "link"))
     seen = _remaining(rows, F.col("hidden") | F.col("modal"), key).join(about.select(key, "title", F.col("byline").alias("said_by")), key, "left")
     sized = subtree_sums(seen, {"solid": "solid_own", "words": "words_own"}, key)
     doc = Window.partitionBy(key)
     repeats = _is("h1", "h2") & (_similar(F.coalesce("title", F.lit("")), F.coalesce("short", F.lit(""))) > SIMILAR)
     signed = F.col("said_by").isNull() & (F.col("authored") | F.col("match").rlike(BYLINE)) & (_chars() > 0) & (_chars() < 100) & ~_is("body", "html")
     firsts = sized.withColumns({"_head": F.min(F.when(repeats, F.col("pos"))).over(doc), "_by": F.min(F.when(signed, F.struct("pos", "last"))).over(doc)})
-    whole = stored(firsts, "article-elements")
+    whole = _dealt(firsts, "elements", key)
     bylines = stored(_pieces(whole.where("pos between _by.pos and _by.last").select(key, "pos"), elements, key), "article-bylines").select(key, F.col("text").alias("found_by"))
-    left = stored(_remaining(whole, (F.col("pos") == F.coalesce("_head", F.lit(-1))) | (F.col("pos") == F.coalesce(F.col("_by.pos"), F.lit(-1))), key).drop("_head", "_by", "title", "said_by", "solid", "words"), "article-rest")
+    left = _dealt(_remaining(whole, (F.col("pos") == F.coalesce("_head", F.lit(-1))) | (F.col("pos") == F.coalesce(F.col("_by.pos"), F.lit(-1))), key).drop("_head", "_by", "title", "said_by", "solid", "words"), "rest", key)
     tries, todo = [], left
     for n, flags in enumerate(TRIES, 1):
         found = stored(_pieces(_attempt(todo, flags, key), elements, key).withColumn("attempt", F.lit(n)), "article-try")
         tries.append(found)
         if n < len(TRIES):
-            todo = stored(todo.join(found.where(F.col("length") >= ENOUGH).select(key), key, "left_anti"), "article-rest")
+            todo = _dealt(todo.join(found.where(F.col("length") >= ENOUGH).select(key), key, "left_anti"), "rest", key)
             if todo.isEmpty():
                 break
     made = tries[0]
@@ -311,6 +318,7 @@ def articles(pages: DataFrame, elements: DataFrame, key: str = "page_id", html:
 
 def _pieces(kept: DataFrame, elements: DataFrame, key: str) -> DataFrame:
     """The text of the kept elements of each page, in order: key, text, length."""
-    parts = kept.join(elements.select(key, "pos", "own"), [key, "pos"]).select(key, F.explode("own").alias("x"))
+    texts = spread(elements.select(key, "pos", "own"), ELEMENTS, key, "pos")
+    parts = _dealt(kept.join(texts, [key, "pos"]).select(key, "own"), "texts", key).select(key, F.explode("own").alias("x"))
     joined = text.collapse(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x.at", "x.text"))), lambda x: x["text"]), ""))
     return parts.groupBy(key).agg(joined.alias("text")).withColumn("length", F.length("text"))
