@@ -4,25 +4,61 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import search
+from tessera.shipping import ship
+from tessera.storage import spread, stored
 
 #: Segments of one tier that are merged to one; a tier's segments have up to so many times the documents of the one below.
 FANOUT = 4
 _LIVE = "version long, segment string, generation long, tier int, documents long"
-_DOCS = "doc_id string, generation long, deleted boolean, content_hash string"
-_POSTINGS = "doc_id string, generation long, token string, pos int"
+_DOCS = "doc_id string, generation long, deleted boolean, content_hash string, place long"
+_POSTINGS = "generation long, block long, token string, at array<bigint>"
+#: Documents of a block, in 64s; documents whose postings one task makes; words that are sorted at a time.
+BLOCK, TASK_DOCUMENTS, WORDS = 256, 5000, 1 << 21
+#: Rows of a table of live documents, one for each block, that are sent to every task at most; 64 bytes each there.
+LIVE_ROWS = 1_000_000
+
+
+def _packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of documents' words a row for each word of a block: where it is, as the document's place in the block and the word's place in the document."""
+    for whole in it:
+        ends = np.cumsum(pc.list_value_length(whole.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64))
+        i = 0
+        while i < len(ends):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + WORDS, "right")))
+            batch, i = whole.slice(i, j - i), j
+            size = pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = batch.column("tokens").flatten().dictionary_encode()
+            if not len(coded):
+                continue
+            place = batch.column("place").to_numpy()
+            blocks, mine = np.unique(place // BLOCK, return_inverse=True)
+            by_word = pc.sort_indices(coded.dictionary).to_numpy()
+            rank = np.empty(len(by_word), np.int64)
+            rank[by_word] = np.arange(len(by_word))
+            key = rank[coded.indices.to_numpy()] * len(blocks) + np.repeat(mine, size)
+            at = (np.repeat(place % BLOCK, size) << 32) | (np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size))
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            heads = np.flatnonzero(np.diff(key, prepend=-1))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(key)).astype(np.int32)), pa.array(at[order]))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[key[heads] % len(blocks)]), coded.dictionary.take(pa.array(by_word[key[heads] // len(blocks)])), lists], ["block", "token", "at"])
 
 
 class TextIndex:
     """Words of documents and their places, in a folder that all executors share.
 
-    A change (``upsert``, ``delete``) writes one segment: a row for each changed document with its generation and whether it is gone (a tombstone), and the postings, sorted by word within files so that
-    a search skips what it doesn't need. Segments are never changed. The list of live segments is a table of its own, of which each commit appends a new version last; so a job that fails leaves the
+    A change (``upsert``, ``delete``) writes one segment: a row for each changed document with its generation and whether it is gone (a tombstone), and the postings, a row for each word of a block of documents, which are named by their generation and their place in the change. A task writes those of its documents, sorted by word, so that
+    a search skips what it doesn't need; no posting is shuffled. A merge drops the postings of documents that are not live by masks of their places, one row for a block. Segments are never changed. The list of live segments is a table of its own, of which each commit appends a new version last; so a job that fails leaves the
     version before it in force, and its files are of no segment. A search reads the postings of its words in all live segments and keeps those of each document's newest generation. One writer
     at a time: a commit on a version that is no longer the last is refused.
 
@@ -68,8 +104,8 @@ class TextIndex:
     def _segment(self, generation: int, docs: DataFrame, postings: DataFrame | None) -> dict:
         name = f"segment-{generation:08d}-{uuid.uuid4().hex[:8]}"
         if postings is not None:
-            # Ranges of words: the files' statistics say which words are where.
-            postings.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id", "pos").write.parquet(f"{self.path}/{name}/postings")
+            # Each file in the order of words: its statistics say where in it a word is.
+            postings.sortWithinPartitions("token").write.parquet(f"{self.path}/{name}/postings")
         else:
             self.spark.createDataFrame([], _POSTINGS).write.parquet(f"{self.path}/{name}/postings")
         docs.write.parquet(f"{self.path}/{name}/docs")
@@ -79,8 +115,15 @@ class TextIndex:
     def _change(self, rows: DataFrame, tombstones: bool) -> int:
         version, live = self.segments()
         generation = max((s["generation"] for s in live), default=0) + 1
-        docs = rows.select("doc_id", F.lit(generation).cast("long").alias("generation"), F.lit(tombstones).alias("deleted"), "content_hash")
-        words = None if tombstones else search.postings(rows).select("doc_id", F.lit(generation).cast("long").alias("generation"), "token", F.col("pos").cast("int").alias("pos"))
+        if tombstones:
+            rows, words = rows.withColumn("place", F.lit(None).cast("long")), None
+        else:  # stored, so that a document has one place in both tables
+            rows = stored(rows.withColumn("place", F.monotonically_increasing_id()), "index-change")
+            dealt = spread(rows.select(F.expr(f"place div {BLOCK}").alias("block"), "place", "text"), TASK_DOCUMENTS, "block").sortWithinPartitions("place")
+            ship(self.spark)
+            words = dealt.select("place", text.word_tokens(F.col("text")).alias("tokens")).mapInArrow(_packed, "block long, token string, at array<bigint>")
+            words = words.select(F.lit(generation).cast("long").alias("generation"), "block", "token", "at")
+        docs = rows.select("doc_id", F.lit(generation).cast("long").alias("generation"), F.lit(tombstones).alias("deleted"), "content_hash", "place")
         self._commit(version, [*live, self._segment(generation, docs, words)])
         return generation
 
@@ -112,8 +155,7 @@ class TextIndex:
         rest = [s for s in live if s["generation"] < oldest]
         newest = self._newest(merged)
         docs = newest if rest else newest.where("not deleted")
-        postings = self._read("postings", merged, _POSTINGS).join(newest.where("not deleted").select("doc_id", "generation"), ["doc_id", "generation"], "left_semi")
-        made = self._segment(max(s["generation"] for s in merged), docs.select("doc_id", "generation", "deleted", "content_hash"), postings)
+        made = self._segment(max(s["generation"] for s in merged), docs.select("doc_id", "generation", "deleted", "content_hash", "place"), self._live(merged))
         self._commit(version, [*rest, made])
         return True
 
@@ -122,30 +164,52 @@ class TextIndex:
     def _newest(self, live: list[dict]) -> DataFrame:
         """Each document's row of the newest generation: a partial aggregate, no sort."""
         rows = self._read("docs", live, _DOCS)
-        return rows.groupBy("doc_id").agg(F.max_by(F.struct("generation", "deleted", "content_hash"), "generation").alias("x")).select("doc_id", "x.*")
+        return rows.groupBy("doc_id").agg(F.max_by(F.struct("generation", "deleted", "content_hash", "place"), "generation").alias("x")).select("doc_id", "x.*")
 
     def documents(self) -> DataFrame:
         """The documents that are in the index: doc_id, generation, content_hash."""
-        return self._newest(self.segments()[1]).where("not deleted").drop("deleted")
+        return self._newest(self.segments()[1]).where("not deleted").drop("deleted", "place")
+
+    def _live(self, live: list[dict]) -> DataFrame:
+        """The postings of documents that are in the index, where they lie: a block's documents are one row of a table that is sent to every task, if it is small."""
+        here = self._newest(live).where("not deleted").select("generation", F.expr(f"place div {BLOCK}").alias("block"), F.expr(f"place % {BLOCK} div 64").alias("part"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("bit"))
+        parts = [F.bit_or(F.when(F.col("part") == i, F.col("bit")).otherwise(F.lit(0).cast("long"))) for i in range(BLOCK // 64)]
+        masks = stored(here.groupBy("generation", "block").agg(F.array(*parts).alias("mask"), F.count(F.lit(1)).alias("n")), "index-live")
+        masks = F.broadcast(masks) if masks.count() <= LIVE_ROWS else masks
+        rows = self._read("postings", live, _POSTINGS).join(masks, ["generation", "block"])
+        kept = F.when(F.col("n") == BLOCK, F.col("at")).otherwise(F.expr("filter(at, x -> shiftright(mask[cast(shiftright(x, 38) as int)], cast(shiftright(x, 32) & 63 as int)) & 1 = 1)"))
+        return rows.select("generation", "block", "token", kept.alias("at")).where(F.size("at") > 0)
+
+    def _each(self, rows: DataFrame) -> DataFrame:
+        """A row for each posting: generation, place, token, pos."""
+        rows = rows.select("generation", "block", "token", F.explode("at").alias("at"))
+        return rows.select("generation", F.expr(f"block * {BLOCK} + shiftright(at, 32)").alias("place"), "token", F.expr("cast(at & 2147483647 as int)").alias("pos"))
+
+    def _of(self, live: list[dict], words: list[str]) -> DataFrame:
+        """The postings of these words, those of former documents too."""
+        return self._read("postings", live, _POSTINGS).where(F.col("token").isin(words))
+
+    def _named(self, rows: DataFrame, live: list[dict]) -> DataFrame:
+        """Rows of generations and places with the ids of their documents; those of documents that are not in the index fall away."""
+        return rows.join(self._newest(live).where("not deleted").select("doc_id", "generation", "place"), ["generation", "place"])
 
     def postings(self, words: list[str] | None = None) -> DataFrame:
         """Words of the documents that are in the index, of the given words only if any are: doc_id, token, pos."""
         live = self.segments()[1]
-        rows = self._read("postings", live, _POSTINGS)
-        if words is not None:
-            rows = rows.where(F.col("token").isin(words))
-        newest = self._newest(live).where("not deleted").select("doc_id", "generation")
-        return rows.join(newest, ["doc_id", "generation"], "left_semi").select("doc_id", "token", "pos")
+        return self._named(self._each(self._live(live) if words is None else self._of(live, words)), live).select("doc_id", "token", "pos")
 
     def phrase_search(self, phrase: str) -> DataFrame:
         """Documents with the words of a phrase next to each other: doc_id, hits, first_start."""
-        return search.phrase_search(self.postings(search.phrase_words(phrase)), phrase)
+        live = self.segments()[1]
+        rows = self._each(self._of(live, search.phrase_words(phrase))).withColumn("document", F.struct("generation", "place"))
+        found = search.phrase_search(rows, phrase, "document").select("document.*", "hits", "first_start")
+        return self._named(found, live).select("doc_id", "hits", "first_start")
 
     def word_counts(self) -> DataFrame:
         """In how many documents each word is, and how often: token, documents, occurrences."""
         # A word's documents are combined within tasks first, so a frequent word is no hot key.
-        each = self.postings().groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-        return each.groupBy("token").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("occurrences"))
+        each = self._live(self.segments()[1]).select("token", F.size(F.array_distinct(F.expr("transform(at, x -> shiftright(x, 32))"))).alias("documents"), F.size("at").alias("n"))
+        return each.groupBy("token").agg(F.sum("documents").alias("documents"), F.sum("n").alias("occurrences"))
 
     def history(self) -> DataFrame:
         """Segments of each version, to see what a commit did."""
