@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
@@ -22,24 +22,52 @@ FANOUT = 4
 _LIVE = "version long, segment string, generation long, tier int, documents long"
 _DOCS = "doc_id string, generation long, deleted boolean, content_hash string, place long"
 _POSTINGS = "generation long, block long, token string, at array<bigint>"
-#: Documents of a block, in 64s; documents whose postings one task makes; words that are sorted at a time.
-BLOCK, TASK_DOCUMENTS, WORDS = 256, 5000, 1 << 21
-#: Rows of a table of live documents, one for each block, that are sent to every task at most; 64 bytes each there.
-LIVE_ROWS = 1_000_000
+#: Documents of a block, in 64s; documents whose postings one task makes; bytes of text whose words are sorted at a time.
+BLOCK, TASK_DOCUMENTS, TEXT_BYTES = 1024, 5000, 8 << 20
+#: Rows of a table of live documents, one for each block, that are sent to every task at most; 200 bytes each there.
+LIVE_ROWS = 300_000
+
+
+#: Bytes of words as they are indexed: ASCII capitals as small letters, a space for other ASCII that is no letter or digit.
+_BYTES = np.arange(256, dtype=np.uint8)
+_BYTES[:128] = [ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(128)]
+
+
+def _for_words(body: Column) -> Column:
+    """A text as ``_words`` takes it: one with characters beyond ASCII is in small letters, and of those only letters and digits are left."""
+    plain = (F.length(body) == F.octet_length(body)) & F.is_valid_utf8(body)
+    return F.when(plain, body).otherwise(F.regexp_replace(F.lower(body), r"[^\x00-\x7F\p{L}\p{N}]+", " "))
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts, one after the other, as ``text.word_tokens`` splits them, and how many each text has."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    first, data = int(ends[0]), texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[first : int(ends[-1])] if data is not None else np.zeros(0, np.uint8)
+    raw, ends = _BYTES[raw], ends - first
+    inside = raw != 32
+    heads = inside.copy()
+    heads[1:] &= ~inside[:-1]
+    heads[ends[:-1][ends[:-1] < len(raw)]] = True  # the next text's first word is one of its own
+    heads = np.flatnonzero(heads & inside)
+    offsets = np.append(np.cumsum(inside) - inside, inside.sum())[np.append(heads, len(raw))].astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(heads), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])])
+    return words, np.diff(np.searchsorted(heads, ends))
 
 
 def _packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of documents' words a row for each word of a block: where it is, as the document's place in the block and the word's place in the document."""
     for whole in it:
-        ends = np.cumsum(pc.list_value_length(whole.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(whole.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         i = 0
         while i < len(ends):
-            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + WORDS, "right")))
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + TEXT_BYTES, "right")))
             batch, i = whole.slice(i, j - i), j
-            size = pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64)
-            coded = batch.column("tokens").flatten().dictionary_encode()
-            if not len(coded):
+            words, size = _words(batch.column("text"))
+            if not len(words):
                 continue
+            coded = words.dictionary_encode()
             place = batch.column("place").to_numpy()
             blocks, mine = np.unique(place // BLOCK, return_inverse=True)
             by_word = pc.sort_indices(coded.dictionary).to_numpy()
@@ -121,7 +149,7 @@ class TextIndex:
             rows = stored(rows.withColumn("place", F.monotonically_increasing_id()), "index-change")
             dealt = spread(rows.select(F.expr(f"place div {BLOCK}").alias("block"), "place", "text"), TASK_DOCUMENTS, "block").sortWithinPartitions("place")
             ship(self.spark)
-            words = dealt.select("place", text.word_tokens(F.col("text")).alias("tokens")).mapInArrow(_packed, "block long, token string, at array<bigint>")
+            words = dealt.select("place", _for_words(F.col("text")).alias("text")).mapInArrow(_packed, "block long, token string, at array<bigint>")
             words = words.select(F.lit(generation).cast("long").alias("generation"), "block", "token", "at")
         docs = rows.select("doc_id", F.lit(generation).cast("long").alias("generation"), F.lit(tombstones).alias("deleted"), "content_hash", "place")
         self._commit(version, [*live, self._segment(generation, docs, words)])
@@ -178,7 +206,8 @@ class TextIndex:
         masks = F.broadcast(masks) if masks.count() <= LIVE_ROWS else masks
         rows = self._read("postings", live, _POSTINGS).join(masks, ["generation", "block"])
         kept = F.when(F.col("n") == BLOCK, F.col("at")).otherwise(F.expr("filter(at, x -> shiftright(mask[cast(shiftright(x, 38) as int)], cast(shiftright(x, 32) & 63 as int)) & 1 = 1)"))
-        return rows.select("generation", "block", "token", kept.alias("at")).where(F.size("at") > 0)
+        # Rows without live postings fall away in a generator: a condition on the list would be pushed down and make each list twice.
+        return rows.select("generation", "block", "token", F.explode(F.filter(F.array(kept), lambda at: F.size(at) > 0)).alias("at"))
 
     def _each(self, rows: DataFrame) -> DataFrame:
         """A row for each posting: generation, place, token, pos."""

@@ -1,11 +1,12 @@
 import random
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import amounts
-from tessera.operators import grid, layout, profiles, search
+from tessera.functions import amounts, text
+from tessera.operators import grid, index, layout, profiles, search
 from tessera.operators.index import TextIndex
 from tessera.storage import shared_folder
 
@@ -55,6 +56,35 @@ def test_index_refuses_a_stale_writer_and_ignores_what_was_not_committed(spark,
         index._commit(version, live)
 
 
+def test_index_words_are_those_of_the_text_functions(spark):
+    random.seed(5)
+    texts = ["".join(random.choices("aB éÉİK3-,\n中٣。\u0307_", k=random.randint(0, 9))) for _ in range(500)] + [None, "", "a" * 9, " ", "Ab-Cd", "\u212a-É"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    rows = df.select(text.word_tokens(F.coalesce("t", F.lit(""))).alias("want"), index._for_words(F.col("t")).alias("t")).collect()
+    for low in (0, 3, 499):  # also of a slice
+        words, size = index._words(pa.array([r.t for r in rows], pa.string())[low:])
+        assert words.to_pylist() == [w for r in rows[low:] for w in r.want]
+        assert size.tolist() == [len(r.want) for r in rows[low:]]
+    # Bytes that are no UTF-8 are split as the text function does it.
+    odd = spark.sql("select cast(x as string) as t from values (X'61804262'), (X'C3'), (X'6120FF20C3A942') as v(x)")
+    odd = odd.select(text.word_tokens(F.col("t")).alias("want"), index._for_words(F.col("t")).alias("t")).collect()
+    assert index._words(pa.array([r.t for r in odd], pa.string()))[0].to_pylist() == [w for r in odd for w in r.want]
+
+
+def test_index_has_few_rows_for_a_word_and_makes_each_list_once_in_a_merge(spark, tmp_path):
+    shared_folder(spark)
+    made = TextIndex(spark, f"file://{tmp_path}/index", fanout=2)
+    docs = spark.range(0, 600, 1, 1).select(F.col("id").alias("doc_id"), F.lit("of the").alias("text"))
+    made.upsert(docs)
+    rows = made._read("postings", made.segments()[1], index._POSTINGS)
+    assert rows.count() == 2 * rows.select("block").distinct().count()  # no block of a task is cut up further
+    made.delete(docs.where("doc_id < 599"))
+    live = made._live(made.segments()[1])
+    assert live._jdf.queryExecution().optimizedPlan().toString().count("filter(at") == 1
+    assert made.merge() and [(r.doc_id, r.hits, r.first_start) for r in made.phrase_search("of the").collect()] == [("599", 1, 0)]
+    assert made.word_counts().count() == 2
+
+
 def test_points_meet_boxes_as_by_all_pairs(spark):
     random.seed(2)
     number = lambda: random.choice([random.uniform(-50, 900), float(random.randint(0, 64) * 8)])
