@@ -8,14 +8,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import opened, sealed, ship, written
 from tessera.llm.components import components
 from tessera.llm.hnsw import Graph
 
-#: Vectors of a shard and of a block of queries, at most; bytes of a shard, at most; shards at least.
+#: Vectors of a shard, at most; bytes of a shard, at most; shards at least.
 SHARD_ROWS, SHARD_BYTES, SHARDS = 16_384, 64 << 20, 4
 #: Width of the first beams and of the widest ones; beyond those a block is searched by brute force. The recall that audits ask for.
 BEAM, WIDEST, RECALL = 64, 512, 0.9995
@@ -56,6 +56,11 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[mine], ids[parent[mine]]
 
 
+def meetings(parts: Column) -> tuple[Column, Column]:
+    """How far ahead of a block the shards are that it is searched in, in a ring of ``parts``, as rows of ``ahead``, and which of those rows count by ``block``: of two parts, one meets the other, and each part meets itself."""
+    return F.explode(F.sequence(F.lit(0), F.floor(parts / 2).cast("int"))).alias("ahead"), (F.col("ahead") * 2 < parts) | (F.col("block") * 2 < parts)
+
+
 def _search(graph: Graph, beam: int, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, int, int]:
     """Links of the queries with a shard's vectors, and how many true links an audit saw and how many of those were found.
 
@@ -82,13 +87,13 @@ def _search(graph: Graph, beam: int, ids: np.ndarray, queries: np.ndarray, own:
 def embedding_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9) -> DataFrame:
     """Add n_links, component_id and kept to all vectors, in place of columns of those names; vectors are linked where their cosine is ``least`` or more.
 
-    The vectors are dealt to shards by a hash of key and vector and each shard gets a hierarchical small-world graph. Every block of
-    queries is searched in every shard. Beams are widened until audits pass: of made-up queries at the threshold when a
+    The vectors are dealt to shards by a hash of key and vector and each shard gets a hierarchical small-world graph. The vectors of a shard
+    are also a block of queries. Of two shards, one's block is searched in the other, and a link counts at both its ends; each block is searched in its own shard too. Beams are widened until audits pass: of made-up queries at the threshold when a
     shard is built, as true links may be too rare to tell, and of the block's own queries against brute force; they also widen where links fill them. A block
     that no beam serves is searched by brute force. The audits' recall is logged. Each link is measured in double precision. A task returns counts and
     the forest of its links, so a group in which all are linked costs its members, not their pairs. The forests' components
-    are the classes. Both the shard and the block have a bounded size, whatever the table's; the number of tasks is the product of
-    their numbers, which is what querying every shard takes.
+    are the classes. A shard has a bounded size, whatever the table's; the number of searches is that of pairs of
+    shards, which is what meeting every shard takes.
 
     Vectors that are null, empty or zero or hold null or non-finite numbers have no links, and vectors of different lengths
     don't link. A row with a null key has no links and no component and is kept. Rows that repeat a key are one node: each one's links with
@@ -107,10 +112,8 @@ def embedding_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embe
     sizes = {r["dim"]: r["n"] for r in units.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length of vector
     rows = {d: max(1, min(SHARD_ROWS, SHARD_BYTES // (12 * d))) for d in sizes}
     shards = {d: max(SHARDS, -(-n // rows[d])) for d, n in sizes.items()}
-    blocks = {d: max(2, -(-n // rows[d])) for d, n in sizes.items()}
-    of = lambda x: F.element_at(F.create_map(*(F.lit(v) for kv in x.items() for v in kv)), F.col("dim")) if x else F.lit(1)
-    deal = lambda seed, x: F.pmod(F.xxhash64("id", "v", F.lit(seed)), of(x)).cast("int")
-    sharded = units.withColumn("shard", deal(1, shards))
+    parts = F.element_at(F.create_map(*(F.lit(v) for kv in shards.items() for v in kv)), F.col("dim")) if shards else F.lit(1)
+    sharded = units.withColumn("shard", F.pmod(F.xxhash64("id", "v", F.lit(1)), parts).cast("int"))
 
     def build(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         graph = Graph.build(np.frombuffer(b"".join(pdf["v"]), np.float64).reshape(len(pdf), -1))
@@ -126,14 +129,17 @@ def embedding_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embe
         ids = np.frombuffer(shard["ids"].iloc[0], np.int64)
         a, b, truth, hit = _search(Graph.from_bytes(shard["graph"].iloc[0]), int(shard["beam"].iloc[0]), ids, np.frombuffer(b"".join(queries["v"]), np.float64).reshape(len(own), -1), own, least)
         nodes, n = np.unique(a, return_counts=True)
+        if queries["block"].iloc[0] != shard["shard"].iloc[0]:  # links are found from here only
+            there, m = np.unique(b, return_counts=True)
+            nodes, n = np.concatenate([nodes, there]), np.concatenate([n, m])
         x, y = forest(a, b)
         out = pd.DataFrame({"id": np.concatenate([nodes, x, [0]]), "n": np.concatenate([n, np.zeros(len(x), np.int64), [truth]]), "to": np.concatenate([nodes, y, [hit]])}).astype({"id": "Int64"})
         out.iloc[-1, 0] = pd.NA  # the audit: links that are there, and those of them that were found
         return out
 
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    asked = units.withColumn("block", deal(2, blocks)).withColumn("shard", each(of(shards)))
-    held = index.withColumn("block", each(of(blocks)))
+    ahead, due = meetings(parts)
+    asked = sharded.withColumnRenamed("shard", "block").select("*", ahead).where(due).withColumn("shard", F.pmod(F.col("block") + F.col("ahead"), parts))
+    held = index.select("*", ahead).withColumn("block", F.pmod(F.col("shard") - F.col("ahead"), parts)).where(due)
     found = asked.groupBy("dim", "shard", "block").cogroup(held.groupBy("dim", "shard", "block")).applyInPandas(search, "id long, n long, to long")
     found = written(found, "embed-found")
     seen = found.where("id is null").agg(F.sum("n"), F.sum("to")).first()

@@ -114,21 +114,33 @@ class Graph:
             flags = done[live]
             np.put_along_axis(flags, pick, True, 1)
             done[live] = flags
-            near = np.where(usable[:, :, None], links[nodes], -1).reshape(len(live), -1).astype(np.int64)
+            near = np.where(usable[:, :, None], links[nodes], n).reshape(len(live), -1)
             near[near < 0] = n
+            near[seen.ravel()[near + (live * (n + 1))[:, None]]] = n
             near.sort(axis=1)
             near[:, 1:][near[:, 1:] == near[:, :-1]] = n
-            near[seen[live[:, None], near]] = n
-            seen[live[:, None], near] = True
-            known = near < n
-            s = np.full(near.shape, -2, np.float32)
-            r, c = np.nonzero(known)
-            s[r, c] = np.einsum("kd,kd->k", queries[live[r]], self.vectors[near[r, c]])
-            all_ids, all_sims = np.hstack([ids[live], np.where(known, near, -1)]), np.hstack([sims[live], s])
-            all_done = np.hstack([done[live], ~known])
-            top = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
-            ids[live], sims[live], done[live] = (np.take_along_axis(x, top, 1) for x in (all_ids, all_sims, all_done))
-        return ids, sims
+            # Of the new nodes only those that get into the beam are put into it, in the places of its worst.
+            at = np.flatnonzero(near < n)
+            r, new = at // near.shape[1], near.ravel()[at]
+            row = live[r]
+            seen[row, new] = True
+            s = np.einsum("kd,kd->k", queries.take(row, axis=0), self.vectors.take(new, axis=0))
+            better = s > sims[live].min(axis=1)[r]
+            r, new, s = r[better], new[better], s[better]
+            if not len(r):
+                continue
+            some, first, size = np.unique(r, return_index=True, return_counts=True)
+            at = np.repeat(np.arange(len(some)), size)
+            column = beam + np.arange(len(r)) - np.repeat(first, size)
+            mine = live[some]
+            shape = len(some), beam + int(size.max())
+            all_ids, all_sims, all_done = np.full(shape, -1, ids.dtype), np.full(shape, -2, np.float32), np.ones(shape, bool)
+            all_ids[:, :beam], all_sims[:, :beam], all_done[:, :beam] = ids[mine], sims[mine], done[mine]
+            all_ids[at, column], all_sims[at, column], all_done[at, column] = new, s, False
+            top = np.argpartition(all_sims, -beam, axis=1)[:, -beam:]
+            ids[mine], sims[mine], done[mine] = (np.take_along_axis(x, top, 1) for x in (all_ids, all_sims, all_done))
+        top = np.argsort(-sims, axis=1, kind="stable")
+        return np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1)
 
     def _diverse(self, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
         """Of each row's candidates, best first, up to ``most`` that are nearer to the node than to any chosen before; then the best of the others."""

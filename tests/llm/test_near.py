@@ -190,6 +190,16 @@ def test_embeddings_brute_force(spark):
     assert embedding_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_two_shards_meet_once(spark):
+    from tessera.llm.embedding_dedup import meetings
+
+    for parts in (4, 5, 7, 8):
+        ahead, counts = meetings(F.lit(parts))
+        met = spark.range(parts).select(F.col("id").alias("block"), ahead).where(counts).select("block", ((F.col("block") + F.col("ahead")) % parts).alias("shard")).collect()
+        pairs = sorted(tuple(sorted((r.block, r.shard))) for r in met)
+        assert pairs == [(i, j) for i in range(parts) for j in range(i, parts)]
+
+
 def test_sparse_links_among_many_vectors_are_all_found():
     """8,000 vectors of 384 dimensions with 300 links: too few for a sample of the queries to meet one."""
     rng = np.random.default_rng(1)
