@@ -10,12 +10,12 @@ from tessera.operators import tables as md
 
 BLOCKS = ("h1", "h2", "h3", "p", "li", "blockquote", "pre", "code")
 HEADINGS = ("h1", "h2", "h3")
-#: Characters a block has at least, and a container's own text; blocks of a page; blocks below which containers count; paragraphs of a section.
+#: Characters a block has at least, and a container's own text; blocks of a page that go into sections; blocks below which containers count; paragraphs of a section.
 MIN_BLOCK, MIN_OWN, MAX_BLOCKS, FEW_BLOCKS, SECTION_BLOCKS = 20, 80, 1501, 10, 41
 
 
 def blocks(elements: DataFrame, key: str = "page_id") -> DataFrame:
-    """Headings, paragraphs, items and quotes of each page in order, each text once: key, idx, tag, text.
+    """All headings, paragraphs, items and quotes of each page in order, each text once: key, idx, tag, text.
 
     On pages with fewer than ten of them, longer texts that stand directly in containers follow as paragraphs.
     """
@@ -28,15 +28,14 @@ def blocks(elements: DataFrame, key: str = "page_id") -> DataFrame:
     once = both.withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
     counted = once.withColumn("_main", F.sum((F.col("part") == 0).cast("int")).over(Window.partitionBy(key)))
     kept = counted.where((F.col("part") == 0) | (F.col("_main") < FEW_BLOCKS))
-    placed = kept.withColumn("idx", F.row_number().over(Window.partitionBy(key).orderBy("part", "pos")) - 1)
-    return placed.where(F.col("idx") < MAX_BLOCKS).select(key, "idx", "tag", "text")
+    return kept.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("part", "pos")) - 1).alias("idx"), "tag", "text")
 
 
 def raw_sections(page_blocks: DataFrame, most: int = 60, max_chars: int = 4000, key: str = "page_id") -> DataFrame:
-    """Paragraphs under their headings: key, part, h, t. A heading without paragraphs is dropped; after 41 paragraphs a part without heading begins."""
+    """Paragraphs under their headings, of the first 1,501 blocks of a page: key, part, h, t. A heading without paragraphs is dropped; after 41 paragraphs a part without heading begins."""
     order = Window.partitionBy(key).orderBy("idx")
     heading = F.col("tag").isin(*HEADINGS)
-    grouped = page_blocks.withColumn("_group", F.sum(heading.cast("int")).over(order))
+    grouped = page_blocks.where(F.col("idx") < MAX_BLOCKS).withColumn("_group", F.sum(heading.cast("int")).over(order))
     titled = grouped.withColumn("_h", F.first(F.when(heading, F.substring("text", 1, 120)), ignorenulls=True).over(Window.partitionBy(key, "_group")))
     body = titled.where(~heading).withColumn("_sub", F.floor((F.row_number().over(Window.partitionBy(key, "_group").orderBy("idx")) - 1) / SECTION_BLOCKS))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n\n")
