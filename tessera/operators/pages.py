@@ -20,12 +20,14 @@ def blocks(elements: DataFrame, key: str = "page_id") -> DataFrame:
     On pages with fewer than ten of them, longer texts that stand directly in containers follow as paragraphs.
     """
     shown = elements.where(~F.col("hidden") & (F.col("chars") > 0))
-    main = shown.where(F.col("tag").isin(*BLOCKS) & (F.col("tag").isin(*HEADINGS) | (F.length("text") >= MIN_BLOCK)))
-    first = Window.partitionBy(key, "text").orderBy("part", "pos")
+    # An element is a block or a container, so it gives one text at most and elements are made once.
+    main = F.col("tag").isin(*BLOCKS)
     direct = text.collapse(F.array_join(F.transform("own", lambda x: x["text"]), ""))
-    own = shown.where(F.col("tag").isin("div", "section", "td")).select(key, F.lit(1).alias("part"), "pos", F.lit("p").alias("tag"), direct.alias("text")).where(F.length("text") > MIN_OWN)
-    both = main.select(key, F.lit(0).alias("part"), "pos", "tag", "text").unionByName(own)
-    once = both.withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    held = shown.where(main | F.col("tag").isin("div", "section", "td"))
+    both = held.select(key, F.when(main, 0).otherwise(1).alias("part"), "pos", F.when(main, F.col("tag")).otherwise("p").alias("tag"), F.when(main, F.col("text")).otherwise(direct).alias("text"))
+    long = F.when(F.col("part") == 0, F.col("tag").isin(*HEADINGS) | (F.length("text") >= MIN_BLOCK)).otherwise(F.length("text") > MIN_OWN)
+    first = Window.partitionBy(key, "text").orderBy("part", "pos")
+    once = both.where(long).withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
     counted = once.withColumn("_main", F.sum((F.col("part") == 0).cast("int")).over(Window.partitionBy(key)))
     kept = counted.where((F.col("part") == 0) | (F.col("_main") < FEW_BLOCKS))
     return kept.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("part", "pos")) - 1).alias("idx"), "tag", "text")
